@@ -14,6 +14,8 @@ skipped by Parquet statistics where a key column holds no nulls.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -33,16 +35,24 @@ def dedupe_latest(
 
 
 def any_null(keys: Sequence[str]) -> Column:
-    missing = F.lit(False)
-    for k in keys:
-        missing = missing | F.col(k).isNull()
-    return missing
+    return reduce(or_, [F.col(k).isNull() for k in keys])
+
+
+def no_nulls(keys: Sequence[str]) -> Column:
+    """As plain ``IS NOT NULL`` terms, which the scan can use."""
+    return reduce(and_, [F.col(k).isNotNull() for k in keys])
+
+
+def key_set(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct whole keys. Tasks reduce repeats before the shuffle the join needs
+    anyway, so a hot key costs one row per task."""
+    return rows.where(no_nulls(keys)).select(*keys).distinct()
 
 
 def without_keys(rows: DataFrame, keys: Sequence[str], other: DataFrame) -> DataFrame:
     """Rows whose key is not in ``other``. Null keys never are, so they skip the join
     and cannot pile up in one task."""
-    keyed = rows.dropna(subset=list(keys)).join(other.select(*keys).dropna(), list(keys), "left_anti")
+    keyed = rows.where(no_nulls(keys)).join(key_set(other, keys), list(keys), "left_anti")
     return keyed.unionByName(rows.where(any_null(keys)))
 
 
@@ -103,10 +113,10 @@ def apply_history(
     current, closed = target.where(joinable), target.where(~joinable)
     if only_changed:
         values = [c for c in business_columns(target) if c in delta.columns and c not in keys]
-        same = current.select(*keys, F.xxhash64(*values).alias("_h")).dropna(subset=list(keys))
+        same = current.select(*keys, F.xxhash64(*values).alias("_h"))
         old = new.withColumn("_h", F.xxhash64(*values))
         new = old.join(same, [*keys, "_h"], "left_anti").drop("_h")
-    hit = new.select(*keys).dropna().distinct().withColumn("_hit", F.lit(True))
+    hit = key_set(new if only_changed else delta, keys).withColumn("_hit", F.lit(True))
     matched = F.coalesce(F.col("_hit"), F.lit(False))
     changed = {
         "_valid_to": F.when(matched, batch_ts.cast("timestamp_ntz")).otherwise(F.col("_valid_to")),
@@ -143,12 +153,11 @@ def gone_keys(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> Data
     return without_keys(live, keys, source)
 
 
-def reconcile(target: DataFrame, source: DataFrame, keys: Sequence[str], batch_ts: Column) -> DataFrame:
-    """Soft-delete live rows whose key is gone from the source.
-
-    The key sets are compared first, with keys only; wide target rows then meet just
-    the gone keys, usually few. Null keys are gone by definition and need no join."""
+def soft_delete(target: DataFrame, gone: DataFrame, keys: Sequence[str], batch_ts: Column) -> DataFrame:
+    """Flag live rows whose key is in ``gone`` or null."""
     live = ~F.coalesce(F.col("_is_deleted"), F.lit(False))
+    if "_is_current" in target.columns:
+        live = live & F.coalesce(F.col("_is_current"), F.lit(False))
 
     def flag(rows: DataFrame, hit: Column) -> DataFrame:
         return rows.withColumns(
@@ -158,12 +167,20 @@ def reconcile(target: DataFrame, source: DataFrame, keys: Sequence[str], batch_t
             }
         ).select(*target.columns)
 
-    keyed = target.dropna(subset=list(keys))
-    gone = gone_keys(keyed, source, keys).distinct().withColumn("_gone", F.lit(True))
-    found = flag(keyed.join(gone, list(keys), "left"), live & F.coalesce(F.col("_gone"), F.lit(False)))
+    marked = key_set(gone, keys).withColumn("_gone", F.lit(True))
+    keyed = target.where(no_nulls(keys)).join(marked, list(keys), "left")
+    found = flag(keyed, live & F.coalesce(F.col("_gone"), F.lit(False)))
     return found.unionByName(flag(target.where(any_null(keys)), live))
 
 
+def reconcile(target: DataFrame, source: DataFrame, keys: Sequence[str], batch_ts: Column) -> DataFrame:
+    """Soft-delete live rows whose key is gone from the source.
+
+    The key sets are compared first, with keys only; wide target rows then meet just
+    the gone keys, usually few. Null keys are gone by definition and need no join."""
+    return soft_delete(target, gone_keys(target.where(no_nulls(keys)), source, keys), keys, batch_ts)
+
+
 def apply_backlog_upsert(
     target: DataFrame,
     backlog: DataFrame,
@@ -213,7 +230,11 @@ def apply_backlog_history(
     versions = chain.select(
         *[c for c in business_columns(backlog) if c not in (batch, batch_ts)], *AUDIT_SCHEMA, *HISTORY_SCHEMA
     )
-    first = backlog.groupBy(*keys).agg(F.min(F.struct(batch, batch_ts)).alias("_first")).dropna(subset=list(keys))
+    first = (
+        backlog.where(no_nulls(keys))
+        .groupBy(*keys)
+        .agg(F.min(F.struct(batch, batch_ts)).alias("_first"))
+    )
     hit = F.col("_first").isNotNull()
     joinable = F.coalesce(F.col("_is_current"), F.lit(False)) & ~any_null(keys)
     current = target.where(joinable).join(first, list(keys), "left").withColumns(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.operators.apply import key_set
+
 PENDING = ("extracted", "uploaded")
 
 
@@ -42,7 +44,7 @@ def pending(manifest: DataFrame, loaded: DataFrame) -> DataFrame:
     """Files extracted or uploaded but not loaded, oldest run first."""
     return (
         manifest.where(F.col("status").isin(*PENDING))
-        .join(loaded.select("manifest_id").dropna(), "manifest_id", "left_anti")
+        .join(key_set(loaded, ["manifest_id"]), "manifest_id", "left_anti")
         .orderBy("run_at", "manifest_id")
     )
 

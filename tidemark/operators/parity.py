@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.fingerprint import table_hash
 from tidemark.functions.values import second_text
@@ -45,6 +46,11 @@ def _compare(source: DataFrame, target: DataFrame, measures: Sequence[str]) -> D
     )
 
 
+def _watermark(rows: DataFrame, column: str) -> Column:
+    timed = isinstance(rows.schema[column].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    return second_text(F.max(column)) if timed else F.max(column).cast("string")
+
+
 def count_parity(source: DataFrame, target: DataFrame) -> DataFrame:
     measure = {"rows": F.count(F.lit(1))}
     out = _compare(_side(source, "source", measure), _side(live_rows(target), "target", measure), ["rows"])
@@ -58,8 +64,11 @@ def count_parity(source: DataFrame, target: DataFrame) -> DataFrame:
 
 def watermark_parity(source: DataFrame, target: DataFrame, column: str) -> DataFrame:
     """Greatest watermark on both sides, compared at second precision."""
-    measure = {"wm": second_text(F.max(column))}
-    out = _compare(_side(source, "source", measure), _side(live_rows(target), "target", measure), ["wm"])
+    out = _compare(
+        _side(source, "source", {"wm": _watermark(source, column)}),
+        _side(live_rows(target), "target", {"wm": _watermark(target, column)}),
+        ["wm"],
+    )
     return out.withColumn("wm_ok", F.col("source_wm").eqNullSafe(F.col("target_wm")))
 
 
@@ -84,7 +93,7 @@ def parity(
 
     def side(rows: DataFrame, name: str) -> DataFrame:
         measures = {"rows": F.count(F.lit(1))}
-        measures["wm"] = second_text(F.max(watermark)) if watermark else F.max(F.lit(None).cast("string"))
+        measures["wm"] = _watermark(rows, watermark) if watermark else F.max(F.lit(None).cast("string"))
         measures["hash"] = table_hash(rows, columns) if deep else F.max(F.lit(None).cast("string"))
         return _side(rows, name, measures)
 

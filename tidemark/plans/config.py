@@ -9,6 +9,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.operators.apply import key_set
+
 # Column names that can serve as a watermark, best first.
 WATERMARK_NAMES = ("updated_at", "modified_at", "last_modified", "updated_on", "created_at", "created_on")
 TERADATA_WATERMARK_NAMES = (*WATERMARK_NAMES, "update_ts", "modify_ts")
@@ -73,7 +75,7 @@ def effective_keys(config: DataFrame) -> DataFrame:
 
 def insert_only(existing: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Known rows stay as they were tuned; rows with new keys are added."""
-    new = found.join(existing.select(*keys).dropna(), list(keys), "left_anti")
+    new = found.join(key_set(existing, keys), list(keys), "left_anti")
     return existing.unionByName(new, allowMissingColumns=True)
 
 

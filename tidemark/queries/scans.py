@@ -285,9 +285,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         status = "loaded"
     except (PySparkException, Py4JJavaError):
         status = "aborted"
-    checked = files.read_with_rejects(spark, path, schema, fmt)
+    sorted_out = work_path(spark, "bad-sorted")
+    files.read_with_rejects(spark, path, schema, fmt).write.parquet(sorted_out)
     bad = F.col(files.CORRUPT).isNotNull()
-    return checked.agg(
+    return spark.read.parquet(sorted_out).agg(
         F.lit(status).alias("status"), F.count_if(~bad).alias("good_rows"), F.count_if(bad).alias("bad_rows")
     )
 

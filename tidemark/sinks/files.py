@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.sources.files import tsv_line
@@ -18,14 +16,16 @@ def write_rows_per_file(df: DataFrame, path: str, rows: int = ROWS_PER_FILE, mod
     df.write.mode(mode).option("maxRecordsPerFile", rows).option("compression", "snappy").parquet(path)
 
 
-def part_count(total_bytes: int, part_bytes: int = SEGMENT_BYTES) -> int:
-    return max(1, ceil(total_bytes / part_bytes))
+def part_rows(rows: int, total_bytes: int, part_bytes: int) -> int:
+    """Rows that make a part of about ``part_bytes``."""
+    return max(1, rows * part_bytes // max(1, total_bytes))
 
 
-def text_bytes(df: DataFrame) -> int:
-    """Bytes the rows take as delimited text; one number comes to the driver."""
+def text_size(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes the data takes as delimited text; two numbers come to the driver."""
     line = F.concat_ws(",", *[F.col(c).cast("string") for c in df.columns])
-    return df.agg(F.coalesce(F.sum(F.octet_length(line) + 1), F.lit(0)).alias("b")).first().b
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(line) + 1), F.lit(0)).alias("b"))
+    return tuple(size.first())
 
 
 def write_sized_parts(
@@ -35,17 +35,18 @@ def write_sized_parts(
     header: bool = True,
     gzip: bool = False,
     delimiter: str = ",",
-    total_bytes: int | None = None,
+    size: tuple[int, int] | None = None,
 ) -> int:
-    """CSV in parts of about ``part_bytes``; returns the part count asked for.
+    """CSV cut at line ends into parts of about ``part_bytes``; returns rows per part.
 
-    Rows are dealt out evenly whatever their keys, so no part can run hot."""
-    parts = part_count(total_bytes if total_bytes is not None else text_bytes(df), part_bytes)
-    writer = df.repartition(parts).write.option("header", header).option("sep", delimiter).option("escape", '"')
+    Tasks cut the rows they hold, so nothing is shuffled. ``size`` saves the measuring
+    pass where rows and bytes are known."""
+    rows = part_rows(*(size or text_size(df)), part_bytes)
+    writer = df.write.options(header=header, sep=delimiter, escape='"', maxRecordsPerFile=rows)
     if gzip:
         writer = writer.option("compression", "gzip")
     writer.csv(path)
-    return parts
+    return rows
 
 
 def write_quoted(df: DataFrame, path: str, writers: int = 0, delimiter: str = ",") -> None:

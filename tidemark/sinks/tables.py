@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, functi
 from pyspark.sql import types as T
 
 from tidemark.operators.apply import any_null
-from tidemark.sources.files import load_or_none
+from tidemark.sources.files import path_exists
 
 BUCKET = "_bucket"
 
@@ -72,15 +72,40 @@ class KeyedTable:
 
     def bucket_of(self, columns: Sequence[str]) -> Column:
         whole = F.xxhash64(*[c for c in columns if c != BUCKET])
-        value = F.when(any_null(self.keys), whole).otherwise(F.xxhash64(*self.keys))
+        value = F.when(any_null(self.keys), whole).otherwise(F.xxhash64(*self.keys)) if self.keys else whole
         return F.pmod(value, F.lit(self.buckets)).cast("int")
 
     def create(self, rows: DataFrame) -> None:
         placed = rows.withColumn(BUCKET, self.bucket_of(rows.columns))
         _by_bucket(placed).mode("error").parquet(self.data)
+        self._keep_schema(rows)
+
+    def add(self, rows: DataFrame, batch: str) -> None:
+        """Append without matching, one folder per batch, so a repeated batch replaces
+        its own rows."""
+        rows.write.mode("overwrite").parquet(f"{self._added}/part={batch}")
+
+    @property
+    def _added(self) -> str:
+        return f"{self.path}/added"
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.data).drop(BUCKET)
+        base = self._stored().drop(BUCKET)
+        if not path_exists(self.spark, self._added):
+            return base
+        added = self.spark.read.schema(base.schema).option("recursiveFileLookup", True).parquet(self._added)
+        return base.unionByName(added)
+
+    def schema(self) -> T.StructType:
+        return self.spark.read.parquet(f"{self.path}/schema").schema
+
+    def _keep_schema(self, rows: DataFrame) -> None:
+        self.spark.createDataFrame([], rows.drop(BUCKET).schema).write.mode("overwrite").parquet(f"{self.path}/schema")
+
+    def _stored(self) -> DataFrame:
+        """Files from before a column was added read it as null."""
+        wide = T.StructType([*self.schema().fields, T.StructField(BUCKET, T.IntegerType())])
+        return self.spark.read.schema(wide).parquet(self.data)
 
     def touched(self, delta: DataFrame) -> list[int]:
         """Buckets the delta falls in: at most ``buckets`` small numbers."""
@@ -97,8 +122,9 @@ class KeyedTable:
             hit = self.touched(delta)
             if not hit:
                 return
-            part = self.spark.read.parquet(self.data).where(F.col(BUCKET).isin(hit))
-            fresh = change(part, delta)
+            fresh = change(self._stored().where(F.col(BUCKET).isin(hit)), delta)
+            if len(fresh.columns) > len(self.schema().fields) + 1:
+                self._keep_schema(fresh)
             spread = F.element_at(F.lit(hit), F.pmod(F.xxhash64(*fresh.columns), F.lit(len(hit))).cast("int") + 1)
             place = F.coalesce(F.col(BUCKET), F.when(any_null(self.keys), spread), self.bucket_of(self.keys))
             _by_bucket(fresh.withColumn(BUCKET, place)).mode("overwrite").parquet(self._stage(batch))
@@ -109,7 +135,7 @@ class KeyedTable:
         )
 
     def _staged(self, batch: str) -> bool:
-        return load_or_none(lambda: self.spark.read.parquet(self._stage(batch) + "-whole")) is not None
+        return path_exists(self.spark, self._stage(batch) + "-whole")
 
 
 def _by_bucket(rows: DataFrame) -> DataFrameWriter:

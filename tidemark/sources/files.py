@@ -162,6 +162,17 @@ def dated_path(base: str, run_date: date | None) -> str:
     return f"{root}{run_date:%Y%m%d}/" if run_date else root
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Is there something at a path; the check lists, it does not read rows."""
+    try:
+        spark.read.schema("x int").option("recursiveFileLookup", True).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def load_or_none(read: Callable[[], DataFrame]) -> DataFrame | None:
     """The source, or None when there is nothing to load: no path or no rows."""
     try:
@@ -179,7 +190,10 @@ def read_strict(spark: SparkSession, path: str, schema: T.StructType | str, fmt:
 
 
 def read_with_rejects(spark: SparkSession, path: str, schema: T.StructType, fmt: FileFormat) -> DataFrame:
-    """Every record, with the text of the bad ones in ``_corrupt_record``."""
+    """Every record, with the text of the bad ones in ``_corrupt_record``.
+
+    Save the result before asking which are bad: the reader parses only the columns a
+    query names."""
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = {**fmt.options(), "columnNameOfCorruptRecord": CORRUPT}
     return spark.read.schema(wide).options(**options).format(fmt.kind.lower()).load(path)
