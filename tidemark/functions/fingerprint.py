@@ -39,9 +39,15 @@ def row_slice(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     return F.conv(F.substring(F.md5(row_text(df, columns)), 1, HASH_HEX_DIGITS), 16, 10).cast("long")
 
 
-def table_hash(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
-    """Aggregate: XOR of all row slices as text, "0" for an empty table.
+def with_slices(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Row slices and the columns still needed. Computed in a projection of its own:
+    inside the aggregate the generated code grows too long to be compiled well."""
+    return df.select(row_slice(df, columns).alias("_slice"), *keep)
+
+
+def table_hash() -> Column:
+    """Aggregate over ``_slice``: XOR of all row slices as text, "0" for an empty table.
 
     XOR cancels pairs of equal rows, so compare row counts beside it.
     """
-    return F.coalesce(F.bit_xor(row_slice(df, columns)), F.lit(0)).cast("string")
+    return F.coalesce(F.bit_xor("_slice"), F.lit(0)).cast("string")

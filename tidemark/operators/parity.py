@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.fingerprint import table_hash
+from tidemark.functions.fingerprint import table_hash, with_slices
 from tidemark.functions.values import second_text
 from tidemark.operators.shape import live_rows
 
@@ -76,7 +76,7 @@ def hash_parity(source: DataFrame, target: DataFrame, columns: Sequence[str]) ->
     """Counts and order-independent hashes of the named columns."""
 
     def side(rows: DataFrame, name: str) -> DataFrame:
-        return _side(rows, name, {"rows": F.count(F.lit(1)), "hash": table_hash(rows, columns)})
+        return _side(with_slices(rows, columns), name, {"rows": F.count(F.lit(1)), "hash": table_hash()})
 
     out = _compare(side(source, "source"), side(live_rows(target), "target"), ["rows", "hash"])
     return out.withColumn("hash_ok", F.col("source_hash") == F.col("target_hash"))
@@ -94,8 +94,9 @@ def parity(
     def side(rows: DataFrame, name: str) -> DataFrame:
         measures = {"rows": F.count(F.lit(1))}
         measures["wm"] = _watermark(rows, watermark) if watermark else F.max(F.lit(None).cast("string"))
-        measures["hash"] = table_hash(rows, columns) if deep else F.max(F.lit(None).cast("string"))
-        return _side(rows, name, measures)
+        measures["hash"] = table_hash() if deep else F.max(F.lit(None).cast("string"))
+        read = with_slices(rows, columns, [watermark] if watermark else []) if deep else rows
+        return _side(read, name, measures)
 
     out = _compare(side(source, "source"), side(live_rows(target), "target"), ["rows", "wm", "hash"])
     checked = out.withColumns(

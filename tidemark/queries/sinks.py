@@ -15,7 +15,7 @@ from tidemark.sinks import files as out
 from tidemark.sinks import tables
 from tidemark.sources import files as read
 
-ROWS = 1000
+ROWS = 5000
 PART_BYTES = 2**16
 
 

@@ -128,7 +128,7 @@ class KeyedTable:
             spread = F.element_at(F.lit(hit), F.pmod(F.xxhash64(*fresh.columns), F.lit(len(hit))).cast("int") + 1)
             place = F.coalesce(F.col(BUCKET), F.when(any_null(self.keys), spread), self.bucket_of(self.keys))
             _by_bucket(fresh.withColumn(BUCKET, place)).mode("overwrite").parquet(self._stage(batch))
-            self.spark.range(1).write.mode("overwrite").parquet(self._stage(batch) + "-whole")
+            self.spark.range(0, 1, 1, 1).write.mode("overwrite").parquet(self._stage(batch) + "-whole")
         staged = self.spark.read.parquet(self._stage(batch))
         staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(
             self.data
