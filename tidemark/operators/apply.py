@@ -84,11 +84,17 @@ def upsert(
     if not keys:
         return append(target, delta, batch_ts, batch_id)
     new = with_audit(dedupe_latest(delta, keys, watermark), batch_ts, batch_id)
-    kept = without_keys(target, keys, delta)
     if keep_missing:
         lacking = [c for c in business_columns(target) if c not in delta.columns]
         if lacking:
             new = new.join(target.select(*keys, *lacking), list(keys), "left")
+    return _put(target, new, delta, keys)
+
+
+def _put(target: DataFrame, new: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Target rows the delta does not name, and the new rows. The keys come from the raw
+    delta, so ranking it and joining on it are independent."""
+    kept = without_keys(target, keys, delta)
     return kept.unionByName(new, allowMissingColumns=True).select(*_columns(target, new))
 
 
@@ -196,7 +202,7 @@ def apply_backlog_upsert(
     watermark does. One pass replaces a loop over files."""
     order = [watermark] if watermark else []
     latest = dedupe_latest(backlog, keys, batch, order).drop(batch)
-    return upsert(target, latest, keys, batch_ts, batch_id, watermark)
+    return _put(target, with_audit(latest, batch_ts, batch_id), backlog, keys)
 
 
 def apply_backlog_history(

@@ -11,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from tidemark.functions.values import ntz, time_ceiling
 from tidemark.operators import apply, parity, shape
@@ -85,32 +85,49 @@ def stored(run: Run, table: Table, location: str) -> KeyedTable:
 
 def sync(run: Run, table: Table, force_full: bool = False) -> dict:
     """Load one table. Without a stored cursor the load is full; an empty window is
-    skipped and leaves the cursor alone."""
+    skipped and leaves the cursor alone.
+
+    The source is read once, into files; counts and the new cursor come from those, so
+    a repeated task cannot count twice."""
     cursor, location = last_state(run, table)
     full = force_full or location is None or cursor is None or table.load_type == "full"
     record = _record(run, table, "full" if full else "incremental", watermark_from=cursor)
     try:
-        ceiling = _ceiling(run, table)
         spec = Scan(
             "INCREMENTAL" if table.cursor_column else "FULL",
             filter=table.filter,
             cursor_column=table.cursor_column,
             cursor_type=table.cursor_type,
         )
-        rows = scan(run.sources[table.config_id](), spec, None if full else cursor, ceiling)
-        newest = F.max(table.cursor_column).cast("string") if table.cursor_column else F.lit(None).cast("string")
-        seen = rows.agg(F.count(F.lit(1)).alias("n"), newest.alias("cursor")).first()
+        rows = scan(run.sources[table.config_id](), spec, None if full else cursor, _ceiling(run, table))
+        if full and not (table.scd_type == 2 and location):
+            place, written = _load_whole(run, table, rows)
+        else:
+            place, written = location, _extract(run, table, rows)
+        seen = _measure(written, table)
         record["rows_extracted"] = seen.n
         if seen.n == 0:
             record.update(status="skipped", watermark_to=cursor, location=location)
         else:
-            record["location"] = _load(run, table, rows, location, full)
-            record.update(status="success", rows_loaded=seen.n, watermark_to=seen.cursor or cursor)
+            if place == location:
+                _load_delta(run, table, written, location)
+            record.update(status="success", rows_loaded=seen.n, watermark_to=seen.cursor or cursor, location=place)
     except Exception as error:  # the row of a failed run is what monitoring reads
         record.update(status="failed", error_message=str(error), location=location, watermark_to=cursor)
     return _append(run, record)
 
 
+def _extract(run: Run, table: Table, rows: DataFrame) -> DataFrame:
+    path = f"{run.root}/extracts/{table.config_id}/{run.batch_id}"
+    rows.write.mode("overwrite").parquet(path)
+    return run.spark.read.schema(rows.schema).parquet(path)
+
+
+def _measure(written: DataFrame, table: Table) -> Row:
+    newest = F.max(table.cursor_column).cast("string") if table.cursor_column else F.lit(None).cast("string")
+    return written.agg(F.count(F.lit(1)).alias("n"), newest.alias("cursor")).first()
+
+
 def _ceiling(run: Run, table: Table) -> object | None:
     """Fixed before the read, so rows that arrive meanwhile come with the next run."""
     if not table.cursor_column:
@@ -120,25 +137,26 @@ def _ceiling(run: Run, table: Table) -> object | None:
     return time_ceiling(run.as_of, table.lag_minutes)
 
 
-def _load(run: Run, table: Table, rows: DataFrame, location: str | None, full: bool) -> str:
-    batch_ts = ntz(run.as_of)
-    fresh = f"{run.root}/tables/{table.config_id}/{run.batch_id}"
-    if full and not (table.scd_type == 2 and location):
-        # A new folder; readers move to it when the log row of this run is there.
-        new = shape.with_audit(rows, batch_ts, run.batch_id)
-        stored(run, table, fresh).create(shape.with_history(new, batch_ts) if table.scd_type == 2 else new)
-        return fresh
-    target = stored(run, table, location)
+def _load_whole(run: Run, table: Table, rows: DataFrame) -> tuple[str, DataFrame]:
+    """A new folder; readers move to it when the log row of this run is there."""
+    batch_ts, fresh = ntz(run.as_of), f"{run.root}/tables/{table.config_id}/{run.batch_id}"
+    new = shape.with_audit(rows, batch_ts, run.batch_id)
+    target = stored(run, table, fresh)
+    target.create(shape.with_history(new, batch_ts) if table.scd_type == 2 else new)
+    return fresh, target.read()
+
+
+def _load_delta(run: Run, table: Table, delta: DataFrame, location: str) -> None:
+    batch_ts, target = ntz(run.as_of), stored(run, table, location)
     if table.scd_type == 0 or not table.keys:
-        target.add(shape.with_audit(rows, batch_ts, run.batch_id), run.batch_id)
-        return location
+        target.add(shape.with_audit(delta, batch_ts, run.batch_id), run.batch_id)
+        return
     change = apply.apply_history if table.scd_type == 2 else apply.upsert
     target.apply(
-        rows,
+        delta,
         lambda t, d: change(shape.widen(t, d), d, table.keys, batch_ts, run.batch_id, table.cursor_column),
         run.batch_id,
     )
-    return location
 
 
 def reconcile(run: Run, table: Table) -> dict:

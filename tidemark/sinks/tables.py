@@ -10,11 +10,21 @@ from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, functi
 from pyspark.sql import types as T
 
 from tidemark.operators.apply import any_null
+from tidemark.operators.shape import widen
 from tidemark.sources.files import path_exists
 
 BUCKET = "_bucket"
 
 
+BUCKET_BYTES = 4 * 2**30
+
+
+def bucket_count(table_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets for a table of a given size: a small delta then rewrites a few gigabytes
+    per touched bucket, whatever the table's size."""
+    return max(1, -(-table_bytes // bucket_bytes))
+
+
 class MissingTableError(RuntimeError):
     """An append was asked for, but the table is not there."""
 
@@ -77,12 +87,16 @@ class KeyedTable:
 
     def create(self, rows: DataFrame) -> None:
         placed = rows.withColumn(BUCKET, self.bucket_of(rows.columns))
-        _by_bucket(placed).mode("error").parquet(self.data)
+        _by_bucket(placed).mode("overwrite").parquet(self.data)
         self._keep_schema(rows)
 
     def add(self, rows: DataFrame, batch: str) -> None:
         """Append without matching, one folder per batch, so a repeated batch replaces
         its own rows."""
+        stored = self._stored().drop(BUCKET)
+        wide = widen(stored, rows)
+        if len(wide.columns) > len(stored.columns):
+            self._keep_schema(wide)
         rows.write.mode("overwrite").parquet(f"{self._added}/part={batch}")
 
     @property
