@@ -125,3 +125,19 @@ def test_run_all_skips_inactive(spark, root):
     run = run_at(spark, root, 2, FIRST)
     tables = [Table("t", ("id",), cursor_column="updated_at", buckets=2), Table("off", active=False)]
     assert [r["status"] for r in lifecycle.run_all(run, tables)] == ["success"]
+
+
+def test_command_line(spark, root, sf_dir, tmp_path):
+    from tidemark.__main__ import main
+
+    config = tmp_path / "tables.json"
+    config.write_text(
+        '[{"config_id": "orders", "keys": ["o_orderkey"], "cursor_column": "o_orderdate", "buckets": 4,'
+        f' "source": {{"parquet": "{sf_dir}/orders.parquet"}}}},'
+        f' {{"config_id": "nation", "load_type": "full", "source": {{"sql": "SELECT * FROM parquet.`{sf_dir}/nation.parquet`"}}}}]'
+    )
+    assert [r["status"] for r in main(["sync", str(config), "--root", root], spark)] == ["success", "success"]
+    checked = main(["validate", str(config), "--root", root, "--deep", "--table", "orders"], spark)
+    assert [r["status"] for r in checked] == ["success"]
+    again = main(["sync", str(config), "--root", root, "--table", "orders"], spark)
+    assert [r["status"] for r in again] == ["skipped"]
