@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.values import ntz
 from tidemark.operators import apply, shape
 from tidemark.session import work_path
+from tidemark.sinks import tables
 from tidemark.sinks.tables import KeyedTable, MissingTableError, replace_table, write_table
 
 def ts():
@@ -149,7 +150,7 @@ def test_keyed_table_touches_only_hit_buckets_and_repeats_safely(spark):
     table = KeyedTable(spark, work_path(spark, "kt"), ("k",), 8)
     table.create(target(spark, [(i, "a", 1) for i in range(100)] + [(None, "n", i) for i in range(5)]))
     delta = frame(spark, [(5, "Z", 2), (200, "new", 2), (None, "m", 2)])
-    change = lambda t, d: apply.upsert(t, d, ["k"], ts(), "b1", "w")
+    change = lambda t, d, small: apply.upsert(t, d, ["k"], ts(), "b1", "w", small=small)
     assert 1 <= len(table.touched(delta)) <= 3
     table.apply(delta, change, "b1")
     first = values(table.read(), "k", "v", "w")
@@ -158,11 +159,30 @@ def test_keyed_table_touches_only_hit_buckets_and_repeats_safely(spark):
     assert values(table.read(), "k", "v", "w") == first
 
 
+@pytest.mark.parametrize("limit", [0, 2**25])
+def test_small_and_large_deltas_give_the_same_table(spark, monkeypatch, limit):
+    monkeypatch.setattr(tables, "SMALL_KEY_BYTES", limit)
+    table = KeyedTable(spark, work_path(spark, "size"), ("k",), 8)
+    start = target(spark, [(i, "a", 1) for i in range(50)] + [(None, "n", i) for i in range(5)])
+    table.create(start)
+    delta = frame(spark, [(i, "Z", 2) for i in range(40, 60)] + [(None, "m", 9)])
+    seen = []
+
+    def change(t, d, small):
+        seen.append(small)
+        return apply.upsert(t, d, ["k"], ts(), "b1", "w", small=small)
+
+    table.apply(delta, change, "b1")
+    assert seen == [limit > 0]
+    want = apply.upsert(start, delta, ["k"], ts(), "b1", "w")
+    assert values(table.read(), "k", "v", "w") == values(want, "k", "v", "w")
+
+
 def test_keyed_table_schema_can_grow(spark):
     table = KeyedTable(spark, work_path(spark, "grow"), ("k",), 8)
     table.create(target(spark, [(i, "a", 1) for i in range(20)] + [(None, "n", i) for i in range(9)]))
     delta = frame(spark, [(1, "b", 2, "x")], SCHEMA + ", extra string")
-    table.apply(delta, lambda t, d: apply.upsert(shape.widen(t, d), d, ["k"], ts(), "b1", "w"), "b1")
+    table.apply(delta, lambda t, d, s: apply.upsert(shape.widen(t, d), d, ["k"], ts(), "b1", "w"), "b1")
     rows = table.read()
     assert rows.count() == 29 and values(rows.where("extra IS NOT NULL"), "k", "extra") == [(1, "x")]
 

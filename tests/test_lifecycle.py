@@ -60,6 +60,17 @@ def test_reconcile_and_validate(spark, root):
     assert lifecycle.validate(gone, table, deep=True)["status"] == "success"
 
 
+def test_reconcile_finds_null_keys_in_every_bucket(spark, root):
+    table = Table("t", ("id",), cursor_column="updated_at", buckets=8)
+    nulls = [(None, f"n{i}", "2024-01-01 10:00:00") for i in range(6)]
+    first = run_at(spark, root, 2, FIRST + nulls)
+    lifecycle.sync(first, table)
+    later = run_at(spark, root, 4, FIRST)
+    assert lifecycle.reconcile(later, table)["rows_loaded"] == 6
+    assert content(spark, root, later, table).where("_is_deleted AND id IS NULL").count() == 6
+    assert lifecycle.validate(later, table, deep=True)["status"] == "success"
+
+
 def test_history_keeps_versions(spark, root):
     table = Table("t", ("id",), scd_type=2, cursor_column="updated_at", buckets=4)
     lifecycle.sync(run_at(spark, root, 2, FIRST), table)

@@ -7,7 +7,8 @@ inserted each time and such target rows count as gone when reconciled.
 Scale notes. A delta is reduced to one row per key by a ranked window that Spark
 limits on the map side, so a hot key sends one row per map task. Target rows meet
 only the delta's key columns; AQE broadcasts them when they turn out small and
-sorts both sides otherwise. Null-key target rows pass by the joins: their scan is
+sorts both sides otherwise. A caller that has measured the delta's keys may pass
+``small`` to broadcast them, which leaves target rows where they were read. Null-key target rows pass by the joins: their scan is
 skipped by Parquet statistics where a key column holds no nulls.
 """
 
@@ -49,10 +50,14 @@ def key_set(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.where(no_nulls(keys)).select(*keys).distinct()
 
 
-def without_keys(rows: DataFrame, keys: Sequence[str], other: DataFrame) -> DataFrame:
+def _side(rows: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(rows) if small else rows
+
+
+def without_keys(rows: DataFrame, keys: Sequence[str], other: DataFrame, small: bool = False) -> DataFrame:
     """Rows whose key is not in ``other``. Null keys never are, so they skip the join
     and cannot pile up in one task."""
-    keyed = rows.where(no_nulls(keys)).join(key_set(other, keys), list(keys), "left_anti")
+    keyed = rows.where(no_nulls(keys)).join(_side(key_set(other, keys), small), list(keys), "left_anti")
     return keyed.unionByName(rows.where(any_null(keys)))
 
 
@@ -76,6 +81,7 @@ def upsert(
     batch_id: str,
     watermark: str | None = None,
     keep_missing: bool = False,
+    small: bool = False,
 ) -> DataFrame:
     """Matched keys take the delta's values and come back to life; the rest is inserted.
 
@@ -88,13 +94,15 @@ def upsert(
         lacking = [c for c in business_columns(target) if c not in delta.columns]
         if lacking:
             new = new.join(target.select(*keys, *lacking), list(keys), "left")
-    return _put(target, new, delta, keys)
+    return _put(target, new, delta, keys, small)
 
 
-def _put(target: DataFrame, new: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _put(
+    target: DataFrame, new: DataFrame, delta: DataFrame, keys: Sequence[str], small: bool = False
+) -> DataFrame:
     """Target rows the delta does not name, and the new rows. The keys come from the raw
     delta, so ranking it and joining on it are independent."""
-    kept = without_keys(target, keys, delta)
+    kept = without_keys(target, keys, delta, small)
     return kept.unionByName(new, allowMissingColumns=True).select(*_columns(target, new))
 
 
@@ -106,6 +114,7 @@ def apply_history(
     batch_id: str,
     watermark: str | None = None,
     only_changed: bool = False,
+    small: bool = False,
 ) -> DataFrame:
     """Close the current version of every delta key and add the delta as current.
 
@@ -130,7 +139,7 @@ def apply_history(
         "_load_ts": F.when(matched, batch_ts.cast("timestamp_ntz")).otherwise(F.col("_load_ts")),
         "_batch_id": F.when(matched, F.lit(batch_id)).otherwise(F.col("_batch_id")),
     }
-    rewritten = current.join(hit, list(keys), "left").withColumns(changed).drop("_hit")
+    rewritten = current.join(_side(hit, small), list(keys), "left").withColumns(changed).drop("_hit")
     versions = with_history(with_audit(new, batch_ts, batch_id), batch_ts)
     names = _columns(target, versions)
     return (
@@ -159,7 +168,9 @@ def gone_keys(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> Data
     return without_keys(live, keys, source)
 
 
-def soft_delete(target: DataFrame, gone: DataFrame, keys: Sequence[str], batch_ts: Column) -> DataFrame:
+def soft_delete(
+    target: DataFrame, gone: DataFrame, keys: Sequence[str], batch_ts: Column, small: bool = False
+) -> DataFrame:
     """Flag live rows whose key is in ``gone`` or null."""
     live = ~F.coalesce(F.col("_is_deleted"), F.lit(False))
     if "_is_current" in target.columns:
@@ -174,7 +185,7 @@ def soft_delete(target: DataFrame, gone: DataFrame, keys: Sequence[str], batch_t
         ).select(*target.columns)
 
     marked = key_set(gone, keys).withColumn("_gone", F.lit(True))
-    keyed = target.where(no_nulls(keys)).join(marked, list(keys), "left")
+    keyed = target.where(no_nulls(keys)).join(_side(marked, small), list(keys), "left")
     found = flag(keyed, live & F.coalesce(F.col("_gone"), F.lit(False)))
     return found.unionByName(flag(target.where(any_null(keys)), live))
 

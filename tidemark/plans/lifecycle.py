@@ -154,7 +154,9 @@ def _load_delta(run: Run, table: Table, delta: DataFrame, location: str) -> None
     change = apply.apply_history if table.scd_type == 2 else apply.upsert
     target.apply(
         delta,
-        lambda t, d: change(shape.widen(t, d), d, table.keys, batch_ts, run.batch_id, table.cursor_column),
+        lambda t, d, small: change(
+            shape.widen(t, d), d, table.keys, batch_ts, run.batch_id, table.cursor_column, small=small
+        ),
         run.batch_id,
     )
 
@@ -181,7 +183,13 @@ def reconcile(run: Run, table: Table) -> dict:
         whole = apply.soft_delete(current, kept, table.keys, ntz(run.as_of))
         stored(run, table, record["location"]).create(whole)
     elif deleted:
-        target.apply(kept, lambda t, d: apply.soft_delete(t, d, table.keys, ntz(run.as_of)), f"{run.batch_id}-gone")
+        batch_ts = ntz(run.as_of)
+        target.apply(
+            kept,
+            lambda t, d, small: apply.soft_delete(t, d, table.keys, batch_ts, small),
+            f"{run.batch_id}-gone",
+            every_bucket=not kept.where(apply.any_null(table.keys)).isEmpty(),
+        )
     record.update(status="success", rows_loaded=deleted)
     return _append(run, record)
 

@@ -124,7 +124,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     stored.create(derived(spark, sf, "f_target"))
     stored.apply(
         derived(spark, sf, "f_delta"),
-        lambda t, d: apply.upsert(t, d, KEYS, ntz(BATCH_TS), BATCH_ID, "updated_at"),
+        lambda t, d, small: apply.upsert(t, d, KEYS, ntz(BATCH_TS), BATCH_ID, "updated_at", small=small),
         BATCH_ID,
     )
     return stored.read()

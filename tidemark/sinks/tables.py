@@ -17,6 +17,7 @@ BUCKET = "_bucket"
 
 
 BUCKET_BYTES = 4 * 2**30
+SMALL_KEY_BYTES = 32 * 2**20
 
 
 def bucket_count(table_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
@@ -25,6 +26,9 @@ def bucket_count(table_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
     return max(1, -(-table_bytes // bucket_bytes))
 
 
+Change = Callable[[DataFrame, DataFrame, bool], DataFrame]
+
+
 class MissingTableError(RuntimeError):
     """An append was asked for, but the table is not there."""
 
@@ -121,27 +125,43 @@ class KeyedTable:
         wide = T.StructType([*self.schema().fields, T.StructField(BUCKET, T.IntegerType())])
         return self.spark.read.schema(wide).parquet(self.data)
 
-    def touched(self, delta: DataFrame) -> list[int]:
-        """Buckets the delta falls in: at most ``buckets`` small numbers."""
-        rows = delta.select(self.bucket_of(delta.columns).alias(BUCKET)).distinct().collect()
-        return sorted(r[BUCKET] for r in rows)
+    def touched(self, delta: DataFrame) -> dict[int, int]:
+        """Buckets the delta falls in, with the bytes of its keys: at most ``buckets``
+        pairs of numbers."""
+        size = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) + 16 for k in self.keys), F.lit(0))
+        rows = delta.groupBy(self.bucket_of(delta.columns).alias(BUCKET)).agg(F.sum(size).alias("b")).collect()
+        return {r[BUCKET]: r.b for r in rows}
+
+    def apply(self, delta: DataFrame, change: Change, batch: str, every_bucket: bool = False) -> None:
+        """Rewrite the touched buckets with ``change(target_rows, delta, small)``.
 
-    def apply(self, delta: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame], batch: str) -> None:
-        """Rewrite the touched buckets with ``change(target_rows, delta)``.
+        ``small`` says that the delta's keys were measured and are safe to broadcast. The
+        kept rows then go from scan to file without a shuffle, and only the delta's own
+        rows are brought together by bucket. Larger deltas rebalance everything.
+        ``every_bucket`` is for changes that also concern null-key rows, which lie anywhere.
 
         New content goes to a stage folder first and is marked when whole. A batch
         that died after the mark is only published again, which gives the same table;
         one that died before it starts over on untouched data."""
         if not self._staged(batch):
-            hit = self.touched(delta)
-            if not hit:
+            hits = self.touched(delta)
+            if not hits:
                 return
-            fresh = change(self._stored().where(F.col(BUCKET).isin(hit)), delta)
+            buckets = list(range(self.buckets)) if every_bucket else sorted(hits)
+            small = sum(hits.values()) <= SMALL_KEY_BYTES
+            fresh = change(self._stored().where(F.col(BUCKET).isin(buckets)), delta, small)
             if len(fresh.columns) > len(self.schema().fields) + 1:
                 self._keep_schema(fresh)
-            spread = F.element_at(F.lit(hit), F.pmod(F.xxhash64(*fresh.columns), F.lit(len(hit))).cast("int") + 1)
-            place = F.coalesce(F.col(BUCKET), F.when(any_null(self.keys), spread), self.bucket_of(self.keys))
-            _by_bucket(fresh.withColumn(BUCKET, place)).mode("overwrite").parquet(self._stage(batch))
+            spread = F.pmod(F.xxhash64(*fresh.columns), F.lit(len(buckets))).cast("int") + 1
+            place = self.bucket_of(self.keys)
+            place = F.coalesce(F.when(any_null(self.keys), F.element_at(F.lit(buckets), spread)), place)
+            old, new = fresh.where(F.col(BUCKET).isNotNull()), fresh.where(F.col(BUCKET).isNull())
+            new = new.withColumn(BUCKET, place)
+            if small:
+                rows = old.unionByName(new.hint("rebalance", BUCKET)).write.partitionBy(BUCKET)
+            else:
+                rows = _by_bucket(old.unionByName(new))
+            rows.mode("overwrite").parquet(self._stage(batch))
             self.spark.range(0, 1, 1, 1).write.mode("overwrite").parquet(self._stage(batch) + "-whole")
         staged = self.spark.read.parquet(self._stage(batch))
         staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(

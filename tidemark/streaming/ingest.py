@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tidemark.functions.values import ntz
 from tidemark.operators.apply import apply_history, upsert
 from tidemark.sinks.tables import KeyedTable
 from tidemark.sources.scan import within
@@ -71,8 +72,8 @@ def stream_upsert(
     change = apply_history if history else upsert
 
     def handle(batch: DataFrame, number: int) -> None:
-        def apply(target: DataFrame, delta: DataFrame) -> DataFrame:
-            return change(target, delta, table.keys, F.lit(batch_ts).cast("timestamp_ntz"), f"s{number}", watermark)
+        def apply(target: DataFrame, delta: DataFrame, small: bool) -> DataFrame:
+            return change(target, delta, table.keys, ntz(batch_ts), f"s{number}", watermark, small=small)
 
         batch.persist()
         try:
