@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.values import ntz
 from tidemark.operators import apply, runlog
+from tidemark.plans.ingestion import IngestJob, run_batch
 from tidemark.queries.deltas import AUDIT_SQL, BATCH_ID, BATCH_TS, BUSINESS, KEYS, UPSERT_SQL
 from tidemark.queries.registry import derived, query, table
 from tidemark.session import work_path
@@ -157,3 +158,25 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
     tables.write_path(batch, path, "append")
     return spark.read.schema(log.schema).parquet(path)
+
+
+@query(
+    "file_ingest",
+    """SELECT * FROM orders WHERE o_orderstatus IN ('F', 'O') UNION ALL SELECT * FROM orders WHERE o_orderstatus = 'P'""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Two jobs over one landing folder: the first creates the table, the second appends."""
+    orders, landing = table(spark, sf, "orders"), work_path(spark, "landing")
+    times = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
+    orders.withColumn("kind", F.col("o_orderstatus")).write.partitionBy("kind").options(header=True, **times).csv(landing)
+    name, path = f"tidemark_{uuid.uuid4().hex}", work_path(spark, "ingested")
+    fmt = read.FileFormat(skip_header=1, extras=times)
+    jobs = [
+        IngestJob(1, name, landing, ".*/kind=(F|O)/.*", "overwrite", False, fmt, orders.schema, table_path=path),
+        IngestJob(2, name, landing, ".*/kind=P/.*", "append", True, fmt, orders.schema, table_path=path),
+    ]
+    records = run_batch(spark, jobs, 10_000, work_path(spark, "ingest-audit"))
+    if [r["status"] for r in records] != ["SUCCESS", "SUCCESS"]:
+        raise RuntimeError(str(records))
+    spark.sql(f"DROP TABLE {name}")
+    return spark.read.schema(orders.schema).parquet(path)

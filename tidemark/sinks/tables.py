@@ -41,6 +41,13 @@ def write_table(df: DataFrame, table: str, mode: str, path: str | None = None) -
     (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
+def create_if_missing(spark: SparkSession, table: str, schema: T.StructType, path: str | None = None) -> None:
+    """An empty catalog table of a given shape, unless it is there."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    place = f" LOCATION '{path}'" if path else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet{place}")
+
+
 def write_path(df: DataFrame, path: str, mode: str) -> None:
     df.write.mode(mode).parquet(path)
 
