@@ -204,59 +204,55 @@ def teradata_type(type_text: Column) -> Column:
     )
 
 
-def _scaled(code: Column, fraction: Column) -> Column:
-    return F.replace(_lookup(code, FRACTION_CODES), F.lit("{f}"), fraction)
+def _interval(lead: str, trail: str | None, code: str, digits: bool) -> str:
+    """An interval's text; with ``digits`` its fields carry their sizes."""
+    first = "({d},{f})" if digits and code == "SC" else "({d})" if digits else ""
+    last = f" TO {trail}" if trail else ""
+    return f"INTERVAL {lead}{first}{last}" + ("({f})" if digits and trail == "SECOND" else "")
 
 
-def _star_number(digits: Column, fraction: Column) -> Column:
+def _templates(digits: bool) -> dict[str, str]:
+    """Text per type code, with ``{l}`` for the length, ``{d}`` for the digits, ``{f}``
+    for the fraction and ``{n}`` for the inside of a free-scale number."""
+    spans = {code: _interval(lead, trail, code, digits) for code, (lead, trail) in INTERVAL_CODES.items()}
+    sized = {code: f"{name}({{l}})" for code, name in SIZED_CODES.items()}
+    return {**sized, **PLAIN_CODES, **FRACTION_CODES, **spans, "D": "DECIMAL({d},{f})", "N": "NUMBER({n})"}
+
+
+_ABSENT = "\0"
+
+
+def _filled(template: Column, length: Column, digits: Column, fraction: Column) -> Column:
     whole = F.when(digits == UNSET, "*").otherwise(digits.cast("string"))
     tail = F.when(fraction.isin(0, UNSET), "").otherwise(F.concat(F.lit(","), fraction.cast("string")))
-    return F.concat(F.lit("NUMBER("), whole, tail, F.lit(")"))
+    values = {"{l}": length.cast("string"), "{d}": digits.cast("string"), "{f}": fraction.cast("string")}
+    values["{n}"] = F.concat(whole, tail)
+    text = template
+    for mark, value in values.items():
+        text = F.replace(text, F.lit(mark), F.coalesce(value, F.lit(_ABSENT)))
+    return F.when(~F.contains(text, F.lit(_ABSENT)), text)
 
 
 def dictionary_type(code: Column, length: Column, digits: Column, fraction: Column) -> Column:
     """Dictionary type code to type text."""
-    key, places = F.rtrim(code), fraction.cast("string")
+    key = F.rtrim(code)
     size = F.when(key.isin(*CHAR_CODES), F.least(length, F.lit(CHAR_LIMIT))).otherwise(length)
-    spans = {
-        k: "INTERVAL " + lead + (f" TO {trail}" if trail else "") for k, (lead, trail) in INTERVAL_CODES.items()
-    }
-    return F.coalesce(
-        F.concat(_lookup(key, SIZED_CODES), F.lit("("), size.cast("string"), F.lit(")")),
-        _scaled(key, places),
-        F.when(key == "D", F.format_string("DECIMAL(%d,%d)", digits, fraction)),
-        F.when(key == "N", _star_number(digits, fraction)),
-        _lookup(key, {**PLAIN_CODES, **spans}),
-        F.lit(LONG_TEXT),
-    )
+    template = F.coalesce(_lookup(key, _templates(digits=False)), F.lit(LONG_TEXT))
+    return _filled(template, size, digits, fraction)
 
 
 def legacy_dictionary_type(
     code: Column, length: Column, digits: Column, fraction: Column, udt_name: Column
 ) -> Column:
     """The older rules: doubled character lengths, digits inside intervals, unknowns named."""
-    key, places, leading = F.rtrim(code), fraction.cast("string"), digits.cast("string")
+    key = F.rtrim(code)
     size = F.when(key.isin(*CHAR_CODES), F.least(length * 2, F.lit(CHAR_LIMIT))).otherwise(length)
-    span = F.lit(None).cast("string")
-    for k, (lead, trail) in INTERVAL_CODES.items():
-        inner = F.concat_ws(",", leading, places) if k == "SC" else leading
-        text = F.concat(F.lit(f"INTERVAL {lead}("), inner, F.lit(")"))
-        if trail == "SECOND":
-            text = F.concat(text, F.lit(" TO SECOND("), places, F.lit(")"))
-        elif trail:
-            text = F.concat(text, F.lit(f" TO {trail}"))
-        span = F.when(key == k, text).otherwise(span)
-    unknown = F.concat(F.lit("<Unknown> "), code)
+    template = _lookup(key, {**_templates(digits=True), **LEGACY_PLAIN_CODES})
     return F.coalesce(
-        F.concat(_lookup(key, SIZED_CODES), F.lit("("), size.cast("string"), F.lit(")")),
-        _scaled(key, places),
-        F.when(key == "D", F.format_string("DECIMAL(%d,%d)", digits, fraction)),
-        F.when(key == "N", _star_number(digits, fraction)),
-        _lookup(key, {**PLAIN_CODES, **LEGACY_PLAIN_CODES}),
-        span,
+        _filled(template, size, digits, fraction),
         F.when(key == "UT", udt_name),
         F.when(key.isin("A1", "AN"), F.concat(F.lit("SYSUDTLIB."), udt_name)),
-        unknown,
+        F.concat(F.lit("<Unknown> "), code),
     )
 
 

@@ -38,7 +38,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("sink_csv_gzip_parts", "SELECT * FROM lineitem")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows, path = table(spark, sf, "lineitem"), work_path(spark, "gzip-parts")
-    out.write_sized_parts(rows, path, PART_BYTES * 8, header=False, gzip=True)
+    out.write_sized_parts(rows, path, PART_BYTES * 16, header=False, gzip=True)
     return read.read_csv(spark, path, rows.schema)
 
 
