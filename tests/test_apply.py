@@ -50,8 +50,11 @@ def test_upsert_revives_deleted_rows(spark):
 
 
 def test_null_keys_never_match(spark):
-    t, d = target(spark, [(None, "a", 1), (1, "b", 1)]), frame(spark, [(None, "c", 2)])
-    assert values(apply.upsert(t, d, ["k"], ts(), "b1"), "k", "v") == [(1, "b"), (None, "a"), (None, "c")]
+    t, d = target(spark, [(None, "a", 1), (1, "b", 1)]), frame(spark, [(None, "c", 2), (None, "c", 2), (None, "d", 1)])
+    want = [(1, "b"), (None, "a"), (None, "c"), (None, "c"), (None, "d")]
+    assert values(apply.upsert(t, d, ["k"], ts(), "b1"), "k", "v") == want
+    h = shape.with_history(t, ntz("2024-01-01 00:00:00"))
+    assert values(apply.apply_history(h, d, ["k"], ts(), "b1").where("_is_current"), "k", "v") == want
 
 
 def test_composite_key_with_partial_null(spark):
@@ -101,7 +104,7 @@ def test_reconcile_twice_changes_nothing(spark):
 
 def test_backlog_equals_batches_in_order(spark):
     t = target(spark, [(1, "a", 1), (2, "b", 1)])
-    waiting = frame(spark, [(1, "x", 9, 1), (1, "y", 5, 2), (3, "c", 1, 1), (3, "d", 1, 1)], "k int, v string, w int, n int")
+    waiting = frame(spark, [(1, "x", 9, 1), (1, "y", 5, 2), (3, "c", 1, 1), (3, "d", 1, 1), (None, "n", 1, 1), (None, "m", 1, 2)], "k int, v string, w int, n int")
     got = apply.apply_backlog_upsert(t, waiting, ["k"], "n", ts(), "b", "w")
     step = t
     for n in (1, 2):
@@ -113,7 +116,8 @@ def test_backlog_history_equals_batches_in_order(spark):
     h = shape.with_history(target(spark, [(1, "a", 1), (2, "b", 1)]), ntz("2024-01-01 00:00:00"))
     schema = "k int, v string, w int, n int, at string"
     rows = [(1, "x", 9, 1, "2024-02-01 00:00:00"), (1, "y", 5, 2, "2024-02-02 00:00:00"),
-            (3, "c", 1, 2, "2024-02-02 00:00:00"), (1, "z", 1, 3, "2024-02-03 00:00:00")]
+            (3, "c", 1, 2, "2024-02-02 00:00:00"), (1, "z", 1, 3, "2024-02-03 00:00:00"),
+            (None, "n", 1, 1, "2024-02-01 00:00:00"), (None, "m", 1, 3, "2024-02-03 00:00:00")]
     waiting = frame(spark, rows, schema).withColumn("at", F.col("at").cast("timestamp_ntz"))
     got = apply.apply_backlog_history(h, waiting, ["k"], "n", "at", "w")
     step = h

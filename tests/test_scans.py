@@ -13,6 +13,7 @@ from tidemark.functions.values import freshness, ntz, time_ceiling
 from tidemark.operators import apply
 from tidemark.plans import config as plans
 from tidemark.queries import QUERIES
+from tidemark.session import settings_for
 from tidemark.sources import jdbc, scan
 
 
@@ -165,3 +166,22 @@ def test_cursor_never_moves_back(spark):
     results = spark.createDataFrame([(1, "success", "2024-01-01"), (2, "failed", "2024-02-01"), (3, "success", "2024-02-01")], "config_id int, status string, new_cursor string")
     got = {r.config_id: (r.last_loaded_at, r.last_run_status) for r in plans.advance_cursors(cursors, results).collect()}
     assert got == {1: ("2024-01-05", "success"), 2: ("2024-01-05", "failed"), 3: ("2024-02-01", "success")}
+
+
+def test_failed_step_is_kept_until_a_success(spark):
+    cursors = spark.createDataFrame(
+        [(1, 5, "r0", "load", "failed"), (2, 5, "r0", None, None), (3, 5, "r0", "merge", "failed")],
+        "config_id int, last_loaded_key int, last_run_id string, last_failed_step string, last_run_status string",
+    )
+    results = spark.createDataFrame(
+        [(1, "success", 9, "r1", None), (2, "failed", 9, "r1", "extract")],
+        "config_id int, status string, new_key int, run_id string, failed_step string",
+    )
+    got = {r.config_id: tuple(r)[1:] for r in plans.advance_cursors(cursors, results).collect()}
+    assert got == {1: (9, "r1", None, "success"), 2: (5, "r1", "extract", "failed"), 3: (5, "r0", "merge", "failed")}
+
+
+def test_settings_grow_with_the_data():
+    small, large = settings_for(10**9), settings_for(10**14)
+    assert small["spark.sql.shuffle.partitions"] == "200"
+    assert large["spark.sql.shuffle.partitions"] == "50000"

@@ -1,8 +1,8 @@
 """Apply a delta to a target: append, upsert, history, replace, reconcile.
 
 Each function returns the new target as a lazy DataFrame; nothing is written here.
-Keys compare with plain equality, so null keys never match: such delta rows are
-inserted each time and such target rows count as gone when reconciled.
+Keys compare with plain equality, so null keys never match: such delta rows are all
+inserted, each time, and such target rows count as gone when reconciled.
 
 Scale notes. A delta is reduced to one row per key by a ranked window that Spark
 limits on the map side, so a hot key sends one row per map task. Target rows meet
@@ -35,6 +35,14 @@ def dedupe_latest(
     return delta.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def latest_rows(
+    delta: DataFrame, keys: Sequence[str], watermark: str | None = None, then: Sequence[str] = ()
+) -> DataFrame:
+    """One row per key, and every row without a key: nothing says those are the same."""
+    keyed = dedupe_latest(delta.where(no_nulls(keys)), keys, watermark, then)
+    return keyed.unionByName(delta.where(any_null(keys)))
+
+
 def any_null(keys: Sequence[str]) -> Column:
     return reduce(or_, [F.col(k).isNull() for k in keys])
 
@@ -89,7 +97,7 @@ def upsert(
     columns the delta lacks; otherwise they become null."""
     if not keys:
         return append(target, delta, batch_ts, batch_id)
-    new = with_audit(dedupe_latest(delta, keys, watermark), batch_ts, batch_id)
+    new = with_audit(latest_rows(delta, keys, watermark), batch_ts, batch_id)
     if keep_missing:
         lacking = [c for c in business_columns(target) if c not in delta.columns]
         if lacking:
@@ -122,7 +130,7 @@ def apply_history(
     keys whose business values equal the current version."""
     if not keys:
         raise ValueError("a history target needs a key")
-    new = dedupe_latest(delta, keys, watermark)
+    new = latest_rows(delta, keys, watermark)
     is_current = F.coalesce(F.col("_is_current"), F.lit(False))
     joinable = is_current & ~any_null(keys)
     current, closed = target.where(joinable), target.where(~joinable)
@@ -212,7 +220,7 @@ def apply_backlog_upsert(
     In order means the last batch that has a key wins; inside a batch the newest
     watermark does. One pass replaces a loop over files."""
     order = [watermark] if watermark else []
-    latest = dedupe_latest(backlog, keys, batch, order).drop(batch)
+    latest = latest_rows(backlog, keys, batch, order).drop(batch)
     return _put(target, with_audit(latest, batch_ts, batch_id), backlog, keys)
 
 
@@ -228,11 +236,13 @@ def apply_backlog_history(
 
     ``batch_ts`` names the column with each batch's time. Rows are first cut to one
     per key and batch, so a key's window holds at most one row per waiting batch."""
-    per_batch = dedupe_latest(backlog, [*keys, batch], watermark)
+    per_batch = dedupe_latest(backlog.where(no_nulls(keys)), [*keys, batch], watermark)
     w = Window.partitionBy(*keys).orderBy(batch)
-    chain = per_batch.withColumns(
-        {"_next": F.lead(batch_ts).over(w), "_next_batch": F.lead(batch).over(w)}
-    ).withColumns(
+    keyed = per_batch.withColumns({"_next": F.lead(batch_ts).over(w), "_next_batch": F.lead(batch).over(w)})
+    loose = backlog.where(any_null(keys)).withColumns(
+        {n: F.lit(None).cast(backlog.schema[c].dataType) for n, c in (("_next", batch_ts), ("_next_batch", batch))}
+    )
+    chain = keyed.unionByName(loose).withColumns(
         {
             "_load_ts": F.coalesce("_next", batch_ts),
             "_src_file": F.lit(None).cast("string"),

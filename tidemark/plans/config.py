@@ -19,7 +19,10 @@ TERADATA_TIME_CODES = ("TS", "SZ", "DA", "AT")
 ID_TYPES = ("int", "integer", "bigint", "smallint", "mediumint", "tinyint")
 FULL_PARALLEL = 8
 NO_KEY_NOTE = "no primary key — full load only"
+COMPOSITE_NOTE = "composite key"
 NO_WATERMARK_NOTE = "no watermark column detected"
+TERADATA_NO_KEY_NOTE = "no primary index — full load only"
+TERADATA_COMPOSITE_NOTE = "composite PI"
 
 
 def active_jobs(config: DataFrame, table: str | None = None) -> DataFrame:
@@ -101,24 +104,35 @@ def partial_update(
 
 def advance_cursors(cursors: DataFrame, results: DataFrame) -> DataFrame:
     """Cursor table after a run: a success moves the cursor forward, never back; a skip
-    or failure leaves it. Every run leaves its status."""
-    new = results.select(
-        "config_id",
-        F.col("status").alias("_status"),
-        F.when(F.col("status") == "success", F.col("new_cursor")).alias("_cursor"),
-    )
-    return cursors.join(new, "config_id", "left").withColumns(
-        {
-            "last_loaded_at": F.greatest("last_loaded_at", "_cursor"),
-            "last_run_status": F.coalesce("_status", "last_run_status"),
-        }
-    ).select(*cursors.columns)
+    or failure leaves it. Every run leaves its status; a success clears the failed step.
+
+    Columns either side lacks (``last_loaded_key``, ``last_run_id``,
+    ``last_failed_step``) are left out."""
+    ok = F.col("_status") == "success"
+    incoming = {
+        "last_loaded_at": "new_cursor", "last_loaded_key": "new_key", "last_run_id": "run_id",
+        "last_failed_step": "failed_step",
+    }
+    pairs = {c: n for c, n in incoming.items() if c in cursors.columns and n in results.columns}
+    new = results.select("config_id", F.col("status").alias("_status"), *[F.col(n).alias(f"_{n}") for n in pairs.values()])
+    updates = {"last_run_status": F.coalesce("_status", "last_run_status")}
+    for column, name in pairs.items():
+        given = F.col(f"_{name}")
+        if column in ("last_loaded_at", "last_loaded_key"):
+            updates[column] = F.greatest(F.col(column), F.when(ok, given))
+        elif column == "last_failed_step":
+            updates[column] = F.coalesce(given, F.when(~F.coalesce(ok, F.lit(False)), F.col(column)))
+        else:
+            updates[column] = F.coalesce(given, F.col(column))
+    return cursors.join(new, "config_id", "left").withColumns(updates).select(*cursors.columns)
 
 
 def propose_load(
     columns: DataFrame,
     names: Sequence[str] = WATERMARK_NAMES,
     types: Sequence[str] = TIME_TYPES,
+    no_key_note: str = NO_KEY_NOTE,
+    composite_note: str = COMPOSITE_NOTE,
 ) -> DataFrame:
     """A load proposal per table from its columns and keys.
 
@@ -137,8 +151,8 @@ def propose_load(
     count = F.size("_keys")
     notes = F.array_compact(
         F.array(
-            F.when(count == 0, NO_KEY_NOTE),
-            F.when(count > 1, F.concat(F.lit("composite key ("), F.array_join("_keys", ", "), F.lit(")"))),
+            F.when(count == 0, no_key_note),
+            F.when(count > 1, F.concat(F.lit(f"{composite_note} ("), F.array_join("_keys", ", "), F.lit(")"))),
             F.when(F.col("watermark_col").isNull(), NO_WATERMARK_NOTE),
         )
     )

@@ -300,3 +300,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return catalogue.user_tables(derived(spark, sf, "f_catalogue"))
+
+
+@query(
+    "discover_schemas",
+    "SELECT DISTINCT schema_name FROM f_catalogue WHERE upper(schema_name) NOT IN ('MYSQL', 'SYS', 'DBC')",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return catalogue.user_schemas(derived(spark, sf, "f_catalogue"))

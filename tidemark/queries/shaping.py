@@ -135,9 +135,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return shape.key_projection(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("positional_projection", "SELECT n_nationkey AS id, n_name AS label, n_regionkey AS parent FROM nation")
+@query("positional_projection", "SELECT s_suppkey AS id, s_name AS label, s_nationkey AS parent, s_acctbal AS balance FROM supplier")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return shape.positional(table(spark, sf, "nation"), ["id", "label", "parent"])
+    return shape.positional(table(spark, sf, "supplier"), ["id", "label", "parent", "balance"])
 
 
 @query(

@@ -79,11 +79,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(orders.schema).parquet(path)
 
 
-@query("create_empty_like", "SELECT * FROM orders WHERE 1 = 0")
+@query("create_empty_like", "SELECT 0 AS rows_before, 6 AS column_count, count(*) AS rows_after FROM orders")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    path = work_path(spark, "empty")
-    tables.create_empty(spark, table(spark, sf, "orders").schema, path)
-    return spark.read.parquet(path)
+    """An empty table in the shape of the orders, then the orders appended to it."""
+    orders, path = table(spark, sf, "orders"), work_path(spark, "empty")
+    tables.create_empty(spark, orders.schema, path)
+    empty = spark.read.parquet(path)
+    before, width = empty.count(), len(empty.columns)
+    tables.write_path(orders, path, "append")
+    return spark.read.parquet(path).agg(
+        F.lit(before).alias("rows_before"), F.lit(width).alias("column_count"), F.count(F.lit(1)).alias("rows_after")
+    )
 
 
 @query("append_requires_table", "SELECT 'refused' AS status, count(*) AS rows_waiting FROM f_delta")

@@ -20,6 +20,21 @@ DEFAULTS = {
 }
 
 
+def settings_for(data_bytes: int) -> dict[str, str]:
+    """Partition settings for a job over about ``data_bytes``.
+
+    Input splits of 512 MiB and shuffle partitions of about 1 GiB, at most 50,000: the
+    driver tracks every pair of map task and shuffle partition, so neither may grow
+    without end. AQE merges small partitions and splits skewed ones."""
+    parts = min(50_000, max(200, -(-data_bytes // 2**30)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(512 * 2**20),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 2**20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2**30),
+    }
+
+
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:

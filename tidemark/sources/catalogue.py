@@ -24,6 +24,11 @@ def user_tables(tables: DataFrame) -> DataFrame:
     ).select("schema_name", "table_name")
 
 
+def user_schemas(schemas: DataFrame) -> DataFrame:
+    """Schema names that are not the database's own."""
+    return schemas.select("schema_name").where(~F.upper("schema_name").isin(*SYSTEM_SCHEMAS)).distinct()
+
+
 def catalog_tables(spark: SparkSession, schema: str) -> DataFrame:
     """Tables the session's catalog lists for a schema."""
     return spark.sql("SHOW TABLES IN IDENTIFIER(:s)", args={"s": schema}).where(~F.col("isTemporary")).select(
