@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.values import ntz
 from tidemark.operators import apply, shape
 from tidemark.session import work_path
-from tidemark.sinks import tables
+from tidemark.sinks import storage, tables
 from tidemark.sinks.tables import KeyedTable, MissingTableError, replace_table, write_table
 
 def ts():
@@ -197,6 +197,8 @@ def test_versioned_replace_swaps_at_once(spark):
     old = spark.table(name)
     replace_table(target(spark, [(2, "b", 1)]), name, base)
     assert values(spark.table(name), "k") == [(2,)] and values(old, "k") in ([(1,)], [(2,)])
+    version = replace_table(target(spark, [(3, "c", 1)]), name, base, drop_old=True)
+    assert storage.children(spark, base) == [version.rsplit("/", 1)[1]] and values(spark.table(name), "k") == [(3,)]
 
 
 def test_append_needs_the_table(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.plans import lifecycle
 from tidemark.plans.lifecycle import Run, Table
 from tidemark.session import work_path
+from tidemark.sinks import storage
 
 
 @pytest.fixture()
@@ -48,6 +50,22 @@ def test_full_then_incremental_then_skip(spark, root):
     assert lifecycle.last_state(third, table)[0] == "2024-01-03 10:00:00"
 
 
+@pytest.mark.parametrize("after", ["archive", "purge", "keep"])
+def test_loaded_extracts_are_put_away(spark, root, after):
+    table = Table("t", ("id",), cursor_column="updated_at", buckets=4)
+    lifecycle.sync(run_at(spark, root, 2, FIRST), table)
+    later = replace(run_at(spark, root, 4, SECOND), after_load=after)
+    lifecycle.sync(later, table)
+    moved = storage.archive_path(root, "incremental", "20240104", f"t/{later.batch_id}")
+    left = storage.exists(spark, f"{root}/extracts/t/{later.batch_id}")
+    assert (left, storage.exists(spark, moved)) == (after == "keep", after == "archive")
+    third = run_at(spark, root, 6, SECOND + [(8, "h", "2024-01-05 00:00:00")])
+    lifecycle.sync(third, table)
+    stages = storage.children(spark, f"{lifecycle.last_state(third, table)[1]}/stage")
+    assert stages == [third.batch_id, f"{third.batch_id}-whole"]
+    assert content(spark, root, third, table).count() == 5
+
+
 def test_reconcile_and_validate(spark, root):
     table = Table("t", ("id",), cursor_column="updated_at", buckets=4)
     lifecycle.sync(run_at(spark, root, 2, FIRST), table)

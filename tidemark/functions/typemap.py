@@ -144,7 +144,7 @@ def _lookup(key: Column, table: dict) -> Column:
 
 def _number(precision: Column, scale: Column) -> Column:
     return F.when(precision > MAX_PRECISION, "VARCHAR").otherwise(
-        F.format_string("NUMBER(%d,%d)", precision, scale)
+        F.concat(F.lit("NUMBER("), precision.cast("string"), F.lit(","), scale.cast("string"), F.lit(")"))
     )
 
 
@@ -168,7 +168,7 @@ def mysql_type(
             _number(F.coalesce(precision, F.lit(MAX_PRECISION)).cast("int"), F.coalesce(scale, F.lit(0)).cast("int")),
         )
         .when(kind.isin(*MYSQL_BLOB), F.coalesce(_lookup(mode, MYSQL_BLOB_MODES), F.lit("BINARY")))
-        .when(kind.isin("char", "varchar"), F.format_string("VARCHAR(%d)", size))
+        .when(kind.isin("char", "varchar"), F.concat(F.lit("VARCHAR("), size.cast("string"), F.lit(")")))
         .otherwise(F.coalesce(_lookup(kind, MYSQL_FIXED), F.lit(LONG_TEXT)))
     )
 

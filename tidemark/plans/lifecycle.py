@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from tidemark.functions.values import ntz, time_ceiling
 from tidemark.operators import apply, parity, shape
+from tidemark.sinks import storage
 from tidemark.sinks.tables import KeyedTable
 from tidemark.sources.files import load_or_none
 from tidemark.sources.scan import Scan, scan
@@ -51,6 +52,7 @@ class Run:
     batch_id: str
     as_of: datetime
     sources: Mapping[str, Callable[[], DataFrame]] = field(default_factory=dict)
+    after_load: str = "archive"  # what becomes of loaded extracts: archive, purge, keep
 
     @property
     def log_path(self) -> str:
@@ -114,11 +116,30 @@ def sync(run: Run, table: Table, force_full: bool = False) -> dict:
             record.update(status="success", rows_loaded=seen.n, watermark_to=seen.cursor or cursor, location=place)
     except Exception as error:  # the row of a failed run is what monitoring reads
         record.update(status="failed", error_message=str(error), location=location, watermark_to=cursor)
-    return _append(run, record)
+    _append(run, record)
+    if record["status"] in ("success", "skipped"):
+        _put_away(run, table, record["load_type"])
+    return record
+
+
+def _extract_path(run: Run, table: Table) -> str:
+    return f"{run.root}/extracts/{table.config_id}/{run.batch_id}"
+
+
+def _put_away(run: Run, table: Table, kind: str) -> None:
+    """Archive or remove a loaded extract, once its log row is written."""
+    path = _extract_path(run, table)
+    if run.after_load == "keep" or not storage.exists(run.spark, path):
+        return
+    if run.after_load == "purge":
+        storage.purge(run.spark, path)
+    else:
+        name = f"{table.config_id}/{run.batch_id}"
+        storage.move(run.spark, path, storage.archive_path(run.root, kind, f"{run.as_of:%Y%m%d}", name))
 
 
 def _extract(run: Run, table: Table, rows: DataFrame) -> DataFrame:
-    path = f"{run.root}/extracts/{table.config_id}/{run.batch_id}"
+    path = _extract_path(run, table)
     rows.write.mode("overwrite").parquet(path)
     return run.spark.read.schema(rows.schema).parquet(path)
 

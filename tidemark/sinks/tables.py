@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.apply import any_null
 from tidemark.operators.shape import widen
-from tidemark.sources.files import path_exists
+from tidemark.sinks import storage
 
 BUCKET = "_bucket"
 
@@ -57,9 +57,11 @@ def create_empty(spark: SparkSession, schema: T.StructType, path: str) -> None:
     spark.createDataFrame([], schema).write.mode("error").parquet(path)
 
 
-def replace_table(df: DataFrame, table: str, base: str) -> str:
+def replace_table(df: DataFrame, table: str, base: str, drop_old: bool = False) -> str:
     """Full replace readers see at once: write a new version folder, then point the
-    table at it. A failed write leaves the old version in place. Returns the folder."""
+    table at it. A failed write leaves the old version in place. ``drop_old`` removes
+    the other versions, which queries already running may still be reading. Returns the
+    folder."""
     spark = df.sparkSession
     version = f"{base.rstrip('/')}/v={uuid.uuid4().hex}"
     df.write.mode("error").parquet(version)
@@ -68,6 +70,10 @@ def replace_table(df: DataFrame, table: str, base: str) -> str:
         spark.catalog.refreshTable(table)
     else:
         spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{version}'")
+    if drop_old:
+        for name in storage.children(spark, base):
+            if name.startswith("v=") and not version.endswith(name):
+                storage.purge(spark, f"{base.rstrip('/')}/{name}")
     return version
 
 
@@ -116,7 +122,7 @@ class KeyedTable:
 
     def read(self) -> DataFrame:
         base = self._stored().drop(BUCKET)
-        if not path_exists(self.spark, self._added):
+        if not storage.exists(self.spark, self._added):
             return base
         added = self.spark.read.schema(base.schema).option("recursiveFileLookup", True).parquet(self._added)
         return base.unionByName(added)
@@ -174,9 +180,17 @@ class KeyedTable:
         staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(
             self.data
         )
+        self._drop_older_stages(batch)
+
+    def _drop_older_stages(self, batch: str) -> None:
+        """The stage just published stays until the next one, for a batch that is repeated."""
+        folder = f"{self.path}/stage"
+        for name in storage.children(self.spark, folder):
+            if name not in (batch, f"{batch}-whole"):
+                storage.purge(self.spark, f"{folder}/{name}")
 
     def _staged(self, batch: str) -> bool:
-        return path_exists(self.spark, self._stage(batch) + "-whole")
+        return storage.exists(self.spark, f"{self._stage(batch)}-whole/_SUCCESS")
 
 
 def _by_bucket(rows: DataFrame) -> DataFrameWriter:

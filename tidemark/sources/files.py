@@ -162,17 +162,6 @@ def dated_path(base: str, run_date: date | None) -> str:
     return f"{root}{run_date:%Y%m%d}/" if run_date else root
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Is there something at a path; the check lists, it does not read rows."""
-    try:
-        spark.read.schema("x int").option("recursiveFileLookup", True).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
-
-
 def load_or_none(read: Callable[[], DataFrame]) -> DataFrame | None:
     """The source, or None when there is nothing to load: no path or no rows."""
     try:
