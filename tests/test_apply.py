@@ -163,6 +163,26 @@ def test_keyed_table_touches_only_hit_buckets_and_repeats_safely(spark):
     assert values(table.read(), "k", "v", "w") == first
 
 
+def test_closed_versions_settle_and_a_repeated_batch_adds_nothing(spark):
+    table = KeyedTable(spark, work_path(spark, "hist"), ("k",), 4, "NOT _is_current")
+    old = shape.with_history(target(spark, [(1, "a0", 0)]), ntz("2023-01-01 00:00:00")).withColumn("_is_current", F.lit(False))
+    start = shape.with_history(target(spark, [(1, "a", 1), (2, "b", 1), (None, "n", 1)]), ntz("2024-01-01 00:00:00"))
+    table.create(start.unionByName(old))
+    assert table.read_open().count() == 3 and table.read().count() == 4
+    want = start.unionByName(old)
+    for i in range(2, 5):
+        delta = frame(spark, [(1, f"v{i}", i), (i, "x", i)])
+
+        def change(t, d, small):
+            return apply.apply_history(t, d, ["k"], ts(), f"b{i}", "w", small=small)
+
+        want = apply.apply_history(want, delta, ["k"], ts(), f"b{i}", "w")
+        table.apply(delta, change, f"b{i}")
+        table.apply(delta, change, f"b{i}")
+        assert values(table.read(), "k", "v", "_is_current", "_batch_id") == values(want, "k", "v", "_is_current", "_batch_id")
+    assert table.read_open().where("NOT _is_current").isEmpty()
+
+
 @pytest.mark.parametrize("limit", [0, 2**25])
 def test_small_and_large_deltas_give_the_same_table(spark, monkeypatch, limit):
     monkeypatch.setattr(tables, "SMALL_KEY_BYTES", limit)

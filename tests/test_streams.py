@@ -58,7 +58,7 @@ def test_stream_upsert_batches_and_history(spark):
     for history in (False, True):
         folder, mark = work_path(spark, "in"), work_path(spark, "mark")
         drop_file(spark, folder, [(1, "a", 1), (1, "b", 2)])
-        table = KeyedTable(spark, work_path(spark, "t"), ("k",), 4)
+        table = KeyedTable(spark, work_path(spark, "t"), ("k",), 4, "NOT _is_current" if history else None)
         base = shape.with_audit(spark.createDataFrame([(1, "z", 0), (9, "y", 0)], SCHEMA), ntz("2024-01-01 00:00:00"), "b0")
         table.create(shape.with_history(base, ntz("2024-01-01 00:00:00")) if history else base)
         run = lambda: ingest.stream_upsert(

@@ -82,7 +82,9 @@ def last_state(run: Run, table: Table) -> tuple[str | None, str | None]:
 
 
 def stored(run: Run, table: Table, location: str) -> KeyedTable:
-    return KeyedTable(run.spark, location, table.keys, table.buckets)
+    """Closed versions of a history table are settled: appended once, never rewritten."""
+    settled = "NOT _is_current" if table.scd_type == 2 else None
+    return KeyedTable(run.spark, location, table.keys, table.buckets, settled)
 
 
 def sync(run: Run, table: Table, force_full: bool = False) -> dict:
@@ -191,9 +193,7 @@ def reconcile(run: Run, table: Table) -> dict:
         record.update(status="skipped")
         return _append(run, record)
     target, source = stored(run, table, location), run.sources[table.config_id]()
-    current = target.read()
-    if table.scd_type == 2:
-        current = current.where("_is_current")
+    current = target.read() if table.scd_type == 0 else target.read_open()
     gone = apply.gone_keys(current, source, table.keys)
     path = f"{location}/gone/{run.batch_id}"
     gone.write.mode("overwrite").parquet(path)

@@ -83,12 +83,17 @@ class KeyedTable:
 
     The bucket is a hash of the key. Null-key rows never match anything, so they may
     lie in any bucket and are spread out. Holds for changes that never take all rows
-    out of a bucket: upsert, history, reconcile."""
+    out of a bucket: upsert, history, reconcile.
+
+    ``settled`` is a predicate for rows that will not change again, as closed versions
+    are. They leave the buckets for append-only folders, so a key with a long history
+    costs a rewrite no more than one row."""
 
     spark: SparkSession
     path: str
     keys: tuple[str, ...]
     buckets: int = 64
+    settled: str | None = None
 
     @property
     def data(self) -> str:
@@ -103,10 +108,19 @@ class KeyedTable:
         return F.pmod(value, F.lit(self.buckets)).cast("int")
 
     def create(self, rows: DataFrame) -> None:
-        placed = rows.withColumn(BUCKET, self.bucket_of(rows.columns))
+        live, done = self._split(rows)
+        placed = live.withColumn(BUCKET, self.bucket_of(live.columns))
         _by_bucket(placed).mode("overwrite").parquet(self.data)
+        if done is not None:
+            done.write.mode("overwrite").parquet(f"{self._added}/part=first")
         self._keep_schema(rows)
 
+    def _split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        if not self.settled:
+            return rows, None
+        done = F.coalesce(F.expr(self.settled), F.lit(False))
+        return rows.where(~done), rows.where(done)
+
     def add(self, rows: DataFrame, batch: str) -> None:
         """Append without matching, one folder per batch, so a repeated batch replaces
         its own rows."""
@@ -120,8 +134,12 @@ class KeyedTable:
     def _added(self) -> str:
         return f"{self.path}/added"
 
+    def read_open(self) -> DataFrame:
+        """The rows that may still change."""
+        return self._stored().drop(BUCKET)
+
     def read(self) -> DataFrame:
-        base = self._stored().drop(BUCKET)
+        base = self.read_open()
         if not storage.exists(self.spark, self._added):
             return base
         added = self.spark.read.schema(base.schema).option("recursiveFileLookup", True).parquet(self._added)
@@ -168,6 +186,9 @@ class KeyedTable:
             spread = F.pmod(F.xxhash64(*fresh.columns), F.lit(len(buckets))).cast("int") + 1
             place = self.bucket_of(self.keys)
             place = F.coalesce(F.when(any_null(self.keys), F.element_at(F.lit(buckets), spread)), place)
+            fresh, done = self._split(fresh)
+            if done is not None:
+                done.drop(BUCKET).write.mode("overwrite").parquet(self._stage(batch) + "-settled")
             old, new = fresh.where(F.col(BUCKET).isNotNull()), fresh.where(F.col(BUCKET).isNull())
             new = new.withColumn(BUCKET, place)
             if small:
@@ -180,13 +201,16 @@ class KeyedTable:
         staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(
             self.data
         )
+        if self.settled:
+            done = self.spark.read.schema(self.schema()).parquet(self._stage(batch) + "-settled")
+            done.write.mode("overwrite").parquet(f"{self._added}/part={batch}")
         self._drop_older_stages(batch)
 
     def _drop_older_stages(self, batch: str) -> None:
         """The stage just published stays until the next one, for a batch that is repeated."""
         folder = f"{self.path}/stage"
         for name in storage.children(self.spark, folder):
-            if name not in (batch, f"{batch}-whole"):
+            if name not in (batch, f"{batch}-whole", f"{batch}-settled"):
                 storage.purge(self.spark, f"{folder}/{name}")
 
     def _staged(self, batch: str) -> bool:
