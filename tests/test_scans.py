@@ -82,7 +82,9 @@ def test_time_ceiling():
 def test_jdbc_options():
     t = jdbc.JdbcTable("jdbc:x", "db.t", "drv", partition_column="id", partitions=8)
     assert jdbc.bounds_query(t) == "(SELECT MIN(id) AS low, MAX(id) AS high FROM db.t) b"
+    assert jdbc.greatest_query(t, "id") == "(SELECT MAX(id) AS high FROM db.t) m"
     ranged = jdbc.read_options(t, T.LongType(), 1, 100)
+    assert ranged["preferTimestampNTZ"] == "true"
     assert (ranged["partitionColumn"], ranged["lowerBound"], ranged["numPartitions"]) == ("id", "1", "8")
     assert "partitionColumn" not in jdbc.read_options(t, T.StringType(), 1, 100)
     assert "partitionColumn" not in jdbc.read_options(t, T.LongType(), None, None)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans import lifecycle
 from tidemark.session import build_session
-from tidemark.sources.jdbc import JdbcTable, read_table
+from tidemark.sources.jdbc import JdbcTable, greatest, read_table
 from tidemark.sources.scan import custom_sql
 
 
@@ -46,10 +46,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     with open(args.tables, encoding="utf-8") as f:
         entries = json.load(f)
     entries = [e for e in entries if args.table in (None, e["config_id"])]
+    ceilings = {
+        e["config_id"]: partial(greatest, spark, JdbcTable(**e["source"]["jdbc"]), e["cursor_column"])
+        for e in entries
+        if "jdbc" in e["source"] and e.get("cursor_type") == "id"
+    }
     sources = {e["config_id"]: open_source(spark, e.pop("source")) for e in entries}
     tables = [lifecycle.Table(**{**e, "keys": tuple(e.get("keys", ()))}) for e in entries]
     as_of = datetime.fromisoformat(args.as_of) if args.as_of else datetime.now(timezone.utc).replace(tzinfo=None)
-    run = lifecycle.Run(spark, args.root, f"{as_of:%Y%m%d%H%M%S}-{uuid.uuid4().hex[:6]}", as_of, sources)
+    run = lifecycle.Run(spark, args.root, f"{as_of:%Y%m%d%H%M%S}-{uuid.uuid4().hex[:6]}", as_of, sources, ceilings)
     step = {
         "sync": partial(lifecycle.sync, force_full=args.full),
         "reconcile": lifecycle.reconcile,

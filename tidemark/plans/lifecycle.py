@@ -52,6 +52,7 @@ class Run:
     batch_id: str
     as_of: datetime
     sources: Mapping[str, Callable[[], DataFrame]] = field(default_factory=dict)
+    ceilings: Mapping[str, Callable[[], object]] = field(default_factory=dict)  # greatest ids, where cheaply known
     after_load: str = "archive"  # what becomes of loaded extracts: archive, purge, keep
 
     @property
@@ -155,6 +156,8 @@ def _ceiling(run: Run, table: Table) -> object | None:
     """Fixed before the read, so rows that arrive meanwhile come with the next run."""
     if not table.cursor_column:
         return None
+    if table.cursor_type == "id" and table.config_id in run.ceilings:
+        return run.ceilings[table.config_id]()
     if table.cursor_type == "id":
         return run.sources[table.config_id]().agg(F.max(table.cursor_column)).first()[0]
     return time_ceiling(run.as_of, table.lag_minutes)

@@ -81,9 +81,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return apply.append(derived(spark, sf, "f_target"), derived(spark, sf, "f_delta"), ntz(BATCH_TS), BATCH_ID)
 
 
-@query(
-    "scd2_apply",
-    f"""WITH new AS ({LATEST_SQL})
+SCD2_SQL = f"""WITH new AS ({LATEST_SQL})
         SELECT {BUSINESS}, CASE WHEN hit THEN TIMESTAMP '{BATCH_TS}' ELSE _load_ts END AS _load_ts, _src_file,
                CASE WHEN hit THEN '{BATCH_ID}' ELSE _batch_id END AS _batch_id, _is_deleted, _deleted_at, _valid_from,
                CASE WHEN hit THEN TIMESTAMP '{BATCH_TS}' ELSE _valid_to END AS _valid_to,
@@ -91,8 +89,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         FROM (SELECT h.*, _is_current AND EXISTS (SELECT 1 FROM new n WHERE n.c_custkey = h.c_custkey) AS hit
               FROM f_history h) x
         UNION ALL
-        SELECT {BUSINESS}, {AUDIT_SQL}, TIMESTAMP '{BATCH_TS}', CAST(NULL AS TIMESTAMP), TRUE FROM new""",
-)
+        SELECT {BUSINESS}, {AUDIT_SQL}, TIMESTAMP '{BATCH_TS}', CAST(NULL AS TIMESTAMP), TRUE FROM new"""
+
+
+@query("scd2_apply", SCD2_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return apply.apply_history(
         derived(spark, sf, "f_history"), derived(spark, sf, "f_delta"), KEYS, ntz(BATCH_TS), BATCH_ID, "updated_at"

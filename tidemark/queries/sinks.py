@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.values import ntz
 from tidemark.operators import apply, runlog
 from tidemark.plans.ingestion import IngestJob, run_batch
-from tidemark.queries.deltas import AUDIT_SQL, BATCH_ID, BATCH_TS, BUSINESS, KEYS, UPSERT_SQL
+from tidemark.plans.lifecycle import Run, Table, last_state, reconcile, sync
+from tidemark.plans.lifecycle import stored as lifecycle_table
+from tidemark.queries.deltas import AUDIT_SQL, BATCH_ID, BATCH_TS, BUSINESS, KEYS, SCD2_SQL, UPSERT_SQL
 from tidemark.queries.registry import derived, query, table
 from tidemark.session import work_path
 from tidemark.sinks import files as out
@@ -186,3 +189,41 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         raise RuntimeError(str(records))
     spark.sql(f"DROP TABLE {name}")
     return spark.read.schema(orders.schema).parquet(path)
+
+
+@query("keyed_table_history", SCD2_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    stored = tables.KeyedTable(spark, work_path(spark, "keyed-history"), tuple(KEYS), 16, "NOT _is_current")
+    stored.create(derived(spark, sf, "f_history"))
+    stored.apply(
+        derived(spark, sf, "f_delta"),
+        lambda t, d, small: apply.apply_history(t, d, KEYS, ntz(BATCH_TS), BATCH_ID, "updated_at", small=small),
+        BATCH_ID,
+    )
+    return stored.read()
+
+
+@query(
+    "table_run",
+    """SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate,
+              CASE WHEN o_orderdate < TIMESTAMP '2001-01-01 00:00:00' THEN 'b1' ELSE 'b2' END AS _batch_id,
+              o_orderstatus = 'P' AS _is_deleted,
+              CASE WHEN o_orderstatus = 'P' THEN TIMESTAMP '2001-09-02 00:00:00' END AS _deleted_at FROM orders""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A full run, an incremental run and a reconcile of one table."""
+    orders, root = table(spark, sf, "orders"), work_path(spark, "table-run")
+    setting = Table("orders", ("o_orderkey",), cursor_column="o_orderdate", buckets=8)
+    days = {
+        "b1": (datetime(2001, 1, 2), orders.where(F.col("o_orderdate") < ntz("2001-01-01 00:00:00")), sync),
+        "b2": (datetime(2001, 9, 1), orders, sync),
+        "b3": (datetime(2001, 9, 2), orders.where("o_orderstatus <> 'P'"), reconcile),
+    }
+    for batch, (as_of, source, step) in days.items():
+        run = Run(spark, root, batch, as_of, {"orders": lambda rows=source: rows})
+        record = step(run, setting)
+        if record["status"] != "success":
+            raise RuntimeError(str(record))
+    return lifecycle_table(run, setting, last_state(run, setting)[1]).read().select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "_batch_id", "_is_deleted", "_deleted_at"
+    )

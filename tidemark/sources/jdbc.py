@@ -28,7 +28,10 @@ class JdbcTable:
 
 
 def base_options(source: JdbcTable) -> dict[str, str]:
-    options = {"url": source.url, "fetchsize": str(source.fetch_rows), **source.properties}
+    """Date-times arrive without a zone, as the source's clock wrote them."""
+    options = {
+        "url": source.url, "fetchsize": str(source.fetch_rows), "preferTimestampNTZ": "true", **source.properties
+    }
     if source.driver:
         options["driver"] = source.driver
     return options
@@ -39,6 +42,15 @@ def bounds_query(source: JdbcTable) -> str:
     return f"(SELECT MIN({c}) AS low, MAX({c}) AS high FROM {source.relation}) b"
 
 
+def greatest_query(source: JdbcTable, column: str) -> str:
+    return f"(SELECT MAX({column}) AS high FROM {source.relation}) m"
+
+
+def greatest(spark: SparkSession, source: JdbcTable, column: str) -> object:
+    """The column's greatest value, found by the database instead of by a scan."""
+    return spark.read.format("jdbc").options(**base_options(source), dbtable=greatest_query(source, column)).load().first()[0]
+
+
 def read_options(
     source: JdbcTable, column_type: T.DataType | None = None, low: int | None = None, high: int | None = None
 ) -> dict[str, str]:
