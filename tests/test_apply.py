@@ -84,9 +84,11 @@ def test_history_has_one_current_row_per_key(spark):
 
 
 def test_history_only_changed(spark):
-    h = shape.with_history(target(spark, [(1, "a", 1), (2, "b", 1)]), ntz("2024-01-01 00:00:00"))
-    got = apply.apply_history(h, frame(spark, [(1, "a", 1), (2, "B", 2)]), ["k"], ts(), "b1", "w", only_changed=True)
-    assert got.where("k = 1").count() == 1 and got.where("k = 2").count() == 2
+    h = shape.with_history(target(spark, [(1, None, 1), (2, "b", 1), (3, "c", 1)]), ntz("2024-01-01 00:00:00"))
+    delta = frame(spark, [(1, None, 1), (2, "B", 2), (3, None, 1), (4, "n", 1)])
+    got = apply.apply_history(h, delta, ["k"], ts(), "b1", "w", only_changed=True)
+    assert {r.k: r["count"] for r in got.groupBy("k").count().collect()} == {1: 1, 2: 2, 3: 2, 4: 1}
+    assert got.where("_is_current").count() == 4
 
 
 def test_history_needs_a_key(spark):

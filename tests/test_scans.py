@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import logs, typemap
@@ -14,7 +14,7 @@ from tidemark.operators import apply
 from tidemark.plans import config as plans
 from tidemark.queries import QUERIES
 from tidemark.session import settings_for
-from tidemark.sources import jdbc, scan
+from tidemark.sources import catalogue, jdbc, scan
 
 
 def plan(df):
@@ -187,3 +187,23 @@ def test_settings_grow_with_the_data():
     small, large = settings_for(10**9), settings_for(10**14)
     assert small["spark.sql.shuffle.partitions"] == "200"
     assert large["spark.sql.shuffle.partitions"] == "50000"
+
+
+def test_range_read_splits_a_hot_value(spark):
+    rows = spark.range(0, 30_000, 1, 4).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").cast("string").alias("v")
+    )
+    spread = scan.ranged(rows, "k", 8)
+    sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 30_000 and max(sizes) < 8_000
+    assert scan.ranged(rows, "v", 8) is rows
+
+
+def test_ordinals_over_many_blocks_equal_a_plain_ranking(spark):
+    rows = spark.range(500).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 7)).alias("t"),
+        (F.col("id") * 37 % 211).alias("column_id"), F.col("id").cast("string").alias("c"),
+    )
+    got = catalogue.column_ordinals(rows, ["t"], "column_id", ["c"], span=16)
+    want = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("t").orderBy("column_id", "c")))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())

@@ -136,9 +136,9 @@ def apply_history(
     current, closed = target.where(joinable), target.where(~joinable)
     if only_changed:
         values = [c for c in business_columns(target) if c in delta.columns and c not in keys]
-        same = current.select(*keys, F.xxhash64(*values).alias("_h"))
-        old = new.withColumn("_h", F.xxhash64(*values))
-        new = old.join(same, [*keys, "_h"], "left_anti").drop("_h")
+        same = [F.col(f"n.{k}") == F.col(f"c.{k}") for k in keys]
+        same += [F.col(f"n.{v}").eqNullSafe(F.col(f"c.{v}")) for v in values]
+        new = new.alias("n").join(current.alias("c"), reduce(and_, same), "left_anti")
     hit = key_set(new if only_changed else delta, keys).withColumn("_hit", F.lit(True))
     matched = F.coalesce(F.col("_hit"), F.lit(False))
     changed = {

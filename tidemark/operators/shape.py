@@ -124,17 +124,18 @@ def target_struct(types: Mapping[str, str], history: bool = False) -> T.StructTy
 def drift_report(source_columns: DataFrame, target_columns: DataFrame) -> DataFrame:
     """Per table: columns to add and columns gone from the source but kept.
 
-    Inputs are ``(table_name, column_name)``; a full outer join on both finds the two
-    differences in one pass."""
-    same = ["table_name", "column_name"]
-    s = source_columns.select("table_name", F.upper("column_name").alias("column_name")).distinct()
-    t = target_columns.select("table_name", F.upper("column_name").alias("column_name")).where(
-        ~F.startswith("column_name", F.lit("_"))
-    ).distinct()
-    joined = s.withColumn("in_source", F.lit(True)).join(t.withColumn("in_target", F.lit(True)), same, "full")
-    return joined.where(F.col("in_source").isNull() | F.col("in_target").isNull()).select(
-        *same, F.when(F.col("in_target").isNull(), "added").otherwise("dropped").alias("change")
+    Inputs are ``(table_name, column_name)``. Both go through one grouping by name, which
+    tasks reduce before the shuffle; no join."""
+
+    def side(columns: DataFrame, name: str) -> DataFrame:
+        return columns.select("table_name", F.upper("column_name").alias("column_name"), F.lit(name).alias("side"))
+
+    own = target_columns.where(~F.startswith("column_name", F.lit("_")))
+    seen = side(source_columns, "source").unionByName(side(own, "target")).groupBy("table_name", "column_name").agg(
+        F.min("side").alias("first"), F.max("side").alias("last")
     )
+    change = F.when(F.col("first") == "source", "added").otherwise("dropped")
+    return seen.where(F.col("first") == F.col("last")).select("table_name", "column_name", change.alias("change"))
 
 
 def widen(target: DataFrame, delta: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = derived(spark, sf, "f_codes").select("table_name", "column_id", "column_name")
-    return catalogue.column_ordinals(rows, ("table_name",), F.struct("column_id", "column_name"))
+    return catalogue.column_ordinals(rows, ["table_name"], "column_id", ["column_name"])
 
 
 @query(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 # Schemas that belong to the database itself.
 MYSQL_SYSTEM = ("information_schema", "performance_schema", "mysql", "sys")
@@ -36,10 +38,23 @@ def catalog_tables(spark: SparkSession, schema: str) -> DataFrame:
     )
 
 
-def column_ordinals(columns: DataFrame, table_keys: tuple[str, ...], order: Column | str) -> DataFrame:
-    """Position of each column inside its table. A table has at most some thousand columns."""
-    w = Window.partitionBy(*table_keys).orderBy(order)
-    return columns.withColumn("ordinal", F.row_number().over(w))
+def column_ordinals(
+    columns: DataFrame, table_keys: Sequence[str], order: str, then: Sequence[str] = (), span: int = 4096
+) -> DataFrame:
+    """Position of each column inside its table, by a whole-number ``order`` column.
+
+    Rows are numbered inside blocks of ``span`` ids, and a block starts where the counts
+    of the blocks before it end. However many rows one table has, a task numbers a block
+    of them."""
+    block = [*table_keys, "_block"]
+    rows = columns.withColumn("_block", F.floor(F.col(order) / span))
+    before = Window.partitionBy(*table_keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).select(
+        *block, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+    inside = Window.partitionBy(*block).orderBy(order, *then)
+    numbered = rows.join(starts, block).withColumn("ordinal", F.col("_start") + F.row_number().over(inside))
+    return numbered.select(*columns.columns, "ordinal")
 
 
 def with_indexes(columns: DataFrame, indexes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
