@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import logs, typemap
 from tidemark.functions.values import freshness, ntz, time_ceiling
-from tidemark.operators import apply
+from tidemark.operators import apply, manifest
 from tidemark.plans import config as plans
 from tidemark.queries import QUERIES
 from tidemark.session import settings_for
@@ -201,9 +201,16 @@ def test_range_read_splits_a_hot_value(spark):
 
 def test_ordinals_over_many_blocks_equal_a_plain_ranking(spark):
     rows = spark.range(500).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 7)).alias("t"),
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 5 == 0, None).otherwise(F.concat(F.lit("t"), F.col("id") % 7)).alias("t"),
         (F.col("id") * 37 % 211).alias("column_id"), F.col("id").cast("string").alias("c"),
     )
     got = catalogue.column_ordinals(rows, ["t"], "column_id", ["c"], span=16)
     want = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("t").orderBy("column_id", "c")))
-    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_retention_keeps_newest_runs_and_rows_without_a_config(spark):
+    rows = [(1, day, f"f{day}{i}") for day in range(1, 8) for i in range(2)] + [(None, 1, "x"), (2, 3, "y"), (1, None, "z")]
+    got = manifest.retain(spark.createDataFrame(rows, "config_id int, run_at int, f string"), 5)
+    want = [r for r in rows if r[0] != 1 or r[1] is None or r[1] >= 3]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))

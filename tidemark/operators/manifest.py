@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.operators.apply import key_set
+from tidemark.operators.apply import any_null, key_set, no_nulls
 
 PENDING = ("extracted", "uploaded")
 
@@ -63,8 +63,11 @@ def latest_run_files(manifest: DataFrame) -> DataFrame:
 
 
 def retain(manifest: DataFrame, keep: int = 5) -> DataFrame:
-    """Manifest rows of each config's newest runs."""
-    return manifest.join(newest_runs(manifest, keep), ["config_id", "run_at"], "left_semi")
+    """Manifest rows of each config's newest runs. Rows without a config or run belong to
+    no list of runs and stay."""
+    key = ["config_id", "run_at"]
+    kept = manifest.join(newest_runs(manifest.where(no_nulls(key)), keep), key, "left_semi")
+    return kept.unionByName(manifest.where(any_null(key)))
 
 
 def rollup(manifest: DataFrame) -> DataFrame:

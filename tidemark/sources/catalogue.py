@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -52,9 +54,12 @@ def column_ordinals(
     starts = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).select(
         *block, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
     )
-    inside = Window.partitionBy(*block).orderBy(order, *then)
-    numbered = rows.join(starts, block).withColumn("ordinal", F.col("_start") + F.row_number().over(inside))
-    return numbered.select(*columns.columns, "ordinal")
+    inside = Window.partitionBy(*[F.col(f"r.{c}") for c in block]).orderBy(*[F.col(f"r.{c}") for c in (order, *then)])
+    same = reduce(and_, [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in block])
+    ordinal = F.col("s._start") + F.row_number().over(inside)
+    return rows.alias("r").join(starts.alias("s"), same).select(
+        *[F.col(f"r.{c}") for c in columns.columns], ordinal.alias("ordinal")
+    )
 
 
 def with_indexes(columns: DataFrame, indexes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
