@@ -180,8 +180,9 @@ class KeyedTable:
                 return
             buckets = list(range(self.buckets)) if every_bucket else sorted(hits)
             small = sum(hits.values()) <= SMALL_KEY_BYTES
-            fresh = change(self._stored().where(F.col(BUCKET).isin(buckets)), delta, small)
-            if len(fresh.columns) > len(self.schema().fields) + 1:
+            stored = self._stored()
+            fresh = change(stored.where(F.col(BUCKET).isin(buckets)), delta, small)
+            if len(fresh.columns) > len(stored.columns):
                 self._keep_schema(fresh)
             spread = F.pmod(F.xxhash64(*fresh.columns), F.lit(len(buckets))).cast("int") + 1
             place = self.bucket_of(self.keys)
@@ -214,7 +215,8 @@ class KeyedTable:
                 storage.purge(self.spark, f"{folder}/{name}")
 
     def _staged(self, batch: str) -> bool:
-        return storage.exists(self.spark, f"{self._stage(batch)}-whole/_SUCCESS")
+        """The mark's file appears when its write commits."""
+        return any(n.startswith("part-") for n in storage.children(self.spark, f"{self._stage(batch)}-whole"))
 
 
 def _by_bucket(rows: DataFrame) -> DataFrameWriter:
