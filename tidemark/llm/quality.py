@@ -73,19 +73,27 @@ def repeat_words(w: Column, size: int = 3) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the counts of ``BASE`` and ``n_lines`` (lines with a word), from whole texts."""
+    """``docs`` with the counts of ``BASE`` and ``n_lines`` (lines with a word), from whole texts.
+
+    The counts come out of a generator, so filters on them stay above it and a text is split once."""
     value = F.coalesce(F.col(text), F.lit(""))
-    kept = docs.columns
-    rows = docs.select("*", words(F.col(text)).alias("_w"), F.filter(F.split(value, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "").alias("_l"))
-    return rows.select(
-        *kept,
-        F.size("_w").cast("long").alias("n_words"),
-        F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        (F.char_length(value) - F.char_length(F.translate(value, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_w")).alias("n_repeat_words"),
-        F.size("_l").cast("long").alias("n_lines"),
-    )
+    lines = F.filter(F.split(value, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
+
+    def counts(x: Column) -> Column:
+        w, lines = x["w"], x["l"]
+        found = {
+            "n_words": F.size(w),
+            "word_chars": F.char_length(F.array_join(w, "")),
+            "n_symbols": F.char_length(value) - F.char_length(F.translate(value, SYMBOLS, "")),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": repeat_words(w),
+            "n_lines": F.size(lines),
+        }
+        return F.struct(*(c.cast("long").alias(n) for n, c in found.items()))
+
+    parts = F.array(F.struct(words(F.col(text)).alias("w"), lines.alias("l")))
+    own = [c for c in docs.columns if c not in (*BASE, "n_lines")]
+    return docs.select(*own, F.inline(F.transform(parts, counts)))
 
 
 def base_failed() -> Column:

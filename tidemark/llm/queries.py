@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, mixture, pages, quality, sharding, simhash, substrings, toxicity, urlrules
+from tidemark.llm import decontaminate, mixture, pages, quality, sharding, simhash, substrings, toxicity, urlrules, weaklabels
 from tidemark.llm.common import table
 from tidemark.llm.registry import ORACLES, QUERIES, query
 
@@ -91,6 +91,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op5_classifier")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = weaklabels.judge(docs, weaklabels.learn(docs))
+    good = F.col("score") >= 0.5
+    return found.select("doc_id", F.array_join(F.col("votes").cast("array<string>"), "").alias("votes"), "posterior", "score", good.cast("int").alias("predicted"), good.alias("kept"))
+
+
 @query(
     "op6_warc",
     """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),

@@ -21,6 +21,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pyspark.sql.types import LongType, StructField, StructType
+
 from tidemark.llm.common import saved
 from tidemark.llm.graph import components
 
@@ -54,7 +56,7 @@ def fingerprint(text: str | bytes | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
     """``docs`` without its text, with ``fp``, the fingerprint as a signed long."""
     rest = [f for f in docs.schema.fields if f.name != text]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["fp long"])
+    schema = StructType([*rest, StructField("fp", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
