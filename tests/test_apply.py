@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +239,59 @@ def test_filter_replace_keeps_rows_where_the_predicate_is_null(spark):
 def test_merge_statement_names_every_column():
     text = apply.merge_statement("t", "s", ["k"], ["k", "v", "_load_ts"], "b1")
     assert "ON t.`k` = s.`k`" in text and "t.`v` = s.`v`" in text and "_deleted_at = NULL" in text
+
+
+def test_maps_are_ordered_by_their_entries(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1, map('a', 1), 5), (1, map('b', 2), 5), (2, map('c', 3), 1) t(k, m, w)")
+    assert sorted(r.k for r in apply.dedupe_latest(rows, ["k"], "w").collect()) == [1, 2]
+    nested = rows.select("k", F.array("m").alias("m"), "w")
+    assert apply.dedupe_latest(nested, ["k"], "w").count() == 2
+
+
+def test_a_keyed_table_commits_once(spark):
+    """A write that dies leaves the version as it was; a stale writer is told; vacuum removes what is dead."""
+    table = KeyedTable(spark, work_path(spark, "commit"), ("k",), 4)
+    table.create(target(spark, [(i, "a", 1) for i in range(20)]))
+    delta = frame(spark, [(5, "Z", 2)])
+
+    def broken(t, d, small):
+        return apply.upsert(t, d, ["k"], ts(), "b1", "w").withColumn("v", F.raise_error(F.lit("no")).cast("string"))
+
+    with pytest.raises(Exception):
+        table.apply(delta, broken, "b1")
+    assert table.version().number == 1 and values(table.read(), "v") == [("a",)] * 20
+    table._write(table._place(table.read(), 4))
+    assert table.read().count() == 20 and table.vacuum() >= 1 and table.read().count() == 20
+    old = table.version()
+    table.apply(delta, lambda t, d, s: apply.upsert(t, d, ["k"], ts(), "b1", "w"), "b1")
+    with pytest.raises(tables.StaleTableError):
+        table._commit(replace(old, number=2))
+    assert values(table.read().where("v = 'Z'"), "k") == [(5,)]
+
+
+def test_rows_without_a_key_are_not_rewritten(spark):
+    table = KeyedTable(spark, work_path(spark, "no-key"), ("k",), 4)
+    table.create(target(spark, [(None, "n", i) for i in range(9)] + [(1, "a", 1)]))
+    before = table.version().parts[tables.NO_KEY]
+    table.apply(frame(spark, [(None, "m", 1)]), lambda t, d, s: apply.upsert(t, d, ["k"], ts(), "b1", "w"), "b1")
+    after = table.version().parts[tables.NO_KEY]
+    assert after[: len(before)] == before and len(after) == len(before) + 1
+    assert table.read().where("k IS NULL").count() == 10
+
+
+def test_tables_without_keys_are_written_as_read(spark):
+    table = KeyedTable(spark, work_path(spark, "keyless"), (), 4)
+    rows = target(spark, [(i, "a", 1) for i in range(5)])
+    text = plan(table._place(rows, 4))
+    assert "Exchange" not in text
+    table.create(rows)
+    table.add(rows, "b1")
+    table.add(rows, "b1")
+    assert table.read().count() == 10
+
+
+def test_one_scan_serves_rows_with_and_without_keys(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumnRenamed("c_custkey", "k")
+    assert plan(apply.latest_rows(rows, ["k"], "c_acctbal")).count("FileScan") == 1
+    other = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumnRenamed("o_custkey", "k")
+    assert plan(apply.without_keys(rows, ["k"], other)).count("FileScan") == 2

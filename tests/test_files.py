@@ -133,3 +133,46 @@ def test_quoted_sink_quotes_everything(spark):
     out.write_quoted(spark.createDataFrame([(1, 'a"b'), (2, None)], "i int, t string"), path)
     text = "".join(open(f"{path}/{n}").read() for n in os.listdir(path) if n.endswith(".csv"))
     assert sorted(text.splitlines()) == ['"1","a""b"', '"2",""']
+
+
+def test_tsv_bad_lines_end_the_load_or_are_kept_apart(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("1\tx\n2x\ty\n3\tz\tmore\n4\n\\N\t\\N\n")
+    schema = T.StructType.fromDDL("k bigint, v string")
+    with pytest.raises(Exception, match="is no bigint|more than 2 fields"):
+        files.read_tsv(spark, str(tmp_path), schema).collect()
+    got = files.read_tsv(spark, str(tmp_path), schema, rejects=True).collect()
+    assert [r.k for r in got if r[files.CORRUPT] is None] == [1, 4, None]
+    assert sorted(r[files.CORRUPT] for r in got if r[files.CORRUPT]) == ["2x\ty", "3\tz\tmore"]
+
+
+def test_packed_dumps_are_read_in_pieces(spark, tmp_path):
+    import pyarrow as pa
+
+    lines = "".join(f"{i}\tv{i}\n" for i in range(300_000)).encode()
+    with pa.CompressedOutputStream(str(tmp_path / "a.tsv.zst"), "zstd") as out:
+        out.write(lines)
+    (tmp_path / "b.tsv").write_text("-1\tplain\n")
+    got = files.read_tsv(spark, str(tmp_path), T.StructType.fromDDL("k bigint, v string"))
+    assert (got.count(), got.agg({"k": "sum"}).first()[0]) == (300_001, sum(range(300_000)) - 1)
+
+
+def test_short_rows_are_allowed_and_bad_values_are_not(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1,x\n2\n")
+    schema = T.StructType.fromDDL("k bigint, v string")
+    assert sorted(tuple(r) for r in files.read_csv(spark, str(tmp_path), schema).collect()) == [(1, "x"), (2, None)]
+    (tmp_path / "b.csv").write_text("no,x\n")
+    with pytest.raises(Exception, match="k is no bigint"):
+        files.read_csv(spark, str(tmp_path), schema).collect()
+
+
+def test_lines_are_skipped_in_the_file_they_start(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"f{n}.csv").write_text("h1\nh2\nh3\n" + "".join(f"{n * 1000 + i},x\n" for i in range(1000)))
+    fmt = files.FileFormat(skip_header=3)
+    got = files.read_declared(spark, str(tmp_path), fmt, T.StructType.fromDDL("k int, v string"))
+    assert sorted(r.k for r in got.collect()) == sorted(n * 1000 + i for n in range(3) for i in range(1000))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        assert files.read_declared(spark, str(tmp_path), fmt, T.StructType.fromDDL("k int, v string")).count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

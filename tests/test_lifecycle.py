@@ -61,8 +61,6 @@ def test_loaded_extracts_are_put_away(spark, root, after):
     assert (left, storage.exists(spark, moved)) == (after == "keep", after == "archive")
     third = run_at(spark, root, 6, SECOND + [(8, "h", "2024-01-05 00:00:00")])
     lifecycle.sync(third, table)
-    stages = storage.children(spark, f"{lifecycle.last_state(third, table)[1]}/stage")
-    assert stages == [third.batch_id, f"{third.batch_id}-whole"]
     assert content(spark, root, third, table).count() == 5
 
 
@@ -170,3 +168,95 @@ def test_command_line(spark, root, sf_dir, tmp_path):
     assert [r["status"] for r in checked] == ["success"]
     again = main(["sync", str(config), "--root", root, "--table", "orders"], spark)
     assert [r["status"] for r in again] == ["skipped"]
+
+
+def test_bucket_count_and_types_come_from_the_table(spark, root):
+    """A changed setting and a wider key are followed; another kind of type is refused, and named."""
+    lifecycle.sync(run_at(spark, root, 2, FIRST), Table("t", ("id",), cursor_column="updated_at", buckets=4))
+    table = Table("t", ("id",), cursor_column="updated_at", buckets=7)
+    wide = run_at(spark, root, 4, SECOND)
+    source = wide.sources["t"]()
+    wide.sources["t"] = lambda: source.withColumn("id", F.col("id").cast("bigint"))
+    record = lifecycle.sync(wide, table)
+    assert record["status"] == "success" and record["schema_changes"] == "id int -> bigint"
+    rows = content(spark, root, wide, table)
+    assert sorted(r.id for r in rows.collect()) == [1, 2, 3, 4] and dict(rows.dtypes)["id"] == "bigint"
+    third = run_at(spark, root, 6, [(9, "z", "2024-01-05 00:00:00")])
+    late = third.sources["t"]()
+    third.sources["t"] = lambda: late.withColumn("name", F.lit(5))
+    record = lifecycle.sync(third, table)
+    assert record["status"] == "failed" and "name is string, not int" in record["error_message"]
+    assert content(spark, root, third, table).count() == 4
+
+
+def test_null_cursors_are_counted_in_increments(spark, root):
+    table = Table("t", ("id",), cursor_column="updated_at", buckets=4)
+    lifecycle.sync(run_at(spark, root, 2, FIRST), table)
+    record = lifecycle.sync(run_at(spark, root, 4, SECOND + [(7, "n", None), (8, "m", None)]), table)
+    assert (record["rows_extracted"], record["null_cursors"]) == (2, 2)
+
+
+def test_a_load_that_was_not_logged_is_logged_by_the_next(spark, root):
+    table = Table("t", ("id",), scd_type=0, cursor_column="updated_at", buckets=4)
+    lifecycle.sync(replace(run_at(spark, root, 2, FIRST), log=False), table)
+    later = run_at(spark, root, 4, SECOND)
+    lifecycle.sync(later, table)
+    log = lifecycle.run_log(later).orderBy("inserted_at").collect()
+    assert [(r.load_type, r.rows_loaded) for r in log] == [("full", 3), ("incremental", 2)]
+    assert content(spark, root, later, table).count() == 5
+    assert lifecycle.sync(run_at(spark, root, 5, SECOND), table)["status"] == "skipped"
+    assert lifecycle.run_log(later).where("status = 'success'").count() == 2
+
+
+def test_appended_tables_take_each_row_once(spark, root):
+    """A full load leaves rows past the ceiling to the next increment."""
+    table = Table("t", ("id",), scd_type=0, cursor_column="updated_at", buckets=4)
+    young = (9, "young", "2024-01-01 23:59:30")
+    lifecycle.sync(run_at(spark, root, 2, FIRST + [young]), table)
+    later = run_at(spark, root, 4, FIRST + [young])
+    lifecycle.sync(later, table)
+    assert sorted(r.id for r in content(spark, root, later, table).collect()) == [1, 2, 3, 9]
+
+
+def test_validate_reports_columns_of_one_side(spark, root):
+    table = Table("t", ("id",), cursor_column="updated_at", buckets=4)
+    run = run_at(spark, root, 2, FIRST)
+    lifecycle.sync(run, table)
+    source = run.sources["t"]()
+    run.sources["t"] = lambda: source.withColumnRenamed("name", "title")
+    record = lifecycle.validate(run, table, deep=True)
+    assert record["status"] == "mismatch"
+    assert "only in source: title" in record["error_message"] and "only in target: name" in record["error_message"]
+
+
+def test_known_measures_replace_the_source_scan(spark, root):
+    table = Table("t", ("id",), cursor_column="updated_at", buckets=4)
+    run = run_at(spark, root, 2, FIRST)
+    lifecycle.sync(run, table)
+    told = replace(run, measures={"t": lambda: (3, "2024-01-01 12:00:00")})
+    assert lifecycle.validate(told, table)["status"] == "success"
+    assert lifecycle.validate(replace(run, measures={"t": lambda: (4, "2024-01-01 12:00:00")}), table)["status"] == "mismatch"
+
+
+def test_backlog_of_a_history_table(spark, root):
+    table = Table("t", ("id",), scd_type=2, cursor_column="updated_at", buckets=4)
+    lifecycle.sync(run_at(spark, root, 2, FIRST), table)
+    for day in (4, 5):
+        rows = [(1, f"v{day}", f"2024-01-0{day - 1} 10:00:00"), (day, "x", f"2024-01-0{day - 1} 11:00:00")]
+        assert lifecycle.extract(run_at(spark, root, day, rows), table)["status"] == "success"
+    last = run_at(spark, root, 6, [])
+    assert lifecycle.load_backlog(last, table)["rows_loaded"] == 4
+    rows = content(spark, root, last, table)
+    assert rows.where("id = 1").count() == 3 and rows.where("id = 1 AND _is_current").first().name == "v5"
+    assert lifecycle.load_backlog(last, table)["status"] == "skipped"
+    assert lifecycle.files(last).where("status = 'loaded'").count() == lifecycle.files(last).count() > 0
+    assert lifecycle.last_state(last, table)[0] == "2024-01-04 11:00:00"
+
+
+def test_full_loads_keep_two_folders(spark, root):
+    table = Table("t", ("id",), load_type="full", buckets=4)
+    for day in (2, 3, 4, 5):
+        run = run_at(spark, root, day, FIRST[:day - 1])
+        lifecycle.sync(run, table)
+    folders = [n for n in storage.children(spark, f"{root}/tables/t") if n != "at"]
+    assert len(folders) == 2 and content(spark, root, run, table).count() == 3

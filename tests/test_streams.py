@@ -81,3 +81,44 @@ def test_windows_hold_young_rows_back(spark):
         lambda rows: seen.append(sorted(r.i for r in rows.collect())),
     )
     assert seen == [[0, 1, 2], [3, 4]] and last == datetime(2024, 1, 1, 0, 4)
+
+
+def test_two_checkpoints_number_their_batches_alike(spark):
+    table = KeyedTable(spark, work_path(spark, "t"), ("k",), 4)
+    table.create(shape.with_audit(spark.createDataFrame([(9, "y", 0)], SCHEMA), ntz("2024-01-01 00:00:00"), "b0"))
+    for k in range(3):
+        folder, mark = work_path(spark, "in"), work_path(spark, "mark")
+        drop_file(spark, folder, [(k, f"v{k}", 1)])
+        for _ in range(2):
+            ingest.stream_upsert(ingest.file_stream(spark, folder, schema(spark)), table, mark, "2024-02-01 00:00:00", "w")
+    assert sorted(r.k for r in table.read().collect()) == [0, 1, 2, 9]
+
+
+def test_batches_are_counted_beyond_kept_progress(spark):
+    folder, path, mark = work_path(spark, "in"), work_path(spark, "out"), work_path(spark, "mark")
+    for k in range(6):
+        drop_file(spark, folder, [(k, "a", 1)])
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        assert ingest.ingest(ingest.file_stream(spark, folder, schema(spark), files_per_batch=1), path, mark) == 6
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+    assert ingest.ingest(ingest.file_stream(spark, folder, schema(spark)), path, mark) == 0
+
+
+def test_young_rows_wait_for_a_later_batch(spark):
+    folder, path, held, mark = (work_path(spark, n) for n in ("in", "out", "held", "mark"))
+    schema_ = "i int, ts timestamp_ntz"
+
+    def run(rows, clock):
+        df = spark.createDataFrame(rows, "i int, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        df.coalesce(1).write.mode("append").parquet(folder)
+        stream = ingest.file_stream(spark, folder, spark.createDataFrame([], schema_).schema)
+        ingest.stream_settled(stream, "ts", 1, path, held, mark, lambda: clock)
+        return sorted(r.i for r in spark.read.schema("i int").option("recursiveFileLookup", True).parquet(path).collect())
+
+    first = [(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:05:30"), (3, None)]
+    assert run(first, datetime(2024, 1, 1, 0, 6)) == [1, 3]
+    assert run([(4, "2024-01-01 00:09:00")], datetime(2024, 1, 1, 0, 9, 30)) == [1, 2, 3]
+    assert run([(5, "2024-01-01 00:01:00")], datetime(2024, 1, 1, 0, 20)) == [1, 2, 3, 4, 5]

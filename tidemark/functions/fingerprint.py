@@ -21,7 +21,8 @@ def canonical_text(field: T.StructField, float_as: str = "decimal(18,2)") -> Col
     elif isinstance(kind, T.DateType):
         text = F.date_format(value, "yyyy-MM-dd")
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
-        text = value.cast(float_as).cast("string")
+        # values past the fixed scale's range keep their own text
+        text = F.coalesce(value.try_cast(float_as).cast("string"), value.cast("string"))
     elif isinstance(kind, T.BinaryType):
         text = F.hex(value)
     else:
@@ -39,7 +40,32 @@ def row_slice(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     return F.conv(F.substring(F.md5(row_text(df, columns)), 1, HASH_HEX_DIGITS), 16, 10).cast("long")
 
 
-def with_slices(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def exact_hash(df: DataFrame, columns: Sequence[str]) -> Column:
+    """64 bits of a row's values at full precision. Which values are null is hashed as well, since
+    nulls leave a hash as it was; columns without an order of values are hashed as JSON."""
+    values = [comparable(df.schema[n]) for n in columns]
+    absent = F.concat(F.lit("n"), *[F.col(n).isNull().cast("int").cast("string") for n in columns])
+    return F.xxhash64(*values, absent)
+
+
+def _unordered(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _unordered(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_unordered(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
+def comparable(field: T.StructField) -> Column:
+    """A column that can be ordered and hashed: maps by their sorted entries, what holds maps or
+    variants as JSON."""
+    value = F.col(field.name)
+    if isinstance(field.dataType, T.MapType) and not _unordered(field.dataType.valueType):
+        return F.array_sort(F.map_entries(value))
+    return F.to_json(F.struct(value.alias("v"))) if _unordered(field.dataType) else value
+
+
+def with_slices(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str | Column] = ()) -> DataFrame:
     """Row slices and the columns still needed. Computed in a projection of its own:
     inside the aggregate the generated code grows too long to be compiled well."""
     return df.select(row_slice(df, columns).alias("_slice"), *keep)

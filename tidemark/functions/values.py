@@ -27,9 +27,18 @@ def time_ceiling(as_of: str | datetime, lag_minutes: int = 1) -> datetime:
     return clock - timedelta(minutes=lag_minutes)
 
 
+def strict_cast(column: Column, to: str | T.DataType, where: str = "a value") -> Column:
+    """A cast that ends the query on a value that does not fit, whatever the session's ANSI setting."""
+    kind = to if isinstance(to, str) else to.simpleString()
+    text = F.concat(F.lit(f"{where} is no {kind}: "), column.cast("string"))
+    done = column.try_cast(to)
+    return F.when(done.isNull() & column.isNotNull(), F.raise_error(text).cast(to)).otherwise(done)
+
+
 def zero_date_to_null(column: Column, to: str = "date") -> Column:
+    """Zero dates become null; any other text must be a date."""
     text = column.cast("string")
-    return F.when(~text.isin(*ZERO_DATES), text).try_cast(to)
+    return strict_cast(F.when(~text.isin(*ZERO_DATES), text), to, "a date")
 
 
 def trimmed_text(column: Column) -> Column:

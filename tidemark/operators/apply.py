@@ -8,8 +8,8 @@ Scale notes. A delta is reduced to one row per key by a ranked window that Spark
 limits on the map side, so a hot key sends one row per map task. Target rows meet
 only the delta's key columns; AQE broadcasts them when they turn out small and
 sorts both sides otherwise. A caller that has measured the delta's keys may pass
-``small`` to broadcast them, which leaves target rows where they were read. Null-key target rows pass by the joins: their scan is
-skipped by Parquet statistics where a key column holds no nulls.
+``small`` to broadcast them, which leaves target rows where they were read. Rows without
+a key match nothing and are salted, so each input is read once and they don't meet in one task.
 """
 
 from __future__ import annotations
@@ -20,8 +20,12 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions.fingerprint import comparable
 from tidemark.operators.shape import AUDIT_SCHEMA, HISTORY_SCHEMA, business_columns, with_audit, with_history
 
+SALT = "_salt"
+
+
 def dedupe_latest(
     delta: DataFrame, keys: Sequence[str], watermark: str | None = None, then: Sequence[str] = ()
 ) -> DataFrame:
@@ -30,7 +34,7 @@ def dedupe_latest(
     order = [F.col(watermark).desc_nulls_last()] if watermark else []
     order += [F.col(c).desc_nulls_last() for c in then]
     used = {*keys, watermark, *then}
-    order += [F.col(c).desc_nulls_last() for c in business_columns(delta) if c not in used]
+    order += [comparable(delta.schema[c]).desc_nulls_last() for c in business_columns(delta) if c not in used]
     w = Window.partitionBy(*keys).orderBy(*(order or [F.lit(1)]))
     return delta.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
@@ -38,9 +42,10 @@ def dedupe_latest(
 def latest_rows(
     delta: DataFrame, keys: Sequence[str], watermark: str | None = None, then: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per key, and every row without a key: nothing says those are the same."""
-    keyed = dedupe_latest(delta.where(no_nulls(keys)), keys, watermark, then)
-    return keyed.unionByName(delta.where(any_null(keys)))
+    """One row per key, and every row without a key: nothing says those are the same. Such rows get a
+    number each as a further key, so one pass serves both and they don't meet in one task."""
+    own = F.when(any_null(keys), F.monotonically_increasing_id())
+    return dedupe_latest(delta.withColumn(SALT, own), [*keys, SALT], watermark, then).drop(SALT)
 
 
 def any_null(keys: Sequence[str]) -> Column:
@@ -63,10 +68,19 @@ def _side(rows: DataFrame, small: bool) -> DataFrame:
 
 
 def without_keys(rows: DataFrame, keys: Sequence[str], other: DataFrame, small: bool = False) -> DataFrame:
-    """Rows whose key is not in ``other``. Null keys never are, so they skip the join
-    and cannot pile up in one task."""
-    keyed = rows.where(no_nulls(keys)).join(_side(key_set(other, keys), small), list(keys), "left_anti")
-    return keyed.unionByName(rows.where(any_null(keys)))
+    """Rows whose key is not in ``other``. Null keys never are; they are salted, so they cannot pile
+    up in one task, and ``rows`` are read once."""
+    return _salted(rows, keys).join(_side(_unsalted(key_set(other, keys)), small), [*keys, SALT], "left_anti").drop(SALT)
+
+
+def _salted(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Spreads rows without a key, which match nothing, over many join partitions."""
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("int") + 1
+    return rows.withColumn(SALT, F.when(any_null(keys), spread).otherwise(0))
+
+
+def _unsalted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(SALT, F.lit(0))
 
 
 def _columns(target: DataFrame, rows: DataFrame) -> list[str]:
@@ -101,7 +115,10 @@ def upsert(
     if keep_missing:
         lacking = [c for c in business_columns(target) if c not in delta.columns]
         if lacking:
-            new = new.join(target.select(*keys, *lacking), list(keys), "left")
+            # rows without a key have no old values and would all meet in one task
+            old = target.where(no_nulls(keys)).select(*keys, *lacking)
+            matched = new.where(no_nulls(keys)).join(old, list(keys), "left")
+            new = matched.unionByName(new.where(any_null(keys)), allowMissingColumns=True)
     return _put(target, new, delta, keys, small)
 
 
@@ -138,7 +155,8 @@ def apply_history(
         values = [c for c in business_columns(target) if c in delta.columns and c not in keys]
         same = [F.col(f"n.{k}") == F.col(f"c.{k}") for k in keys]
         same += [F.col(f"n.{v}").eqNullSafe(F.col(f"c.{v}")) for v in values]
-        new = new.alias("n").join(current.alias("c"), reduce(and_, same), "left_anti")
+        keyed = new.where(no_nulls(keys)).alias("n").join(current.alias("c"), reduce(and_, same), "left_anti")
+        new = keyed.unionByName(new.where(any_null(keys)))
     hit = key_set(new if only_changed else delta, keys).withColumn("_hit", F.lit(True))
     matched = F.coalesce(F.col("_hit"), F.lit(False))
     changed = {
@@ -192,10 +210,9 @@ def soft_delete(
             }
         ).select(*target.columns)
 
-    marked = key_set(gone, keys).withColumn("_gone", F.lit(True))
-    keyed = target.where(no_nulls(keys)).join(_side(marked, small), list(keys), "left")
-    found = flag(keyed, live & F.coalesce(F.col("_gone"), F.lit(False)))
-    return found.unionByName(flag(target.where(any_null(keys)), live))
+    marked = _unsalted(key_set(gone, keys)).withColumn("_gone", F.lit(True))
+    joined = _salted(target, keys).join(_side(marked, small), [*keys, SALT], "left")
+    return flag(joined, live & (F.coalesce(F.col("_gone"), F.lit(False)) | any_null(keys)))
 
 
 def reconcile(target: DataFrame, source: DataFrame, keys: Sequence[str], batch_ts: Column) -> DataFrame:

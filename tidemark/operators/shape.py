@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.typemap import MAX_PRECISION, spark_type_text
-from tidemark.functions.values import clock_text, csv_quoted, trimmed_text
+from tidemark.functions.values import clock_text, csv_quoted, strict_cast, trimmed_text
 
 # The bookkeeping columns every target carries, and those of a history table.
 AUDIT_SCHEMA = {
@@ -102,14 +102,11 @@ def wide_decimals_as_text(df: DataFrame, precisions: Mapping[str, int]) -> DataF
     )
 
 
-def apply_schema(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
-    """Upper-case names and cast each column to its mapped type; bad values become null."""
-    return df.select(
-        [
-            (F.col(c).try_cast(types[c]) if c in types else F.col(c)).alias(c.upper())
-            for c in df.columns
-        ]
-    )
+def apply_schema(df: DataFrame, types: Mapping[str, str], bad: str = "fail") -> DataFrame:
+    """Upper-case names and cast each column to its mapped type. A value that does not fit ends the
+    load, or with ``bad="null"`` becomes null."""
+    cast = {"fail": strict_cast, "null": lambda c, t: c.try_cast(t)}[bad]
+    return df.select([(cast(F.col(c), types[c]) if c in types else F.col(c)).alias(c.upper()) for c in df.columns])
 
 
 def target_struct(types: Mapping[str, str], history: bool = False) -> T.StructType:
@@ -178,3 +175,51 @@ def target_columns(mapped: DataFrame, history: bool = False) -> DataFrame:
         .select("table_name", (F.col("n") + F.col("c.o")).alias("ordinal"), "c.column_name", "c.spark_type")
     )
     return own.unionByName(added)
+
+
+class TypeChangeError(ValueError):
+    """A column's type changed in a way that stored files cannot follow."""
+
+
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def holds(wide: T.DataType, narrow: T.DataType) -> bool:
+    """Every value of ``narrow`` is one of ``wide``, and files of it can be read as ``wide``."""
+    a, b = wide.simpleString(), narrow.simpleString()
+    if a == b or b == "void":
+        return True
+    if a in _WHOLE and b in _WHOLE:
+        return _WHOLE.index(a) >= _WHOLE.index(b)
+    if isinstance(wide, T.DecimalType) and isinstance(narrow, T.DecimalType):
+        return wide.scale >= narrow.scale and wide.precision - wide.scale >= narrow.precision - narrow.scale
+    return (a, b) in (("double", "float"), ("double", "int"), ("double", "smallint"), ("double", "tinyint"), ("timestamp_ntz", "date"))
+
+
+def agree(stored: T.StructType, rows: DataFrame, keys: Sequence[str] = ()) -> tuple[T.StructType, DataFrame]:
+    """The stored schema and the rows on common types: rows are cast to stored types that hold theirs,
+    and a stored type gives way to a wider one. Any other change, and for keys any but of whole
+    numbers, is refused: it needs a full load."""
+    new = {f.name.lower(): f for f in rows.schema.fields}
+    fields, casts = [], {}
+    for f in stored.fields:
+        other = new.get(f.name.lower())
+        if other is None or other.dataType == f.dataType:
+            fields.append(f)
+            continue
+        up, down = holds(f.dataType, other.dataType), holds(other.dataType, f.dataType)
+        if not (up or down) or (f.name in keys and not {f.dataType.simpleString(), other.dataType.simpleString()} <= set(_WHOLE)):
+            raise TypeChangeError(f"{f.name} is {f.dataType.simpleString()}, not {other.dataType.simpleString()}: load it in full")
+        fields.append(f if up else T.StructField(f.name, other.dataType, True))
+        if up:
+            casts[other.name] = F.col(other.name).cast(f.dataType)
+    return T.StructType(fields), rows.withColumns(casts) if casts else rows
+
+
+def schema_changes(stored: T.StructType, source: T.StructType) -> str | None:
+    """Added, dropped and changed business columns in words; null if there are none."""
+    old = {f.name.lower(): f.dataType.simpleString() for f in stored.fields if not f.name.startswith("_")}
+    new = {f.name.lower(): f.dataType.simpleString() for f in source.fields if not f.name.startswith("_")}
+    words = [f"added {c} {new[c]}" for c in new if c not in old] + [f"dropped {c}" for c in old if c not in new]
+    words += [f"{c} {old[c]} -> {new[c]}" for c in new if c in old and old[c] != new[c]]
+    return "; ".join(words) or None

@@ -11,18 +11,20 @@ from pyspark.sql import types as T
 
 from tidemark.operators import parity
 from tidemark.sinks.tables import MissingTableError, create_if_missing, write_table
-from tidemark.sources.files import FileFormat, dated_path, read_declared, read_matching
+from tidemark.session import work_path
+from tidemark.sources.files import CORRUPT, SOURCE, FileFormat, dated_path, read_after_lines, read_declared, read_matching
 
 AUDIT_SCHEMA = (
     "batch_id bigint, job_id bigint, table_name string, load_mode string, source_path string, source_count bigint, "
-    "status string, message string, started_at timestamp_ntz, ended_at timestamp_ntz"
+    "loaded_count bigint, rejected_count bigint, status string, message string, started_at timestamp_ntz, ended_at timestamp_ntz"
 )
 
 
 @dataclass(frozen=True)
 class IngestJob:
     """``load_mode`` is ``append`` or ``overwrite``; ``table_exists`` says whether the table
-    must be there already. Without a schema it is inferred from the files."""
+    must be there already. Without a schema it is inferred from the files. A bad record ends the
+    job, unless ``rejects_path`` names a folder for such records (then a schema is needed)."""
 
     job_id: int
     table: str
@@ -35,35 +37,55 @@ class IngestJob:
     run_date: date | None = None
     enabled: bool = True
     table_path: str | None = None
+    rejects_path: str | None = None
 
 
 def source_rows(spark: SparkSession, job: IngestJob) -> DataFrame:
-    """The job's files: those below its folder whose path matches its pattern."""
+    """The job's files, those below its folder whose path matches its pattern, with the file of each
+    row as ``SOURCE`` and, if the job keeps rejects, the text of bad records as ``CORRUPT``."""
     folder = dated_path(job.path, job.run_date)
     fmt = replace(job.fmt, extras={**job.fmt.extras, "recursiveFileLookup": "true"})
+    schema = job.schema
+    if job.rejects_path:
+        if schema is None or fmt.kind == "PARQUET":
+            raise ValueError("rejects need a schema and a text format")
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+        fmt = replace(fmt, extras={**fmt.extras, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     if fmt.kind == "CSV" and fmt.skip_header > 1:
-        raise ValueError("a pattern needs file metadata, which skipping several lines drops")
-    return read_matching(lambda s: read_declared(s, folder, fmt, job.schema), spark, job.pattern)
+        return read_after_lines(spark, folder, fmt, schema, job.pattern)
+    rows = read_matching(lambda s: read_declared(s, folder, fmt, schema), spark, job.pattern)
+    return rows.withColumn(SOURCE, F.col("_metadata.file_path"))
 
 
 def run_job(spark: SparkSession, job: IngestJob, batch_id: int) -> tuple[dict, DataFrame | None]:
-    """Load one job; returns its audit record and the rows per file."""
+    """Load one job; returns its audit record and the rows per file.
+
+    The files are read once, into a table of their own that has each row's file: counts, rejects and
+    the load come from that."""
     record = {
         "batch_id": batch_id, "job_id": job.job_id, "table_name": job.table, "load_mode": job.load_mode,
-        "source_path": dated_path(job.path, job.run_date), "source_count": None, "status": "FAILED",
-        "message": None, "started_at": _now(),
+        "source_path": dated_path(job.path, job.run_date), "source_count": None, "loaded_count": None, "rejected_count": None,
+        "status": "FAILED", "message": None, "started_at": _now(),
     }
     counts = None
     try:
         rows = source_rows(spark, job)
+        loaded = rows.drop(SOURCE, CORRUPT)
         if job.table_exists and not spark.catalog.tableExists(job.table):
             raise MissingTableError(f"{job.table} does not exist")
         if not job.table_exists:
-            create_if_missing(spark, job.table, rows.schema, job.table_path)
-        counts = parity.rows_per_file(rows, F.col("_metadata.file_path"))
-        record["source_count"] = counts.agg(F.coalesce(F.sum("row_count"), F.lit(0))).first()[0]
-        write_table(rows, job.table, job.load_mode, job.table_path)
-        record["status"] = "SUCCESS"
+            create_if_missing(spark, job.table, loaded.schema, job.table_path)
+        path = work_path(spark, f"ingest-{job.job_id}")
+        rows.write.parquet(path)
+        staged = spark.read.schema(rows.schema).parquet(path)
+        bad = F.col(CORRUPT).isNotNull() if job.rejects_path else F.lit(False)
+        seen = staged.agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad")).first()
+        counts = parity.rows_per_file(staged, F.col(SOURCE))
+        record.update(source_count=seen.n, rejected_count=seen.bad)
+        if seen.bad:
+            staged.where(bad).select(SOURCE, CORRUPT).write.mode("append").parquet(job.rejects_path)
+        write_table(staged.where(~bad).drop(SOURCE, CORRUPT), job.table, job.load_mode, job.table_path)
+        record.update(status="SUCCESS", loaded_count=seen.n - seen.bad)
     except Exception as error:  # the record is what the audit table keeps
         record["message"] = str(error)
     return {**record, "ended_at": _now()}, counts

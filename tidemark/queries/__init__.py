@@ -2,6 +2,6 @@
 can say the same, carries that SQL beside it."""
 
 from tidemark.queries.registry import ORACLES, QUERIES
-from tidemark.queries import scans, sinks, shaping, deltas, parity, logs, plans, streams  # noqa: F401
+from tidemark.queries import scans, sinks, shaping, deltas, parity, logs, plans, runs, streams  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -252,9 +252,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     def status(name: str, rows: DataFrame | None, cursor: object) -> DataFrame:
         kept = F.lit(str(cursor)).cast("timestamp_ntz")
         if rows is None:
-            return events.limit(1).select(
-                F.lit(name).alias("source"), F.lit("skipped").alias("status"),
-                F.lit(0).cast("bigint").alias("row_count"), kept.alias("cursor"),
+            return events.agg(F.lit(0).cast("bigint").alias("row_count")).select(
+                F.lit(name).alias("source"), F.lit("skipped").alias("status"), "row_count", kept.alias("cursor"),
             )
         return rows.agg(F.count(F.lit(1)).alias("row_count"), F.max("ts").alias("cursor")).select(
             F.lit(name).alias("source"), F.lit("loaded").alias("status"), "row_count", "cursor"

@@ -353,7 +353,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         "o_orderstatus", F.substring("o_orderpriority", 1, 1).alias("o_level"), F.col("o_orderstatus").alias("o_bad"),
     )
     types = {"o_orderkey": "bigint", "o_totalprice": "decimal(18,2)", "o_orderdate": "date", "o_level": "int", "o_bad": "int"}
-    return shape.apply_schema(raw, types)
+    return shape.apply_schema(raw, types, bad="null")
 
 
 @query(

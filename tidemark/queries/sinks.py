@@ -124,8 +124,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     name = f"tidemark_{uuid.uuid4().hex}"
     tables.replace_table(target, name, base)
     fresh = apply.replace_all(target, derived(spark, sf, "f_delta"), ntz(BATCH_TS), BATCH_ID)
-    tables.replace_table(fresh, name, base)
-    return spark.table(name)
+    place = tables.replace_table(fresh, name, base)
+    seen = spark.table(name).schema
+    spark.sql(f"DROP TABLE {name}")  # its files stay
+    return spark.read.schema(seen).parquet(place)
 
 
 @query("keyed_table_upsert", UPSERT_SQL)

@@ -13,6 +13,7 @@ from tidemark.queries.deltas import BATCH_ID, BATCH_TS, KEYS, UPSERT_SQL
 from tidemark.queries.registry import derived, query, table
 from tidemark.session import work_path
 from tidemark.sinks.tables import KeyedTable
+from tidemark.sources import files
 from tidemark.sources.scan import with_lookback
 from tidemark.streaming import ingest as streams
 
@@ -35,22 +36,35 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _cleaned(spark: SparkSession, sf: str, clean: str) -> DataFrame:
+    """Rows by where they are: loaded, still in the landing folder, in the archive. A batch's files go when
+    the next one commits, so an empty file comes last to let all others go."""
     folder, events = _landed(spark, sf)
     path, checkpoint, kept = work_path(spark, "cleaned"), work_path(spark, "checkpoint"), work_path(spark, "archive")
-    for _run in range(2):
+    spark.conf.set("spark.sql.streaming.fileSource.cleaner.numThreads", "0")  # done when the run is
+    for run in range(2):
+        if run:
+            events.limit(0).coalesce(1).write.parquet(f"{folder}/kind=last")
         stream = streams.file_stream(
             spark, f"{folder}/*", events.schema, files_per_batch=1, clean=clean, archive_dir=kept
         )
         streams.ingest(stream, path, checkpoint)
-    return spark.read.schema(events.schema).parquet(path)
+
+    def rows(place: str, where: str) -> DataFrame:
+        found = files.load_or_none(lambda: spark.read.schema(events.schema).option("recursiveFileLookup", True).parquet(where))
+        return (events.limit(0) if found is None else found).select(F.lit(place).alias("place"), "event_id", "user_id", "event_type", "ts")
+
+    return rows("loaded", path).unionByName(rows("landing", folder)).unionByName(rows("archive", kept))
 
 
-@query("stream_purge", "SELECT * FROM events")
+CLEANED_SQL = "SELECT 'loaded' AS place, event_id, user_id, event_type, ts FROM events"
+
+
+@query("stream_purge", CLEANED_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _cleaned(spark, sf, "delete")
 
 
-@query("stream_archive", "SELECT * FROM events")
+@query("stream_archive", f"{CLEANED_SQL} UNION ALL SELECT 'archive', event_id, user_id, event_type, ts FROM events")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return _cleaned(spark, sf, "archive")
 
@@ -70,12 +84,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stream_lag_guard", "SELECT * FROM events WHERE ts <= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 1 MINUTE")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    events, path = table(spark, sf, "events"), work_path(spark, "lag-guard")
-    ceilings = [datetime(2024, 1, 14, 23, 59), datetime(2024, 1, 29, 23, 59)]
-    streams.ingest_windows(
-        events, "ts", "1900-01-01 00:00:00", ceilings, lambda rows: rows.write.mode("append").parquet(path)
-    )
-    return spark.read.schema(events.schema).parquet(path)
+    """A stream of files, some of whose rows are too young when they come: those of the middle of the month
+    wait for a later batch, those of its end are still held."""
+    (folder, events), path = _landed(spark, sf), work_path(spark, "lag-guard")
+    held, checkpoint, clocks = work_path(spark, "held"), work_path(spark, "checkpoint"), iter([datetime(2024, 1, 15)])
+    stream = streams.file_stream(spark, f"{folder}/*", events.schema, files_per_batch=1)
+    streams.stream_settled(stream, "ts", 1, path, held, checkpoint, lambda: next(clocks, datetime(2024, 1, 30)))
+    return spark.read.schema(events.schema).option("recursiveFileLookup", True).parquet(path)
 
 
 @query(

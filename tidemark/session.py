@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -20,13 +18,13 @@ DEFAULTS = {
 }
 
 
-def settings_for(data_bytes: int) -> dict[str, str]:
+def settings_for(data_bytes: int, most_partitions: int = 50_000) -> dict[str, str]:
     """Partition settings for a job over about ``data_bytes``.
 
-    Input splits of 512 MiB and shuffle partitions of about 1 GiB, at most 50,000: the
+    Input splits of 512 MiB and shuffle partitions of about 1 GiB, at most ``most_partitions``: the
     driver tracks every pair of map task and shuffle partition, so neither may grow
     without end. AQE merges small partitions and splits skewed ones."""
-    parts = min(50_000, max(200, -(-data_bytes // 2**30)))
+    parts = min(most_partitions, max(200, -(-data_bytes // 2**30)))
     return {
         "spark.sql.files.maxPartitionBytes": str(512 * 2**20),
         "spark.sql.shuffle.partitions": str(parts),
@@ -44,23 +42,11 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-@lru_cache(maxsize=1)
-def _local_base() -> str:
-    return tempfile.mkdtemp(prefix="tidemark-")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``.
-
-    Only a local master may do without the setting; it then gets a temporary
-    folder, which is shared because there is one machine.
-    """
+    """Folder all executors can reach: ``spark.checkpoint.dir``, or a folder below the warehouse, which they
+    share too, where that is not set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_base()
+    return base.rstrip("/") if base else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def work_path(spark: SparkSession, label: str) -> str:

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.sources.files import tsv_line
@@ -60,3 +67,23 @@ def write_quoted(df: DataFrame, path: str, writers: int = 0, delimiter: str = ",
 def write_tsv(df: DataFrame, path: str, compression: str = "gzip") -> None:
     """Tab-separated dump with ``\\N`` nulls and backslash escapes."""
     df.select(tsv_line(df).alias("value")).write.option("compression", compression).text(path)
+
+
+def write_zstd_lines(lines: DataFrame, path: str) -> None:
+    """The ``value`` column as packed text, one file per partition. A file gets its name when it is whole,
+    and a repeated task replaces its own."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = f"part-{TaskContext.get().partitionId():05d}.tsv.zst"
+        store, root = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+        store.create_dir(root, recursive=True)
+        draft, n = f"{root}/.{name}.{uuid.uuid4().hex}", 0
+        with store.open_output_stream(draft, compression="zstd") as out:
+            for batch in batches:
+                for line in batch.column("value").to_pylist():
+                    out.write(line.encode() + b"\n")
+                n += batch.num_rows
+        store.move(draft, f"{root}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    lines.select("value").mapInArrow(pack, "n long").agg(F.sum("n")).collect()

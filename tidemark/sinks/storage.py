@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -36,3 +38,42 @@ def move(spark: SparkSession, path: str, to: str) -> None:
 def archive_path(root: str, kind: str, day: str, name: str) -> str:
     """Where loaded files go: ``processed/<kind>/<day>/<name>``."""
     return f"{root.rstrip('/')}/processed/{kind}/{day}/{name}"
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a glob pattern matches."""
+    fs, target = _handle(spark, pattern)
+    return sorted(s.getPath().toString() for s in (fs.globStatus(target) or []))
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, target = _handle(spark, path)
+    stream = fs.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _create_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, target = _handle(spark, path)
+    stream = fs.create(target, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> bool:
+    """A new small file that appears whole; false if it is there already."""
+    fs, target = _handle(spark, path)
+    if fs.exists(target):
+        return False
+    draft = f"{path}.{uuid.uuid4().hex}.tmp"
+    _create_text(spark, draft, text)
+    return fs.rename(_handle(spark, draft)[1], target)
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file's new content."""
+    _create_text(spark, path, text)

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.apply import any_null
-from tidemark.operators.shape import widen
+from tidemark.operators.shape import agree
 from tidemark.sinks import storage
 
-BUCKET = "_bucket"
-
+BUCKET, WRITE = "_bucket", "_write"
+#: Buckets of rows without a key, and of rows that are never rewritten.
+NO_KEY, SETTLED = -1, -2
 
 BUCKET_BYTES = 4 * 2**30
+#: Delta keys of at most so many bytes, summed first, are broadcast.
 SMALL_KEY_BYTES = 32 * 2**20
+#: Versions whose description is kept.
+KEPT_VERSIONS = 10
 
 
 def bucket_count(table_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
@@ -77,149 +82,242 @@ def replace_table(df: DataFrame, table: str, base: str, drop_old: bool = False)
     return version
 
 
+class StaleTableError(RuntimeError):
+    """Another writer committed first."""
+
+
+@dataclass(frozen=True)
+class Version:
+    """What a table holds: which folders, and how they were written.
+
+    ``parts`` has the write ids of each bucket, ``retired`` the folders that this version let go
+    (the next one removes them), ``writers`` the last token of each writer, and ``note`` what the
+    last load wants remembered."""
+
+    number: int
+    schema: T.StructType
+    keys: tuple[str, ...]
+    buckets: int
+    parts: Mapping[int, list[str]]
+    retired: tuple[tuple[int, str], ...] = ()
+    writers: Mapping[str, str] = field(default_factory=dict)
+    note: Mapping[str, object] = field(default_factory=dict)
+
+    def text(self) -> str:
+        return json.dumps({**self.__dict__, "schema": self.schema.jsonValue(), "parts": {str(k): v for k, v in self.parts.items()}})
+
+    @staticmethod
+    def of(text: str) -> Version:
+        got = json.loads(text)
+        return Version(
+            got["number"], T.StructType.fromJson(got["schema"]), tuple(got["keys"]), got["buckets"],
+            {int(k): v for k, v in got["parts"].items()}, tuple((b, w) for b, w in got["retired"]), got["writers"], got["note"],
+        )
+
+
 @dataclass(frozen=True)
 class KeyedTable:
     """A Parquet target split into key buckets, so a delta rewrites only what it touches.
 
-    The bucket is a hash of the key. Null-key rows never match anything, so they may
-    lie in any bucket and are spread out. Holds for changes that never take all rows
-    out of a bucket: upsert, history, reconcile.
+    Every change writes new folders beside the old ones, in one job, and then one small file
+    that names the folders of the new version. Readers see the old version or the new one; a
+    write that dies leaves folders that no version names; a token that a writer has
+    committed already is not applied again. Keys, bucket count and column types are stored with
+    the version, and a delta is brought to them before it is hashed.
 
-    ``settled`` is a predicate for rows that will not change again, as closed versions
-    are. They leave the buckets for append-only folders, so a key with a long history
-    costs a rewrite no more than one row."""
+    The bucket is a hash of the key's text, so a key may change from int to bigint. Rows
+    without a key never match anything: they have a bucket of their own that grows by
+    folders and is only rewritten by changes that ask for it. ``settled`` is a predicate for rows
+    that will not change again, as closed versions are; they, appended rows and tables without
+    keys fill folders that are never rewritten. ``keys`` and ``buckets`` are for a new table."""
 
     spark: SparkSession
     path: str
     keys: tuple[str, ...]
     buckets: int = 64
     settled: str | None = None
+    small_bytes: int | None = None
 
     @property
     def data(self) -> str:
         return f"{self.path}/data"
 
-    def _stage(self, batch: str) -> str:
-        return f"{self.path}/stage/{batch}"
-
-    def bucket_of(self, columns: Sequence[str]) -> Column:
-        whole = F.xxhash64(*[c for c in columns if c != BUCKET])
-        value = F.when(any_null(self.keys), whole).otherwise(F.xxhash64(*self.keys)) if self.keys else whole
-        return F.pmod(value, F.lit(self.buckets)).cast("int")
-
-    def create(self, rows: DataFrame) -> None:
-        live, done = self._split(rows)
-        placed = live.withColumn(BUCKET, self.bucket_of(live.columns))
-        _by_bucket(placed).mode("overwrite").parquet(self.data)
-        if done is not None:
-            done.write.mode("overwrite").parquet(f"{self._added}/part=first")
-        self._keep_schema(rows)
-
-    def _split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        if not self.settled:
-            return rows, None
-        done = F.coalesce(F.expr(self.settled), F.lit(False))
-        return rows.where(~done), rows.where(done)
-
-    def add(self, rows: DataFrame, batch: str) -> None:
-        """Append without matching, one folder per batch, so a repeated batch replaces
-        its own rows."""
-        stored = self._stored().drop(BUCKET)
-        wide = widen(stored, rows)
-        if len(wide.columns) > len(stored.columns):
-            self._keep_schema(wide)
-        rows.write.mode("overwrite").parquet(f"{self._added}/part={batch}")
-
     @property
-    def _added(self) -> str:
-        return f"{self.path}/added"
+    def _versions(self) -> str:
+        return f"{self.path}/versions"
+
+    def version(self) -> Version | None:
+        names = [n for n in storage.children(self.spark, self._versions) if n.endswith(".json")]
+        if not names:
+            return None
+        found = Version.of(storage.read_text(self.spark, f"{self._versions}/{names[-1]}"))
+        if self.keys and found.keys != self.keys:
+            raise ValueError(f"{self.path} is keyed by {list(found.keys)}, not {list(self.keys)}")
+        return found
+
+    def _known(self) -> Version:
+        found = self.version()
+        if found is None:
+            raise MissingTableError(self.path)
+        return found
+
+    def committed(self, writer: str, token: str) -> bool:
+        found = self.version()
+        return found is not None and found.writers.get(writer) == token
+
+    def last_number(self, writer: str) -> int:
+        """The last of a writer's numbered tokens, -1 if it has none."""
+        found = self.version()
+        return int(found.writers.get(writer, -1)) if found else -1
+
+    def _commit(self, new: Version) -> None:
+        """The last step of every change: one file, which must not be there yet."""
+        if not storage.publish_text(self.spark, f"{self._versions}/{new.number:012d}.json", new.text()):
+            raise StaleTableError(f"{self.path} has a version {new.number} already")
+
+    def _let_go(self, old: Version) -> None:
+        """Folders that the version before the new one had already given up, and old descriptions."""
+        for bucket, write in old.retired:
+            storage.purge(self.spark, f"{self.data}/{BUCKET}={bucket}/{WRITE}={write}")
+        if old.number > KEPT_VERSIONS:
+            storage.purge(self.spark, f"{self._versions}/{old.number - KEPT_VERSIONS:012d}.json")
+
+    def bucket_of(self, columns: Sequence[str], buckets: int | None = None) -> Column:
+        """Where a row belongs. The columns are not needed for it: a row without a key has its own bucket."""
+        if not self.keys:
+            return F.lit(SETTLED)
+        text = [F.col(k).cast("string") for k in self.keys]
+        hashed = F.pmod(F.xxhash64(*text), F.lit(buckets or self.buckets)).cast("int")
+        return F.when(any_null(self.keys), F.lit(NO_KEY)).otherwise(hashed)
+
+    def _write(self, rows: DataFrame) -> tuple[str, dict[int, list[str]]]:
+        """Rows with their bucket into new folders; returns which buckets got one."""
+        write = f"w{uuid.uuid4().hex}"
+        rows.withColumn(WRITE, F.lit(write)).write.mode("append").partitionBy(BUCKET, WRITE).parquet(self.data)
+        found = storage.matching(self.spark, f"{self.data}/{BUCKET}=*/{WRITE}={write}")
+        return write, {int(p.split(f"{BUCKET}=")[1].split("/")[0]): [write] for p in found}
+
+    def _place(self, rows: DataFrame, buckets: int) -> DataFrame:
+        place = self.bucket_of(rows.columns, buckets)
+        if self.settled:
+            place = F.when(F.coalesce(F.expr(self.settled), F.lit(False)), F.lit(SETTLED)).otherwise(place)
+        return rows.withColumn(BUCKET, place)
+
+    def create(self, rows: DataFrame, note: Mapping[str, object] | None = None) -> None:
+        """The table's content is ``rows``, whatever it was. Without keys nothing is shuffled."""
+        old = self.version()
+        placed = self._place(rows, self.buckets)
+        _, parts = self._write(placed.hint("rebalance", BUCKET) if self.keys else placed)
+        gone = tuple((b, w) for b, ws in old.parts.items() for w in ws) if old else ()
+        number = old.number + 1 if old else 1
+        self._commit(Version(number, rows.schema, self.keys, self.buckets, parts, gone, note=dict(note or {})))
+        if old:
+            self._let_go(old)
+
+    def add(self, rows: DataFrame, token: str, writer: str = "", note: Mapping[str, object] | None = None) -> None:
+        """Append without matching; a token that the writer committed last adds nothing."""
+        old = self._known()
+        if old.writers.get(writer) == token:
+            return
+        schema, rows = agree(old.schema, rows, old.keys)
+        write, found = self._write(rows.withColumn(BUCKET, F.lit(SETTLED)))
+        parts = {**old.parts}
+        for b in found:
+            parts[b] = [*parts.get(b, []), write]
+        self._commit(replace(old, number=old.number + 1, schema=schema, parts=parts, retired=(), writers={**old.writers, writer: token}, note=old.note if note is None else dict(note)))
+        self._let_go(old)
+
+    def remember(self, note: Mapping[str, object]) -> None:
+        """Keep a note with the table, in a version of its own."""
+        old = self._known()
+        self._commit(replace(old, number=old.number + 1, note=dict(note)))
 
     def read_open(self) -> DataFrame:
         """The rows that may still change."""
-        return self._stored().drop(BUCKET)
+        old = self._known()
+        return self._rows(old, [b for b in old.parts if b != SETTLED]).drop(BUCKET)
 
     def read(self) -> DataFrame:
-        base = self.read_open()
-        if not storage.exists(self.spark, self._added):
-            return base
-        added = self.spark.read.schema(base.schema).option("recursiveFileLookup", True).parquet(self._added)
-        return base.unionByName(added)
-
-    def schema(self) -> T.StructType:
-        return self.spark.read.parquet(f"{self.path}/schema").schema
-
-    def _keep_schema(self, rows: DataFrame) -> None:
-        self.spark.createDataFrame([], rows.drop(BUCKET).schema).write.mode("overwrite").parquet(f"{self.path}/schema")
-
-    def _stored(self) -> DataFrame:
-        """Files from before a column was added read it as null."""
-        wide = T.StructType([*self.schema().fields, T.StructField(BUCKET, T.IntegerType())])
-        return self.spark.read.schema(wide).parquet(self.data)
-
-    def touched(self, delta: DataFrame) -> dict[int, int]:
-        """Buckets the delta falls in, with the bytes of its keys: at most ``buckets``
-        pairs of numbers."""
+        old = self._known()
+        return self._rows(old, list(old.parts)).drop(BUCKET)
+
+    def _rows(self, version: Version, buckets: Sequence[int]) -> DataFrame:
+        """Stored rows with their bucket; files from before a column was added read it as null."""
+        wide = T.StructType([*version.schema.fields, T.StructField(BUCKET, T.IntegerType())])
+        paths = [f"{self.data}/{BUCKET}={b}/{WRITE}={w}" for b in buckets for w in version.parts.get(b, [])]
+        if not paths:
+            return self.spark.createDataFrame([], wide)
+        full = T.StructType([*wide.fields, T.StructField(WRITE, T.StringType())])
+        return self.spark.read.schema(full).option("basePath", self.data).parquet(*paths).drop(WRITE)
+
+    def touched(self, delta: DataFrame, buckets: int | None = None) -> dict[int, int]:
+        """Buckets the delta falls in, with the bytes of its keys: at most one pair of numbers
+        per bucket."""
         size = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) + 16 for k in self.keys), F.lit(0))
-        rows = delta.groupBy(self.bucket_of(delta.columns).alias(BUCKET)).agg(F.sum(size).alias("b")).collect()
+        rows = delta.groupBy(self.bucket_of(delta.columns, buckets).alias(BUCKET)).agg(F.sum(size).alias("b")).collect()
         return {r[BUCKET]: r.b for r in rows}
 
-    def apply(self, delta: DataFrame, change: Change, batch: str, every_bucket: bool = False) -> None:
+    def apply(
+        self,
+        delta: DataFrame,
+        change: Change,
+        token: str,
+        with_no_key: bool = False,
+        writer: str = "",
+        note: Mapping[str, object] | None = None,
+        also: str | None = None,
+        matching: bool = True,
+    ) -> None:
         """Rewrite the touched buckets with ``change(target_rows, delta, small)``.
 
         ``small`` says that the delta's keys were measured and are safe to broadcast. The
         kept rows then go from scan to file without a shuffle, and only the delta's own
-        rows are brought together by bucket. Larger deltas rebalance everything.
-        ``every_bucket`` is for changes that also concern null-key rows, which lie anywhere.
-
-        New content goes to a stage folder first and is marked when whole. A batch
-        that died after the mark is only published again, which gives the same table;
-        one that died before it starts over on untouched data."""
-        if not self._staged(batch):
-            hits = self.touched(delta)
-            if not hits:
-                return
-            buckets = list(range(self.buckets)) if every_bucket else sorted(hits)
-            small = sum(hits.values()) <= SMALL_KEY_BYTES
-            stored = self._stored()
-            fresh = change(stored.where(F.col(BUCKET).isin(buckets)), delta, small)
-            if len(fresh.columns) > len(stored.columns):
-                self._keep_schema(fresh)
-            spread = F.pmod(F.xxhash64(*fresh.columns), F.lit(len(buckets))).cast("int") + 1
-            place = self.bucket_of(self.keys)
-            place = F.coalesce(F.when(any_null(self.keys), F.element_at(F.lit(buckets), spread)), place)
-            fresh, done = self._split(fresh)
-            if done is not None:
-                done.drop(BUCKET).write.mode("overwrite").parquet(self._stage(batch) + "-settled")
-            old, new = fresh.where(F.col(BUCKET).isNotNull()), fresh.where(F.col(BUCKET).isNull())
-            new = new.withColumn(BUCKET, place)
-            if small:
-                rows = old.unionByName(new.hint("rebalance", BUCKET)).write.partitionBy(BUCKET)
-            else:
-                rows = _by_bucket(old.unionByName(new))
-            rows.mode("overwrite").parquet(self._stage(batch))
-            self.spark.range(0, 1, 1, 1).write.mode("overwrite").parquet(self._stage(batch) + "-whole")
-        staged = self.spark.read.parquet(self._stage(batch))
-        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(
-            self.data
-        )
-        if self.settled:
-            done = self.spark.read.schema(self.schema()).parquet(self._stage(batch) + "-settled")
-            done.write.mode("overwrite").parquet(f"{self._added}/part={batch}")
-        self._drop_older_stages(batch)
-
-    def _drop_older_stages(self, batch: str) -> None:
-        """The stage just published stays until the next one, for a batch that is repeated."""
-        folder = f"{self.path}/stage"
-        for name in storage.children(self.spark, folder):
-            if name not in (batch, f"{batch}-whole", f"{batch}-settled"):
-                storage.purge(self.spark, f"{folder}/{name}")
-
-    def _staged(self, batch: str) -> bool:
-        """The mark's file appears when its write commits."""
-        return any(n.startswith("part-") for n in storage.children(self.spark, f"{self._stage(batch)}-whole"))
-
-
-def _by_bucket(rows: DataFrame) -> DataFrameWriter:
-    """Rebalancing brings a bucket's rows together; AQE cuts large buckets into several
-    files and merges small ones."""
-    return rows.hint("rebalance", BUCKET).write.partitionBy(BUCKET)
+        rows are brought together by bucket. Larger deltas rebalance everything. Rows without a
+        key come into ``change`` only if ``with_no_key``, else new ones are added beside them; ``also``
+        is a predicate for stored rows, settled ones too, whose folders must come in. Without ``matching``
+        the delta only adds rows, and just those folders come in."""
+        old = self._known()
+        if old.writers.get(writer) == token:
+            return
+        schema, delta = agree(old.schema, delta, old.keys)
+        old = replace(old, schema=schema)
+        hits = self.touched(delta, old.buckets)
+        rewritten = {b for b in hits if b >= 0 and matching} | ({NO_KEY} if with_no_key else set())
+        if also:
+            met = self._rows(old, list(old.parts)).where(F.expr(also)).select(BUCKET).distinct().collect()
+            rewritten |= {r[BUCKET] for r in met}
+        if not hits and not rewritten:
+            return
+        small = sum(hits.values()) <= (SMALL_KEY_BYTES if self.small_bytes is None else self.small_bytes)
+        stored = self._rows(old, sorted(b for b in rewritten if b in old.parts))
+        fresh = change(stored, delta, small)
+        schema = T.StructType([f for f in fresh.schema.fields if f.name != BUCKET])
+        kept, new = fresh.where(F.col(BUCKET).isNotNull()), fresh.where(F.col(BUCKET).isNull())
+        kept, new = self._settle(kept), self._place(new.drop(BUCKET), old.buckets)
+        rows = kept.unionByName(new.hint("rebalance", BUCKET)) if small else kept.unionByName(new).hint("rebalance", BUCKET)
+        write, found = self._write(rows)
+        parts = {b: list(ws) for b, ws in old.parts.items() if b not in rewritten}
+        for b in found:
+            parts[b] = [*parts.get(b, []), write]
+        gone = tuple((b, w) for b in rewritten for w in old.parts.get(b, []))
+        writers = {**old.writers, writer: token}
+        self._commit(Version(old.number + 1, schema, old.keys, old.buckets, parts, gone, writers, old.note if note is None else dict(note)))
+        self._let_go(old)
+
+    def _settle(self, rows: DataFrame) -> DataFrame:
+        if not self.settled:
+            return rows
+        done = F.coalesce(F.expr(self.settled), F.lit(False))
+        return rows.withColumn(BUCKET, F.when(done, F.lit(SETTLED)).otherwise(F.col(BUCKET)))
+
+    def vacuum(self) -> int:
+        """Remove folders that the current version doesn't name, such as dead writes left. No writer and
+        no reader of an older version may be at work."""
+        old = self._known()
+        live = {(b, w) for b, ws in old.parts.items() for w in ws}
+        gone = 0
+        for path in storage.matching(self.spark, f"{self.data}/{BUCKET}=*/{WRITE}=*"):
+            bucket, write = path.split(f"{BUCKET}=")[1].split(f"/{WRITE}=")
+            if (int(bucket), write) not in live:
+                gone += storage.purge(self.spark, path)
+        return gone

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.values import ZERO_DATES
+from tidemark.functions.values import ZERO_DATES, strict_cast
 
-CORRUPT = "_corrupt_record"
+CORRUPT, SOURCE = "_corrupt_record", "_source_file"
 # The escapes a tab-separated dump uses after a backslash.
 DUMP_ESCAPES = (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\\0", "\0"), ("\\b", "\b"), ("\\Z", "\x1a"))
 DUMP_NULL = "\\N"
@@ -22,7 +24,8 @@ DUMP_NULL = "\\N"
 
 @dataclass(frozen=True)
 class FileFormat:
-    """A declared file format. ``extras`` are reader options used as they are."""
+    """A declared file format. ``extras`` are reader options used as they are. A record that does not
+    fit the schema ends the load, unless ``extras`` names another ``mode``."""
 
     kind: str = "CSV"  # CSV, PARQUET, JSON
     delimiter: str = ","
@@ -34,7 +37,7 @@ class FileFormat:
 
     def options(self) -> dict[str, str]:
         if self.kind != "CSV":
-            return dict(self.extras)
+            return {**({"mode": "FAILFAST"} if self.kind == "JSON" else {}), **self.extras}
         return {
             "sep": self.delimiter,
             "quote": self.quote,
@@ -42,7 +45,7 @@ class FileFormat:
             "header": "true" if self.skip_header == 1 else "false",
             "enforceSchema": "true",
             "multiLine": str(self.multiline).lower(),
-            "mode": "PERMISSIVE",
+            "mode": "FAILFAST",
             **self.extras,
         }
 
@@ -51,7 +54,7 @@ def read_declared(
     spark: SparkSession, path: str, fmt: FileFormat, schema: T.StructType | str | None = None
 ) -> DataFrame:
     if fmt.kind == "CSV" and fmt.skip_header > 1:
-        return _read_after_lines(spark, path, fmt, schema)
+        return read_after_lines(spark, path, fmt, schema).drop(SOURCE)
     reader = spark.read.options(**fmt.options())
     if schema is not None:
         reader = reader.schema(schema)
@@ -61,10 +64,13 @@ def read_declared(
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, fmt: FileFormat | None = None) -> DataFrame:
-    """Quoted CSV where an empty field, quoted or not, is null and short rows are allowed."""
-    rows = read_declared(spark, path, fmt or FileFormat(), schema)
-    text = {f.name for f in rows.schema if isinstance(f.dataType, T.StringType)}
-    return rows.select([F.nullif(F.col(c), F.lit("")).alias(c) if c in text else F.col(c) for c in rows.columns])
+    """Quoted CSV where an empty field, quoted or not, is null and short rows are allowed. Fields are
+    read as text and must then fit their types."""
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    fmt = fmt or FileFormat()
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])
+    rows = read_declared(spark, path, replace(fmt, extras={"mode": "PERMISSIVE", **fmt.extras}), text)
+    return rows.select([strict_cast(F.nullif(F.col(f.name), F.lit("")), f.dataType, f.name).alias(f.name) for f in wanted.fields])
 
 
 def read_by_name(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -85,18 +91,56 @@ def _dump_field(raw: Column) -> Column:
     return F.when(~raw.isin(DUMP_NULL, *ZERO_DATES), text)
 
 
-def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, schema: T.StructType, rejects: bool = False) -> DataFrame:
     """Tab-separated dump: ``\\N`` and zero dates are null, empty text stays empty.
 
     Raw tabs and line ends are escaped by the writer, so plain lines can be split
-    across tasks."""
+    across tasks. Fields that a line lacks are null. A line with more fields, or a value that does not fit
+    its type, ends the load; with ``rejects`` such lines come with nulls and their text in ``_corrupt_record``.
+    Files named ``.zst`` are unpacked while they are read, each by one task."""
+    return _tsv_rows(_dump_lines(spark, path), schema, rejects)
+
+
+def _tsv_rows(lines: DataFrame, schema: T.StructType, rejects: bool) -> DataFrame:
     fields = F.split("value", "\t", -1)
-    return spark.read.text(path, lineSep="\n").select(
-        [
-            _dump_field(F.get(fields, F.lit(i))).try_cast(f.dataType).alias(f.name)
-            for i, f in enumerate(schema.fields)
-        ]
-    )
+    n, kinds = len(schema.fields), schema.fields
+    if not rejects:
+        counted = F.when(F.size(fields) <= n, fields).otherwise(F.raise_error(F.concat(F.lit(f"more than {n} fields: "), "value")).cast("array<string>"))
+        got = lines.select(counted.alias("f"))
+        return got.select([strict_cast(_dump_field(F.get("f", F.lit(i))), f.dataType, f.name).alias(f.name) for i, f in enumerate(kinds)])
+    raw = lines.select("value", *[_dump_field(F.get(fields, F.lit(i))).alias(f"t{i}") for i in range(n)], (F.size(fields) > n).alias("odd"))
+    cast = [F.col(f"t{i}").try_cast(f.dataType) for i, f in enumerate(kinds)]
+    bad = F.col("odd")
+    for i, c in enumerate(cast):
+        bad = bad | (F.col(f"t{i}").isNotNull() & c.isNull())
+    return raw.select(*[c.alias(f.name) for c, f in zip(cast, kinds)], F.when(bad, F.col("value")).alias(CORRUPT))
+
+
+def _dump_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a dump, packed or not."""
+    packed = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.zst").load(path)
+    names = packed.select(F.col("path").alias("value"))
+    plain = spark.read.text(path, lineSep="\n")
+    if names.isEmpty():
+        return plain
+    # one file to a task: a packed file cannot be split
+    files = names.repartition(F.col("value")).mapInArrow(_unpack, "value string")
+    others = plain.where(~F.endswith(F.col("_metadata.file_path"), F.lit(".zst"))).select("value")
+    return files.unionByName(others)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of zstd files in batches of a few megabytes, whatever the size of a file."""
+    for batch in batches:
+        for name in batch.column("value").to_pylist():
+            store, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
+            with store.open_input_stream(place, compression="zstd") as source:
+                rest = b""
+                while piece := source.read(1 << 22):
+                    *lines, rest = (rest + piece).split(b"\n")
+                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()).cast(pa.string())], ["value"])
+                if rest:
+                    yield pa.RecordBatch.from_arrays([pa.array([rest], pa.binary()).cast(pa.string())], ["value"])
 
 
 def tsv_line(df: DataFrame) -> Column:
@@ -112,37 +156,47 @@ def tsv_line(df: DataFrame) -> Column:
 
 
 def _line_skipper(count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Drops the first lines of each file. Lines reach a task in file order, so what is left to drop
+    of the file last seen is all the state; batches without a file's start pass as they are."""
+
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, seen = None, 0
+        path, left = None, 0
         for batch in batches:
-            keep = []
-            for name, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
+            names = batch.column("path").dictionary_encode() if batch.num_rows else None
+            if names is None:
+                continue
+            codes = names.indices.to_numpy()
+            begins = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            ends = np.append(begins[1:], batch.num_rows)
+            keep = np.ones(batch.num_rows, bool)
+            for lo, hi in zip(begins.tolist(), ends.tolist()):
+                name = names.dictionary[int(codes[lo])].as_py()
                 if name != path:
-                    path, seen = name, 0
-                seen += 1
-                keep.append(start > 0 or seen > count)
-            yield pa.RecordBatch.from_arrays(
-                [pc.filter(batch.column("value"), pa.array(keep))], names=["value"]
-            )
+                    path, left = name, count if batch.column("start")[lo].as_py() == 0 else 0
+                keep[lo : min(hi, lo + left)] = False
+                left -= min(hi - lo, left)
+            kept = batch if keep.all() else batch.filter(pa.array(keep))
+            yield kept.select(["value", "path"])
 
     return drop
 
 
-def _read_after_lines(spark: SparkSession, path: str, fmt: FileFormat, schema: T.StructType | str) -> DataFrame:
-    """Skip the first lines of each file where they lie: in the split that starts it.
-
-    Lines reach a task in file order, so one counter per file is all the state."""
+def read_after_lines(spark: SparkSession, path: str, fmt: FileFormat, schema: T.StructType | str, pattern: str | None = None) -> DataFrame:
+    """Skip the first lines of each file where they lie: in the split that starts it. The file's path
+    comes along as ``SOURCE``."""
     if schema is None:
         raise ValueError("skipping more than one line needs a schema")
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")
-    )
-    body = lines.mapInArrow(_line_skipper(fmt.skip_header), "value string")
+    reader = spark.read.options(**{k: v for k, v in fmt.extras.items() if k == "recursiveFileLookup"})
+    lines = reader.text(path)
+    if pattern is not None:
+        lines = lines.where(F.col("_metadata.file_path").rlike(pattern))
+    lines = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    body = lines.mapInArrow(_line_skipper(fmt.skip_header), "value string, path string")
     ddl = schema if isinstance(schema, str) else ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields
     )
-    options = {k: v for k, v in fmt.options().items() if k not in ("header", "multiLine", "enforceSchema")}
-    return body.select(F.from_csv("value", ddl, options).alias("r")).select("r.*")
+    options = {k: v for k, v in fmt.options().items() if k not in ("header", "multiLine", "enforceSchema", "recursiveFileLookup")}
+    return body.select(F.from_csv("value", ddl, options).alias("r"), F.col("path").alias(SOURCE)).select("r.*", SOURCE)
 
 
 def read_matching(reader: Callable[[SparkSession], DataFrame], spark: SparkSession, pattern: str) -> DataFrame:
@@ -184,7 +238,7 @@ def read_with_rejects(spark: SparkSession, path: str, schema: T.StructType, fmt:
     Save the result before asking which are bad: the reader parses only the columns a
     query names."""
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    options = {**fmt.options(), "columnNameOfCorruptRecord": CORRUPT}
+    options = {**fmt.options(), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     return spark.read.schema(wide).options(**options).format(fmt.kind.lower()).load(path)
 
 

@@ -129,11 +129,12 @@ def scan(
 
 
 def ranged(df: DataFrame, column: str, partitions: int) -> DataFrame:
-    """Rows of a file source spread over key ranges when the column is a whole number.
+    """Rows of a source that came in fewer partitions, spread over key ranges when the column is a whole
+    number.
 
-    Other types keep the partitions the source gave, as a JDBC source would keep one. The
-    row hash as second range column lets one repeated value spread over partitions."""
-    if not isinstance(df.schema[column].dataType, T.IntegralType):
+    Files that lie in enough splits, and other types, keep what the source gave. The row hash as second
+    range column lets one repeated value spread over partitions."""
+    if not isinstance(df.schema[column].dataType, T.IntegralType) or df.rdd.getNumPartitions() >= partitions:
         return df
     return df.repartitionByRange(partitions, F.col(column), F.xxhash64(*df.columns))
 

@@ -6,14 +6,16 @@ shared folder, so a lost executor or driver resumes from them.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.values import ntz
+from tidemark.functions.values import literal_for, ntz, time_ceiling
 from tidemark.operators.apply import apply_history, upsert
+from tidemark.sinks import storage
 from tidemark.sinks.tables import KeyedTable
 from tidemark.sources.scan import within
 
@@ -41,7 +43,9 @@ def file_stream(
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str) -> int:
-    """Append every new file's rows to a Parquet folder; returns the batches that ran."""
+    """Append every new file's rows to a Parquet folder; returns the batches that ran, as the
+    checkpoint counts them."""
+    spark, before = stream.sparkSession, _commits(stream.sparkSession, checkpoint)
     query = (
         stream.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
@@ -50,7 +54,11 @@ def ingest(stream: DataFrame, path: str, checkpoint: str) -> int:
         .start(path)
     )
     query.awaitTermination()
-    return sum(1 for p in query.recentProgress if p["numInputRows"])
+    return len(_commits(spark, checkpoint) - before)
+
+
+def _commits(spark: SparkSession, checkpoint: str) -> set[str]:
+    return {n for n in storage.children(spark, f"{checkpoint}/commits") if n.isdigit()}
 
 
 def for_each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -67,9 +75,10 @@ def stream_upsert(
     watermark: str | None = None,
     history: bool = False,
 ) -> None:
-    """Apply each micro-batch to a keyed table. A replayed batch has the same number and
-    gives the same table."""
+    """Apply each micro-batch to a keyed table. A replayed batch has the same number under the same
+    checkpoint, and the table knows the last one of each checkpoint that it took."""
     change = apply_history if history else upsert
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def handle(batch: DataFrame, number: int) -> None:
         def apply(target: DataFrame, delta: DataFrame, small: bool) -> DataFrame:
@@ -77,13 +86,37 @@ def stream_upsert(
 
         batch.persist()
         try:
-            table.apply(batch, apply, f"s{number}")
+            if batch.isEmpty() or number <= table.last_number(writer):
+                return
+            table.apply(batch, apply, str(number), writer=writer)
         finally:
             batch.unpersist()
 
     for_each_batch(stream, handle, checkpoint)
 
 
+def stream_settled(
+    stream: DataFrame, column: str, lag_minutes: int, path: str, held: str, checkpoint: str, clock: Callable[[], datetime]
+) -> None:
+    """Append rows once they are old enough: younger ones than the source's clock less the lag wait below
+    ``held`` and come with a later batch. A batch writes folders named by its number, from the folder of
+    the number before it, so a replayed batch replaces its own."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark, ceiling = batch.sparkSession, literal_for(batch, column, time_ceiling(clock(), lag_minutes))
+        before = f"{held}/{number - 1}"
+        waiting = spark.read.schema(batch.schema).parquet(before) if storage.exists(spark, before) else batch.limit(0)
+        rows = batch.unionByName(waiting).persist()
+        try:
+            young = F.coalesce(F.col(column) > ceiling, F.lit(False))
+            rows.where(young).write.mode("overwrite").parquet(f"{held}/{number}")
+            rows.where(~young).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            rows.unpersist()
+
+    for_each_batch(stream, handle, checkpoint)
+
+
 def guarded(batch: DataFrame, column: str, cursor: object, ceiling: datetime) -> DataFrame:
     """The rows of a window that are old enough; younger ones come with the next run,
     whose cursor starts at this ceiling."""
