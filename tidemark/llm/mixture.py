@@ -2,9 +2,9 @@
 
 A document's hash is a number of 60 bits that depends on its id alone. Each source takes the
 documents whose hash is below its threshold, and the threshold is where the sizes below it come
-nearest the budget. It is found 15 bits at a time: sizes are summed by source and hash bucket,
+nearest the budget. It is found 10 bits at a time: sizes are summed by source and hash bucket,
 the bucket where the budget runs out is the boundary, and only that bucket's documents are
-summed again by the next 15 bits. Nothing is sorted but at most 32,768 sums of a source.
+summed again by the next 15 bits. Nothing is sorted but at most 1024 sums of a source.
 Thresholds of larger budgets lie above those of smaller ones, so mixes are nested.
 """
 
@@ -18,7 +18,7 @@ from tidemark.llm.common import digest60, saved, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-_STEP, _LEVELS = 15, 4
+_STEP, _LEVELS = 10, 6
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
