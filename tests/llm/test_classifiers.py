@@ -16,7 +16,7 @@ def measures(texts, lexicon):
 def test_grammar_scores_clauses_not_words():
     texts = ["you idiot", "he said you idiot", "not an idiot", "not. idiot", "an idiot and a moron", "an idiot. a moron", "I will hurt you", "they hurt", "they never hurt", "", None, "IDIOT!"]
     got = measures(texts, {"idiot": 2.0, "moron": 3.0})
-    n = np.sqrt(np.array([len(plain.ALNUM.findall(t or "")) for t in texts]) + 10)
+    n = np.sqrt(np.array([len(plain.ALNUM.findall((t or "").translate(plain.FOLD))) for t in texts]) + 10)
     got = {t: dict(zip(toxicity.MEASURES, row * k)) for t, row, k in zip(texts, got, n)}
     near = lambda a, b: abs(a - b) < 1e-9
     assert near(got["you idiot"]["plain"], 2) and near(got["you idiot"]["aimed"], 2)
@@ -78,8 +78,8 @@ def test_quality_without_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = weaklabels.judge(docs, weaklabels.learn(docs)).join(labels, "doc_id").select("score", "posterior", "quality").collect()
     truth, score = np.array([x.quality for x in got]), np.array([x.score for x in got])
-    assert ((score >= 0.5) == truth).mean() > 0.93
-    assert (score[truth == 1] >= 0.5).mean() > 0.97
+    assert ((score >= 0.5) == truth).mean() > 0.98
+    assert (score[truth == 1] >= 0.5).mean() > 0.99
 
 
 def test_classifier_edges(spark):
@@ -87,7 +87,7 @@ def test_classifier_edges(spark):
     rows = [(1, "some good words here", "x", 1), (1, "some good words here", "x", 1), (None, None, None, None), (2, "", "", 0), (3, "fine " * 30_000, "", 0)]
     docs = spark.createDataFrame(rows, schema)
     got = weaklabels.judge(docs, weaklabels.learn(docs)).collect()
-    assert len(got) == 5 and all(0 <= x.score <= 1 and 0 <= x.posterior <= 1 and len(x.votes) == 7 for x in got)
+    assert len(got) == 5 and all(0 <= x.score <= 1 and 0 <= x.posterior <= 1 and len(x.votes) == 11 for x in got)
     assert [x.score for x in got if x.doc_id in (None, 2)] == [0, 0]
     empty = docs.limit(0)
     assert weaklabels.judge(empty, weaklabels.learn(empty)).collect() == []

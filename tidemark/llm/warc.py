@@ -194,7 +194,9 @@ class WarcReader(DataSourceReader):
         found = store.get_file_info(fs.FileSelector(root, recursive=False, allow_not_found=True))
         return [Stretch(i.base_name, 0, None) for i in found if i.base_name.endswith((".warc", ".warc.gz"))]
 
-    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Stretch | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an archive without records
+            return
         store, root = fs.FileSystem.from_uri(self.path)
         with store.open_input_file(f"{root}/{partition.name}") as source:
             rows, held = [], 0

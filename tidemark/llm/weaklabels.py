@@ -1,8 +1,8 @@
 """A quality classifier from overlapping heuristics instead of labels.
 
-Seven heuristic labellers vote good, bad or not at all on a text. How often each of them errs, and how
+Eleven heuristic labellers vote good, bad or not at all on a text. How often each of them errs, and how
 common good texts are, is estimated by expectation-maximisation from the counts of vote patterns (at most
-3^7 rows, whatever the corpus). The posteriors of the patterns then teach a linear scorer over hashed
+3^11 rows, whatever the corpus). The posteriors of the patterns then teach a linear scorer over hashed
 features of the text, which also judges what no labeller votes on. The scorer learns from a sample of at
 most about ``TRAIN_ROWS`` texts; votes, pattern counts and scores cover all of them.
 """
@@ -22,12 +22,13 @@ from tidemark.llm.words import SPACED, Block, Spans, blocks, lists, mix
 
 TRAIN_ROWS, FEATURE_BITS = 10_000, 16
 GOOD, BAD, NONE = 1, 0, 2
-LABELLERS = ("symbols", "repeats", "lines", "length", "word_length", "capitals", "sentences")
+LABELLERS = ("symbols", "repeats", "lines", "length", "word_length", "capitals", "sentences", "letters", "marks", "echoes", "top_word")
 
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _UPPER = np.array([0x41 <= b <= 0x5A for b in range(256)])
 _LETTER = np.array([chr(b).isalpha() if b < 128 else b >= 0xC0 for b in range(256)])
 _DIGIT = np.array([0x30 <= b <= 0x39 for b in range(256)])
+_MARK = np.array([0x21 <= b < 0x7F and not chr(b).isalnum() for b in range(256)])
 _STOP = np.isin(np.arange(256), list(b".!?"))
 _LEAD = np.array([b < 0x80 or b >= 0xC0 for b in range(256)])
 
@@ -77,6 +78,16 @@ def votes(block: Block, hashes: np.ndarray, repeated: np.ndarray) -> np.ndarray:
     in_words = _sums(_LEAD[block.data])
     word_length = per_word(in_words[block.ends] - in_words[block.starts]) / some
     stops = per_word(_STOP[block.data[block.ends - 1]]) / some
+    # words that end in two marks, or are one
+    last, first = block.ends - 1, block.starts
+    marks = per_word(_MARK[block.data[last]] & (_MARK[block.data[np.maximum(last - 1, first)]])) / some
+    text = block.text
+    same = np.append(False, (hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1]))[: len(text)]
+    _, at, times = np.unique(mix(hashes + text.astype(np.uint64)), return_index=True, return_counts=True)
+    top = np.zeros(rows)
+    np.maximum.at(top, text[at], times)
+    echoes, top = per_word(same) / some, top / some
+    letter_share = letters / np.maximum(per_text(SPACED[block.data]), 1)
     lines, copies = _duplicate_lines(block)
     symbols, repeats = per_text(_SYMBOL[block.data]) / some, per_word(repeated) / some
     capitals, copied = per_text(_UPPER[block.data]) / letters, copies / np.maximum(lines, 1)
@@ -85,10 +96,14 @@ def votes(block: Block, hashes: np.ndarray, repeated: np.ndarray) -> np.ndarray:
         (symbols > 0.1, symbols <= 0.01),
         (repeats > 0.4, repeats < 0.15),
         (copied > 0.3, (copies == 0) & (lines >= 2)),
-        (n < 15, n >= 60),
+        (n < 4, n >= 60),
         ((word_length < 2.5) | (word_length > 12), (word_length > 3) & (word_length < 9)),
         (capitals > 0.4, capitals < 0.15),
         ((n >= 30) & ((stops < 0.005) | (stops > 0.5)), (n >= 30) & (stops > 0.02) & (stops < 0.4)),
+        (letter_share < 0.8, letter_share > 0.9),
+        (marks > 0.2, marks < 0.05),
+        ((n >= 10) & (echoes > 0.1), (n >= 10) & (echoes < 0.03)),
+        ((n >= 30) & (top > 0.2), (n >= 30) & (top < 0.13)),
     ]
     out = np.full((rows, len(rules)), NONE, np.int8)
     for k, (bad, good) in enumerate(rules):
@@ -126,8 +141,8 @@ def features(block: Block, hashes: np.ndarray, repeated: np.ndarray) -> tuple[np
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
     """The posterior of being good for each vote pattern, by expectation-maximisation.
 
-    It starts from the share of good votes; each labeller has its own rates of the three votes on
-    good and on bad texts, smoothed by one text."""
+    It starts from the share of good votes; each labeller that votes has its own rate of bad votes
+    on good and on bad texts, smoothed by one text."""
     good = (patterns == GOOD).sum(axis=1)
     post = (good + 0.5) / (good + (patterns == BAD).sum(axis=1) * 3 + 1.0)
     for _ in range(rounds):
@@ -135,8 +150,9 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.
         prior = (weight.sum(axis=1) + 1) / (counts.sum() + 2)
         log = np.log(prior)[:, None] + np.zeros((2, len(patterns)))
         for k in range(patterns.shape[1]):
-            rate = np.stack([weight[:, patterns[:, k] == v].sum(axis=1) + 1 for v in range(3)], axis=1)
-            log += np.log(rate / rate.sum(axis=1, keepdims=True))[:, patterns[:, k]]
+            rate = np.stack([weight[:, patterns[:, k] == v].sum(axis=1) + 1 for v in (BAD, GOOD)], axis=1)
+            seen = np.log(rate / rate.sum(axis=1, keepdims=True))
+            log += np.column_stack([seen, np.zeros(2)])[:, patterns[:, k]]  # no vote says nothing
         after = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
         done = np.abs(after - post).max() < 1e-9
         post = after
