@@ -18,6 +18,16 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Stored keys of at most so many rows (some tens of megabytes) are broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of narrow keys for one side of a join: counted, and broadcast if it is small, so
+    that the texts on the other side stay where they are; beyond that an ordinary join."""
+    return F.broadcast(stored) if stored.count() <= rows else stored
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import saved
+from tidemark.llm.common import saved, small_side
 from tidemark.llm.graph import components
 
 BITS = 64
@@ -258,6 +258,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shi
     judged = copies.join(best.withColumn("wins", F.lit(True)), ["h1", "h2"], "left")
     judged = saved(judged.where("wins IS NULL OR copies > 1").select("h1", "h2", "wins"), "simhash-judged")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), *keys)
-    once = keyed.join(judged, ["h1", "h2"], "left_anti").select("row.*")
-    again = keyed.join(judged.where("wins"), ["h1", "h2"], "left_semi").select("row.*").dropDuplicates()
+    once = keyed.join(small_side(judged), ["h1", "h2"], "left_anti").select("row.*")
+    again = keyed.join(small_side(judged.where("wins")), ["h1", "h2"], "left_semi").select("row.*").dropDuplicates()
     return once.unionByName(again)
