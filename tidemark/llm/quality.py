@@ -39,7 +39,7 @@ class Rule:
 
 RULES = (
     Rule("symbols", "n_symbols", "n_words", 25),
-    Rule("dup_lines", "n_dup_lines", "n_lines", 75),
+    Rule("dup_lines", "n_dup_lines", "n_lines", 120),
     Rule("repeats", "n_repeat_words", "n_words", 75),
     Rule("word_length", "word_chars", "n_words", 500, both=True),
 )
