@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 import uuid
 from datetime import datetime
@@ -79,7 +80,11 @@ def main() -> None:
     spark = build_session(
         "tidemark-bench",
         f"local[{CPUS}]",
-        **{"spark.sql.shuffle.partitions": CPUS, "spark.driver.memory": "16g"},
+        **{
+            "spark.sql.shuffle.partitions": CPUS,
+            "spark.driver.memory": "16g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tidemark-bench-"),
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     noop(spark.read.parquet(f"{SF_DIR}/lineitem.parquet").groupBy("l_returnflag").count())
