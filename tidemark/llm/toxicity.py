@@ -155,7 +155,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     """A model from ``docs`` and ``labels`` (id and 0 or 1; other values and nulls don't count). Labels beyond
     ``TRAIN_ROWS`` are thinned by a hash of the id, so reruns learn from the same ones, and the rest is
     small enough to be broadcast. Without both labels the model scores all documents alike."""
-    known = labels.where(F.col(label).isin(0, 1)).dropna(subset=[id_col]).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("toxic")).dropDuplicates(["id"])
+    known = labels.where(F.col(label).isin(0, 1)).dropna(subset=[id_col]).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("toxic"))
+    known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))  # of labels that disagree, toxic holds
     # 30 bits, so that the share may be exactly 1
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(13), F.col("id").cast("string")), 34)
     share = min(1.0, TRAIN_ROWS / max(1, known.count()))
