@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from datetime import date, datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import parity
@@ -60,8 +60,8 @@ def source_rows(spark: SparkSession, job: IngestJob) -> DataFrame:
 def run_job(spark: SparkSession, job: IngestJob, batch_id: int) -> tuple[dict, DataFrame | None]:
     """Load one job; returns its audit record and the rows per file.
 
-    The files are read once, into a table of their own that has each row's file: counts, rejects and
-    the load come from that."""
+    The files are read once: rows are counted as they are written. A job that keeps rejects reads them into
+    a table of its own, from which good and bad rows part. The rows per file are counted when asked for."""
     record = {
         "batch_id": batch_id, "job_id": job.job_id, "table_name": job.table, "load_mode": job.load_mode,
         "source_path": dated_path(job.path, job.run_date), "source_count": None, "loaded_count": None, "rejected_count": None,
@@ -75,22 +75,30 @@ def run_job(spark: SparkSession, job: IngestJob, batch_id: int) -> tuple[dict, D
             raise MissingTableError(f"{job.table} does not exist")
         if not job.table_exists:
             create_if_missing(spark, job.table, loaded.schema, job.table_path)
-        path = work_path(spark, f"ingest-{job.job_id}")
-        rows.write.parquet(path)
-        staged = spark.read.schema(rows.schema).parquet(path)
-        bad = F.col(CORRUPT).isNotNull() if job.rejects_path else F.lit(False)
-        seen = staged.agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad")).first()
-        counts = parity.rows_per_file(staged, F.col(SOURCE))
-        record.update(source_count=seen.n, rejected_count=seen.bad)
-        if seen.bad:
-            staged.where(bad).select(SOURCE, CORRUPT).write.mode("append").parquet(job.rejects_path)
-        write_table(staged.where(~bad).drop(SOURCE, CORRUPT), job.table, job.load_mode, job.table_path)
-        record.update(status="SUCCESS", loaded_count=seen.n - seen.bad)
+        if job.rejects_path:
+            path = work_path(spark, f"ingest-{job.job_id}")
+            rows.write.parquet(path)
+            rows = spark.read.schema(rows.schema).parquet(path)
+            bad = F.col(CORRUPT).isNotNull()
+            rejected = _counted(rows.where(bad).select(SOURCE, CORRUPT), lambda r: r.write.mode("append").parquet(job.rejects_path))
+            loaded = rows.where(~bad).drop(SOURCE, CORRUPT)
+        else:
+            rejected = 0
+        n = _counted(loaded, lambda r: write_table(r, job.table, job.load_mode, job.table_path))
+        counts = parity.rows_per_file(rows, F.col(SOURCE))
+        record.update(status="SUCCESS", source_count=n + rejected, loaded_count=n, rejected_count=rejected)
     except Exception as error:  # the record is what the audit table keeps
         record["message"] = str(error)
     return {**record, "ended_at": _now()}, counts
 
 
+def _counted(rows: DataFrame, write: Callable[[DataFrame], None]) -> int:
+    """Write rows; how many there were."""
+    seen = Observation()
+    write(rows.observe(seen, F.count(F.lit(1)).alias("n")))
+    return seen.get["n"]
+
+
 def run_batch(spark: SparkSession, jobs: Iterable[IngestJob], batch_id: int, audit_path: str) -> list[dict]:
     """All enabled jobs of a batch, then their records into the audit table at once."""
     records = [run_job(spark, job, batch_id)[0] for job in jobs if job.enabled]

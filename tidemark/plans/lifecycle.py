@@ -249,7 +249,7 @@ def _load_whole(run: Run, table: Table, rows: DataFrame, ceiling: object, record
     fresh = f"{base}/{run.batch_id}-{uuid.uuid4().hex[:8]}"
     new = shape.with_audit(rows, batch_ts, run.batch_id)
     target = stored(run, table, fresh, table.buckets or _sized(rows))
-    target.create(shape.with_history(new, batch_ts) if table.scd_type == 2 else new)
+    target.create(shape.with_history(new, batch_ts) if table.scd_type == 2 else new, append_only=table.scd_type == 0)
     seen = _measure(target.read(), table, ceiling)
     if seen.n == 0:
         record.update(rows_extracted=0, status="skipped", watermark_to=record["watermark_from"])

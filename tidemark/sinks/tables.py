@@ -203,11 +203,15 @@ class KeyedTable:
             place = F.when(F.coalesce(F.expr(self.settled), F.lit(False)), F.lit(SETTLED)).otherwise(place)
         return rows.withColumn(BUCKET, place)
 
-    def create(self, rows: DataFrame, note: Mapping[str, object] | None = None) -> None:
-        """The table's content is ``rows``, whatever it was. Without keys nothing is shuffled."""
+    def create(self, rows: DataFrame, note: Mapping[str, object] | None = None, append_only: bool = False) -> None:
+        """The table's content is ``rows``, whatever it was. Tables without keys, and those that will only
+        be appended to, are written as they are read, without a shuffle."""
         old = self.version()
-        placed = self._place(rows, self.buckets)
-        _, parts = self._write(placed.hint("rebalance", BUCKET) if self.keys else placed)
+        if append_only or not self.keys:
+            placed = rows.withColumn(BUCKET, F.lit(SETTLED))
+        else:
+            placed = self._place(rows, self.buckets).hint("rebalance", BUCKET)
+        _, parts = self._write(placed)
         gone = tuple((b, w) for b, ws in old.parts.items() for w in ws) if old else ()
         number = old.number + 1 if old else 1
         self._commit(Version(number, rows.schema, self.keys, self.buckets, parts, gone, note=dict(note or {})))
