@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.session import work_path
@@ -10,6 +13,15 @@ from tidemark.session import work_path
 SEPARATORS = " \u0009\u000a\u000b\u000c\u000d"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if it isn't installed there.
+    Functions that are made after this call carry the setting."""
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write the rows to the shared folder and read them back: lineage ends here, and the
     reread table has a known size, so Spark broadcasts it only if it is small."""

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.common import importable
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -16,7 +18,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(run: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = run
+
+        def ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
+            return run(spark, sf_dir)
+
+        QUERIES[name] = ready
         if sql is not None:
             ORACLES[name] = sql
         return run
