@@ -124,23 +124,27 @@ def _dump_lines(spark: SparkSession, path: str) -> DataFrame:
     if names.isEmpty():
         return plain
     # one file to a task: a packed file cannot be split
-    files = names.repartition(F.col("value")).mapInArrow(_unpack, "value string")
+    files = names.repartition(F.col("value")).mapInArrow(_unpacker(), "value string")
     others = plain.where(~F.endswith(F.col("_metadata.file_path"), F.lit(".zst"))).select("value")
     return files.unionByName(others)
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unpacker() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Lines of zstd files in batches of a few megabytes, whatever the size of a file."""
-    for batch in batches:
-        for name in batch.column("value").to_pylist():
-            store, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
-            with store.open_input_stream(place, compression="zstd") as source:
-                rest = b""
-                while piece := source.read(1 << 22):
-                    *lines, rest = (rest + piece).split(b"\n")
-                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()).cast(pa.string())], ["value"])
-                if rest:
-                    yield pa.RecordBatch.from_arrays([pa.array([rest], pa.binary()).cast(pa.string())], ["value"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("value").to_pylist():
+                store, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
+                with store.open_input_stream(place, compression="zstd") as source:
+                    rest = b""
+                    while piece := source.read(1 << 22):
+                        *lines, rest = (rest + piece).split(b"\n")
+                        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()).cast(pa.string())], ["value"])
+                    if rest:
+                        yield pa.RecordBatch.from_arrays([pa.array([rest], pa.binary()).cast(pa.string())], ["value"])
+
+    return unpack
 
 
 def tsv_line(df: DataFrame) -> Column:
