@@ -27,6 +27,33 @@ def test_grammar_scores_clauses_not_words():
     assert not any(got[""].values()) and not any(got[None].values()) and near(got["IDIOT!"]["plain"], 2)
 
 
+def test_targets_stand_before_or_after():
+    texts = ["I will hurt you", "kill them", "je vais te frapper, toi", "they hurt", "idiot, you", "an idiot", "he said I will kill you", "I will not hurt you", "hurt. you"]
+    texts += ["kills them", "je te tue", "ich schlage dich", "te mataré", "they said idiot", "you are not an idiot", "you kill", "you"]
+    got = measures(texts, {"idiot": 2.0, "kill": 3.0, "you": 4.0})
+    n = np.sqrt(np.array([len(plain.ALNUM.findall(t.translate(plain.FOLD))) for t in texts]) + 10)
+    got = {t: {m: round(v, 9) for m, v in zip(toxicity.MEASURES, row * k)} for t, row, k in zip(texts, got, n)}
+    threats = {t: (x["threat"], x["threat_ahead"]) for t, x in got.items()}
+    assert threats["I will hurt you"] == (0, 1) and threats["kill them"] == (0, 1) and threats["they hurt"] == (1, 0)
+    assert all(sum(threats[t]) == 1 for t in ("je vais te frapper, toi", "kills them", "je te tue", "ich schlage dich", "te mataré"))
+    assert threats["hurt. you"] == threats["I will not hurt you"] == threats["he said I will kill you"] == (0, 0)
+    assert got["he said I will kill you"]["reported"] == 8 and got["he said I will kill you"]["worst_clause"] == 0
+    assert got["idiot, you"]["aimed"] == 2 and got["an idiot"]["aimed"] == 0
+    assert got["they said idiot"]["aimed"] == got["they said idiot"]["worst_clause"] == 0
+    assert got["you are not an idiot"]["aimed"] == 0 and got["you are not an idiot"]["worst_clause"] == 4
+    # words of the lexicon keep their fixed arcs, and a word is not its own target
+    assert threats["you kill"] == (1, 0) and got["you kill"]["plain"] == 7 and got["you kill"]["aimed"] == 3
+    assert got["you"]["aimed"] == 0
+
+
+def test_threats_count_without_labelled_threats(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels)
+    texts = spark.createDataFrame([(0, "I will hurt you"), (1, "they will kill"), (2, "we will meet you"), (3, "she said I will hurt you")], "doc_id long, text string")
+    got = {x.doc_id: x.score for x in toxicity.score(texts, model).collect()}
+    assert got[0] > 0.5 and got[1] > 0.5 and got[2] < 0.1 and got[2] < got[3] < 0.5
+
+
 def test_held_out_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     train = labels.where("crc32(cast(doc_id AS string)) % 5 <> 0")

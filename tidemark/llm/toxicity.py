@@ -5,15 +5,19 @@ what the next word's weight depends on.
 
 * insult: a lexicon with weights learned from labelled documents (log odds of a document being toxic
   if it has the word);
-* threat: threatening verbs of a fixed list;
-* target: words that address someone, open until the clause ends;
+* threat: threatening verbs of a fixed list, in the forms that threats take;
+* target: words for someone, before or after the match, up to the clause's ends;
 * negation: a negating word reverses the next ``NEGATION_REACH`` words;
 * reported speech: a reporting word marks the rest of the clause as someone else's.
 
-A match adds its weight to what its clause scores as: plain, negated or reported, and also as aimed if
-a target is open, or a threat. A document's measures are those sums and its worst clause, each over
-the root of its length, and a logistic function of them, fitted on the same labelled documents, is its
-score. Lexicon and fit use at most ``TRAIN_ROWS`` labelled documents; the fit takes its measures from
+Matches are closed at the end of their clause, when all its targets are known. An insult adds its
+weight as plain, negated or reported; plain ones also count for the worst clause and, if the clause has
+a target, as aimed. A threatening verb counts only with a target: as ``threat`` if one stands before it,
+as ``threat_ahead`` if they all come after; it counts as reported after a reporting word, and not at all
+if negated. A word may have an arc in the lexicon and one of the fixed lists. A document's measures are
+those sums and its worst clause, each over the root of its length, and a logistic function of them,
+fitted on the same labelled documents, is its score. Threats and reported matches are rare in labels:
+the fit draws their weights towards ``PRIOR``, which is what stays where no label speaks. Lexicon and fit use at most ``TRAIN_ROWS`` labelled documents; the fit takes its measures from
 lexicons learned on the other half, so a rare word of one document doesn't vouch for itself.
 """
 
@@ -35,17 +39,29 @@ from tidemark.llm.words import ALNUM, LOWER, Block, blocks
 TRAIN_ROWS, LEXICON_WORDS = 20_000, 20_000
 LEAST_DOCUMENTS, LEAST_WEIGHT = 3, 1.5
 NEGATION_REACH = 3
-MEASURES = ("plain", "worst_clause", "negated", "reported", "aimed", "threat")
+MEASURES = ("plain", "worst_clause", "negated", "reported", "aimed", "threat", "threat_ahead")
+#: Weights before any label is seen: an aimed threat is worth about what a strong insult is, a reported match a quarter.
+PRIOR = {"reported": 1.5, "threat": 25.0, "threat_ahead": 25.0}
 
 # Word lists of the grammar, in English, German, French and Spanish.
-THREATS = "kill hurt destroy beat crush töten umbringen schlagen zerstören tuer frapper détruire matar golpear destruir".split()
-TARGETS = "you your yours he she they them du dich dein ihr euch sie tu toi ton vous votre ils tú usted ustedes ellos".split()
+THREATS = """
+kill kills killed killing hurt hurts hurting destroy destroys destroyed destroying beat beats beaten beating crush crushes crushed crushing
+töten töte tötest tötet tötete töteten getötet umbringen umbringe umbringst umbringt umzubringen umgebracht
+schlagen schlage schlägst schlägt schlagt schlug schlugen geschlagen zerstören zerstöre zerstörst zerstört zerstörte zerstörten
+tuer tue tues tuons tuez tuent tué tuerai tueras tuera tuerons tuerez tueront
+frapper frappe frappes frappons frappez frappent frappé frapperai frapperas frappera frapperons frapperez frapperont
+détruire détruis détruit détruisons détruisez détruisent détruirai détruiras détruira détruirons détruirez détruiront
+matar mato matas mata matamos matan matado matando mataré matarás matará mataremos matarán
+golpear golpeo golpeas golpea golpeamos golpean golpeado golpearé golpearás golpeará golpearemos golpearán
+destruir destruyo destruyes destruye destruimos destruyen destruido destruiré destruirás destruirá destruiremos destruirán
+""".split()
+TARGETS = "you your yours he she they him her them du dir dich dein ihr euch sie tu te toi ton vous votre ils tú ti usted ustedes ellos".split()
 NEGATIONS = "not never no neither nor nicht nie kein keine ne pas jamais aucun nunca ningún ninguna".split()
 REPORTS = "said says claimed wrote called quoted sagte sagt schrieb nannte dit disait écrit appelé dijo dice escribió llamó".split()
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ENDS = np.array([chr(b) in ".!?;\n" for b in range(256)])
-_INSULT, _THREAT, _TARGET, _NEGATION, _REPORT = range(1, 6)
+_THREAT, _TARGET, _NEGATION, _REPORT = range(1, 5)
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
@@ -57,9 +73,26 @@ def _word_hashes(words: list[str]) -> np.ndarray:
     return out
 
 
+def _close(row: np.ndarray, matches: list[tuple[int, float, int, bool]], targets: list[int]) -> None:
+    """Add a clause's matches (word, weight, measure, whether a threat) to a text's row of ``MEASURES``."""
+    score = 0.0
+    for w, v, as_what, threat in matches:
+        before = bool(targets) and targets[0] < w
+        aimed = before or (bool(targets) and targets[-1] > w)
+        if threat:
+            if aimed and as_what != 2:
+                row[3 if as_what == 3 else 5 if before else 6] += v
+            continue
+        row[as_what] += v
+        if as_what == 0:
+            row[4] += v * aimed
+            score += v
+    row[1] = max(row[1], score)
+
+
 @dataclass(frozen=True)
 class Grammar:
-    """Word hashes in order, with each word's transducer and weight."""
+    """Word hashes in order, with each word's fixed transducer (0 for none) and its weight as an insult."""
 
     hashes: np.ndarray
     kinds: np.ndarray
@@ -67,11 +100,11 @@ class Grammar:
 
     @classmethod
     def of(cls, lexicon: dict[str, float]) -> Grammar:
-        arcs = {w: (k, 1.0) for k, ws in ((_THREAT, THREATS), (_TARGET, TARGETS), (_NEGATION, NEGATIONS), (_REPORT, REPORTS)) for w in ws}
-        arcs |= {w: (_INSULT, v) for w, v in lexicon.items()}
-        hashes = _word_hashes(list(arcs))
+        arcs = {w: k for k, ws in ((_THREAT, THREATS), (_TARGET, TARGETS), (_NEGATION, NEGATIONS), (_REPORT, REPORTS)) for w in ws}
+        known = [*arcs, *(w for w in lexicon if w not in arcs)]
+        hashes = _word_hashes(known)
         order = np.argsort(hashes)
-        kinds, weights = np.array([k for k, _ in arcs.values()], np.int8), np.array([v for _, v in arcs.values()])
+        kinds, weights = np.array([arcs.get(w, 0) for w in known], np.int8), np.array([lexicon.get(w, 0.0) for w in known])
         return cls(hashes[order], kinds[order], weights[order])
 
     def measures(self, block: Block) -> np.ndarray:
@@ -83,24 +116,26 @@ class Grammar:
             hit = np.flatnonzero(self.hashes[at] == hashes)
             clause = np.searchsorted(np.flatnonzero(_ENDS[block.data]), block.starts[hit])
             kind, weight, text = self.kinds[at[hit]], self.weights[at[hit]], block.text[hit]
-            now, score, aimed, told, reversed_until = None, 0.0, False, False, -1
-            for w, c, k, v, t in zip(hit.tolist(), clause.tolist(), kind.tolist(), weight.tolist(), text.tolist()):
+            now, matches, targets, told, reversed_until = None, [], [], False, -1
+            # the last step only closes the last clause
+            steps = zip([*hit.tolist(), -1], [*clause.tolist(), -1], [*kind.tolist(), 0], [*weight.tolist(), 0.0], [*text.tolist(), -1])
+            for w, c, k, v, t in steps:
                 if (t, c) != now:
-                    now, score, aimed, told, reversed_until = (t, c), 0.0, False, False, -1
-                row = out[t]
-                if k == _TARGET:
-                    aimed = True
+                    if matches:
+                        _close(out[now[0]], matches, targets)
+                    now, matches, targets, told, reversed_until = (t, c), [], [], False, -1
+                # a word's own arcs do not act on its match
+                as_what = 2 if w <= reversed_until else 3 if told else 0
+                if v:
+                    matches.append((w, v, as_what, False))
+                if k == _THREAT:
+                    matches.append((w, 1.0, as_what, True))
+                elif k == _TARGET:
+                    targets.append(w)
                 elif k == _NEGATION:
                     reversed_until = w + NEGATION_REACH
                 elif k == _REPORT:
                     told = True
-                elif k == _THREAT:
-                    row[5] += v * aimed * (w > reversed_until)
-                else:
-                    row[2 if w <= reversed_until else 3 if told else 0] += v
-                    row[4] += v * aimed
-                    score += v
-                    row[1] = max(row[1], score)
         return out / np.sqrt(counts + 10.0)[:, None]
 
 
@@ -132,13 +167,14 @@ def _scan(grammars: list[Grammar], names: list[str], finish):
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic weights, the constant last, by Newton's method."""
+    """Logistic weights, the constant last, by Newton's method; the ridge draws them towards ``PRIOR``, or else 0."""
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+    prior = np.array([*(PRIOR.get(m, 0.0) for m in MEASURES), 0.0])
+    w = prior.copy()
     keep = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - keep @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - keep @ (w - prior))
         w += step
         if np.abs(step).max() < 1e-8:
             break
