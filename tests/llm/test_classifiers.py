@@ -118,3 +118,20 @@ def test_classifier_edges(spark):
     assert [x.score for x in got if x.doc_id in (None, 2)] == [0, 0]
     empty = docs.limit(0)
     assert weaklabels.judge(empty, weaklabels.learn(empty)).collect() == []
+
+
+def test_repeated_rows_reach_the_driver_once(spark, monkeypatch):
+    given, fits = [], (toxicity._fit, weaklabels.fit)
+    monkeypatch.setattr(toxicity, "_fit", lambda x, y, n: given.append(n) or fits[0](x, y, n))
+    monkeypatch.setattr(weaklabels, "fit", lambda *a: given.append(a[-1]) or fits[1](*a))
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 100)
+    monkeypatch.setattr(weaklabels, "TRAIN_ROWS", 400)
+    rows = spark.range(800).selectExpr("id % 8 AS doc_id", "concat('some words ', id % 8) AS text")
+    labels = spark.range(8).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    toxicity.learn(rows, labels)
+    weaklabels.learn(rows)
+    assert given[0].tolist() == [100] * 8
+    assert 0 < len(given[1]) <= 8 and set(given[1].tolist()) == {100}
+    # different texts of one id
+    toxicity.learn(spark.range(3000).selectExpr("id % 2 AS doc_id", "concat('some words ', id) AS text"), labels)
+    assert 50 < len(given[2]) < 150

@@ -41,3 +41,14 @@ def test_empty_nulls_and_clashing_names(spark):
     odd = spark.createDataFrame([("COM", "/", "block"), (None, "/", "allow"), ("a.com", None, "allow"), ("com", "/", "allow")], RULES)
     assert judged(urlrules.judge(urls, odd)) == [(1, "a.com", "/x", "com/", "allow")]
     assert urlrules.judge(urls.limit(0), odd).collect() == []
+
+
+def test_repeated_rows_reach_the_driver_once(spark, monkeypatch):
+    r, given, cut = random.Random(5), [], urlrules._splitters
+    monkeypatch.setattr(urlrules, "_splitters", lambda keys, times, parts: given.append(times) or cut(keys, times, parts))
+    urls = [(i, f"http://h{i}.com/") for i in range(20)] + [(99, "http://hot.com/")] * 300
+    got = urlrules.judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame([("com", "/", "block")], RULES))
+    assert got.count() == 320 and sorted(given[0]) == [1] * 20 + [300]
+    keys, times = [f"k{r.randrange(30)}" for _ in range(50)], [r.choice([1, 2, 90]) for _ in range(50)]
+    sample = sorted(k.encode() for k, n in zip(keys, times) for _ in range(n))
+    assert all(cut(keys, times, p) == [sample[len(sample) * k // p] for k in range(1, p)] for p in (1, 2, 7, 64)) and cut([], [], 4) == []

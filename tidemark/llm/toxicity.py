@@ -166,15 +166,15 @@ def _scan(grammars: list[Grammar], names: list[str], finish):
     return run
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic weights, the constant last, by Newton's method; the ridge draws them towards ``PRIOR``, or else 0."""
+def _fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic weights, the constant last, of rows that count ``n`` times, by Newton's method; the ridge draws them towards ``PRIOR``, or else 0."""
     x = np.column_stack([x, np.ones(len(x))])
     prior = np.array([*(PRIOR.get(m, 0.0) for m in MEASURES), 0.0])
     w = prior.copy()
     keep = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, x.T @ (y - p) - keep @ (w - prior))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + keep, x.T @ (n * (y - p)) - keep @ (w - prior))
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -190,7 +190,8 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """A model from ``docs`` and ``labels`` (id and 0 or 1; other values and nulls don't count). Labels beyond
     ``TRAIN_ROWS`` are thinned by a hash of the id, so reruns learn from the same ones, and the rest is
-    small enough to be broadcast. Without both labels the model scores all documents alike."""
+    small enough to be broadcast. Equal rows are one example that weighs as much as they are; different
+    texts under one id are thinned again. Without both labels the model scores all documents alike."""
     known = labels.where(F.col(label).isin(0, 1)).dropna(subset=[id_col]).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("toxic"))
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))  # of labels that disagree, toxic holds
     # 30 bits, so that the share may be exactly 1
@@ -199,10 +200,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     known = saved(known.where(draw < F.lit(math.ceil(share * (1 << 30)))), "toxic-labels")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(known), "id")
     half = F.pmod(F.xxhash64(F.lit(17), F.col("id").cast("string")), F.lit(2)).cast("int")
-    rows = saved(rows.select("toxic", "text", half.alias("half")), "toxic-training")
-    sides = {(r.half, r.toxic): r.n for r in rows.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
-    words = rows.select("half", "toxic", F.explode(learned_words(F.col("text"))).alias("word"))
-    toxic, other = F.sum("toxic"), F.sum(1 - F.col("toxic"))
+    rows = saved(rows.groupBy("id", "toxic", "text", half.alias("half")).agg(F.count("*").alias("n")), "toxic-training")
+    again = F.shiftrightunsigned(F.xxhash64(F.lit(19), F.col("id").cast("string"), "text"), 34)
+    share = min(1.0, TRAIN_ROWS / max(1, rows.count()))
+    rows = rows.where(again < F.lit(math.ceil(share * (1 << 30)))).drop("id")
+    sides = {(r.half, r.toxic): r.n for r in rows.groupBy("half", "toxic").agg(F.sum("n").alias("n")).collect()}
+    words = rows.select("half", "toxic", "n", F.explode(learned_words(F.col("text"))).alias("word"))
+    toxic, other = F.sum(F.col("n") * F.col("toxic")), F.sum(F.col("n") * (1 - F.col("toxic")))
     counts = words.groupBy("word").pivot("half", [0, 1]).agg(toxic.alias("p"), other.alias("n")).na.fill(0)
     counts = counts.where(F.col("0_p") + F.col("1_p") >= LEAST_DOCUMENTS)
     # words of few toxic documents, or of many others, can't reach the least weight; of the rest the strongest
@@ -211,15 +215,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     lexicon = lambda halves: _lexicon([(r["word"], sum(r[f"{h}_p"] for h in halves), sum(r[f"{h}_n"] for h in halves)) for r in table], *(float(sum(sides.get((h, t), 0) for h in halves)) for t in (1, 0)))
     grammar = Grammar.of(lexicon((0, 1)))
     crossed = [Grammar.of(lexicon((1,))), Grammar.of(lexicon((0,)))]
-    kinds = StructType([rows.schema["toxic"], StructField("found", ArrayType(DoubleType()))])
+    kinds = StructType([rows.schema["toxic"], rows.schema["n"], StructField("found", ArrayType(DoubleType()))])
     as_lists = lambda x: pa.array(list(x), pa.list_(pa.float64()))
-    measured = rows.select("toxic", "half", "text").mapInArrow(_scan(crossed, ["toxic"], as_lists), kinds).toArrow()
-    y = measured.column("toxic").to_numpy().astype(float)
+    measured = rows.select("toxic", "n", "half", "text").mapInArrow(_scan(crossed, ["toxic", "n"], as_lists), kinds).toArrow()
+    y, n = (measured.column(c).to_numpy().astype(float) for c in ("toxic", "n"))
     if len(set(y)) < 2:
         return Model(grammar, np.zeros(len(MEASURES) + 1) - (10 if not y.any() else -10) * np.eye(len(MEASURES) + 1)[-1])
     x = np.stack(measured.column("found").to_numpy())
     order = np.lexsort(x.T)  # sums don't depend on how the rows came
-    return Model(grammar, _fit(x[order], y[order]))
+    return Model(grammar, _fit(x[order], y[order], n[order]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ current key; a url is judged by the longest rule on the stack whose path begins
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,6 +42,13 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
 
 
+def _splitters(keys: list[str], times: list[int], parts: int) -> list[bytes]:
+    """The keys that cut the sample, in which each key stands ``times``, into parts of about one size."""
+    sample = sorted(zip((k.encode() for k in keys), times))
+    upto = list(accumulate(n for _, n in sample))
+    return [sample[bisect_right(upto, upto[-1] * k // parts)][0] for k in range(1, parts)] if sample else []
+
+
 def _parts(splitters: list[str], names: list[str]):
     """Adds ``part``: the part that holds the key. Where equal splitters leave several parts to one
     key, its rows are dealt among them by ``deal``."""
@@ -124,9 +132,10 @@ def judge(
     parts = parts or min(MOST_PARTS, max(LEAST_PARTS, -(-total // PART_ROWS)))
     # a bounded sample: SAMPLES keys a part, whatever the number of urls
     share = min(1.0, SAMPLES * parts / max(1, total))
-    drawn = named.where(F.xxhash64("deal", "key") < F.lit(int(share * (2**64 - 1)) - 2**63)).select("key") if share < 1 else named.select("key")
-    sample = sorted(k.encode() for k in drawn.toArrow().column("key").to_pylist())
-    splitters = [sample[len(sample) * k // parts] for k in range(1, parts)] if sample else []
+    drawn = named.where(F.xxhash64("deal", "key") < F.lit(int(share * (2**64 - 1)) - 2**63)) if share < 1 else named
+    # equal rows are drawn together and reach the driver as one key with their number
+    drawn = drawn.groupBy("deal", "key").agg(F.count("*").alias("n")).toArrow()
+    splitters = _splitters(drawn.column("key").to_pylist(), drawn.column("n").to_pylist(), parts)
     dealt = named.mapInArrow(_parts(splitters, named.columns), StructType([*named.schema.fields, StructField("part", IntegerType())]))
     # a rule goes to the part its key begins in, and to each part that begins inside its interval
     begun = given.withColumn("deal", F.lit(0))

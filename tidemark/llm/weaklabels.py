@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from tidemark.llm.words import SPACED, Block, Spans, blocks, lists, mix
 
@@ -161,13 +161,13 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.
     return post
 
 
-def fit(of: np.ndarray, slot: np.ndarray, value: np.ndarray, target: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> np.ndarray:
-    """Weights of a logistic scorer, the constant last, by gradient steps of a size of their own for each weight."""
+def fit(of: np.ndarray, slot: np.ndarray, value: np.ndarray, target: np.ndarray, times: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> np.ndarray:
+    """Weights of a logistic scorer, the constant last, of texts that count ``times``, by gradient steps of a size of their own for each weight."""
     w, seen = np.zeros((1 << FEATURE_BITS) + 1), np.full((1 << FEATURE_BITS) + 1, 1e-8)
     for _ in range(rounds):
         z = np.bincount(of, weights=value * w[slot], minlength=len(target)) + w[-1]
-        err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-        grad = np.append(np.bincount(slot, weights=value * err[of], minlength=1 << FEATURE_BITS), err.sum()) / len(target) + ridge * w
+        err = times * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
+        grad = np.append(np.bincount(slot, weights=value * err[of], minlength=1 << FEATURE_BITS), err.sum()) / max(1.0, times.sum()) + ridge * w
         seen += grad**2
         w -= 0.5 * grad / np.sqrt(seen)
     return w
@@ -198,7 +198,8 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of, slot, value = features(block, hashes, repeated)
             per = np.bincount(of, minlength=len(block.rows))
             text = ["".join(map(str, v)) for v in votes(block, hashes, repeated)]
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), lists(slot, per, pa.int32()), lists(value, per, pa.float32())], ["votes", "slots", "values"])
+            times = batch.column("times").slice(block.rows.start, len(block.rows))
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), lists(slot, per, pa.int32()), lists(value, per, pa.float32()), times], ["votes", "slots", "values", "times"])
 
 
 def _judge(model: Model):
@@ -219,7 +220,9 @@ def _judge(model: Model):
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Model:
-    """Patterns over all of ``docs``; a scorer from at most about ``TRAIN_ROWS`` of them, picked by a hash of id and text."""
+    """Patterns over all of ``docs``; a scorer from at most about ``TRAIN_ROWS`` of them, picked by a hash of id and text.
+
+    Equal rows are picked together, as one text that counts as often as they are."""
     rows = docs.select(F.col(text).alias("text"), F.xxhash64(F.lit(19), F.col(id_col).cast("string"), text).alias("h"))
     counted = rows.select("text").mapInArrow(_vote, "votes string").groupBy("votes").agg(F.count("*").alias("n")).collect()
     counted = sorted((tuple(map(int, r.votes)), r.n) for r in counted)
@@ -229,12 +232,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Model:
     posteriors = dict(zip((p for p, _ in counted), estimate(patterns, counts).tolist()))
     share = min(1.0, TRAIN_ROWS / counts.sum())
     drawn = rows.where(F.shiftrightunsigned("h", 34) < F.lit(math.ceil(share * (1 << 30))))
-    kinds = StructType([StructField("votes", StringType()), StructField("slots", ArrayType(IntegerType())), StructField("values", ArrayType(FloatType()))])
-    got = drawn.select("text").mapInArrow(_sample, kinds).orderBy("votes", F.xxhash64("slots", "values")).toArrow()
+    drawn = drawn.groupBy("h", "text").agg(F.count("*").alias("times"))
+    kinds = StructType([StructField("votes", StringType()), StructField("slots", ArrayType(IntegerType())), StructField("values", ArrayType(FloatType())), StructField("times", LongType())])
+    got = drawn.select("text", "times").mapInArrow(_sample, kinds).orderBy("votes", F.xxhash64("slots", "values"), "times").toArrow()
     slots, values = got.column("slots").combine_chunks(), got.column("values").combine_chunks()
     per = slots.value_lengths().to_numpy(zero_copy_only=False)
     target = np.array([posteriors[tuple(map(int, v))] for v in got.column("votes").to_pylist()])
-    return Model(posteriors, fit(np.repeat(np.arange(len(per)), per), slots.flatten().to_numpy(), values.flatten().to_numpy(), target))
+    return Model(posteriors, fit(np.repeat(np.arange(len(per)), per), slots.flatten().to_numpy(), values.flatten().to_numpy(), target, got.column("times").to_numpy().astype(float)))
 
 
 def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
