@@ -1,11 +1,11 @@
-"""The ten operators over their whole tables, and the SQL of those that SQL can express."""
+"""The thirteen operators over their whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import decontaminate, mixture, pages, quality, sharding, simhash, substrings, toxicity, urlrules, weaklabels
-from tidemark.llm.common import table
+from tidemark.llm import alignment, decontaminate, mixture, pages, partenum, quality, sharding, simhash, substrings, toxicity, trie, urlrules, weaklabels
+from tidemark.llm.common import saved, table
 from tidemark.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -195,3 +195,60 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_copies(table(spark, sf, "documents"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return found.select("doc_id", hexed.alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query("op11_alignment")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    found = alignment.scored(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query(
+    "op12_jaccard",
+    f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORD}) AS w
+      FROM documents),
+    words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i, len(w) AS n FROM d),
+    win AS (SELECT doc_id, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS size, i, n FROM words
+      WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+    sets AS (SELECT DISTINCT doc_id, md5(s) AS s FROM win WHERE size = 3 OR (n < 3 AND i = 1)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM met JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 90 * (x.n + y.n - c)),
+    reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(top, doc_id)) AS component_id
+    FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS top FROM reach GROUP BY a) USING (doc_id)""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    found = partenum.similar(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
+_CRC = """xor(list_reduce([4294967295] || list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT), lambda r, b:
+      list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+
+@query(
+    "op13_trie",
+    f"""WITH o AS (SELECT conv_id AS c, turn, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+      length(coalesce(text, ''))::BIGINT AS size FROM conversations WHERE conv_id IS NOT NULL),
+    t AS (SELECT c, id, size, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, id) AS i FROM o),
+    b AS (SELECT c, c - c % 100 AS base, ({_CRC}) % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+    s0 AS (SELECT b.c, 0 AS own, i, id, size FROM b JOIN t ON t.c = b.base AND t.i <= b.h
+      UNION ALL SELECT b.c, 1, i, id, size FROM b JOIN t ON t.c = b.c AND t.i > b.h),
+    s AS (SELECT c, id, size, row_number() OVER (PARTITION BY c ORDER BY own, i) AS d FROM s0),
+    p AS (SELECT c, d, size, md5(string_agg(id, '') OVER (PARTITION BY c ORDER BY d)) AS k FROM s
+      UNION ALL SELECT c, 0, 0, 'root' FROM b),
+    q AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS up, d = max(d) OVER (PARTITION BY c) AS at_end FROM p),
+    n AS (SELECT k, any_value(up) AS up, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS own,
+      sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE at_end), '')) AS ends_sha256 FROM q GROUP BY k),
+    kids AS (SELECT up AS k, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+    m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (k)),
+    under AS (SELECT DISTINCT x.k AS top, y.k FROM p x JOIN p y ON x.c = y.c AND x.d <= y.d),
+    sums AS (SELECT top AS k, sum(own) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM under JOIN m USING (k) GROUP BY top)
+    SELECT m.conv_id, m.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children,
+      n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+    FROM m JOIN sums USING (k) LEFT JOIN m u ON m.up = u.k""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    turns = saved(trie.turns_of(table(spark, sf, "conversations")), "trie-turns")
+    return trie.nodes(trie.with_shared_heads(turns, 100, 5))
