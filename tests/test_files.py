@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 from datetime import date
 
 import pytest
@@ -176,3 +177,53 @@ def test_lines_are_skipped_in_the_file_they_start(spark, tmp_path):
         assert files.read_declared(spark, str(tmp_path), fmt, T.StructType.fromDDL("k int, v string")).count() == 3000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("frame, task", [(1, 1), (60, 1), (200, 300), (1 << 20, 1)])
+def test_packed_lines_are_read_once_wherever_frames_end(spark, frame, task):
+    from tidemark.sources import zstd
+
+    r = random.Random(frame)
+    lines = ["x" * r.choice([0, 1, 30, 500]) + str(i) for i in range(300)] + [""]
+    path = work_path(spark, "frames")
+    zstd.write_frames(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1), path, frame)
+    place = f"{path}/part-00000.tsv.zst"
+    got = zstd.read_lines(spark, [place], task)
+    assert sorted(x.value for x in got.collect()) == sorted(lines)
+    assert (got.rdd.getNumPartitions() > 1) == (frame < 1 << 20)
+
+
+def test_packed_lines_may_span_frames(spark):
+    import struct
+
+    import zstandard
+
+    text = ("\n".join(["a" * 50, "", "b" * 700, "c", "d" * 10])).encode()
+    for cut in (1, 7, 51, 52, 53, 100, 400):
+        pieces = [text[i : i + cut] for i in range(0, len(text), cut)]
+        packed = [zstandard.ZstdCompressor().compress(p) for p in pieces]
+        table = b"".join(struct.pack("<II", len(p), len(q)) for p, q in zip(packed, pieces)) + struct.pack("<IBI", len(packed), 0, 0x8F92EAB1)
+        folder = work_path(spark, "frames").removeprefix("file:")
+        os.makedirs(folder)
+        for name, tail in (("indexed", struct.pack("<II", 0x184D2A5E, len(table)) + table), ("plain", b"")):
+            with open(f"{folder}/{name}.zst", "wb") as out_:
+                out_.write(b"".join(packed) + tail)
+            from tidemark.sources import zstd
+
+            got = zstd.read_lines(spark, [f"{folder}/{name}.zst"], 1)
+            assert [x.value for x in got.collect()] == text.decode().split("\n"), (cut, name)
+            assert got.rdd.getNumPartitions() == (len(pieces) if name == "indexed" else 1)
+
+
+def test_rows_with_more_fields_than_columns_end_the_load_on_request(spark):
+    def read(*lines, **extras):
+        path = work_path(spark, "csv")
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+        return files.read_csv(spark, path, "a int, b string", files.FileFormat(extras=extras), extra_fields="fail")
+
+    assert sorted(tuple(r) for r in read("1,x", '2,"y, z"', "3").collect()) == [(1, "x"), (2, "y, z"), (3, None)]
+    for bad in ("1,a,EXTRA", '1,a,"E"', "1,a,,E", "1,a,", ",,"):
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            read("1,x", bad).collect()
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            read("1,x", bad).select("a").collect()

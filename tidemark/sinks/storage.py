@@ -46,6 +46,12 @@ def matching(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in (fs.globStatus(target) or []))
 
 
+def sizes(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
+    """Paths that a glob pattern matches, with their bytes."""
+    fs, target = _handle(spark, pattern)
+    return sorted((s.getPath().toString(), s.getLen()) for s in (fs.globStatus(target) or []))
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, target = _handle(spark, path)
     stream = fs.open(target)

@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
-import json
+import math
 import uuid
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.apply import any_null
 from tidemark.operators.shape import agree
 from tidemark.sinks import storage
+from tidemark.sinks.keyindex import BUCKET, FILE, KeyDigests, KeyIndex, key_digest
+from tidemark.sinks.versions import Files, StaleTableError, Version, VersionLog
 
-BUCKET, WRITE = "_bucket", "_write"
+__all__ = ["KeyedTable", "MissingTableError", "StaleTableError", "Version", "write_table"]
+
+WRITE = "_write"
 #: Buckets of rows without a key, and of rows that are never rewritten.
 NO_KEY, SETTLED = -1, -2
 
 BUCKET_BYTES = 4 * 2**30
 #: Delta keys of at most so many bytes, summed first, are broadcast.
 SMALL_KEY_BYTES = 32 * 2**20
-#: Versions whose description is kept.
-KEPT_VERSIONS = 10
+#: Files are about this large; smaller ones are merged when there are several.
+FILE_BYTES = 256 * 2**20
+#: Runs of appended files of about one size that are merged into one.
+FAN = 8
+#: Appended runs start to count as larger from here, and are not merged any more from there.
+LEAST_RUN, LARGE_RUN = 2**16, 4 * 2**30
+#: Keys for each file of the touched buckets from which nearly every file holds one, so that no index is asked.
+DENSE = 8
 
 
 def bucket_count(table_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
@@ -82,54 +92,35 @@ def replace_table(df: DataFrame, table: str, base: str, drop_old: bool = False)
     return version
 
 
-class StaleTableError(RuntimeError):
-    """Another writer committed first."""
-
-
 @dataclass(frozen=True)
-class Version:
-    """What a table holds: which folders, and how they were written.
-
-    ``parts`` has the write ids of each bucket, ``retired`` the folders that this version let go
-    (the next one removes them), ``writers`` the last token of each writer, and ``note`` what the
-    last load wants remembered."""
-
-    number: int
-    schema: T.StructType
-    keys: tuple[str, ...]
-    buckets: int
-    parts: Mapping[int, list[str]]
-    retired: tuple[tuple[int, str], ...] = ()
-    writers: Mapping[str, str] = field(default_factory=dict)
-    note: Mapping[str, object] = field(default_factory=dict)
-
-    def text(self) -> str:
-        return json.dumps({**self.__dict__, "schema": self.schema.jsonValue(), "parts": {str(k): v for k, v in self.parts.items()}})
+class Applied:
+    """What a change did: files of touched buckets that were rewritten, and those that stayed."""
 
-    @staticmethod
-    def of(text: str) -> Version:
-        got = json.loads(text)
-        return Version(
-            got["number"], T.StructType.fromJson(got["schema"]), tuple(got["keys"]), got["buckets"],
-            {int(k): v for k, v in got["parts"].items()}, tuple((b, w) for b, w in got["retired"]), got["writers"], got["note"],
-        )
+    rewritten: int = 0
+    left: int = 0
 
 
 @dataclass(frozen=True)
 class KeyedTable:
-    """A Parquet target split into key buckets, so a delta rewrites only what it touches.
+    """A Parquet target split into key buckets, so a delta rewrites only files that may hold its keys.
 
-    Every change writes new folders beside the old ones, in one job, and then one small file
-    that names the folders of the new version. Readers see the old version or the new one; a
-    write that dies leaves folders that no version names; a token that a writer has
+    Every change writes new files beside the old ones, in one job, and then one small file
+    that names what was added and dropped. Readers see the old version or the new one; a
+    write that dies leaves files that no version names; a token that a writer has
     committed already is not applied again. Keys, bucket count and column types are stored with
     the version, and a delta is brought to them before it is hashed.
 
-    The bucket is a hash of the key's text, so a key may change from int to bigint. Rows
-    without a key never match anything: they have a bucket of their own that grows by
-    folders and is only rewritten by changes that ask for it. ``settled`` is a predicate for rows
+    The bucket is a hash of the key's text, so a key may change from int to bigint. Inside the touched buckets an index of
+    key ranges and Bloom filters says which files may hold a key of the delta; the others stay. The index is not asked where
+    it cannot help: for fewer bytes than ``prune_from``, or a delta of ``DENSE`` keys for each file. Small files of a
+    touched bucket are merged when there are several.
+
+    Rows without a key never match anything: they have a bucket of their own that grows by
+    files and is only rewritten by changes that ask for it. ``settled`` is a predicate for rows
     that will not change again, as closed versions are; they, appended rows and tables without
-    keys fill folders that are never rewritten. ``keys`` and ``buckets`` are for a new table."""
+    keys fill files that are never rewritten but merged by size: ``fan`` runs of one size become one of the next, so that
+    their number grows as the logarithm of the appends. ``keys`` and ``buckets`` are for a new table; ``file_rows`` limits the rows of a
+    file, and files of a sixteenth of ``file_bytes`` are small."""
 
     spark: SparkSession
     path: str
@@ -137,21 +128,26 @@ class KeyedTable:
     buckets: int = 64
     settled: str | None = None
     small_bytes: int | None = None
+    file_rows: int = 0
+    file_bytes: int = FILE_BYTES
+    prune_from: int = FILE_BYTES
+    fan: int = FAN
 
     @property
     def data(self) -> str:
         return f"{self.path}/data"
 
     @property
-    def _versions(self) -> str:
-        return f"{self.path}/versions"
+    def _log(self) -> VersionLog:
+        return VersionLog(self.spark, self.path)
+
+    @property
+    def index(self) -> KeyIndex:
+        return KeyIndex(self.spark, f"{self.path}/index", self.keys)
 
     def version(self) -> Version | None:
-        names = [n for n in storage.children(self.spark, self._versions) if n.endswith(".json")]
-        if not names:
-            return None
-        found = Version.of(storage.read_text(self.spark, f"{self._versions}/{names[-1]}"))
-        if self.keys and found.keys != self.keys:
+        found = self._log.newest()
+        if found and self.keys and found.keys != self.keys:
             raise ValueError(f"{self.path} is keyed by {list(found.keys)}, not {list(self.keys)}")
         return found
 
@@ -171,16 +167,23 @@ class KeyedTable:
         return int(found.writers.get(writer, -1)) if found else -1
 
     def _commit(self, new: Version) -> None:
-        """The last step of every change: one file, which must not be there yet."""
-        if not storage.publish_text(self.spark, f"{self._versions}/{new.number:012d}.json", new.text()):
-            raise StaleTableError(f"{self.path} has a version {new.number} already")
-
-    def _let_go(self, old: Version) -> None:
-        """Folders that the version before the new one had already given up, and old descriptions."""
-        for bucket, write in old.retired:
+        self._log.publish(new)
+
+    def _let_go(self, old: Version, new: Version) -> None:
+        """Files that the version before the new one had already given up, and old descriptions."""
+        live, gone = new.folders, set()
+        for bucket, name in old.retired:
+            folder = (bucket, name.split("/")[0])
+            if folder in live:
+                storage.purge(self.spark, self._file(bucket, name))
+            else:
+                gone.add(folder)
+        for bucket, write in gone:
             storage.purge(self.spark, f"{self.data}/{BUCKET}={bucket}/{WRITE}={write}")
-        if old.number > KEPT_VERSIONS:
-            storage.purge(self.spark, f"{self._versions}/{old.number - KEPT_VERSIONS:012d}.json")
+        self._log.forget(old.number)
+
+    def _file(self, bucket: int, name: str) -> str:
+        return f"{self.data}/{BUCKET}={bucket}/{WRITE}={name}"
 
     def bucket_of(self, columns: Sequence[str], buckets: int | None = None) -> Column:
         """Where a row belongs. The columns are not needed for it: a row without a key has its own bucket."""
@@ -190,12 +193,16 @@ class KeyedTable:
         hashed = F.pmod(F.xxhash64(*text), F.lit(buckets or self.buckets)).cast("int")
         return F.when(any_null(self.keys), F.lit(NO_KEY)).otherwise(hashed)
 
-    def _write(self, rows: DataFrame) -> tuple[str, dict[int, list[str]]]:
-        """Rows with their bucket into new folders; returns which buckets got one."""
+    def _write(self, rows: DataFrame) -> dict[int, dict[str, int]]:
+        """Rows with their bucket into new files; returns those of each bucket, with their bytes."""
         write = f"w{uuid.uuid4().hex}"
-        rows.withColumn(WRITE, F.lit(write)).write.mode("append").partitionBy(BUCKET, WRITE).parquet(self.data)
-        found = storage.matching(self.spark, f"{self.data}/{BUCKET}=*/{WRITE}={write}")
-        return write, {int(p.split(f"{BUCKET}=")[1].split("/")[0]): [write] for p in found}
+        writer = rows.withColumn(WRITE, F.lit(write)).write.mode("append").partitionBy(BUCKET, WRITE)
+        (writer.option("maxRecordsPerFile", self.file_rows) if self.file_rows else writer).parquet(self.data)
+        found: dict[int, dict[str, int]] = {}
+        for path, size in storage.sizes(self.spark, f"{self.data}/{BUCKET}=*/{WRITE}={write}/*.parquet"):
+            bucket, name = path.split(f"{BUCKET}=")[-1].split(f"/{WRITE}=")
+            found.setdefault(int(bucket), {})[name] = size
+        return found
 
     def _place(self, rows: DataFrame, buckets: int) -> DataFrame:
         place = self.bucket_of(rows.columns, buckets)
@@ -203,20 +210,30 @@ class KeyedTable:
             place = F.when(F.coalesce(F.expr(self.settled), F.lit(False)), F.lit(SETTLED)).otherwise(place)
         return rows.withColumn(BUCKET, place)
 
-    def create(self, rows: DataFrame, note: Mapping[str, object] | None = None, append_only: bool = False) -> None:
+    def create(self, rows: DataFrame, note: Mapping[str, object] | Callable[[DataFrame], Mapping | None] | None = None, append_only: bool = False) -> bool:
         """The table's content is ``rows``, whatever it was. Tables without keys, and those that will only
-        be appended to, are written as they are read, without a shuffle."""
+        be appended to, are written as they are read, without a shuffle. ``note`` may be a function of the rows as they were
+        written; if that gives none, nothing is committed and the files go."""
         old = self.version()
         if append_only or not self.keys:
             placed = rows.withColumn(BUCKET, F.lit(SETTLED))
         else:
             placed = self._place(rows, self.buckets).hint("rebalance", BUCKET)
-        _, parts = self._write(placed)
-        gone = tuple((b, w) for b, ws in old.parts.items() for w in ws) if old else ()
-        number = old.number + 1 if old else 1
-        self._commit(Version(number, rows.schema, self.keys, self.buckets, parts, gone, note=dict(note or {})))
+        files = self._write(placed)
+        empty = Version(old.number if old else 0, rows.schema, self.keys, self.buckets, {})
+        if callable(note):
+            note = note(self._rows(rows.schema, files).drop(BUCKET))
+            if note is None:
+                for b, names in files.items():
+                    for n in names:
+                        storage.purge(self.spark, self._file(b, n))
+                return False
+        gone = tuple((b, n) for b, ns in old.files.items() for n in ns) if old else ()
+        new = replace(empty.after(files, {}, note=dict(note or {})), retired=gone)
+        self._commit(new)
         if old:
-            self._let_go(old)
+            self._let_go(old, new)
+        return True
 
     def add(self, rows: DataFrame, token: str, writer: str = "", note: Mapping[str, object] | None = None) -> None:
         """Append without matching; a token that the writer committed last adds nothing."""
@@ -224,42 +241,118 @@ class KeyedTable:
         if old.writers.get(writer) == token:
             return
         schema, rows = agree(old.schema, rows, old.keys)
-        write, found = self._write(rows.withColumn(BUCKET, F.lit(SETTLED)))
-        parts = {**old.parts}
-        for b in found:
-            parts[b] = [*parts.get(b, []), write]
-        self._commit(replace(old, number=old.number + 1, schema=schema, parts=parts, retired=(), writers={**old.writers, writer: token}, note=old.note if note is None else dict(note)))
-        self._let_go(old)
+        files = self._write(rows.withColumn(BUCKET, F.lit(SETTLED)))
+        new = old.after(files, {}, schema=schema, writers={**old.writers, writer: token}, note=old.note if note is None else dict(note))
+        self._commit(new)
+        self._let_go(old, new)
+        self.compact()
 
     def remember(self, note: Mapping[str, object]) -> None:
         """Keep a note with the table, in a version of its own."""
         old = self._known()
-        self._commit(replace(old, number=old.number + 1, note=dict(note)))
+        self._commit(replace(old.after({}, {}, note=dict(note)), retired=old.retired))
+
+    def compact(self) -> int:
+        """Merges appended runs (what one write added to a bucket) of about one size, until less than ``fan`` of each are left.
+        Returns how many runs were merged. A version of its own, which takes no files from readers of the two before."""
+        merged = 0
+        while True:
+            old = self._known()
+            runs: dict[tuple[int, int], list[tuple[str, int]]] = {}
+            for bucket in (SETTLED, NO_KEY):
+                sizes: dict[str, int] = {}
+                for name, size in old.files.get(bucket, {}).items():
+                    sizes[name.split("/")[0]] = sizes.get(name.split("/")[0], 0) + size
+                for write, size in sizes.items():
+                    if size < LARGE_RUN:
+                        tier = max(0, int(math.log(size / LEAST_RUN, self.fan)) + 1) if size > LEAST_RUN else 0
+                        runs.setdefault((bucket, tier), []).append((write, size))
+            full = [(key, found) for key, found in sorted(runs.items()) if len(found) >= self.fan]
+            if not full:
+                return merged
+            drop: dict[int, list[str]] = {}
+            total: dict[int, int] = {}
+            for (bucket, _), found in full:
+                writes = {w for w, _ in found}
+                drop.setdefault(bucket, []).extend(n for n in old.files[bucket] if n.split("/")[0] in writes)
+                total[bucket] = total.get(bucket, 0) + sum(size for _, size in found)
+                merged += len(found)
+            parts = max(1, -(-sum(total.values()) // self.file_bytes))
+            new = old.after(self._write(self._rows(old.schema, drop).coalesce(parts)), drop)
+            self._commit(replace(new, retired=old.retired + new.retired))
 
     def read_open(self) -> DataFrame:
         """The rows that may still change."""
         old = self._known()
-        return self._rows(old, [b for b in old.parts if b != SETTLED]).drop(BUCKET)
+        return self._rows(old.schema, {b: f for b, f in old.files.items() if b != SETTLED}).drop(BUCKET)
 
     def read(self) -> DataFrame:
         old = self._known()
-        return self._rows(old, list(old.parts)).drop(BUCKET)
+        return self._rows(old.schema, old.files).drop(BUCKET)
+
+    def read_buckets(self, buckets: Sequence[int]) -> DataFrame:
+        old = self._known()
+        return self._rows(old.schema, {b: old.files[b] for b in buckets if b in old.files}).drop(BUCKET)
 
-    def _rows(self, version: Version, buckets: Sequence[int]) -> DataFrame:
-        """Stored rows with their bucket; files from before a column was added read it as null."""
-        wide = T.StructType([*version.schema.fields, T.StructField(BUCKET, T.IntegerType())])
-        paths = [f"{self.data}/{BUCKET}={b}/{WRITE}={w}" for b in buckets for w in version.parts.get(b, [])]
+    def differing(self, source: DataFrame, deleted: str = "_is_deleted") -> tuple[list[int], DataFrame]:
+        """The buckets in which the table's live keys are not the source's, and the source's keys that fall in them.
+
+        Digests of the table's files are kept, so that only files that are new since are read; the source's keys are counted by bucket
+        where they are read. Equal digests are taken for equal keys: a number and a sum of 64-bit hashes. Rows without a key are
+        a bucket of their own, which differs if the table has any that is live."""
+        old = self._known()
+        asked = {b: list(names) for b, names in old.files.items() if b != SETTLED}
+        facts = KeyDigests(self.spark, f"{self.path}/digests", self.keys)
+        unknown = facts.unknown(asked) if asked else {}
+        if unknown:
+            live = ~F.coalesce(F.col(deleted), F.lit(False)) if deleted in old.schema.names else F.lit(True)
+            facts.add(self._rows(old.schema, unknown, named=True).select(*self.keys, BUCKET, FILE, live.alias("_live")))
+            facts.tidy(asked)
+        _, keys = agree(old.schema, source.select(*self.keys), old.keys)
+        keys = keys.select(*self.keys).withColumn(BUCKET, self.bucket_of(self.keys, old.buckets))
+        minus = lambda c: (-F.col(c)).alias(c)
+        theirs = keys.groupBy(BUCKET).agg(*key_digest(self.keys)).select(BUCKET, minus("n"), minus("total"))
+        both = facts.of(asked).select(BUCKET, "n", "total").unionByName(theirs) if asked else theirs
+        both = both.groupBy(BUCKET).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("n").alias("most"))
+        no_key = (F.col(BUCKET) == NO_KEY) & (F.col("most") > 0)
+        found = both.where(F.when(F.col(BUCKET) == NO_KEY, no_key).otherwise((F.col("n") != 0) | (F.col("total") != 0)))
+        buckets = sorted(r[BUCKET] for r in found.select(BUCKET).collect())  # at most the table's buckets
+        return buckets, keys.where(F.col(BUCKET).isin(buckets) if buckets else F.lit(False)).drop(BUCKET)
+
+    def _rows(self, schema: T.StructType, files: Mapping[int, Sequence[str] | Mapping[str, int]], named: bool = False) -> DataFrame:
+        """Stored rows with their bucket and, on request, their file's name; files from before a column was added read it as null."""
+        wide = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
+        paths = [self._file(b, n) for b, names in files.items() for n in names]
         if not paths:
-            return self.spark.createDataFrame([], wide)
+            empty = self.spark.createDataFrame([], wide)
+            return empty.withColumn(FILE, F.lit("")) if named else empty
         full = T.StructType([*wide.fields, T.StructField(WRITE, T.StringType())])
-        return self.spark.read.schema(full).option("basePath", self.data).parquet(*paths).drop(WRITE)
+        rows = self.spark.read.schema(full).option("basePath", self.data).parquet(*paths)
+        if named:
+            return rows.select(*[F.col(f"`{c}`") for c in wide.names], F.concat_ws("/", WRITE, "_metadata.file_name").alias(FILE))
+        return rows.drop(WRITE)
 
     def touched(self, delta: DataFrame, buckets: int | None = None) -> dict[int, int]:
-        """Buckets the delta falls in, with the bytes of its keys: at most one pair of numbers
-        per bucket."""
+        """Buckets the delta falls in, with the bytes of its keys."""
+        return {r[BUCKET]: r.b for r in self._hits(delta, buckets)}
+
+    def _hits(self, delta: DataFrame, buckets: int | None = None) -> list[Row]:
+        """One row per bucket the delta falls in: its keys' bytes and its rows."""
         size = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) + 16 for k in self.keys), F.lit(0))
-        rows = delta.groupBy(self.bucket_of(delta.columns, buckets).alias(BUCKET)).agg(F.sum(size).alias("b")).collect()
-        return {r[BUCKET]: r.b for r in rows}
+        return delta.groupBy(self.bucket_of(delta.columns, buckets).alias(BUCKET)).agg(F.sum(size).alias("b"), F.count("*").alias("n")).collect()
+
+    def _held(self, old: Version, delta: DataFrame, hits: Sequence[Row]) -> dict[int, list[str]]:
+        """The files that a delta's keys may lie in."""
+        asked = {r[BUCKET]: list(old.files[r[BUCKET]]) for r in hits if r[BUCKET] >= 0 and r[BUCKET] in old.files}
+        n_files = sum(map(len, asked.values()))
+        n_bytes = sum(old.files[b][n] for b, ns in asked.items() for n in ns)
+        n_keys = sum(r.n for r in hits if r[BUCKET] >= 0)
+        if n_bytes < self.prune_from or n_keys >= DENSE * n_files or n_files <= len(asked):
+            return asked
+        unknown = self.index.unknown(asked)
+        if unknown:
+            self.index.add(self._rows(old.schema, unknown, named=True).select(*self.keys, BUCKET, FILE))
+        return self.index.may_hold(delta.select(*self.keys, self.bucket_of(delta.columns, old.buckets).alias(BUCKET)), asked)
 
     def apply(
         self,
@@ -271,42 +364,48 @@ class KeyedTable:
         note: Mapping[str, object] | None = None,
         also: str | None = None,
         matching: bool = True,
-    ) -> None:
-        """Rewrite the touched buckets with ``change(target_rows, delta, small)``.
+    ) -> Applied:
+        """Rewrite the files that may hold the delta's keys with ``change(target_rows, delta, small)``.
 
         ``small`` says that the delta's keys were measured and are safe to broadcast. The
         kept rows then go from scan to file without a shuffle, and only the delta's own
         rows are brought together by bucket. Larger deltas rebalance everything. Rows without a
         key come into ``change`` only if ``with_no_key``, else new ones are added beside them; ``also``
-        is a predicate for stored rows, settled ones too, whose folders must come in. Without ``matching``
-        the delta only adds rows, and just those folders come in."""
+        is a predicate for stored rows, settled ones too, whose files must come in. Without ``matching``
+        the delta only adds rows, and just those files come in."""
         old = self._known()
         if old.writers.get(writer) == token:
-            return
+            return Applied()
         schema, delta = agree(old.schema, delta, old.keys)
-        old = replace(old, schema=schema)
-        hits = self.touched(delta, old.buckets)
-        rewritten = {b for b in hits if b >= 0 and matching} | ({NO_KEY} if with_no_key else set())
+        hits = self._hits(delta, old.buckets)
+        chosen: dict[int, set[str]] = {b: set(ns) for b, ns in (self._held(old, delta, hits) if matching else {}).items()}
+        if with_no_key:
+            chosen[NO_KEY] = set(old.files.get(NO_KEY, {}))
         if also:
-            met = self._rows(old, list(old.parts)).where(F.expr(also)).select(BUCKET).distinct().collect()
-            rewritten |= {r[BUCKET] for r in met}
-        if not hits and not rewritten:
-            return
-        small = sum(hits.values()) <= (SMALL_KEY_BYTES if self.small_bytes is None else self.small_bytes)
-        stored = self._rows(old, sorted(b for b in rewritten if b in old.parts))
-        fresh = change(stored, delta, small)
+            for r in self._rows(schema, old.files, named=True).where(F.expr(also)).select(BUCKET, FILE).distinct().collect():
+                chosen.setdefault(r[BUCKET], set()).add(r[FILE])
+        if not hits and not any(chosen.values()) and note is None:
+            return Applied()
+        asked = sum(len(old.files.get(r[BUCKET], {})) for r in hits if r[BUCKET] >= 0)
+        for b, names in chosen.items():
+            little = {n for n, size in old.files.get(b, {}).items() if size < self.file_bytes // 16} if b >= 0 else set()
+            if names and len(little - names) >= FAN:
+                names |= little
+        drop = {b: sorted(names) for b, names in chosen.items() if names}
+        small = sum(r.b for r in hits) <= (SMALL_KEY_BYTES if self.small_bytes is None else self.small_bytes)
+        fresh = change(self._rows(schema, drop), delta, small)
         schema = T.StructType([f for f in fresh.schema.fields if f.name != BUCKET])
         kept, new = fresh.where(F.col(BUCKET).isNotNull()), fresh.where(F.col(BUCKET).isNull())
         kept, new = self._settle(kept), self._place(new.drop(BUCKET), old.buckets)
         rows = kept.unionByName(new.hint("rebalance", BUCKET)) if small else kept.unionByName(new).hint("rebalance", BUCKET)
-        write, found = self._write(rows)
-        parts = {b: list(ws) for b, ws in old.parts.items() if b not in rewritten}
-        for b in found:
-            parts[b] = [*parts.get(b, []), write]
-        gone = tuple((b, w) for b in rewritten for w in old.parts.get(b, []))
-        writers = {**old.writers, writer: token}
-        self._commit(Version(old.number + 1, schema, old.keys, old.buckets, parts, gone, writers, old.note if note is None else dict(note)))
-        self._let_go(old)
+        files: Files = self._write(rows)
+        after = old.after(files, drop, schema=schema, writers={**old.writers, writer: token}, note=old.note if note is None else dict(note))
+        self._commit(after)
+        self._let_go(old, after)
+        self.index.tidy(after.files)
+        self.compact()
+        rewritten = sum(len(ns) for b, ns in drop.items() if b >= 0)
+        return Applied(rewritten, max(0, asked - rewritten))
 
     def _settle(self, rows: DataFrame) -> DataFrame:
         if not self.settled:
@@ -315,13 +414,17 @@ class KeyedTable:
         return rows.withColumn(BUCKET, F.when(done, F.lit(SETTLED)).otherwise(F.col(BUCKET)))
 
     def vacuum(self) -> int:
-        """Remove folders that the current version doesn't name, such as dead writes left. No writer and
-        no reader of an older version may be at work."""
+        """Remove files that the current version doesn't name, such as dead writes left, with folders that are left empty. No
+        writer and no reader of an older version may be at work."""
         old = self._known()
-        live = {(b, w) for b, ws in old.parts.items() for w in ws}
+        live = {(b, n) for b, ns in old.files.items() for n in ns}
         gone = 0
         for path in storage.matching(self.spark, f"{self.data}/{BUCKET}=*/{WRITE}=*"):
-            bucket, write = path.split(f"{BUCKET}=")[1].split(f"/{WRITE}=")
-            if (int(bucket), write) not in live:
+            bucket, write = path.split(f"{BUCKET}=")[-1].split(f"/{WRITE}=")
+            if (int(bucket), write) not in old.folders:
                 gone += storage.purge(self.spark, path)
+                continue
+            for name in storage.children(self.spark, path):
+                if (int(bucket), f"{write}/{name}") not in live:
+                    gone += storage.purge(self.spark, f"{path}/{name}")
         return gone

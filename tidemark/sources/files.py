@@ -9,12 +9,12 @@ from datetime import date
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.values import ZERO_DATES, strict_cast
+from tidemark.sources.zstd import read_lines
 
 CORRUPT, SOURCE = "_corrupt_record", "_source_file"
 # The escapes a tab-separated dump uses after a backslash.
@@ -63,14 +63,18 @@ def read_declared(
     return reader.format(fmt.kind.lower()).load(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, fmt: FileFormat | None = None) -> DataFrame:
-    """Quoted CSV where an empty field, quoted or not, is null and short rows are allowed. Fields are
-    read as text and must then fit their types."""
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str, fmt: FileFormat | None = None, extra_fields: str = "ignore"
+) -> DataFrame:
+    """Quoted CSV where an empty field, quoted or not, is null and rows may be ragged: a short row lacks values, and fields past the
+    last column are ignored or, with ``extra_fields="fail"``, end the load. Fields are read as text and must then fit their types."""
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     fmt = fmt or FileFormat()
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])
-    rows = read_declared(spark, path, replace(fmt, extras={"mode": "PERMISSIVE", **fmt.extras}), text)
-    return rows.select([strict_cast(F.nullif(F.col(f.name), F.lit("")), f.dataType, f.name).alias(f.name) for f in wanted.fields])
+    # the parser fails on a row of more fields than it has room for
+    room = {"maxColumns": str(len(text.fields))} if extra_fields == "fail" else {}
+    rows = read_declared(spark, path, replace(fmt, extras={"mode": "PERMISSIVE", **room, **fmt.extras}), text)
+    return rows.select([strict_cast(F.nullif(F.col(f"`{f.name}`"), F.lit("")), f.dataType, f.name).alias(f.name) for f in wanted.fields])
 
 
 def read_by_name(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -97,11 +101,12 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType, rejects: bool
     Raw tabs and line ends are escaped by the writer, so plain lines can be split
     across tasks. Fields that a line lacks are null. A line with more fields, or a value that does not fit
     its type, ends the load; with ``rejects`` such lines come with nulls and their text in ``_corrupt_record``.
-    Files named ``.zst`` are unpacked while they are read, each by one task."""
-    return _tsv_rows(_dump_lines(spark, path), schema, rejects)
+    Files named ``.zst`` are unpacked while they are read, those with an index of frames by several tasks."""
+    return tsv_rows(_dump_lines(spark, path), schema, rejects)
 
 
-def _tsv_rows(lines: DataFrame, schema: T.StructType, rejects: bool) -> DataFrame:
+def tsv_rows(lines: DataFrame, schema: T.StructType, rejects: bool = False) -> DataFrame:
+    """Dump lines, in the column ``value``, as rows."""
     fields = F.split("value", "\t", -1)
     n, kinds = len(schema.fields), schema.fields
     if not rejects:
@@ -119,32 +124,12 @@ def _tsv_rows(lines: DataFrame, schema: T.StructType, rejects: bool) -> DataFram
 def _dump_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of a dump, packed or not."""
     packed = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.zst").load(path)
-    names = packed.select(F.col("path").alias("value"))
+    names = [r.path for r in packed.select("path").collect()]  # one per packed file
     plain = spark.read.text(path, lineSep="\n")
-    if names.isEmpty():
+    if not names:
         return plain
-    # one file to a task: a packed file cannot be split
-    files = names.repartition(F.col("value")).mapInArrow(_unpacker(), "value string")
     others = plain.where(~F.endswith(F.col("_metadata.file_path"), F.lit(".zst"))).select("value")
-    return files.unionByName(others)
-
-
-def _unpacker() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Lines of zstd files in batches of a few megabytes, whatever the size of a file."""
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name in batch.column("value").to_pylist():
-                store, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
-                with store.open_input_stream(place, compression="zstd") as source:
-                    rest = b""
-                    while piece := source.read(1 << 22):
-                        *lines, rest = (rest + piece).split(b"\n")
-                        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary()).cast(pa.string())], ["value"])
-                    if rest:
-                        yield pa.RecordBatch.from_arrays([pa.array([rest], pa.binary()).cast(pa.string())], ["value"])
-
-    return unpack
+    return read_lines(spark, names).unionByName(others)
 
 
 def tsv_line(df: DataFrame) -> Column:
