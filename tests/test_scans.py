@@ -214,3 +214,43 @@ def test_retention_keeps_newest_runs_and_rows_without_a_config(spark):
     got = manifest.retain(spark.createDataFrame(rows, "config_id int, run_at int, f string"), 5)
     want = [r for r in rows if r[0] != 1 or r[1] is None or r[1] >= 3]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def depth_parts(spark, rows, kind, partitions, spread=None):
+    """The parts that a database would give: its query is run by Spark over a view."""
+    rows.createOrReplaceTempView("depth_source")
+    source = jdbc.JdbcTable("jdbc:x", "depth_source", partition_column="k", partitions=partitions, spread=spread)
+    tiles = spark.sql(f"SELECT * FROM {jdbc.depth_query(source)}").collect()
+    ordered = [(t["low"], t["high"], t["n"]) for t in sorted(tiles, key=lambda t: t["tile"])]
+    parts = jdbc.depth_predicates(source, ordered)
+    return [spark.sql(f"SELECT count(*) AS n FROM depth_source WHERE {p}").first().n for p in parts]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "date", "timestamp_ntz", "decimal(20,0)"])
+def test_jdbc_parts_hold_equally_many_rows(spark, kind):
+    """Ids in a dense block, a sparse tail and a far outlier; some have none."""
+    number = F.when(F.col("id") < 900, F.col("id")).when(F.col("id") < 990, F.col("id") * 1000).when(F.col("id") < 995, F.col("id") * 3_000)
+    value = {"date": F.date_add(F.lit("1990-01-01").cast("date"), (number / 1000).cast("int") + (number % 1000).cast("int")),
+             "timestamp_ntz": F.expr("timestamp_ntz '1990-01-01'") + F.make_dt_interval(secs=number)}.get(kind, number.cast(kind))
+    rows = spark.range(1000).select(value.alias("k"))
+    if kind == "string":
+        rows = rows.select(F.when(F.col("k") % 3 == 0, F.concat(F.lit("o'"), "k")).otherwise(F.col("k")).alias("k"))
+    sizes = depth_parts(spark, rows, kind, 8)
+    assert sum(sizes) == 1000 and len(sizes) >= 7 and max(sizes) <= 2 * 1000 / 8
+
+
+def test_jdbc_parts_of_a_frequent_value(spark):
+    rows = spark.range(900).select(F.when(F.col("id") < 400, F.lit(77)).when(F.col("id") < 420, None).otherwise(F.col("id")).alias("k"), F.col("id").alias("other"))
+    sizes = depth_parts(spark, rows, "bigint", 9, "other")
+    assert sum(sizes) == 900 and max(sizes) <= 200
+    assert sum(depth_parts(spark, rows, "bigint", 9)) == 900
+    assert sum(depth_parts(spark, rows.where("k = 77"), "bigint", 4)) == 400
+    assert sum(depth_parts(spark, rows.where("id < 3") if "id" in rows.columns else rows.limit(3), "bigint", 4)) in (3, 0)
+
+
+def test_text_ids_are_compared_as_numbers(spark):
+    rows = spark.createDataFrame([("9",), ("10",), ("100",), (None,)], "k string")
+    assert sorted(r.k for r in scan.past_cursor(rows, "k", "id", "9").collect()) == ["10", "100"]
+    assert [r.k for r in scan.past_cursor(rows, "k", "id", 9, 99).collect()] == ["10"]
+    with pytest.raises(Exception):
+        scan.past_cursor(spark.createDataFrame([("x1",)], "k string"), "k", "id", 9).collect()

@@ -188,6 +188,29 @@ def replace_where(
     return append(kept, extract, batch_ts, batch_id)
 
 
+def replace_where_history(
+    target: DataFrame,
+    predicate: str,
+    extract: DataFrame,
+    keys: Sequence[str],
+    batch_ts: Column,
+    batch_id: str,
+    watermark: str | None = None,
+    small: bool = False,
+) -> DataFrame:
+    """``replace_where`` for a history: current versions that meet the predicate and whose key the extract lacks are closed;
+    keys with other values get a new version, equal ones keep theirs. Versions without a key match nothing: those
+    that meet the predicate are closed, and the extract's are opened."""
+    current = F.coalesce(F.col("_is_current"), F.lit(False)) & F.coalesce(F.expr(predicate), F.lit(False))
+    met, rest = target.where(current), target.where(~current)
+    named = key_set(extract, keys).withColumn("_named", F.lit(True))
+    marked = _salted(met, keys).join(_side(_unsalted(named), small), [*keys, SALT], "left").drop(SALT)
+    stamp = batch_ts.cast("timestamp_ntz")
+    gone = marked.where("_named IS NULL").withColumns({"_valid_to": stamp, "_is_current": F.lit(False), "_load_ts": stamp, "_batch_id": F.lit(batch_id)})
+    still = rest.unionByName(gone.select(*target.columns)).unionByName(marked.where("_named").select(*target.columns))
+    return apply_history(still, extract, keys, batch_ts, batch_id, watermark, True, small)
+
+
 def gone_keys(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Live target keys the source no longer has. Only key columns are read and moved."""
     live = target.where(~F.coalesce(F.col("_is_deleted"), F.lit(False))).select(*keys)

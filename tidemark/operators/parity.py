@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.fingerprint import exact_hash, table_hash, with_slices
+from tidemark.functions.fingerprint import comparable, exact_hash, table_hash, with_slices
 from tidemark.functions.values import second_text
 from tidemark.operators.shape import live_rows
 
@@ -158,3 +158,36 @@ def key_check(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per_key.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"), F.count(F.lit(1)).alias("distinct_keys")
     ).withColumn("is_unique", F.col("total_rows") == F.col("distinct_keys"))
+
+
+def sketched_keys(df: DataFrame, candidates: Sequence[Sequence[str]], slack: float = 0.05) -> DataFrame:
+    """One row per candidate key: how many rows have a null in it, and about how many values it has. All sketches come from one scan; they are
+    mergeable, so tasks send one each per candidate. ``plausible`` says that the estimate doesn't rule a unique key out."""
+    total = F.count("*")
+    measures = [total.alias("rows")]
+    for i, keys in enumerate(candidates):
+        values = [comparable(df.schema[k]) for k in keys]
+        whole = F.lit(True)
+        for k in keys:
+            whole = whole & F.col(f"`{k}`").isNotNull()
+        measures.append(F.hll_sketch_estimate(F.hll_sketch_agg(F.when(whole, F.xxhash64(*values)), 14)).alias(f"d{i}"))
+        measures.append(F.count_if(~whole).alias(f"n{i}"))
+    row = df.agg(*measures)
+    each = F.array(*[
+        F.struct(F.lit(i).alias("rank"), F.lit(", ".join(k)).alias("keys"), F.lit(len(k)).alias("width"), F.col(f"d{i}").alias("about"), F.col(f"n{i}").alias("null_rows"))
+        for i, k in enumerate(candidates)
+    ])
+    found = row.select("rows", F.inline(each))
+    plausible = (F.col("null_rows") == 0) & (F.col("about") >= F.col("rows") * (1 - slack))
+    return found.withColumn("plausible", plausible)
+
+
+def propose_key(df: DataFrame, candidates: Sequence[Sequence[str]], slack: float = 0.05) -> tuple[list[str], DataFrame] | None:
+    """The first candidate that is a key, of few columns first, with its exact check; None if none is. Sketches of all candidates rule most of
+    them out in one scan, and only what they leave is checked exactly, until one holds."""
+    told = sketched_keys(df, candidates, slack).where("plausible").orderBy("width", "rank").collect()  # one row per candidate
+    for r in told:
+        check = key_check(df, candidates[r["rank"]])
+        if check.first().is_unique:
+            return list(candidates[r["rank"]]), check
+    return None

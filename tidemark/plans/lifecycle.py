@@ -21,10 +21,11 @@ from pyspark.sql import types as T
 
 from tidemark.functions.values import ntz, time_ceiling
 from tidemark.operators import apply, manifest, parity, shape
+from tidemark.plans import gaps
 from tidemark.sinks import storage
+from tidemark.sinks.logfolder import LogFolder
 from tidemark.sinks.tables import KeyedTable, bucket_count
-from tidemark.sources.files import load_or_none
-from tidemark.sources.scan import Scan, scan, with_lookback
+from tidemark.sources.scan import Scan, cursor_literal, cursor_value, scan, with_lookback
 
 LOG_SCHEMA = (
     "batch_id string, config_id string, load_type string, status string, rows_extracted bigint, "
@@ -46,11 +47,13 @@ class Table:
     """One configured table.
 
     ``load_type``: ``incremental``; ``full`` and ``sql`` replace the table by what the source
-    gives (``sql`` says that this is a query's result); ``filter`` replaces the target rows that meet
-    ``filter`` by the source rows that do. ``change_columns`` are read as one window: a row is taken if any of
+    gives, be it nothing (``sql`` says that this is a query's result); ``filter`` replaces the target rows that meet
+    ``filter`` by the source rows that do, and leaves the cursor where it is. In a history, versions that meet the filter and are gone
+    or changed are closed. ``change_columns`` are read as one window: a row is taken if any of
     them lies in it. ``lookback_minutes`` reads again what came shortly before the cursor, for late rows. ``only_changed`` adds
     history versions only for values that differ; ``keep_missing`` keeps old values of columns that
-    the source has no more. ``buckets`` is for a new table; without it its size decides."""
+    the source has no more. ``gap_minutes`` is how long ids that were skipped below an id
+    cursor are looked for, for rows whose transaction ends late (a first load watches from its smallest id on). ``buckets`` is for a new table; without it its size decides."""
 
     config_id: str
     keys: tuple[str, ...] = ()
@@ -66,6 +69,7 @@ class Table:
     lookback_minutes: int = 0
     only_changed: bool = False
     keep_missing: bool = False
+    gap_minutes: int = 0
 
 
 @dataclass(frozen=True)
@@ -90,10 +94,13 @@ class Run:
         return f"{self.root}/run_log"
 
 
+def _logged(run: Run) -> LogFolder:
+    return LogFolder(run.spark, run.log_path, T.StructType.fromDDL(LOG_SCHEMA))
+
+
 def run_log(run: Run) -> DataFrame | None:
-    """All records. Each write has a folder of its own below its day, so writers never share one."""
-    schema = T.StructType.fromDDL(f"{LOG_SCHEMA}, day string, write string")
-    return load_or_none(lambda: run.spark.read.schema(schema).parquet(run.log_path).drop("day", "write"))
+    """All records. Each write has a folder of its own, so writers never share one; many are merged into few."""
+    return _logged(run).read()
 
 
 def _newest(run: Run, folder: str) -> tuple[int, dict]:
@@ -134,7 +141,8 @@ def _token(run: Run, *parts: object) -> str:
 
 def sync(run: Run, table: Table, force_full: bool = False) -> dict:
     """Load one table. Without a stored cursor the load is full: every row that the table's filter
-    lets through, whatever its cursor. An empty window is skipped and leaves the cursor alone.
+    lets through, whatever its cursor. An empty window is skipped and leaves the cursor alone; a full load of an
+    emptied source empties its table.
 
     An increment reads ``(cursor, ceiling]``, so rows without a cursor come with full loads only; its
     record counts them. In a full load rows past the ceiling come too and are read again by the next
@@ -154,6 +162,10 @@ def sync(run: Run, table: Table, force_full: bool = False) -> dict:
         if table.load_type == "filter" and not table.filter:
             raise ValueError("a filter load needs a filter")
         rows = _window(source, table, kind, cursor, ceiling)
+        if _watches(table) and kind == "incremental" and location:
+            spans = _spans(run, stored(run, table, location).version().note)
+            late = scan(source, Scan(filter=table.filter))
+            rows = rows if spans is None else rows.unionByName(gaps.late_rows(late, cursor_value(late, table.cursor_column, "id"), spans, int(cursor)))
         if not full and table.cursor_column and kind == "incremental":
             record["null_cursors"] = source.where(F.col(table.cursor_column).isNull()).count()
         if location:
@@ -174,8 +186,8 @@ def _window(source: DataFrame, table: Table, kind: str, cursor: str | None, ceil
     if kind != "incremental":
         rows = scan(source, Scan("FILTER" if kind == "filter" else "FULL", filter=table.filter))
         if table.scd_type == 0 and table.cursor_column and ceiling is not None and kind == "full":
-            value = F.col(table.cursor_column)
-            rows = rows.where(value.isNull() | (value <= F.lit(str(ceiling)).cast(source.schema[table.cursor_column].dataType)))
+            value = cursor_value(source, table.cursor_column, table.cursor_type)
+            rows = rows.where(value.isNull() | (value <= cursor_literal(source, table.cursor_column, table.cursor_type, ceiling)))
         return rows
     if table.lookback_minutes and table.scd_type == 0:
         raise ValueError("reading a window again needs an upsert or a history")
@@ -188,6 +200,26 @@ def _window(source: DataFrame, table: Table, kind: str, cursor: str | None, ceil
     return scan(source, spec, cursor, ceiling)
 
 
+def _watches(table: Table) -> bool:
+    return bool(table.gap_minutes and table.cursor_type == "id" and table.cursor_column)
+
+
+def _spans(run: Run, note: Mapping) -> DataFrame | None:
+    """The ids that a load's note says are missing."""
+    return run.spark.read.schema(gaps.SPANS).parquet(note["gaps"]) if note.get("gaps") else None
+
+
+def _missed(run: Run, table: Table, written: DataFrame, place: str, cursor: str | None, before: str | None, known: DataFrame | None) -> dict:
+    """The next ledger of missing ids, stored, as a part of a load's note."""
+    if not _watches(table) or cursor is None:
+        return {}
+    ids = written.select(cursor_value(written, table.cursor_column, "id").cast("long").alias("id"))
+    low = int(before) if before is not None else ids.agg(F.min("id")).first()[0] - 1
+    path = f"{place}/gaps/{uuid.uuid4().hex[:12]}"
+    gaps.ledger(ids, known, low, int(cursor), run.as_of, table.gap_minutes).write.parquet(path)
+    return {"gaps": path}
+
+
 def _extract_path(run: Run, table: Table) -> str:
     return f"{run.root}/extracts/{table.config_id}/{run.batch_id}"
 
@@ -212,12 +244,15 @@ def _extract(run: Run, table: Table, rows: DataFrame) -> DataFrame:
 
 
 def _measure(written: DataFrame, table: Table, ceiling: object) -> Row:
-    """Rows, and the cursor they lead to: never past the ceiling."""
-    if table.change_columns:
+    """Rows, and the cursor they lead to: never past the ceiling. A filter load leads to none, since it
+    leaves rows out that lie before it."""
+    if table.load_type == "filter":
+        newest = F.lit(None).cast("string")
+    elif table.change_columns:
         newest = F.lit(None if ceiling is None else str(ceiling))
     elif table.cursor_column:
-        value = F.col(table.cursor_column)
-        limit = F.lit(None if ceiling is None else str(ceiling)).cast(written.schema[table.cursor_column].dataType)
+        value = cursor_value(written, table.cursor_column, table.cursor_type)
+        limit = cursor_literal(written, table.cursor_column, table.cursor_type, ceiling)
         newest = F.max(value if ceiling is None else F.when(value <= limit, value)).cast("string")
     else:
         newest = F.lit(None).cast("string")
@@ -233,7 +268,8 @@ def _ceiling(run: Run, table: Table) -> object | None:
     if table.cursor_type == "id" and table.config_id in run.ceilings:
         return run.ceilings[table.config_id]()
     if table.cursor_type == "id":
-        return run.sources[table.config_id]().agg(F.max(table.cursor_column)).first()[0]
+        source = run.sources[table.config_id]()
+        return source.agg(F.max(cursor_value(source, table.cursor_column, table.cursor_type))).first()[0]
     return time_ceiling(run.as_of, table.lag_minutes)
 
 
@@ -244,23 +280,30 @@ def _note(run: Run, record: dict, token: str, rows: int, cursor: str | None) ->
 
 
 def _load_whole(run: Run, table: Table, rows: DataFrame, ceiling: object, record: dict) -> None:
-    """A new folder; readers move to it when it is whole. The folder before the last is removed."""
+    """A new folder; readers move to it when it is whole. The folder before the last is removed. The rows as they were
+    written are counted before the first version is committed, which has the note already."""
     batch_ts, base = ntz(run.as_of), f"{run.root}/tables/{table.config_id}"
     fresh = f"{base}/{run.batch_id}-{uuid.uuid4().hex[:8]}"
     new = shape.with_audit(rows, batch_ts, run.batch_id)
-    target = stored(run, table, fresh, table.buckets or _sized(rows))
-    target.create(shape.with_history(new, batch_ts) if table.scd_type == 2 else new, append_only=table.scd_type == 0)
-    seen = _measure(target.read(), table, ceiling)
-    if seen.n == 0:
+    target, seen = stored(run, table, fresh, table.buckets or _sized(rows)), []
+
+    def told(written: DataFrame) -> dict | None:
+        """Nothing is made of a source that has no rows yet; a table whose source was emptied is emptied too."""
+        seen.append(_measure(written, table, ceiling))
+        n, cursor = seen[0]
+        if n == 0 and record["location"] is None:
+            return None
+        return {**_note(run, record, _token(run, fresh), n, cursor), **_missed(run, table, written, fresh, cursor, None, None)}
+
+    if not target.create(shape.with_history(new, batch_ts) if table.scd_type == 2 else new, told, append_only=table.scd_type == 0):
+        storage.purge(run.spark, fresh)
         record.update(rows_extracted=0, status="skipped", watermark_to=record["watermark_from"])
         return
-    token = _token(run, fresh)
-    target.remember(_note(run, record, token, seen.n, seen.cursor))
     number, before = _newest(run, _pointer(run, table))
     _move_to(run, _pointer(run, table), number + 1, {"location": fresh, "before": before.get("location")})
     if before.get("before"):
         storage.purge(run.spark, before["before"])
-    record.update(rows_extracted=seen.n, rows_loaded=seen.n, status="success", watermark_to=seen.cursor, location=fresh)
+    record.update(rows_extracted=seen[0].n, rows_loaded=seen[0].n, status="success", watermark_to=seen[0].cursor, location=fresh)
 
 
 def _sized(rows: DataFrame) -> int:
@@ -279,13 +322,26 @@ def _load_part(run: Run, table: Table, rows: DataFrame, ceiling: object, record:
         return
     if table.lookback_minutes and record["watermark_from"] is not None and table.cursor_type == "time":
         cursor = max(cursor, record["watermark_from"])
+    old = stored(run, table, record["location"]).version().note
+    if _watches(table) and record["watermark_from"] is not None:
+        cursor = str(max(int(cursor), int(record["watermark_from"])))  # late ids lie below
     token = _token(run, record["load_type"], record["watermark_from"], ceiling, uuid.uuid4())
-    _load_delta(run, table, written, record, token, _note(run, record, token, seen.n, cursor))
+    note = {**({"gaps": old["gaps"]} if old.get("gaps") else {}), **_note(run, record, token, seen.n, cursor)}
+    if record["load_type"] == "incremental":
+        note.update(_missed(run, table, written, record["location"], cursor, record["watermark_from"], _spans(run, old)))
+    _load_delta(run, table, written, record, token, note)
     record.update(status="success", rows_loaded=seen.n, watermark_to=cursor)
 
 
 def _load_delta(run: Run, table: Table, delta: DataFrame, record: dict, token: str, note: dict) -> None:
     batch_ts, target = ntz(run.as_of), stored(run, table, record["location"])
+    if record["load_type"] == "filter" and table.scd_type == 2:
+        target.apply(
+            delta,
+            lambda t, d, small: apply.replace_where_history(shape.widen(t, d), table.filter, d, table.keys, batch_ts, run.batch_id, table.cursor_column, small),
+            token, with_no_key=True, note=note, also=f"({table.filter}) AND _is_current",
+        )
+        return
     if record["load_type"] == "filter":
         target.apply(
             delta, lambda t, d, small: apply.replace_where(shape.widen(t, d), table.filter, d, batch_ts, run.batch_id),
@@ -296,7 +352,8 @@ def _load_delta(run: Run, table: Table, delta: DataFrame, record: dict, token: s
         target.add(shape.with_audit(delta, batch_ts, run.batch_id), token, note=note)
         return
     if table.scd_type == 2:
-        change, options = apply.apply_history, {"only_changed": table.only_changed}
+        # rows of a window that is read again are no new versions of themselves
+        change, options = apply.apply_history, {"only_changed": table.only_changed or table.lookback_minutes > 0}
     else:
         change, options = apply.upsert, {"keep_missing": table.keep_missing}
     target.apply(
@@ -308,8 +365,9 @@ def _load_delta(run: Run, table: Table, delta: DataFrame, record: dict, token: s
 
 
 def reconcile(run: Run, table: Table) -> dict:
-    """Soft-delete target rows whose key left the source; only buckets with gone keys
-    are rewritten. Folders of appended rows are, if they hold a gone key."""
+    """Soft-delete target rows whose key left the source; only files with gone keys
+    are rewritten. Digests of both sides say in which buckets keys differ, and only keys of those buckets are moved. Tables that are
+    only appended to have no buckets, so all their keys are compared; their files are rewritten if they hold a gone key."""
     _, location = last_state(run, table)
     record = _record(run, table, "reconcile", location=location)
     if location is None or not table.keys:
@@ -318,7 +376,11 @@ def reconcile(run: Run, table: Table) -> dict:
     target, source = stored(run, table, location), run.sources[table.config_id]()
     if table.filter:
         source = source.where(F.expr(table.filter))
-    current = target.read() if table.scd_type == 0 else target.read_open()
+    if table.scd_type == 0:
+        current = target.read()
+    else:
+        buckets, source = target.differing(source)
+        current = target.read_buckets(buckets)
     gone = apply.gone_keys(current, source, table.keys)
     path = f"{location}/gone/{uuid.uuid4().hex[:12]}"
     gone.write.parquet(path)
@@ -401,8 +463,7 @@ def _write_log(run: Run, records: list[dict]) -> None:
     """One folder per write. Then each table's folder is marked: its last load is in the log."""
     if not records:
         return
-    path = f"{run.log_path}/day={run.as_of:%Y%m%d}/write={uuid.uuid4().hex}"
-    run.spark.createDataFrame(records, LOG_SCHEMA).coalesce(1).write.parquet(path)
+    _logged(run).append(run.spark.createDataFrame(records, LOG_SCHEMA))
     for r in records:
         if r["status"] == "success" and r["load_type"] not in ("reconcile", "validate") and r["location"]:
             note = KeyedTable(run.spark, r["location"], ()).version().note
@@ -426,10 +487,13 @@ def _extracted(run: Run, table: Table) -> str:
     return f"{run.root}/backlog/{table.config_id}/at"
 
 
+def _registered(run: Run) -> LogFolder:
+    return LogFolder(run.spark, f"{run.root}/files", T.StructType.fromDDL(FILE_SCHEMA))
+
+
 def files(run: Run) -> DataFrame | None:
     """The manifest of extracted files, each with its newest status."""
-    schema = T.StructType.fromDDL(f"{FILE_SCHEMA}, write string")
-    rows = load_or_none(lambda: run.spark.read.schema(schema).parquet(f"{run.root}/files").drop("write"))
+    rows = _registered(run).read()
     if rows is None:
         return None
     known = rows.where("status = 'extracted'")
@@ -438,8 +502,7 @@ def files(run: Run) -> DataFrame | None:
 
 
 def _register(run: Run, rows: DataFrame) -> None:
-    names = [c.split()[0] for c in FILE_SCHEMA.split(", ")]
-    rows.select(*names).coalesce(1).write.parquet(f"{run.root}/files/write={uuid.uuid4().hex}")
+    _registered(run).append(rows)
 
 
 def extract(run: Run, table: Table) -> dict:
@@ -448,6 +511,8 @@ def extract(run: Run, table: Table) -> dict:
     loaded, location = last_state(run, table)
     if location is None or not table.cursor_column:
         raise ValueError(f"{table.config_id} needs a first load and a cursor before a backlog")
+    if table.scd_type == 2 and table.lookback_minutes:
+        raise ValueError("a backlog adds each row it reads to a history, so it cannot read a window again")
     number, state = _newest(run, _extracted(run, table))
     cursor = max((c for c in (state.get("cursor"), loaded) if c is not None), key=_cursor_order(table), default=None)
     record = _record(run, table, "extract", watermark_from=cursor, location=location)

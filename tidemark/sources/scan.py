@@ -50,6 +50,26 @@ def within(df: DataFrame, column: str, cursor: object, ceiling: object) -> DataF
     return df.where((value > literal_for(df, column, cursor)) & (value <= literal_for(df, column, ceiling)))
 
 
+def cursor_value(df: DataFrame, column: str, cursor_type: str) -> Column:
+    """A cursor column's values in the order of its kind: ids that are kept as text are numbers, and a text
+    that is none ends the load. Other columns are compared as they are, which keeps filters pushable."""
+    value = F.col(column)
+    return value.cast("long") if cursor_type == "id" and isinstance(df.schema[column].dataType, T.StringType) else value
+
+
+def cursor_literal(df: DataFrame, column: str, cursor_type: str, value: object) -> Column:
+    if cursor_type == "id" and isinstance(df.schema[column].dataType, T.StringType):
+        return F.lit(None if value is None else int(value)).cast("long")
+    return F.lit(None if value is None else str(value)).cast(df.schema[column].dataType)
+
+
+def past_cursor(df: DataFrame, column: str, cursor_type: str, cursor: object, ceiling: object | None = None) -> DataFrame:
+    """Rows past a cursor of either kind, up to a ceiling if there is one."""
+    value = cursor_value(df, column, cursor_type)
+    rows = df.where(value > cursor_literal(df, column, cursor_type, cursor))
+    return rows if ceiling is None else rows.where(value <= cursor_literal(df, column, cursor_type, ceiling))
+
+
 def id_ceiling(df: DataFrame, key: str) -> DataFrame:
     """Greatest key now in the source, one row; empty sources give null."""
     return df.agg(F.max(key).alias("ceiling"))
@@ -109,20 +129,14 @@ def scan(
         raise ValueError("a FILTER scan needs a filter")
     if spec.load_type == "INCREMENTAL":
         start = cursor if cursor is not None else (FIRST_ID if spec.cursor_type == "id" else FIRST_TIME)
-        if spec.cursor_type == "id" and spec.cursor_column:
-            rows = within(rows, spec.cursor_column, start, ceiling) if ceiling is not None else newer_than(
-                rows, spec.cursor_column, start
-            )
-        elif spec.change_columns:
+        if spec.change_columns and not (spec.cursor_type == "id" and spec.cursor_column):
             rows = (
                 changed_between(rows, spec.change_columns, start, ceiling)
                 if ceiling is not None
                 else changed_after(rows, spec.change_columns, start)
             )
         elif spec.cursor_column:
-            rows = within(rows, spec.cursor_column, start, ceiling) if ceiling is not None else newer_than(
-                rows, spec.cursor_column, start
-            )
+            rows = past_cursor(rows, spec.cursor_column, spec.cursor_type, start, ceiling)
     if spec.columns:
         rows = rows.select(*spec.columns)
     return full_scan(rows, trim=spec.trim)
