@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.values import ntz
-from tidemark.operators import apply, parity
+from tidemark.operators import apply, locate, parity
+from tidemark.operators.shape import with_audit
 from tidemark.queries.registry import derived, query, table
 from tidemark.queries.shaping import FINGERPRINT
 from tidemark.session import work_path
@@ -137,3 +140,46 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return parity.key_check(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query(
+    "parity_locate",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 700 = 1 THEN 'missing' WHEN o_orderkey % 700 = 3 THEN 'changed' ELSE 'extra' END AS kind,
+          CASE WHEN o_orderkey % 700 = 2 THEN 0 ELSE 1 END::BIGINT AS source_rows, CASE WHEN o_orderkey % 700 = 1 THEN 0 ELSE 1 END::BIGINT AS target_rows
+       FROM orders WHERE o_orderkey % 700 BETWEEN 1 AND 3""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A target that lacks some keys, has some that are gone from the source, and one price off by a cent in others."""
+    orders = table(spark, sf, "orders")
+    off = F.when(F.col("o_orderkey") % 700 == 3, F.col("o_totalprice") + 0.01).otherwise(F.col("o_totalprice"))
+    target = with_audit(orders.where("o_orderkey % 700 <> 1").withColumn("o_totalprice", off), ntz("2024-01-31 00:00:00"), "b1")
+    return locate.locate(orders.where("o_orderkey % 700 <> 2"), target, ["o_orderkey"])
+
+
+KEY_CANDIDATES = {
+    "lineitem": (["l_orderkey"], ["l_partkey"], ["l_orderkey", "l_suppkey"], ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber", "l_partkey"]),
+    "events": (["user_id"], ["event_type"], ["event_type", "user_id"], ["event_id"]),
+}
+_KEYS_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, '{', '.join(keys)}' AS keys, (SELECT count(*) FROM {name}) AS n, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(keys)} FROM {name}) k) AS d"
+    for name, candidates in KEY_CANDIDATES.items() for keys in candidates
+)
+
+
+@query(
+    "propose_keys_sketched",
+    f"""SELECT table_name, keys, CASE WHEN d < 0.95 * n THEN 'ruled out' WHEN d < n THEN 'not unique' ELSE 'unique' END AS verdict,
+          CASE WHEN d >= 0.95 * n THEN d END AS distinct_keys FROM ({_KEYS_SQL}) x""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Several candidate keys of a table in one scan; what the sketches leave is checked exactly."""
+    found = None
+    for name, candidates in KEY_CANDIDATES.items():
+        rows = table(spark, sf, name)
+        told = parity.sketched_keys(rows, candidates)
+        exact = [parity.key_check(rows, candidates[r["rank"]]).withColumn("rank", F.lit(r["rank"])) for r in told.where("plausible").collect()]
+        checks = reduce(DataFrame.unionByName, exact)
+        verdict = F.when(F.col("is_unique").isNull(), "ruled out").when(F.col("is_unique"), "unique").otherwise("not unique")
+        both = told.join(checks, "rank", "left").select(F.lit(name).alias("table_name"), "keys", verdict.alias("verdict"), "distinct_keys")
+        found = both if found is None else found.unionByName(both)
+    return found

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.values import ntz
 from tidemark.operators import apply, runlog
+from tidemark.operators.shape import with_audit
 from tidemark.plans.ingestion import IngestJob, run_batch
 from tidemark.plans.lifecycle import Run, Table, last_state, reconcile, sync
 from tidemark.plans.lifecycle import stored as lifecycle_table
@@ -229,3 +231,63 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle_table(run, setting, last_state(run, setting)[1]).read().select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "_batch_id", "_is_deleted", "_deleted_at"
     )
+
+
+@query(
+    "sink_part_sizes",
+    f"""SELECT count(*) AS total_rows, sum(strlen(doc_id::VARCHAR || ' ' || replace(coalesce(text, ''), chr(10), ' ')) + 1)::BIGINT AS total_bytes,
+          0 AS parts_over_limit, TRUE AS parts_are_full FROM documents HAVING count(*) > 0""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of very unequal width: no file is over its limit unless it is one line, and no two of a task would fit in one."""
+    line = F.concat_ws(" ", F.col("doc_id").cast("string"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))
+    path = work_path(spark, "rolling")
+    out.write_rolling(table(spark, sf, "documents").select(line.alias("value")), path, PART_BYTES)
+    parts = out.read_manifest(spark, path)
+    found = spark.read.text(path).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("read"))
+    both = parts.join(found, "name", "left")
+    task = F.substring("name", 1, 10)
+    after = F.lead("bytes").over(Window.partitionBy(task).orderBy("name"))
+    both = both.withColumn("together", F.col("bytes") + after)
+    return both.agg(
+        F.sum(F.when(F.col("rows") == F.col("read"), F.col("rows"))).alias("total_rows"), F.sum("bytes").alias("total_bytes"),
+        F.count_if((F.col("bytes") > PART_BYTES) & (F.col("rows") > 1)).cast("int").alias("parts_over_limit"),
+        F.coalesce(F.min(F.col("together")) > PART_BYTES, F.lit(True)).alias("parts_are_full"),
+    )
+
+
+@query(
+    "keyed_table_sparse_delta",
+    """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 1500 = 7 THEN o_custkey + 2 ELSE o_custkey END AS v, TRUE AS few_files, TRUE AS others_stay FROM orders
+       UNION ALL SELECT -o_orderkey, o_custkey, TRUE, TRUE FROM orders WHERE o_orderkey % 1500 = 7""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Two deltas of few keys, changed and new ones: only files that hold a key are rewritten (a tenth more at most), others of the
+    touched buckets stay."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"))
+    stored = tables.KeyedTable(spark, work_path(spark, "sparse"), ("k",), 4, file_rows=200, file_bytes=1 << 12, prune_from=0)
+    stored.create(with_audit(orders, ntz(BATCH_TS), "b0"))
+    few, stay = True, True
+    for n in (1, 2):
+        hit = orders.where("k % 1500 = 7")
+        delta = hit.withColumn("v", F.col("v") + n).unionByName(hit.withColumn("k", -F.col("k")))
+        version = stored.version()
+        holding = stored._rows(version.schema, version.files, named=True).join(delta.select("k"), "k", "left_semi").select("_bucket", "_file").distinct().count()
+        did = stored.apply(delta, lambda t, d, small: apply.upsert(t, d, ["k"], ntz(BATCH_TS), BATCH_ID, small=small), f"b{n}")
+        few, stay = few and did.rewritten <= 1.1 * holding, stay and did.left > 0
+    return stored.read().select("k", "v", F.lit(few).alias("few_files"), F.lit(stay).alias("others_stay"))
+
+
+@query("append_compaction", "SELECT o_orderkey, o_totalprice, TRUE AS few_folders, TRUE AS short_versions FROM orders")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Thirty appends leave folders by the logarithm of their number, and version files that name changes only."""
+    orders, n, fan = table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 30, 4
+    stored = tables.KeyedTable(spark, work_path(spark, "compaction"), (), fan=fan)
+    part = F.pmod(F.xxhash64("o_orderkey"), F.lit(n + 1))
+    stored.create(orders.where(part == 0))
+    for i in range(1, n + 1):
+        stored.add(orders.where(part == i), f"b{i}")
+    version = stored.version()
+    bound = (fan - 1) * (2 + math.log(n, fan))
+    few, short = len(version.folders) <= bound, len(version.tail) < n and sum(len(f) for f in version.files.values()) <= 4 * bound * spark.sparkContext.defaultParallelism
+    return stored.read().withColumns({"few_folders": F.lit(few), "short_versions": F.lit(short)})

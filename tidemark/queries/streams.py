@@ -93,6 +93,28 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(events.schema).option("recursiveFileLookup", True).parquet(path)
 
 
+@query(
+    "stream_lag_state",
+    """SELECT *, (SELECT count(*) FROM events WHERE ts > TIMESTAMP '2024-01-05 00:00:00' - INTERVAL 1 MINUTE AND event_id % 3 = 0)
+          + (SELECT count(*) FROM events WHERE ts > TIMESTAMP '2024-01-12 00:00:00' - INTERVAL 1 MINUTE AND event_id % 3 = 1)
+          + (SELECT count(*) FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 1 MINUTE AND event_id % 3 = 2) AS written_to_wait
+       FROM events WHERE ts <= TIMESTAMP '2024-01-28 00:00:00' - INTERVAL 1 MINUTE""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches of rows and two of none, a restart before each: every row is written to wait at most once, and comes
+    when it is old enough."""
+    events, folder, path = table(spark, sf, "events"), work_path(spark, "lag-state"), work_path(spark, "lag-out")
+    held, checkpoint, waited = work_path(spark, "held"), work_path(spark, "checkpoint"), 0
+    for n, day in enumerate((5, 12, 20, 24, 28)):
+        part = events.where(F.col("event_id") % 3 == n).repartition(1) if n < 3 else events.limit(0).coalesce(1)
+        part.write.mode("append").parquet(folder)
+        stream = streams.file_stream(spark, folder, events.schema)
+        streams.stream_settled(stream, "ts", 1, path, held, checkpoint, lambda day=day: datetime(2024, 1, day), slot_minutes=24 * 60)
+        mine = files.load_or_none(lambda: spark.read.schema(f"{streams.SLOT} bigint, {streams.BATCH} bigint").parquet(f"{held}/rows"))
+        waited += 0 if mine is None else mine.where(F.col(streams.BATCH) == n).count()
+    return spark.read.schema(events.schema).option("recursiveFileLookup", True).parquet(path).withColumn("written_to_wait", F.lit(waited))
+
+
 @query(
     "late_rows_lookback",
     """SELECT user_id, event_id, ts, event_type, TIMESTAMP '2024-01-31 00:00:00' AS _load_ts,

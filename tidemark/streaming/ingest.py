@@ -95,24 +95,51 @@ def stream_upsert(
     for_each_batch(stream, handle, checkpoint)
 
 
+SLOT, BATCH = "_slot", "_batch"
+
+
 def stream_settled(
-    stream: DataFrame, column: str, lag_minutes: int, path: str, held: str, checkpoint: str, clock: Callable[[], datetime]
+    stream: DataFrame, column: str, lag_minutes: int, path: str, held: str, checkpoint: str, clock: Callable[[], datetime], slot_minutes: int = 360
 ) -> None:
-    """Append rows once they are old enough: younger ones than the source's clock less the lag wait below
-    ``held`` and come with a later batch. A batch writes folders named by its number, from the folder of
-    the number before it, so a replayed batch replaces its own."""
+    """Append rows once they are old enough: younger ones than the source's clock less the lag wait below ``held``.
+
+    Waiting rows lie in folders by slots of time and are written once. A batch reads the slots between the ceiling of the
+    batch before and its own, and takes the rows between the two: its work is its own rows and those that it sets free, whatever else
+    is held. Its ceiling is stored first, and what it writes is named by its number, so a replayed batch replaces its
+    own. Slots that are free as a whole are removed by the next batch. Rows without a time do not wait."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark, ceiling = batch.sparkSession, literal_for(batch, column, time_ceiling(clock(), lag_minutes))
-        before = f"{held}/{number - 1}"
-        waiting = spark.read.schema(batch.schema).parquet(before) if storage.exists(spark, before) else batch.limit(0)
-        rows = batch.unionByName(waiting).persist()
+        spark, at = batch.sparkSession, f"{held}/ceilings"
+        storage.publish_text(spark, f"{at}/{number:012d}", time_ceiling(clock(), lag_minutes).isoformat(" "))
+        known = [storage.read_text(spark, f"{at}/{n:012d}") for n in (number, number - 1) if n >= 0]
+        before = max(known[1:], default=None)
+        ceiling = max(known)  # a clock that went back frees nothing again
+        if ceiling != known[0]:
+            storage.replace_text(spark, f"{at}/{number:012d}", ceiling)
+        slot = lambda time: F.floor(F.unix_micros(time.cast("timestamp")) / (slot_minutes * 60_000_000))
+        value, limit = F.col(f"`{column}`"), literal_for(batch, column, ceiling)
+        young = F.coalesce(value > limit, F.lit(False))
+        rows = batch.persist()
         try:
-            young = F.coalesce(F.col(column) > ceiling, F.lit(False))
-            rows.where(young).write.mode("overwrite").parquet(f"{held}/{number}")
-            rows.where(~young).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            for old in storage.matching(spark, f"{held}/rows/{SLOT}=*/{BATCH}={number}"):
+                storage.purge(spark, old)
+            slots = rows.where(young).withColumns({SLOT: slot(value), BATCH: F.lit(number)})
+            slots.write.mode("append").partitionBy(SLOT, BATCH).parquet(f"{held}/rows")
+            free = rows.where(~young)
+            if before is not None:
+                schema = T.StructType([*batch.schema.fields, T.StructField(SLOT, T.LongType()), T.StructField(BATCH, T.LongType())])
+                waiting = spark.read.schema(schema).parquet(f"{held}/rows")
+                low = literal_for(batch, column, before)
+                due = waiting.where(F.col(SLOT).between(slot(low), slot(limit)) & (F.col(BATCH) < number) & (value > low) & (value <= limit))
+                free = free.unionByName(due.select(*[F.col(f"`{c}`") for c in batch.columns]))
+            free.write.mode("overwrite").parquet(f"{path}/batch={number}")
         finally:
             rows.unpersist()
+        if before is not None:
+            done = spark.range(1).select(slot(literal_for(batch, column, before))).first()[0]
+            for name in storage.children(spark, f"{held}/rows"):
+                if name.startswith(f"{SLOT}=") and name[len(SLOT) + 1 :].lstrip("-").isdigit() and int(name.split("=")[1]) < done:
+                    storage.purge(spark, f"{held}/rows/{name}")
 
     for_each_batch(stream, handle, checkpoint)
 
