@@ -13,9 +13,14 @@ SEPARATOR = "~|~"
 HASH_HEX_DIGITS = 15
 
 
+def named(name: str) -> Column:
+    """A column by its whole name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def canonical_text(field: T.StructField, float_as: str = "decimal(18,2)") -> Column:
     """One value as text: second precision for times, fixed scale for floats."""
-    value, kind = F.col(field.name), field.dataType
+    value, kind = named(field.name), field.dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         text = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
     elif isinstance(kind, T.DateType):
@@ -44,7 +49,7 @@ def exact_hash(df: DataFrame, columns: Sequence[str]) -> Column:
     """64 bits of a row's values at full precision. Which values are null is hashed as well, since
     nulls leave a hash as it was; columns without an order of values are hashed as JSON."""
     values = [comparable(df.schema[n]) for n in columns]
-    absent = F.concat(F.lit("n"), *[F.col(n).isNull().cast("int").cast("string") for n in columns])
+    absent = F.concat(F.lit("n"), *[named(n).isNull().cast("int").cast("string") for n in columns])
     return F.xxhash64(*values, absent)
 
 
@@ -59,7 +64,7 @@ def _unordered(kind: T.DataType) -> bool:
 def comparable(field: T.StructField) -> Column:
     """A column that can be ordered and hashed: maps by their sorted entries, what holds maps or
     variants as JSON."""
-    value = F.col(field.name)
+    value = named(field.name)
     if isinstance(field.dataType, T.MapType) and not _unordered(field.dataType.valueType):
         return F.array_sort(F.map_entries(value))
     return F.to_json(F.struct(value.alias("v"))) if _unordered(field.dataType) else value

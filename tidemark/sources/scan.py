@@ -14,6 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.fingerprint import comparable
 from tidemark.functions.values import literal_for, trimmed_text
 
 # Cursors that stand for "nothing loaded yet".
@@ -150,7 +151,7 @@ def ranged(df: DataFrame, column: str, partitions: int) -> DataFrame:
     range column lets one repeated value spread over partitions."""
     if not isinstance(df.schema[column].dataType, T.IntegralType) or df.rdd.getNumPartitions() >= partitions:
         return df
-    return df.repartitionByRange(partitions, F.col(column), F.xxhash64(*df.columns))
+    return df.repartitionByRange(partitions, F.col(column), F.xxhash64(*[comparable(f) for f in df.schema]))
 
 
 def custom_sql(
