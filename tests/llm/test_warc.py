@@ -3,6 +3,7 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import pages, warc
 from tidemark.session import work_path
@@ -98,3 +99,39 @@ def test_empty_and_extra_columns(spark):
     assert pages.archived(spark.createDataFrame([], schema)).collect() == []
     got = pages.archived(spark.createDataFrame([(1, "u", "<p>", "d", 4)], schema)).collect()
     assert [(x.page_id, x.payload_bytes, x.record_type, x.refers_to) for x in got] == [(1, 3, "response", None)]
+
+
+def test_uris_and_ids_come_back_as_they_were(spark):
+    uris = ["http://x.com/?q=a%0Ab", "http://x/%0D%25", "http://x/\r\nWARC-Type: revisit", "\n%0A", " http://lead", "http://trail\t", "http://é/漢%C3", "http://x\u0085y", " ", "<http://x>", ""]
+    rows = [(f"id{i}", u, "p") for i, u in enumerate(uris)]
+    path = work_path(spark, "warc-uris")
+    pages.archive(spark.createDataFrame(rows, "page_id string, url string, html string"), path)
+    got = {x.record_id.removeprefix(pages.URN): x.target_uri for x in warc.read_warc(spark, path).collect()}
+    assert got == {i: u for i, u, _ in rows}
+    for i, u, _ in rows:
+        assert [x.record_id for x in warc.read_warc(spark, path).where(F.col("target_uri") == u).collect()] == [pages.URN + i]
+    ids = ["", None, "%", "%00", "%25", "%0Ax", "a\r\nb", " s", "<a>", "plain"]
+    big = "<p>" + "y" * 1200
+    again = pages.archived(spark.createDataFrame([(i, "u", big) for i in ids], "page_id string, url string, html string")).collect()
+    assert sorted((x.page_id is None, x.page_id or "") for x in again) == sorted((i is None, i or "") for i in ids)
+    assert {x.refers_to for x in again if x.record_type == "revisit"} == {"plain"}
+
+
+@pytest.mark.parametrize("payload", [True, False])
+def test_each_byte_is_read_once(payload):
+    r = random.Random(4)
+    records = [warc.record_bytes(dict(record_type="response", record_id=f"r{i}", target_uri="u" * r.randrange(300), record_date="d", refers_to=None, payload_digest=None, payload_length=n, payload=r.randbytes(n))) for i, n in enumerate([0, 10, 3000, 100, 70_000, 5, 400, 30_000] * 30)]
+
+    class Counting(io.BytesIO):
+        n = 0
+
+        def read(self, size=-1):
+            out = super().read(size)
+            Counting.n += len(out)
+            return out
+
+    for data, step in ((b"".join(map(warc.member, records)), warc._members), (b"".join(map(gzip.compress, records)), warc._members), (b"".join(records), warc._plain)):
+        Counting.n = 0
+        got = list(step(Counting(data), 0, len(data), lambda v: (True, payload)))
+        assert [x["record_id"] for x in got] == [f"r{i}" for i in range(len(records))] and Counting.n <= 1.2 * len(data)
+        assert not payload or [len(x["payload"]) for x in got] == [x["payload_length"] for x in got]

@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.functions.fingerprint import comparable, named
 from tidemark.session import work_path
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
@@ -44,6 +45,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """All columns as one struct, whatever their names and types."""
+    return F.struct(*(named(c) for c in df.columns if c.lower() not in but))
+
+
+def row_hash(df: DataFrame, *seed: Column) -> Column:
+    """64 bits of all columns; maps and variants are hashed as what can be compared of them."""
+    return F.xxhash64(*seed, *(comparable(f) for f in df.schema))
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; null has none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SEPARATORS))

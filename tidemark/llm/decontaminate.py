@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import saved, small_side
+from tidemark.llm.common import saved, small_side, whole_row
 from tidemark.llm.words import ALNUM, LOWER, Block, Spans, blocks, mix, sliding_first_min
 
 WINDOW = 10
@@ -189,5 +189,5 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> D
     texts = docs.select(h1.alias("h1"), F.col(text).alias("text"))
     judged = contamination(texts, items, "h1", "text", keys={"h2": F.xxhash64(F.lit(1), "text")}, **options)
     bad = saved(judged.where("contaminated").select("h1", "h2").distinct(), "contaminated")
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), h1.alias("h1"), h2.alias("h2"))
+    keyed = docs.select(whole_row(docs).alias("row"), h1.alias("h1"), h2.alias("h2"))
     return keyed.join(small_side(bad), ["h1", "h2"], "left_anti").select("row.*")

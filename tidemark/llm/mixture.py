@@ -1,6 +1,6 @@
 """Mixing sources to target weights, by thresholds on a hash.
 
-A document's hash is a number of 60 bits that depends on its id alone. Each source takes the
+A document's hash is a number of 60 bits that depends on its id alone, where ids are unique. Each source takes the
 documents whose hash is below its threshold, and the threshold is where the sizes below it come
 nearest the budget. It is found 10 bits at a time: sizes are summed by source and hash bucket,
 the bucket where the budget runs out is the boundary, and only that bucket's documents are
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import digest60, saved, word_count
+from tidemark.llm.common import digest60, saved, small_side, whole_row, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -82,13 +82,39 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return joined.select("source", "source_size", "target", "whole", F.coalesce("below", F.lit(0).cast("long")).alias("below"))
 
 
-def _plan(docs: DataFrame, id_col: str, text: str, source: str, weights: Sequence[int], most: int) -> tuple[DataFrame, DataFrame]:
-    sized = saved(
-        docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), digest60(F.col(id_col)).alias("hash")),
-        "mix-sizes",
-    )
+def _spread(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``rows`` (``hash``, ``same``, ...) in which rows of one hash have one each: of (hash, same) and a number among equals.
+
+    Rows are numbered where they lie, and the counts of the tasks before are added, so a hash of very many rows meets in no task. Equal rows may
+    swap numbers, which changes nothing."""
+    once = rows.join(small_side(repeated), "hash", "left_anti")
+    again = rows.join(small_side(repeated), "hash", "left_semi").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    again = saved(again, "mix-repeats")
+    group = ["hash", "same"]
+    held = again.groupBy(*group, "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(*group, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long")).alias("offset"))
+    number = F.row_number().over(Window.partitionBy(*group, "part").orderBy("at")) + F.col("offset")
+    again = again.join(held, [*group, "part"]).withColumn("hash", digest60(F.concat_ws("/", "hash", "same", number)))
+    return once.unionByName(again.select(*once.columns))
+
+
+def _keyed(docs: DataFrame, id_col: str, text: str, source: str) -> tuple[Column, Column]:
+    """A row's hash, and what tells rows of one hash apart."""
+    return digest60(F.col(id_col)).alias("hash"), F.xxhash64(F.col(source), F.col(text), F.col(source).isNull(), F.col(text).isNull()).alias("same")
+
+
+def _plan(docs: DataFrame, id_col: str, text: str, source: str, weights: Sequence[int], most: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Sizes with their hashes, thresholds, and the hashes that several rows have, if any."""
+    hash_, same = _keyed(docs, id_col, text, source)
+    sized = saved(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), hash_, same), "mix-sizes")
+    repeated = saved(sized.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "mix-repeated")
+    if repeated.isEmpty():
+        repeated = None
+    else:
+        sized = saved(_spread(sized, repeated), "mix-sizes")
     sizes = saved(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    return sized, saved(thresholds(sized, targets(sizes, weights, most)), "mix-thresholds")
+    return sized, saved(thresholds(sized, targets(sizes, weights, most)), "mix-thresholds"), repeated
 
 
 def mixed(
@@ -99,9 +125,9 @@ def mixed(
 
     A null source is a source of its own. Null and empty texts have size 0 and get the copies that
     their hash gives, which adds no words; if a source has no words its documents get none. Rows
-    with the same id, null included, have the same hash and are taken together. An empty table
-    gives no rows; other columns are not read."""
-    sized, plan = _plan(docs, id_col, text, source, weights, most)
+    with the same id, null included, are told apart by source, text and a number among equals, so that they are
+    taken one by one. An empty table gives no rows; other columns are not read."""
+    sized, plan, _ = _plan(docs, id_col, text, source, weights, most)
     plan = plan.withColumnRenamed("source", "plan_source")
     out = sized.join(plan, sized["source"].eqNullSafe(plan["plan_source"]))
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("whole") + (F.col("hash") < F.col("below")).cast("long")).alias("copies"))
@@ -111,9 +137,11 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, most: int = MAX_REPEATS
 ) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as ``mixed`` says, all columns kept."""
-    _, plan = _plan(docs, id_col, text, source, weights, most)
+    _, plan, repeated = _plan(docs, id_col, text, source, weights, most)
     plan = plan.select(F.col("source").alias("plan_source"), "whole", "below")
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).alias("of"), digest60(F.col(id_col)).alias("hash"))
+    hash_, same = _keyed(docs, id_col, text, source)
+    keyed = docs.select(whole_row(docs).alias("row"), F.col(source).alias("of"), hash_, *([same] if repeated else []))
+    keyed = _spread(keyed, repeated) if repeated else keyed
     out = keyed.join(plan, F.col("of").eqNullSafe(F.col("plan_source")))
     copies = (F.col("whole") + (F.col("hash") < F.col("below")).cast("long")).cast("int")
     return out.select("row", F.explode(F.array_repeat(F.lit(0), copies)).alias("copy")).select("row.*")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import saved
 from tidemark.llm.warc import read_warc, write_warc
@@ -15,6 +16,20 @@ BROADCAST_ROWS = 200_000
 URN = "urn:page:"
 
 
+def _name(id_: Column) -> Column:
+    """A record's name. A null id has none behind the prefix; an empty one, and those that start with a per cent sign, are marked with it."""
+    text = id_.cast("string")
+    marked = F.when(text == "", "%00").when(F.startswith(text, F.lit("%")), F.concat(F.lit("%25"), F.substring(text, 2, 1 << 30))).otherwise(text)
+    return F.concat(F.lit(URN), F.coalesce(marked, F.lit("")))
+
+
+def _id(name: Column, kind: T.DataType) -> Column:
+    """The id in a record's name."""
+    text = F.substring(name, len(URN) + 1, 1 << 30)
+    plain = F.when(text == "%00", "").when(F.startswith(text, F.lit("%25")), F.concat(F.lit("%"), F.substring(text, 4, 1 << 30))).otherwise(text)
+    return F.when(text != "", plain).cast(kind)
+
+
 def page_records(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """One record per page, in the columns of the WARC source. Of pages with the same payload of at
     least ``LEAST_BYTES`` bytes, those with the largest id (one, unless rows repeat) are responses and
@@ -29,13 +44,12 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url: str = "url", ht
         tops = F.broadcast(tops)
     joined = rows.join(tops, ["digest", "length"], "left")
     revisit = F.col("top").isNotNull() & ~F.col("id").eqNullSafe(F.col("top"))
-    urn = lambda c: F.concat(F.lit(URN), F.coalesce(F.col(c).cast("string"), F.lit("")))
     return joined.select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        urn("id").alias("record_id"),
+        _name(F.col("id")).alias("record_id"),
         F.col("url").alias("target_uri"),
         F.lit(date).alias("record_date"),
-        F.when(revisit, urn("top")).alias("refers_to"),
+        F.when(revisit, _name(F.col("top"))).alias("refers_to"),
         F.col("digest").alias("payload_digest"),
         F.col("length").alias("payload_length"),
         F.when(~revisit, F.col("payload")).alias("payload"),
@@ -55,7 +69,7 @@ def archived(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     path = work_path(spark, "warc")
     archive(pages, path, id_col=id_col)
     kind = pages.schema[id_col].dataType
-    own = lambda c: F.expr(f"nullif(substring({c}, {len(URN) + 1}), '')").cast(kind)
+    own = lambda c: _id(F.col(c), kind)
     full = read_warc(spark, path).where("record_type = 'response'")
     full = full.select(own("record_id").alias(id_col), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast(kind).alias("refers_to"))
     again = read_warc(spark, path, payload=False).where("record_type = 'revisit'")

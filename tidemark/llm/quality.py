@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import saved, words
+from tidemark.llm.common import saved, whole_row, words
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -171,6 +171,6 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: s
 def keep(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns. Rows are stored once with their
     counts: the sketches then read the counts alone, and no text is counted twice."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
     counts = saved(measured(rows).drop("text"), "quality-counts")
     return judged(counts, thresholds(sketches(counts))).where("kept").select("row.*")

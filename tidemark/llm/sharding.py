@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tidemark.llm.common import saved
+from tidemark.functions.fingerprint import named
+from tidemark.llm.common import row_hash, saved
 
 OVERHEAD = 16
 #: First ranges per shard, at most so many in all, and sample keys for each.
@@ -103,11 +104,11 @@ def place(docs: DataFrame, shards: int, id_col: str, text: str, carry: Sequence[
     ``stored`` writes the keyed rows once, which pays when the carried columns are narrow."""
     value = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
-        F.struct(*carry).alias("row"),
+        F.struct(*(named(c) for c in carry)).alias("row"),
         size_of(F.col(text)).alias("size"),
         F.crc32(value).alias("text_crc32"),
         order_key(F.col(text), F.col(id_col)).alias("key"),
-        F.xxhash64(*docs.columns).alias("tie"),
+        row_hash(docs).alias("tie"),
     )
     if stored:
         rows = saved(rows, "shard-keys")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import saved, small_side
+from tidemark.llm.common import row_hash, saved, small_side, whole_row
 from tidemark.llm.graph import components
 
 BITS = 64
@@ -246,7 +246,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shi
     """``docs`` with one row of each component: that with the smallest id (nulls last), then the
     smallest hash of all its columns; of rows equal in every column one stays. Nulls, empty texts
     and empty tables as in ``near_copies``; all columns stay, whatever their names."""
-    keys = [F.xxhash64(*docs.columns).alias("h1"), F.xxhash64(F.lit(1), *docs.columns).alias("h2")]
+    keys = [row_hash(docs).alias("h1"), row_hash(docs, F.lit(1)).alias("h2")]
     marks = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), *keys)
     marked = saved(fingerprints(marks, "text", shingle), "simhash-fps")
     roots = roots_of(marked, radius)
@@ -257,7 +257,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shi
     copies = marked.groupBy("h1", "h2").agg(F.count("*").alias("copies"))
     judged = copies.join(best.withColumn("wins", F.lit(True)), ["h1", "h2"], "left")
     judged = saved(judged.where("wins IS NULL OR copies > 1").select("h1", "h2", "wins"), "simhash-judged")
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), *keys)
+    keyed = docs.select(whole_row(docs).alias("row"), *keys)
     once = keyed.join(small_side(judged), ["h1", "h2"], "left_anti").select("row.*")
-    again = keyed.join(small_side(judged.where("wins")), ["h1", "h2"], "left_semi").select("row.*").dropDuplicates()
-    return once.unionByName(again)
+    again = keyed.join(small_side(judged.where("wins")), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("row").alias("row"))
+    return once.unionByName(again.select("row.*"))

@@ -21,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -65,9 +66,18 @@ _HEADERS = {
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _line(value: str) -> str:
-    """A header value on one line."""
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if "\r" in value or "\n" in value else value
+#: Names the columns whose values are percent-encoded, since a header cannot hold them as they are.
+_ENCODED = "X-Percent-Encoded"
+_PLAIN = "".join(chr(c) for c in range(33, 127) if c != 37)
+
+
+def _line(row: dict, column: str, encoded: list[str]) -> str:
+    """A header value as it is, unless it has line ends or white space around it; such a one is encoded and noted."""
+    value = row[column]
+    if "\r" not in value and "\n" not in value and value == value.strip():
+        return value
+    encoded.append(column)
+    return quote(value, safe=_PLAIN)
 
 
 def record_bytes(row: dict) -> bytes:
@@ -76,13 +86,16 @@ def record_bytes(row: dict) -> bytes:
     payload = row["payload"] or b""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_length']}\r\n\r\n".encode()
     block = head if row["record_type"] == "revisit" else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <{_line(row['record_id'])}>", f"WARC-Date: {row['record_date']}"]
+    encoded: list[str] = []
+    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <{_line(row, 'record_id', encoded)}>", f"WARC-Date: {row['record_date']}"]
     if row["target_uri"] is not None:
-        lines.append(f"WARC-Target-URI: {_line(row['target_uri'])}")
+        lines.append(f"WARC-Target-URI: {_line(row, 'target_uri', encoded)}")
     if row["payload_digest"] is not None:
         lines.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(row['payload_digest'])).decode()}")
     if row["record_type"] == "revisit":
-        lines += [f"WARC-Profile: {_REVISIT}", f"WARC-Refers-To: <{_line(row['refers_to'])}>"]
+        lines += [f"WARC-Profile: {_REVISIT}", f"WARC-Refers-To: <{_line(row, 'refers_to', encoded)}>"]
+    if encoded:
+        lines.append(f"{_ENCODED}: {' '.join(encoded)}")
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -227,11 +240,12 @@ def _parse(head: bytes) -> tuple[dict, int, int, int] | None:
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     length = int(fields["content-length"])
     values = {c: fields.get(h.lower()) for c, h in _HEADERS.items()}
+    encoded = fields.get(_ENCODED.lower(), "").split()
     for c in ("record_id", "refers_to", "target_uri"):
         v = values[c]
         if v is not None:
             v = v[1:-1] if c != "target_uri" and v.startswith("<") and v.endswith(">") else v
-            values[c] = v.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%") if "%0D" in v or "%0A" in v else v
+            values[c] = unquote(v) if c in encoded else v
     digest = values["payload_digest"]
     if digest and digest.startswith("sha1:") and len(digest) == 37:
         values["payload_digest"] = base64.b32decode(digest[5:]).hex()
@@ -249,26 +263,58 @@ def _parse(head: bytes) -> tuple[dict, int, int, int] | None:
     return values, end + 4, length, inner
 
 
+#: Bytes that are read after a step over others, and most that are read at once while records follow each other.
+_LEAST_READ, _MOST_READ = 1 << 14, 1 << 20
+
+
+class _Window:
+    """The bytes of a file from some place on, read once as the place moves forward."""
+
+    def __init__(self, source, end: int):
+        self.source, self.end, self.start, self.data, self.step = source, end, 0, b"", _LEAST_READ
+
+    def at(self, place: int, least: int, end: int | None = None) -> bytes:
+        """Bytes from ``place`` on: ``least`` of them or all there are, and what else was read, up to ``end``."""
+        if not self.start <= place <= self.start + len(self.data):
+            self.data, self.step = b"", _LEAST_READ
+        else:
+            self.data = self.data[place - self.start :]
+        self.start = place
+        while len(self.data) < least and place + len(self.data) < self.end:
+            self.source.seek(place + len(self.data))
+            piece = self.source.read(min(self.end - place - len(self.data), max(self.step, least - len(self.data))))
+            if not piece:
+                break
+            self.data += piece
+            self.step = min(2 * self.step, _MOST_READ)
+        return self.data if end is None else self.data[: max(0, end - place)]
+
+
 def _members(source, start: int, end: int, wanted) -> Iterator[dict]:
-    at = start
+    at, window = start, _Window(source, end)
     while at < end:
-        source.seek(at)
-        packed = source.read(min(end - at, 1 << 14))
+        packed = window.at(at, 1 << 12)
         skip, total = 10, None
         if packed[:2] != b"\x1f\x8b":
             raise ValueError(f"no gzip member at byte {at}")
         flags = packed[3]
         if flags & 4:
             (length,) = struct.unpack_from("<H", packed, 10)
+            packed = window.at(at, 12 + length + (1 << 12))
             if packed[12:14] == b"sl":
                 total = struct.unpack_from("<I", packed, 16)[0]
             skip = 12 + length
         for bit in (8, 16):  # a name, a comment
             if flags & bit:
-                skip = packed.index(b"\0", skip) + 1
+                while (stop := packed.find(b"\0", skip)) < 0 and len(packed) < end - at:
+                    packed = window.at(at, 2 * len(packed))
+                if stop < 0:
+                    raise ValueError(f"the member at byte {at} is cut short")
+                skip = stop + 1
         skip += 2 * bool(flags & 2)
         stop = end if total is None else at + total
-        unpack, record, taken, feed = zlib.decompressobj(-zlib.MAX_WBITS), bytearray(), len(packed), packed[skip : None if total is None else total]
+        packed = packed[: stop - at]
+        unpack, record, taken, feed = zlib.decompressobj(-zlib.MAX_WBITS), bytearray(), len(packed), packed[skip:]
 
         def more(limit: int) -> bool:
             """Unpack some more, ``limit`` bytes at most; false at the member's end."""
@@ -276,7 +322,7 @@ def _members(source, start: int, end: int, wanted) -> Iterator[dict]:
             if unpack.eof:
                 return False
             if not feed:
-                feed = source.read(min(stop - at - taken, 1 << 18)) if at + taken < stop else b""
+                feed = window.at(at + taken, 1, stop)
                 taken += len(feed)
                 if not feed:
                     raise ValueError(f"the member at byte {at} is cut short")
@@ -297,30 +343,24 @@ def _members(source, start: int, end: int, wanted) -> Iterator[dict]:
         if passes:
             values["payload"] = bytes(record[begin + inner : begin + length]) if payload else None
             yield values
-        at = stop if total is not None else at + taken - len(unpack.unused_data) + 8
-        if total is None and len(unpack.unused_data) < 8:
-            at = min(at, end)
+        at = stop if total is not None else min(at + taken - len(unpack.unused_data) + 8, end)
 
 
 def _plain(source, start: int, end: int, wanted) -> Iterator[dict]:
     """Records that aren't packed: payloads that aren't wanted are stepped over."""
-    at = start
+    at, window = start, _Window(source, end)
     while at < end:
-        source.seek(at)
-        head, parsed = b"", None
-        while parsed is None:
-            piece = source.read(1 << 12)
-            head += piece
-            parsed = _parse(head)
-            if parsed is None and not piece:
+        head = window.at(at, 1 << 12)
+        while (parsed := _parse(head)) is None:
+            if len(head) >= end - at:
                 raise ValueError(f"the record at byte {at} is cut short")
+            head = window.at(at, 2 * len(head))
         values, begin, length, inner = parsed
         passes, payload = wanted(values)
         if passes:
             values["payload"] = None
             if payload:
-                source.seek(at + begin + inner)
-                values["payload"] = source.read(length - inner)
+                values["payload"] = window.at(at + begin + inner, length - inner)[: length - inner]
             yield values
         at += begin + length + 4
 

@@ -138,6 +138,26 @@ def features(block: Block, hashes: np.ndarray, repeated: np.ndarray) -> tuple[np
     return of, slot, value / norm[of]
 
 
+def _rates(patterns: np.ndarray, counts: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """What posteriors say of the labellers: row 0 has the logarithms of being bad and good, row k + 1 those of each vote of labeller k
+    on either; no vote says nothing."""
+    weight = np.stack([counts * (1 - post), counts * post])
+    prior = np.log((weight.sum(axis=1) + 1) / (counts.sum() + 2))
+    out = [np.column_stack([prior, prior, prior])]
+    for k in range(patterns.shape[1]):
+        rate = np.stack([weight[:, patterns[:, k] == v].sum(axis=1) + 1 for v in (BAD, GOOD)], axis=1)
+        out.append(np.column_stack([np.log(rate / rate.sum(axis=1, keepdims=True)), np.zeros(2)]))
+    return np.stack(out)
+
+
+def posterior(patterns: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """The posterior of being good for votes of any pattern."""
+    log = rates[0][:, :1] + np.zeros((2, len(patterns)))
+    for k in range(patterns.shape[1]):
+        log = log + rates[k + 1][:, patterns[:, k]]
+    return 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
+
+
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
     """The posterior of being good for each vote pattern, by expectation-maximisation.
 
@@ -146,14 +166,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.
     good = (patterns == GOOD).sum(axis=1)
     post = (good + 0.5) / (good + (patterns == BAD).sum(axis=1) * 3 + 1.0)
     for _ in range(rounds):
-        weight = np.stack([counts * (1 - post), counts * post])
-        prior = (weight.sum(axis=1) + 1) / (counts.sum() + 2)
-        log = np.log(prior)[:, None] + np.zeros((2, len(patterns)))
-        for k in range(patterns.shape[1]):
-            rate = np.stack([weight[:, patterns[:, k] == v].sum(axis=1) + 1 for v in (BAD, GOOD)], axis=1)
-            seen = np.log(rate / rate.sum(axis=1, keepdims=True))
-            log += np.column_stack([seen, np.zeros(2)])[:, patterns[:, k]]  # no vote says nothing
-        after = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
+        after = posterior(patterns, _rates(patterns, counts, post))
         done = np.abs(after - post).max() < 1e-9
         post = after
         if done:
@@ -177,6 +190,16 @@ def fit(of: np.ndarray, slot: np.ndarray, value: np.ndarray, target: np.ndarray,
 class Model:
     posteriors: dict[tuple[int, ...], float]
     weights: np.ndarray
+    rates: np.ndarray | None = None
+
+    def believed(self, cast: np.ndarray) -> np.ndarray:
+        """Posteriors of votes; those of patterns that were not learned from come from the labellers' rates."""
+        known = [self.posteriors.get(tuple(v)) for v in cast.tolist()]
+        new = np.array([v is None for v in known], bool)
+        out = np.array([0.5 if v is None else v for v in known])
+        if new.any() and self.rates is not None:
+            out[new] = posterior(cast[new], self.rates)
+        return out
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[Block, np.ndarray, np.ndarray]]:
@@ -209,7 +232,7 @@ def _judge(model: Model):
                 cast = votes(block, hashes, repeated)
                 of, slot, value = features(block, hashes, repeated)
                 z = np.bincount(of, weights=value * model.weights[slot], minlength=len(cast)) + model.weights[-1]
-                post = np.array([model.posteriors[tuple(v)] for v in cast.tolist()])
+                post = model.believed(cast)
                 own = batch.column("id").slice(block.rows.start, len(block.rows))
                 score = np.where(block.counts > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
                 yield pa.RecordBatch.from_arrays(
@@ -229,23 +252,25 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Model:
     if not counted:
         return Model({}, np.zeros((1 << FEATURE_BITS) + 1))
     patterns, counts = np.array([p for p, _ in counted]), np.array([n for _, n in counted], float)
-    posteriors = dict(zip((p for p, _ in counted), estimate(patterns, counts).tolist()))
+    post = estimate(patterns, counts)
+    posteriors = dict(zip((p for p, _ in counted), post.tolist()))
     share = min(1.0, TRAIN_ROWS / counts.sum())
     drawn = rows.where(F.shiftrightunsigned("h", 34) < F.lit(math.ceil(share * (1 << 30))))
     drawn = drawn.groupBy("h", "text").agg(F.count("*").alias("times"))
     kinds = StructType([StructField("votes", StringType()), StructField("slots", ArrayType(IntegerType())), StructField("values", ArrayType(FloatType())), StructField("times", LongType())])
-    got = drawn.select("text", "times").mapInArrow(_sample, kinds).orderBy("votes", F.xxhash64("slots", "values"), "times").toArrow()
+    got = drawn.select("text", "times").mapInArrow(_sample, kinds).withColumn("order", F.xxhash64("slots", "values")).toArrow()
+    got = got.sort_by([("votes", "ascending"), ("order", "ascending"), ("times", "ascending")])
     slots, values = got.column("slots").combine_chunks(), got.column("values").combine_chunks()
     per = slots.value_lengths().to_numpy(zero_copy_only=False)
     target = np.array([posteriors[tuple(map(int, v))] for v in got.column("votes").to_pylist()])
-    return Model(posteriors, fit(np.repeat(np.arange(len(per)), per), slots.flatten().to_numpy(), values.flatten().to_numpy(), target, got.column("times").to_numpy().astype(float)))
+    return Model(posteriors, fit(np.repeat(np.arange(len(per)), per), slots.flatten().to_numpy(), values.flatten().to_numpy(), target, got.column("times").to_numpy().astype(float)), _rates(patterns, counts, post))
 
 
 def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``votes`` (in the order of ``LABELLERS``: 1 good, 0 bad, 2 none), ``posterior``
     (what the votes say) and ``score`` (what the scorer says; 0 for a text without words), both from 0 to 1.
 
-    The model must have been learned on these documents, or others with the same vote patterns. Null and
+    The model may have been learned on other documents; one learned on none says 0.5 of all votes. Null and
     empty texts have no words. Repeated rows are judged alike; an empty table gives no rows; other columns
     are not read."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
