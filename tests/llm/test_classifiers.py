@@ -46,6 +46,109 @@ def test_targets_stand_before_or_after():
     assert got["you"]["aimed"] == 0
 
 
+def read_apart(words, marks_between):
+    """Marks of each symbol, with every transducer run by itself over all words and marks of a text."""
+    arcs = {w: k for k, ws in toxicity._FIXED for w in ws}
+    signs = {".": toxicity.CLAUSE, "!": toxicity.CLAUSE, ":": toxicity.FRAME, '"': toxicity.QUOTE, "\n": toxicity.BREAK}
+    symbols = []
+    for word, after in zip(words, marks_between):
+        symbols.append((word, arcs.get(word, toxicity.OTHER)))
+        symbols += [(None, signs[m]) for m in after]
+    states = [t.start for t in toxicity.TRANSDUCERS]
+    out = []
+    for word, symbol in symbols:
+        marks = 0
+        for i, t in enumerate(toxicity.TRANSDUCERS):
+            states[i], m = t.arcs.get((states[i], symbol), (states[i], 0))
+            marks |= m
+        out.append((word, symbol, marks))
+    return out
+
+
+def enumerated(words, marks_between, lexicon):
+    """The measures by clauses as lists: every threat looks for what it acts on."""
+    T = toxicity
+    row, read = dict.fromkeys(T.MEASURES, 0.0), read_apart(words, marks_between)
+    phrases, clause, i = [p.split() for p in T.PHRASES if p.split()], [], 0
+    read.append((None, T.BREAK, 0))
+    own = [j for j, (w, _, _) in enumerate(read) if w is not None]
+    taken = set()
+    for j in own:  # phrases, none over another: the shortest from each place, if all its words follow each other
+        for p in sorted(phrases, key=len):
+            if [read[k][0] for k in range(j, j + len(p)) if k < len(read)] == p and not taken & set(range(j, j + len(p))):
+                taken |= set(range(j, j + len(p)))
+                if not read[j][2] & T.NEGATED:
+                    row["reported" if read[j][2] & T.REPORTED_BY else "threat_ahead"] += 1
+                break
+    for j, (word, symbol, marks) in enumerate(read):
+        if word is not None:
+            clause.append(j)
+            continue
+        targets = [k for k in clause if read[k][1] in (T.TARGET_WORD, T.OBJECT_WORD)]
+        worst = 0.0
+        for k in clause:
+            w, s, m = read[k]
+            if w in lexicon:
+                what = "negated" if m & T.NEGATED else "reported" if m & T.REPORTED_BY else "plain"
+                row[what] += lexicon[w]
+                if what == "plain":
+                    worst += lexicon[w]
+                    row["aimed"] += lexicon[w] * any(x != k for x in targets)
+            if s == T.THREAT and not m & T.NEGATED:
+                before = [x for x in targets if x < k]
+                as_object = any(read[x][1] == T.OBJECT_WORD for x in before)
+                verb, left, fate = k, T.OBJECT_REACH, None
+                for x in clause:
+                    if x > k and fate is None:
+                        if read[x][1] == T.THREAT:
+                            left = T.OBJECT_REACH
+                        elif read[x][1] in (T.TARGET_WORD, T.OBJECT_WORD):
+                            fate = "target"
+                        elif read[x][1] == T.THING or left == 1:
+                            fate = "thing"
+                        else:
+                            left -= 1
+                fate = fate or ("end" if left == T.OBJECT_REACH else "thing")
+                if fate == "target" or as_object or fate == "end" and before:
+                    row["reported" if m & T.REPORTED_BY else "threat" if before else "threat_ahead"] += 1
+        row["worst_clause"] = max(row["worst_clause"], worst)
+        clause = []
+    return row
+
+
+def test_composed_grammar_agrees_with_its_parts_on_random_texts():
+    r = random.Random(11)
+    lists = [toxicity.THREATS, toxicity.TARGETS, toxicity.OBJECTS, toxicity.NEGATIONS, toxicity.ONLY, toxicity.REPORTS, toxicity.THINGS, ["idiot", "moron", "you", "kill"], [w for p in toxicity.PHRASES for w in p.split()]]
+    lexicon = {"idiot": 2.0, "moron": 3.0, "you": 4.0, "kill": 5.0, "die": 1.5}
+    texts, want = [], []
+    for n in range(1500):
+        words, marks = [], []
+        for _ in range(r.randint(1, 25)):
+            if r.random() < 0.1:
+                more = r.choice([p for p in toxicity.PHRASES if p.strip()]).split()
+            else:
+                more = [r.choice(r.choice(lists))] if r.random() < 0.6 else [r.choice(["x", "house", "red", "went"])]
+            words += more
+            marks += [""] * (len(more) - 1) + [r.choice(["", "", "", "", ".", ":", '"', "\n", ':"', '."', "!.", "\n\n"])]
+        texts.append(" ".join(w + m for w, m in zip(words, marks)))
+        want.append(enumerated(words, marks, lexicon))
+    got = measures(texts, lexicon)
+    n = np.sqrt(np.array([len(plain.ALNUM.findall(t)) for t in texts]) + 10)
+    for t, row, k, w in zip(texts, got, n, want):
+        assert {m: round(float(v * k), 6) for m, v in zip(toxicity.MEASURES, row)} == {m: round(v, 6) for m, v in w.items()}, t
+
+
+def test_sentences_fall_on_the_right_side(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels)
+    mild = ["They beat the record again", "The storm will destroy the village and they fled", "You can kill the process with ctrl-c", "He warned: I will kill you",
+            'She said: "I will hurt you. I will kill you."', "They never hurt you", "They beat Liverpool again", "je vais détruire la maison", "er sagte, ich schlage dich"]
+    bad = ["go die in a fire", "I will not only hurt you", "I will hurt and destroy you", "kill yourself", "We will beat you up", "je vais te frapper fort", "They will kill you", "ich bringe dich um, verrecke", "No. I will kill you"]
+    texts = spark.createDataFrame(list(enumerate(mild + bad)), "doc_id long, text string")
+    got = {x.doc_id: x.score for x in toxicity.score(texts, model).collect()}
+    assert [t for i, t in enumerate(mild + bad) if (got[i] >= 0.5) != (t in bad)] == []
+
+
 def test_threats_count_without_labelled_threats(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.learn(docs, labels)

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import sharding
 from tidemark.llm.sharding import OVERHEAD, shard_documents, shard_rows
 
@@ -51,6 +53,20 @@ def test_overfull_ranges_are_split_again(spark, monkeypatch):
     assert max(sizes.values()) < 1.06 * sum(sizes.values()) / 5
 
 
+def test_ranges_are_split_until_none_is_overfull(spark, monkeypatch):
+    """With few parts a split, one level would leave ranges of hundreds of rows; a hot key is a part by itself."""
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 60)
+    monkeypatch.setattr(sharding, "RANGES_PER_SHARD", 1)
+    monkeypatch.setattr(sharding, "PARTS", 6)
+    rows = [(None, "all alike")] * 300 + [(i, "same text") for i in range(200)] + [(i, f"text {i % 700}") for i in range(900)]
+    df = frame(spark, rows)
+    keyed = df.select(sharding.size_of(df.text).alias("size"), sharding.order_key(df.text, df.doc_id).alias("key")).withColumn("range", F.lit(0))
+    units = sharding._split_again(keyed).groupBy("range", "part", "piece").count().collect()
+    assert sum(u["count"] for u in units) == 1400 and max(u["count"] for u in units) <= 61
+    sizes = laws(rows, shard_rows(df, 4).collect(), 4)
+    assert max(sizes.values()) < 1.08 * sum(sizes.values()) / 4
+
+
 def test_edges(spark):
     assert shard_rows(frame(spark, []), 4).collect() == []
     rows = [(1, None), (2, ""), (2, ""), (None, "é" * 1000)]

@@ -3,8 +3,8 @@
 A document's hash is a number of 60 bits that depends on its id alone, where ids are unique. Each source takes the
 documents whose hash is below its threshold, and the threshold is where the sizes below it come
 nearest the budget. It is found 10 bits at a time: sizes are summed by source and hash bucket,
-the bucket where the budget runs out is the boundary, and only that bucket's documents are
-summed again by the next 15 bits. Nothing is sorted but at most 1024 sums of a source.
+the bucket where the budget runs out is the boundary, and only that bucket's documents, kept apart, are
+summed again by the next 10 bits. Nothing is sorted but at most 1024 sums of a source.
 Thresholds of larger budgets lie above those of smaller ones, so mixes are nested.
 """
 
@@ -59,6 +59,9 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
     # (source, prefix of the boundary bucket, budget left inside it)
     edge = plan.select("source", F.lit(0).cast("long").alias("prefix"), "budget")
     for level in range(_LEVELS):
+        if level == 1:  # from here on only documents of boundary buckets matter, about a thousandth
+            here = F.shiftrightunsigned("hash", 60 - _STEP) == edge["prefix"]
+            sized = saved(sized.join(edge, sized["source"].eqNullSafe(edge["source"]) & here).select(sized["source"], "size", "hash"), "mix-boundary")
         prefix = F.shiftrightunsigned("hash", 60 - _STEP * level)
         inside = sized.join(edge, sized["source"].eqNullSafe(edge["source"]) & (prefix == edge["prefix"])).select(
             edge["source"], "prefix", "budget", sized["size"], _bits(F.col("hash"), level).alias("bucket")

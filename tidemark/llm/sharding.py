@@ -3,7 +3,7 @@
 Rows are ordered by a 64-bit key: 32 bits of the text's hash, then 32 bits of the id's hash, so
 equal texts lie side by side. A sample drawn in proportion to size gives quantiles of the key,
 which split the rows into ranges of nearly equal bytes, many more than there are shards. A range
-that still holds too much is split again at quantiles of its own, and what then holds one key
+that still holds too much is split at quantiles of its own, and so are its parts, as often as needed; what then holds one key
 only (rows alike in text and id) is cut into pieces, so no range outgrows a task. A window inside
 each range and the sums of the ranges before it give a row's place in the whole order, hence its
 shard and its slot. The driver holds at most ``MOST_RANGES`` keys.
@@ -25,7 +25,7 @@ from tidemark.llm.common import row_hash, saved
 OVERHEAD = 16
 #: First ranges per shard, at most so many in all, and sample keys for each.
 RANGES_PER_SHARD, MOST_RANGES, SAMPLES = 8, 4096, 32
-#: A range beyond either is split again, into so many parts.
+#: A range or part beyond either is split again, into so many parts.
 RANGE_ROWS, RANGE_BYTES, PARTS = 1 << 19, 1 << 28, 64
 #: Equal texts stay together if they are at most this part of a shard.
 WHOLE = 0.04
@@ -74,26 +74,34 @@ def _assign(splitters: np.ndarray):
 
 
 def _split_again(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``part``: 0, or the part of a range that holds too much."""
+    """``rows`` with ``part``, and ``piece`` of a part of one key: ranges that hold too much are split at quantiles of their own, and so are their
+    parts, until none but those of one key holds too much."""
     overfull = (F.col("n") > RANGE_ROWS) | (F.col("bytes") > RANGE_BYTES)
-    held = rows.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    over = saved(held.where(overfull).select("range", "n"), "shard-overfull")
-    at = F.percentile_approx("key", [k / PARTS for k in range(1, PARTS)], 100 * PARTS)
-    own = rows.join(over, "range").groupBy("range").agg(at.alias("at"))
-
-    def to_group(x: Column, i: Column, at: Column) -> Column:
-        high = x.bitwiseAND(F.lit(_HIGH))
-        near = [F.coalesce(F.get(at, i + k).bitwiseAND(F.lit(_HIGH)) == high, F.lit(False)) for k in (-1, 1)]
-        return F.when(near[0] | near[1], x).otherwise(high)
-
-    own = saved(own.select("range", F.transform("at", lambda x, i: to_group(x, i, F.col("at"))).alias("at")), "shard-parts")
-    part = F.coalesce(F.size(F.filter("at", lambda x: x <= F.col("key"))), F.lit(0))
-    rows = rows.join(own, "range", "left").withColumn("part", part).drop("at")
+    unit = ["range", "part"]
+
+    def held(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*unit).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("key").alias("a"), F.max("key").alias("b"))
+
+    # quantiles are exact for numbers of 32 bits: of groups of equal texts, or of the ids in a part that is one group
+    one_group = F.shiftright("a", 32) == F.shiftright("b", 32)
+    value = F.when(F.col("one_group"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1))).otherwise(F.shiftright("key", 32))
+    rows = rows.withColumn("part", F.lit(0).cast("long"))
+    while True:
+        over = saved(held(rows).where(overfull & F.expr("a < b")).select(*unit, one_group.alias("one_group")), "shard-overfull")
+        if over.isEmpty():
+            break
+        at = F.percentile_approx(value, [k / PARTS for k in range(1, PARTS)], 100 * PARTS)
+        own = rows.join(over, unit).groupBy(*unit, "one_group").agg(at.alias("at"), F.min(value).alias("least"))
+        # a value that is several quantiles, or the least, is a part by itself
+        again = lambda x, i: (F.coalesce(F.get("at", i - 1) == x, F.lit(False)) | (x == F.col("least"))).cast("long")
+        own = saved(own.select(*unit, "one_group", F.transform("at", lambda x, i: x + again(x, i)).alias("at")), "shard-parts")
+        joined = rows.join(own, unit, "left")
+        below = F.coalesce(F.size(F.filter("at", lambda x: x <= value)), F.lit(0))
+        rows = joined.withColumn("part", F.col("part") * PARTS + below).drop("at", "one_group")
     # a part of one key is cut without regard to order: its rows are alike
-    held = rows.groupBy("range", "part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("key").alias("a"), F.max("key").alias("b"))
     pieces = F.greatest(F.ceil(F.col("n") / RANGE_ROWS), F.ceil(F.col("bytes") / RANGE_BYTES))
-    one_key = saved(held.where(overfull & F.expr("a = b")).select("range", "part", pieces.alias("pieces")), "shard-one-key")
-    rows = rows.join(one_key, ["range", "part"], "left")
+    one_key = saved(held(rows).where(overfull & F.expr("a = b")).select(*unit, pieces.alias("pieces")), "shard-one-key")
+    rows = rows.join(one_key, unit, "left")
     piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("pieces"))).otherwise(0)
     return rows.withColumn("piece", piece.cast("int")).drop("pieces")
 
