@@ -6,11 +6,11 @@ from tests.llm import plain
 from tidemark.llm.substrings import cut_repeats
 
 
-def check(spark, texts, window, k):
+def check(spark, texts, window, k, bits=64):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     path = spark.conf.get("spark.checkpoint.dir") + f"/substrings-{random.random()}"
     df.write.parquet(path)  # rows come in the same order each time
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in cut_repeats(spark.read.parquet(path), window=window, k=k).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in cut_repeats(spark.read.parquet(path), window=window, k=k, hash_bits=bits).collect()}
     assert got == dict(enumerate(plain.cut(texts, window)))
 
 
@@ -40,6 +40,17 @@ def test_copied_passages(spark, seed):
     check(spark, texts, 12, 4)
 
 
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_colliding_hashes_change_nothing(spark, bits):
+    """With few bits most words share a hash: nodes, edges and whole paths are taken for equal until their words are read."""
+    r = random.Random(bits)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    long = [word() for _ in range(300)]
+    texts = [" ".join(word() for _ in range(r.randrange(120))) for _ in range(40)]
+    texts += [" ".join(long), " ".join(long[:150] + [word()] + long[150:]), " ".join(long[20:280])] * 2 + texts[:4]
+    check(spark, texts, 12, 4, bits)
+
+
 def test_edges(spark):
     one = " ".join(["w"] * 30)
     long = " ".join(f"x{i}" for i in range(50_000))

@@ -6,17 +6,21 @@ words) become nodes. Between one picked k-mer and the next of the same text, and
 first words or to its last, run edges labelled with the hash of the words they span.
 
 * A node that occurs once ends it: windows that picked it occur once.
-* A node that occurs again, always between the same two edges, lies on a nonbranching path. A window
-  all of whose nodes lie on such paths is equal wherever its picked node occurs: repeated, and whole
-  paths are settled by one join of nodes.
-* Where paths branch, a window's own words decide: its 128-bit hash is counted over the corpus.
+* A node that occurs again, always between the same two edges, doesn't branch. A join carries that to its occurrences, where
+  neighbouring such nodes make up one path, named by its first node: nonbranching paths are maximal, so all
+  occurrences of a path are the same run of nodes.
+* Hashes only propose. The words of each occurrence of a path, from its source coordinates, have a 128-bit digest (BLAKE2b), and
+  a path is repeated only if it occurs again and all its occurrences have the words of the first; its windows are then settled
+  together.
+* Windows where paths branch, and those of paths whose occurrences differ, are told by the digests of their own words.
 
-Nodes, windows and what was found travel by hash or by source coordinate; texts are read from
+Nodes, paths and windows travel by hash or digest and by source coordinate; texts are read from
 the source and move once, to meet what was found about them. Windows are judged on the input.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,17 +32,18 @@ from tidemark.llm.common import saved
 from tidemark.llm.words import SPACED, Block, Spans, blocks, mix, sliding_first_min
 
 WINDOW, K = 35, 8
-_SEED2 = 0xA24BAED4963EE407
 
 
 class _Graph:
     """The nodes and edges of a block's texts."""
 
-    def __init__(self, block: Block, window: int, k: int):
+    def __init__(self, block: Block, window: int, k: int, bits: int):
         text = block.text
         self.begin, self.end = block.first[text], block.first[text + 1]
-        self.hashes = block.hashes()
-        spans, at = Spans(self.hashes), np.arange(len(text))
+        hashes = block.hashes()
+        if bits < 64:
+            hashes = hashes >> np.uint64(64 - bits)
+        spans, at = Spans(hashes), np.arange(len(text))
         kmers = spans.of(at[: max(0, len(at) - k + 1)], np.arange(k, max(k, len(at) + 1)))
         pick = sliding_first_min(kmers, window - k + 1)
         self.windows = np.flatnonzero(at[: len(pick)] + window <= self.end[: len(pick)])
@@ -56,19 +61,20 @@ class _Graph:
         here = self.nodes
         after = np.where(leaves, np.roll(here, -1) + k, self.end[here])
         before = np.where(enters, np.roll(here, 1), self.begin[here])
+        self.before, self.after = before, after
         out = spans.of(here, after) ^ np.where(leaves, np.uint64(0), np.uint64(0x5851F42D4C957F2D))
         into = spans.of(before, here + k) ^ np.where(enters, np.uint64(0), np.uint64(0x14057B7EF767814F))
         self.edges = mix(mix(into) * np.uint64(3) + out)
 
 
-def _nodes(window: int, k: int):
+def _nodes(window: int, k: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid = batch.column("uid").to_numpy(zero_copy_only=False)
             for block in blocks(batch.column("text"), SPACED):
                 if len(block.starts) < window:
                     continue
-                g = _Graph(block, window, k)
+                g = _Graph(block, window, k, bits)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(g.node_hash.view(np.int64)),
@@ -82,23 +88,88 @@ def _nodes(window: int, k: int):
     return run
 
 
-def _settled(block: Block, flags: list, window: int, k: int) -> tuple[np.ndarray, np.ndarray, _Graph]:
-    """Window starts that are repeated on nonbranching paths, and those whose words must decide.
+class _Settled:
+    """Windows of a block on nonbranching paths (``proven``), those whose own words must decide (``open``), and the paths.
 
-    ``flags`` has, for each text, 2 * node number + 1 if its paths don't branch, for repeated nodes."""
-    g = _Graph(block, window, k)
-    repeated, linear = np.zeros(len(g.nodes), bool), np.zeros(len(g.nodes), bool)
-    for t, codes in enumerate(flags):
-        if len(codes):
-            at = g.first[t] + (codes >> 1)
-            repeated[at] = True
-            linear[at] = codes & 1
-    branching = np.append(0, np.cumsum(~linear))
-    lo = np.searchsorted(g.nodes, g.windows, "left")
-    hi = np.searchsorted(g.nodes, g.windows + window - k, "right")
-    again = repeated[g.picked]
-    proven = again & (branching[hi] == branching[lo])
-    return g.windows[proven], g.windows[again & ~proven], g
+    ``flags`` has, for each text, 2 * node number + 1 if its paths don't branch, for repeated nodes; ``bad`` the numbers of
+    first nodes of paths whose occurrences differ."""
+
+    def __init__(self, block: Block, flags: list, bad: list, window: int, k: int, bits: int):
+        self.graph = g = _Graph(block, window, k, bits)
+        repeated, linear = np.zeros(len(g.nodes), bool), np.zeros(len(g.nodes), bool)
+        for t, codes in enumerate(flags):
+            if len(codes):
+                at = g.first[t] + (codes >> 1)
+                repeated[at] = True
+                linear[at] = codes & 1
+        # runs of such nodes inside a text
+        new = linear.copy()
+        new[1:] &= ~(linear[:-1] & (g.node_text[1:] == g.node_text[:-1]))
+        self.heads = np.flatnonzero(new)
+        end = linear.copy()
+        end[:-1] &= ~(linear[1:] & (g.node_text[1:] == g.node_text[:-1]))
+        self.tails = np.flatnonzero(end)
+        for t, numbers in enumerate(bad):
+            for head in g.first[t] + numbers:
+                linear[head : self.tails[np.searchsorted(self.heads, head)] + 1] = False
+        branching = np.append(0, np.cumsum(~linear))
+        lo = np.searchsorted(g.nodes, g.windows, "left")
+        hi = np.searchsorted(g.nodes, g.windows + window - k, "right")
+        again = repeated[g.picked]
+        proven = again & (branching[hi] == branching[lo])
+        self.proven, self.open = g.windows[proven], g.windows[again & ~proven]
+
+
+class _Digests:
+    """Digests of spans of a block's words, joined by one space."""
+
+    def __init__(self, block: Block):
+        sizes = block.ends - block.starts + 1
+        self.at = np.append(0, np.cumsum(sizes))
+        edge = np.zeros(len(block.data) + 1, np.int8)
+        edge[block.starts] += 1
+        edge[block.ends + 1] -= 1
+        # each word with the byte behind it, which becomes a space
+        data = block.data.copy()
+        data[block.ends] = 0x20
+        self.bytes = memoryview(data[np.cumsum(edge[:-1], dtype=np.int8) > 0].tobytes())
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        return [hashlib.blake2b(self.bytes[a:b], digest_size=16).digest() for a, b in zip(self.at[starts].tolist(), self.at[ends].tolist())]
+
+
+def _evidence(window: int, k: int, bits: int, again: bool):
+    """Digests of the occurrences of paths (``path`` is the first node's hash, ``start`` its number) and of windows whose words must
+    decide (``path`` is null, ``start`` a word); ``again`` gives only windows of paths that are bad."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uid, flags, bad = batch.column("uid").to_numpy(zero_copy_only=False), _codes(batch.column("codes")), _codes(batch.column("bad"))
+            for block in blocks(batch.column("text"), SPACED):
+                own = [flags[r] for r in block.rows]
+                if not any(map(len, own)):
+                    continue
+                none = [np.empty(0, np.int64)] * len(own)
+                found = _Settled(block, own, none, window, k, bits)
+                g, digests, windows = found.graph, _Digests(block), found.open
+                if again:
+                    more = _Settled(block, own, [bad[r] for r in block.rows], window, k, bits).open
+                    windows = np.setdiff1d(more, windows, assume_unique=True)
+                text = block.text[windows]
+                columns = [uid[block.rows.start + text], (windows - block.first[text]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(len(windows), pa.int64()), *map(pa.array, columns), pa.array(digests.of(windows, windows + window), pa.binary())], _EVIDENCE
+                )
+                if again or not len(found.heads):
+                    continue
+                spans = digests.of(g.before[found.heads], g.after[found.tails])
+                columns = [g.node_hash[found.heads].view(np.int64), uid[block.rows.start + g.node_text[found.heads]], g.number[found.heads].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(spans, pa.binary())], _EVIDENCE)
+
+    return run
+
+
+_EVIDENCE = ["path", "uid", "start", "digest"]
 
 
 def _codes(column: pa.Array) -> list[np.ndarray]:
@@ -133,15 +204,15 @@ def _branching(window: int, k: int):
     return run
 
 
-def _cut(window: int, k: int, names: list[str]):
+def _cut(window: int, k: int, bits: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flags, starts = _codes(batch.column("codes")), _codes(batch.column("starts"))
+            flags, starts, bad = (_codes(batch.column(c)) for c in ("codes", "starts", "bad"))
             for block in blocks(batch.column("text"), SPACED):
                 own, found = [flags[r] for r in block.rows], [starts[r] + block.first[i] for i, r in enumerate(block.rows)]
                 gone = np.zeros(len(block.starts) + 1, np.int64)
                 if any(map(len, own)):
-                    proven, _, _ = _settled(block, own, window, k)
+                    proven = _Settled(block, own, [bad[r] for r in block.rows], window, k, bits).proven
                     for s in (proven, *found):
                         np.add.at(gone, s, 1)
                         np.add.at(gone, s + window, -1)
@@ -169,26 +240,37 @@ def _cut(window: int, k: int, names: list[str]):
     return run
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K, hash_bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: id, ``n_words``, ``n_removed`` and ``kept_text`` (its words that lie in no
     window whose words also start anywhere else, joined by one space).
 
     Null and empty texts have no words; texts shorter than a window lose none. Repeated rows count
     as repeats and lose all they have if they hold a window. An empty table gives no rows. Other
-    columns are not read."""
+    columns are not read. ``hash_bits`` is how much of a word's hash is used: with few bits, hashes propose much that digests refuse."""
     source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text).alias("text"))
-    nodes = source.select("uid", "text").mapInArrow(_nodes(window, k), "node long, edges long, uid long, number int")
+    nodes = source.select("uid", "text").mapInArrow(_nodes(window, k, hash_bits), "node long, edges long, uid long, number int")
     seen = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("edges").alias("a"), F.max("edges").alias("b"))
     # stored, so that the join below is between two plain tables and a hot node can be split
     again = saved(seen.where("n > 1").select("node", F.expr("cast(a = b as int)").alias("linear")), "repeated-nodes")
     met = nodes.select("node", "uid", "number").join(again, "node")
-    codes = met.groupBy("uid").agg(F.collect_list(F.col("number") * 2 + F.col("linear")).alias("codes"))
-    joined = source.join(codes, "uid", "left")
-    branch = joined.mapInArrow(_branching(window, k), "uid long, start int, h1 long, h2 long")
-    counts = branch.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    codes = saved(met.groupBy("uid").agg(F.collect_list(F.col("number") * 2 + F.col("linear")).alias("codes")), "repeated-codes")
+    none = F.array().cast("array<int>")
+    told = source.join(codes, "uid")  # texts without a repeated node have nothing to tell
+    kinds = "path long, uid long, start int, digest binary"
+    evidence = saved(told.withColumn("bad", none).mapInArrow(_evidence(window, k, hash_bits, False), kinds), "repeated-evidence")
+    # a path that all its occurrences spell alike, twice or more, is repeated
+    paths = evidence.where("path IS NOT NULL")
+    alike = paths.groupBy("path").agg(F.count("*").alias("n"), F.min("digest").alias("a"), F.max("digest").alias("b"))
+    differ = saved(alike.where("n < 2 OR a <> b").select("path"), "differing-paths")
+    bad = saved(paths.join(differ, "path").groupBy("uid").agg(F.collect_list("start").alias("bad")), "differing-codes")
+    windows = evidence.where("path IS NULL").select("uid", "start", "digest")
+    if not bad.isEmpty():
+        windows = windows.unionByName(saved(told.join(bad, "uid").mapInArrow(_evidence(window, k, hash_bits, True), kinds), "repeated-evidence").drop("path"))
+    counts = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     # dealt anew by another key: the join then shuffles it itself, and a hot window can be split
-    counts = counts.repartition(F.xxhash64("h2", "h1"))
-    starts = branch.join(counts, ["h1", "h2"]).groupBy("uid").agg(F.collect_list("start").alias("starts"))
+    counts = counts.repartition(F.xxhash64("digest"))
+    starts = windows.join(counts, "digest").groupBy("uid").agg(F.collect_list("start").alias("starts"))
+    found = codes.join(starts, "uid", "left").join(bad, "uid", "left")
     fields = [StructField("id", docs.schema[id_col].dataType), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())]
-    out = joined.join(starts, "uid", "left").mapInArrow(_cut(window, k, ["id"]), StructType(fields))
+    out = source.join(found, "uid", "left").mapInArrow(_cut(window, k, hash_bits, ["id"]), StructType(fields))
     return out.withColumnRenamed("id", id_col)
