@@ -260,3 +260,43 @@ def test_full_loads_keep_two_folders(spark, root):
         lifecycle.sync(run, table)
     folders = [n for n in storage.children(spark, f"{root}/tables/t") if n != "at"]
     assert len(folders) == 2 and content(spark, root, run, table).count() == 3
+
+
+def test_vacuum_removes_what_no_version_names(spark, root):
+    table = Table("t", ("id",), cursor_column="updated_at", buckets=4)
+    first = run_at(spark, root, 2, FIRST)
+    lifecycle.sync(first, table)
+    location = lifecycle.last_state(first, table)[1]
+    stored = lifecycle.stored(first, table, location)
+    stored._write(stored._place(stored.read(), 4))  # a write that died
+    content(spark, root, first, table).write.parquet(f"{root}/tables/t/b0-dead")
+    record = lifecycle.vacuum(run_at(spark, root, 3, FIRST), table)
+    assert record["status"] == "success" and record["rows_loaded"] >= 2
+    assert sorted(storage.children(spark, f"{root}/tables/t")) == sorted(["at", location.rsplit("/", 1)[1]])
+    assert content(spark, root, first, table).count() == 3
+    assert lifecycle.vacuum(run_at(spark, root, 4, FIRST), Table("other"))["status"] == "skipped"
+
+
+def test_a_filter_load_leaves_the_cursor_and_first_ones_have_none(spark, root):
+    incremental = Table("t", ("id",), cursor_column="updated_at", buckets=4)
+    by_filter = replace(incremental, load_type="filter", filter="id % 2 = 0")
+    lifecycle.sync(run_at(spark, root, 2, FIRST), incremental)
+    later = run_at(spark, root, 4, SECOND)
+    assert lifecycle.sync(later, by_filter)["watermark_to"] == "2024-01-01 12:00:00"
+    assert lifecycle.sync(run_at(spark, root, 5, SECOND), incremental)["rows_extracted"] == 2
+    new = f"{root}-new"
+    assert lifecycle.sync(run_at(spark, new, 2, FIRST), by_filter)["status"] == "success"
+    record = lifecycle.sync(run_at(spark, new, 4, SECOND), incremental)
+    assert (record["load_type"], record["rows_loaded"]) == ("full", 3)
+
+
+def test_gaps_are_probed_and_given_up(spark, root):
+    table = Table("t", ("id",), cursor_column="id", cursor_type="id", scd_type=0, gap_minutes=2 * 24 * 60, buckets=4)
+    at = "2024-01-01 00:00:00"
+    early = (1, 2, 3, 4, 5, 7, 9)
+    for day, ids in ((2, (1, 2, 5)), (3, (1, 2, 3, 5, 9)), (4, early), (7, (*early, 10)), (8, (*early, 6, 8, 10, 11))):
+        run = run_at(spark, root, day, [(i, "x", at) for i in ids])
+        assert lifecycle.sync(run, table)["status"] == "success"
+    # 6 and 8 came after they were given up
+    assert sorted(r.id for r in content(spark, root, run, table).collect()) == [1, 2, 3, 4, 5, 7, 9, 10, 11]
+    assert lifecycle.last_state(run, table)[0] == "11"

@@ -1,4 +1,4 @@
-"""``python -m tidemark sync|reconcile|validate|extract|backlog tables.json --root <folder>``
+"""``python -m tidemark sync|reconcile|validate|extract|backlog|vacuum tables.json --root <folder>``
 
 ``tables.json`` is a list of tables: the fields of ``lifecycle.Table`` plus ``source``,
 either ``{"parquet": path}``, ``{"sql": text}`` over catalog tables, or
@@ -32,7 +32,7 @@ def open_source(spark: SparkSession, source: dict) -> Callable[[], DataFrame]:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> list[dict]:
     parser = argparse.ArgumentParser(prog="tidemark")
-    parser.add_argument("step", choices=["sync", "reconcile", "validate", "extract", "backlog"])
+    parser.add_argument("step", choices=["sync", "reconcile", "validate", "extract", "backlog", "vacuum"])
     parser.add_argument("tables")
     parser.add_argument("--root", required=True)
     parser.add_argument("--table", help="only this config_id")
@@ -67,6 +67,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
         "validate": partial(lifecycle.validate, deep=args.deep),
         "extract": lifecycle.extract,
         "backlog": lifecycle.load_backlog,
+        "vacuum": lifecycle.vacuum,
     }[args.step]
     records = lifecycle.run_all(run, tables, step, args.at_once)
     for r in records:

@@ -35,6 +35,20 @@ def strict_cast(column: Column, to: str | T.DataType, where: str = "a value") ->
     return F.when(done.isNull() & column.isNotNull(), F.raise_error(text).cast(to)).otherwise(done)
 
 
+def strict_columns(df: DataFrame, wanted: list[tuple[str, Column, T.DataType]]) -> DataFrame:
+    """(name, text, type) as columns of those types; a text that does not fit ends the query. Each text is worked out and cast once, in
+    projections of their own, and then only looked at."""
+    texts = df.select([text.alias(f"_t{i}") for i, (_, text, _) in enumerate(wanted)])
+    cast = texts.select("*", *[F.col(f"_t{i}").try_cast(kind).alias(f"_c{i}") for i, (_, _, kind) in enumerate(wanted) if not isinstance(kind, T.StringType)])
+    out = []
+    for i, (name, _, kind) in enumerate(wanted):
+        value, done = F.col(f"_t{i}"), F.col(f"_c{i}")
+        told = F.concat(F.lit(f"{name} is no {kind.simpleString()}: "), value)
+        bad = F.raise_error(told).cast(kind)
+        out.append((value if isinstance(kind, T.StringType) else F.when(done.isNull() & value.isNotNull(), bad).otherwise(done)).alias(name))
+    return cast.select(out)
+
+
 def zero_date_to_null(column: Column, to: str = "date") -> Column:
     """Zero dates become null; any other text must be a date."""
     text = column.cast("string")

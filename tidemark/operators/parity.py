@@ -90,12 +90,13 @@ def parity(
     deep: bool = False,
     exact: bool = False,
     known: tuple[int, str | None] | None = None,
+    fixed: bool = True,
 ) -> DataFrame:
     """All checks of one table in a single row; source and target are read once each.
 
     The fixed row hash cuts floats to two decimals and cancels equal pairs, so it can miss
     differences. ``exact`` adds a second measure that does neither (``exact_hash``, on the target's
-    types) and lets it decide. ``known`` is the source's count and watermark, if the source has told
+    types) and lets it decide; without ``fixed`` the fixed hash, which costs most, is then left out. ``known`` is the source's count and watermark, if the source has told
     them itself; the source is then not read."""
     names, live = list(columns or source.columns), live_rows(target)
     if exact:
@@ -104,12 +105,12 @@ def parity(
     def side(rows: DataFrame, name: str) -> DataFrame:
         measures = {"rows": F.count(F.lit(1))}
         measures["wm"] = _watermark(rows, watermark) if watermark else F.max(F.lit(None).cast("string"))
-        measures["hash"] = table_hash() if deep else F.max(F.lit(None).cast("string"))
+        measures["hash"] = table_hash() if deep and fixed else F.max(F.lit(None).cast("string"))
         if exact:
             measures["sum"] = F.sum(F.col("_exact").cast("decimal(38,0)")).cast("string")
         keep = [F.col(watermark)] if watermark else []
         keep += [exact_hash(rows, names).alias("_exact")] if exact else []
-        read = with_slices(rows, names, keep) if deep else rows
+        read = rows if not deep else with_slices(rows, names, keep) if fixed else rows.select(*keep)
         return _side(read, name, measures)
 
     if known is not None:

@@ -66,7 +66,8 @@ def missing(ids: DataFrame, spans: DataFrame) -> DataFrame:
 
 def ledger(ids: DataFrame, known: DataFrame | None, low: int, high: int, as_of: datetime, keep_minutes: int) -> DataFrame:
     """The next ledger: known spans and the window ``(low, high]``, without the ids that were read, and without spans missed for
-    longer than ``keep_minutes``, which no open transaction can fill any more."""
+    longer than ``keep_minutes``, which no open transaction can fill any more. They were probed once more before, so a pause between runs
+    loses nothing."""
     window = ids.sparkSession.createDataFrame([(low + 1, high, as_of)] if high > low else [], SPANS)
     spans = window
     if known is not None:

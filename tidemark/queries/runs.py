@@ -229,7 +229,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     spark.sql(f"DROP TABLE {name}")
     told = spark.read.parquet(audit).select("status", "source_count", "loaded_count", "rejected_count")
     put = spark.read.schema(schema).parquet(path).agg(F.lit("table").alias("status"), F.count("*").alias("source_count"), F.sum("o_orderkey").alias("loaded_count"))
-    return told.unionByName(put.crossJoin(spark.read.parquet(rejects).agg(F.count("*").alias("rejected_count"))))
+    rejected = spark.read.parquet(rejects).agg(F.count("*").alias("rejected_count"))
+    return told.unionByName(put.withColumn("rejected_count", rejected.scalar()))
 
 
 def _checked(spark: SparkSession, sf: str, value: Column, setting: Table, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -539,3 +540,20 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     if reconcile(_run(spark, root, "b3", 3, left), setting)["rows_loaded"]:
         raise RuntimeError("gone keys were found twice")
     return _rows(first, setting, "o_orderkey", "_is_deleted").withColumn("few_keys_moved", F.lit(few))
+
+
+@query(
+    "run_all_log_orders",
+    """SELECT 'r' || r AS batch_id, 't' || t AS config_id, CASE r WHEN 1 THEN 'full' ELSE 'incremental' END AS load_type, 'success' AS status,
+         (SELECT count(*) FROM orders WHERE o_custkey % 12 = t AND CASE WHEN r = 1 THEN o_orderdate < TIMESTAMP '2001-01-01 00:00:00'
+           ELSE o_orderdate >= TIMESTAMP '2001-01-01 00:00:00' END) AS rows_loaded
+       FROM range(1, 3) a(r), range(0, 12) b(t)""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Twelve tables at once, each its part of the orders, in full and then by increment: every table has its row in the log of each round."""
+    root, orders = work_path(spark, "run-all-orders"), table(spark, sf, "orders")
+    settings = [Table(f"t{i}", ("o_orderkey",), cursor_column="o_orderdate", buckets=2) for i in range(12)]
+    for r, rows in ((1, orders.where(F.col("o_orderdate") < ntz("2001-01-01 00:00:00"))), (2, orders)):
+        sources = {s.config_id: lambda rows=rows, i=i: rows.where(F.col("o_custkey") % 12 == i) for i, s in enumerate(settings)}
+        run_all(Run(spark, root, f"r{r}", DAY[r], sources), settings, at_once=12)
+    return run_log(_run(spark, root, "r3", 3, orders)).select("batch_id", "config_id", "load_type", "status", "rows_loaded")

@@ -57,7 +57,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("sink_csv_quoted", "SELECT page_id, nullif(url, '') AS url, nullif(html, '') AS html FROM pages")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows, path = table(spark, sf, "pages"), work_path(spark, "quoted")
-    out.write_quoted(rows, path, writers=4, delimiter="\x01")
+    out.write_quoted(rows, path, delimiter="\x01")
     return read.read_csv(spark, path, rows.schema, read.FileFormat(delimiter="\x01", multiline=True))
 
 

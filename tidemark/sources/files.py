@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.values import ZERO_DATES, strict_cast
+from tidemark.functions.values import ZERO_DATES, strict_columns
 from tidemark.sources.zstd import read_lines
 
 CORRUPT, SOURCE = "_corrupt_record", "_source_file"
@@ -74,7 +74,7 @@ def read_csv(
     # the parser fails on a row of more fields than it has room for
     room = {"maxColumns": str(len(text.fields))} if extra_fields == "fail" else {}
     rows = read_declared(spark, path, replace(fmt, extras={"mode": "PERMISSIVE", **room, **fmt.extras}), text)
-    return rows.select([strict_cast(F.nullif(F.col(f"`{f.name}`"), F.lit("")), f.dataType, f.name).alias(f.name) for f in wanted.fields])
+    return strict_columns(rows, [(f.name, F.nullif(F.col(f"`{f.name}`"), F.lit("")), f.dataType) for f in wanted.fields])
 
 
 def read_by_name(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -112,7 +112,7 @@ def tsv_rows(lines: DataFrame, schema: T.StructType, rejects: bool = False) -> D
     if not rejects:
         counted = F.when(F.size(fields) <= n, fields).otherwise(F.raise_error(F.concat(F.lit(f"more than {n} fields: "), "value")).cast("array<string>"))
         got = lines.select(counted.alias("f"))
-        return got.select([strict_cast(_dump_field(F.get("f", F.lit(i))), f.dataType, f.name).alias(f.name) for i, f in enumerate(kinds)])
+        return strict_columns(got, [(f.name, _dump_field(F.get("f", F.lit(i))), f.dataType) for i, f in enumerate(kinds)])
     raw = lines.select("value", *[_dump_field(F.get(fields, F.lit(i))).alias(f"t{i}") for i in range(n)], (F.size(fields) > n).alias("odd"))
     cast = [F.col(f"t{i}").try_cast(f.dataType) for i, f in enumerate(kinds)]
     bad = F.col("odd")

@@ -47,13 +47,17 @@ def bounds_query(source: JdbcTable) -> str:
     return f"(SELECT MIN({c}) AS low, MAX({c}) AS high FROM {source.relation}) b"
 
 
-def greatest_query(source: JdbcTable, column: str) -> str:
-    return f"(SELECT MAX({column}) AS high FROM {source.relation}) m"
+def greatest_query(source: JdbcTable, column: str, as_number: bool = False) -> str:
+    value = f"CAST({column} AS DECIMAL(38, 0))" if as_number else column
+    return f"(SELECT MAX({value}) AS high FROM {source.relation}) m"
 
 
 def greatest(spark: SparkSession, source: JdbcTable, column: str) -> object:
-    """The column's greatest value, found by the database instead of by a scan."""
-    return spark.read.format("jdbc").options(**base_options(source), dbtable=greatest_query(source, column)).load().first()[0]
+    """The column's greatest value, found by the database instead of by a scan; numbers that are kept as text are compared as numbers."""
+    reader = spark.read.format("jdbc").options(**base_options(source))
+    kinds = {f.name.lower(): f.dataType for f in reader.option("dbtable", source.relation).load().schema}
+    as_number = isinstance(kinds.get(column.lower()), T.StringType)
+    return reader.option("dbtable", greatest_query(source, column, as_number)).load().first()[0]
 
 
 def measure_query(source: JdbcTable, column: str | None, condition: str | None = None) -> str:
