@@ -1,8 +1,10 @@
 """The stages in a row, each against a plain version on what the stage before it kept."""
 
+from collections import Counter
+
 import corpus_pipeline
 from tests.llm import plain
-from tidemark.llm import mixture, quality
+from tidemark.llm import quality, sharding
 from tidemark.llm.common import saved, table
 
 
@@ -18,14 +20,21 @@ def test_stages(spark, sf_dir):
         before = after
     last = corpus_pipeline.STAGES[-1][1](spark, before, sf_dir).collect()
     assert sorted(map(str, ([x[c] for c in columns] for x in last))) == sorted(map(str, map(list, before.collect())))
+    held = Counter()
     for s in {x.shard for x in last}:
         slots = sorted(x.slot for x in last if x.shard == s)
         assert slots == list(range(len(slots)))
+        held[s] = sum(len((x.text or "").encode()) + sharding.OVERHEAD for x in last if x.shard == s)
+    # no shard is further from the mean than the largest text and what may stay together
+    mean, longest = sum(held.values()) / corpus_pipeline.SHARDS, max(len((x.text or "").encode()) for x in last)
+    assert len(held) == corpus_pipeline.SHARDS and all(abs(n - mean) <= longest + 0.05 * mean for n in held.values())
 
 
 def rules(spark, sf_dir, before, after):
-    want = {x.doc_id for x in quality.quality(before).where("kept").collect()}
-    assert sorted(x.doc_id for x in after.collect()) == sorted(want) and len(want) > 500
+    rows = before.collect()
+    keep = plain.quality([(x.text, x.lang, x.source) for x in rows], quality.RULES, quality.LEAST_GROUP)
+    want = sorted(x.doc_id for x, k in zip(rows, keep) if k)
+    assert sorted(x.doc_id for x in after.collect()) == want and len(want) > 500
 
 
 def copies(spark, sf_dir, before, after):
@@ -45,11 +54,9 @@ def leaks(spark, sf_dir, before, after):
 
 
 def mixed(spark, sf_dir, before, after):
-    want = {x.doc_id: x.copies for x in mixture.mixed(before).collect() if x.copies}
-    got = {}
-    for x in after.collect():
-        got[x.doc_id] = got.get(x.doc_id, 0) + 1
-    assert got == want
+    rows = before.collect()
+    want = {x.doc_id: n for x, n in zip(rows, plain.mixture([(x.doc_id, x.text, x.source) for x in rows])) if n}
+    assert Counter(x.doc_id for x in after.collect()) == want
 
 
 def test_run_is_the_stages(spark, sf_dir):

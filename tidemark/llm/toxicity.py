@@ -28,7 +28,7 @@ lexicons learned on the other half, so a rare word of one document doesn't vouch
 from __future__ import annotations
 
 import math
-from collections.abc import Hashable, Iterator
+from collections.abc import Hashable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -324,9 +324,13 @@ def learned_words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(folded, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != ""))
 
 
-def _lexicon(counts: list[tuple[str, float, float]], toxic: float, other: float) -> dict[str, float]:
-    weighed = [(math.log((p + 0.05) / (toxic + 0.1)) - math.log((n + 0.5) / (other + 1.0)), w) for w, p, n in counts if p >= LEAST_DOCUMENTS]
-    return {w: v for v, w in sorted((x for x in weighed if x[0] >= LEAST_WEIGHT), key=lambda x: (-x[0], x[1]))[:LEXICON_WORDS]}
+def _lexicon(counts: DataFrame, halves: Sequence[int], toxic: float, other: float) -> dict[str, float]:
+    """The words of greatest weight by the documents of some halves, ranked where they were counted."""
+    p, n = (sum((F.col(f"{h}_{c}") for h in halves), F.lit(0)) for c in "pn")
+    weight = F.log((p + 0.05) / F.lit(toxic + 0.1)) - F.log((n + 0.5) / F.lit(other + 1.0))
+    weighed = counts.where(p >= LEAST_DOCUMENTS).select("word", weight.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT)
+    rows = weighed.orderBy(F.col("weight").desc(), "word").limit(LEXICON_WORDS).toArrow().to_pylist()
+    return {r["word"]: r["weight"] for r in rows}
 
 
 def _scan(grammars: list[Grammar], names: list[str], finish):
@@ -388,10 +392,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     toxic, other = F.sum(F.col("n") * F.col("toxic")), F.sum(F.col("n") * (1 - F.col("toxic")))
     counts = words.groupBy("word").pivot("half", [0, 1]).agg(toxic.alias("p"), other.alias("n")).na.fill(0)
     counts = counts.where(F.col("0_p") + F.col("1_p") >= LEAST_DOCUMENTS)
-    # words of few toxic documents, or of many others, can't reach the least weight; of the rest the strongest
-    strength = (F.col("0_p") + F.col("1_p")) / (F.col("0_n") + F.col("1_n") + 1)
-    table = counts.orderBy(strength.desc(), "word").limit(4 * LEXICON_WORDS).toArrow().to_pylist()
-    lexicon = lambda halves: _lexicon([(r["word"], sum(r[f"{h}_p"] for h in halves), sum(r[f"{h}_n"] for h in halves)) for r in table], *(float(sum(sides.get((h, t), 0) for h in halves)) for t in (1, 0)))
+    counts = saved(counts, "toxic-words")
+    lexicon = lambda halves: _lexicon(counts, halves, *(float(sum(sides.get((h, t), 0) for h in halves)) for t in (1, 0)))
     grammar = Grammar.of(lexicon((0, 1)))
     crossed = [Grammar.of(lexicon((1,))), Grammar.of(lexicon((0,)))]
     kinds = StructType([rows.schema["toxic"], rows.schema["n"], StructField("found", ArrayType(DoubleType()))])
