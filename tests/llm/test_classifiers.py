@@ -238,3 +238,13 @@ def test_repeated_rows_reach_the_driver_once(spark, monkeypatch):
     # different texts of one id
     toxicity.learn(spark.range(3000).selectExpr("id % 2 AS doc_id", "concat('some words ', id) AS text"), labels)
     assert 50 < len(given[2]) < 150
+
+
+def test_long_texts_are_fewer_examples(spark, monkeypatch):
+    given, fit = [], weaklabels.fit
+    monkeypatch.setattr(weaklabels, "fit", lambda *a: given.append((len(a[3]), len(a[0]))) or fit(*a))
+    rows = spark.range(300).selectExpr("id AS doc_id", "concat('w', id, ' ', array_join(transform(sequence(1, 400), x -> concat('v', x * id)), ' ')) AS text")
+    monkeypatch.setattr(weaklabels, "TRAIN_FEATURES", 100_000)
+    model = weaklabels.learn(rows)
+    assert 20 < given[0][0] < 120 and given[0][1] <= 150_000
+    assert weaklabels.judge(rows, model).count() == 300

@@ -61,7 +61,7 @@ def test_ranges_are_split_until_none_is_overfull(spark, monkeypatch):
     rows = [(None, "all alike")] * 300 + [(i, "same text") for i in range(200)] + [(i, f"text {i % 700}") for i in range(900)]
     df = frame(spark, rows)
     keyed = df.select(sharding.size_of(df.text).alias("size"), sharding.order_key(df.text, df.doc_id).alias("key")).withColumn("range", F.lit(0))
-    units = sharding._split_again(keyed).groupBy("range", "part", "piece").count().collect()
+    units = sharding._in_units(keyed, *sharding._splits(keyed)).groupBy("range", "part", "piece").count().collect()
     assert sum(u["count"] for u in units) == 1400 and max(u["count"] for u in units) <= 61
     sizes = laws(rows, shard_rows(df, 4).collect(), 4)
     assert max(sizes.values()) < 1.08 * sum(sizes.values()) / 4

@@ -73,35 +73,47 @@ def _assign(splitters: np.ndarray):
     return run
 
 
-def _split_again(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``part``, and ``piece`` of a part of one key: ranges that hold too much are split at quantiles of their own, and so are their
-    parts, until none but those of one key holds too much."""
-    overfull = (F.col("n") > RANGE_ROWS) | (F.col("bytes") > RANGE_BYTES)
-    unit = ["range", "part"]
+_UNIT = ["range", "part"]
 
-    def held(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*unit).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("key").alias("a"), F.max("key").alias("b"))
 
-    # quantiles are exact for numbers of 32 bits: of groups of equal texts, or of the ids in a part that is one group
-    one_group = F.shiftright("a", 32) == F.shiftright("b", 32)
-    value = F.when(F.col("one_group"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1))).otherwise(F.shiftright("key", 32))
+def _value() -> Column:
+    """What a part is split by: groups of equal texts, or ids in a part that is one group. Quantiles are exact for numbers of 32 bits."""
+    return F.when(F.col("one_group"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1))).otherwise(F.shiftright("key", 32))
+
+
+def _parted(rows: DataFrame, splits: Sequence[DataFrame]) -> DataFrame:
+    """``rows`` with ``part``, by the stored splits of each round."""
     rows = rows.withColumn("part", F.lit(0).cast("long"))
+    for own in splits:
+        below = F.coalesce(F.size(F.filter("at", lambda x: x <= _value())), F.lit(0))
+        rows = rows.join(own, _UNIT, "left").withColumn("part", F.col("part") * PARTS + below).drop("at", "one_group")
+    return rows
+
+
+def _splits(rows: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The splits of ranges that hold too much, and of their parts, until none but those of one key holds too much; and how many pieces these
+    are cut into. ``rows`` need only ``range``, ``key`` and ``size``."""
+    overfull = (F.col("n") > RANGE_ROWS) | (F.col("bytes") > RANGE_BYTES)
+    one_group = F.shiftright("a", 32) == F.shiftright("b", 32)
+    splits: list[DataFrame] = []
     while True:
-        over = saved(held(rows).where(overfull & F.expr("a < b")).select(*unit, one_group.alias("one_group")), "shard-overfull")
-        if over.isEmpty():
-            break
-        at = F.percentile_approx(value, [k / PARTS for k in range(1, PARTS)], 100 * PARTS)
-        own = rows.join(over, unit).groupBy(*unit, "one_group").agg(at.alias("at"), F.min(value).alias("least"))
+        parted = _parted(rows, splits)
+        held = parted.groupBy(*_UNIT).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("key").alias("a"), F.max("key").alias("b"))
+        pieces = F.greatest(F.ceil(F.col("n") / RANGE_ROWS), F.ceil(F.col("bytes") / RANGE_BYTES))
+        over = saved(held.where(overfull).select(*_UNIT, one_group.alias("one_group"), (F.col("a") == F.col("b")).alias("one_key"), pieces.alias("pieces")), "shard-overfull")
+        if over.where("NOT one_key").isEmpty():
+            return splits, over.select(*_UNIT, "pieces")
+        at = F.percentile_approx(_value(), [k / PARTS for k in range(1, PARTS)], 100 * PARTS)
+        many = over.where("NOT one_key").select(*_UNIT, "one_group")
+        own = parted.join(many, _UNIT).groupBy(*_UNIT, "one_group").agg(at.alias("at"), F.min(_value()).alias("least"))
         # a value that is several quantiles, or the least, is a part by itself
         again = lambda x, i: (F.coalesce(F.get("at", i - 1) == x, F.lit(False)) | (x == F.col("least"))).cast("long")
-        own = saved(own.select(*unit, "one_group", F.transform("at", lambda x, i: x + again(x, i)).alias("at")), "shard-parts")
-        joined = rows.join(own, unit, "left")
-        below = F.coalesce(F.size(F.filter("at", lambda x: x <= value)), F.lit(0))
-        rows = joined.withColumn("part", F.col("part") * PARTS + below).drop("at", "one_group")
-    # a part of one key is cut without regard to order: its rows are alike
-    pieces = F.greatest(F.ceil(F.col("n") / RANGE_ROWS), F.ceil(F.col("bytes") / RANGE_BYTES))
-    one_key = saved(held(rows).where(overfull & F.expr("a = b")).select(*unit, pieces.alias("pieces")), "shard-one-key")
-    rows = rows.join(one_key, unit, "left")
+        splits.append(saved(own.select(*_UNIT, "one_group", F.transform("at", lambda x, i: x + again(x, i)).alias("at")), "shard-parts"))
+
+
+def _in_units(rows: DataFrame, splits: Sequence[DataFrame], pieces: DataFrame) -> DataFrame:
+    """``rows`` with ``part`` and ``piece``. A part of one key is cut without regard to order: its rows are alike."""
+    rows = _parted(rows, splits).join(pieces, _UNIT, "left")
     piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("pieces"))).otherwise(0)
     return rows.withColumn("piece", piece.cast("int")).drop("pieces")
 
@@ -109,7 +121,8 @@ def _split_again(rows: DataFrame) -> DataFrame:
 def place(docs: DataFrame, shards: int, id_col: str, text: str, carry: Sequence[str], stored: bool = False) -> DataFrame:
     """The ``carry`` columns of ``docs`` as a struct ``row``, with ``size``, ``text_crc32``, ``shard``, ``slot``.
 
-    ``stored`` writes the keyed rows once, which pays when the carried columns are narrow."""
+    ``stored`` writes the keyed rows once, which pays when the carried columns are narrow; else only their keys are, and the rows are read again
+    when it is known where they go."""
     value = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.struct(*(named(c) for c in carry)).alias("row"),
@@ -120,10 +133,12 @@ def place(docs: DataFrame, shards: int, id_col: str, text: str, carry: Sequence[
     )
     if stored:
         rows = saved(rows, "shard-keys")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    ranges = min(MOST_RANGES, shards * RANGES_PER_SHARD)
-    rows = rows.mapInArrow(_assign(_splitters(rows, total, ranges)), StructType([*rows.schema.fields, StructField("range", IntegerType())]))
-    rows = _split_again(rows)
+    # where rows go is found on their keys alone
+    keys = rows.select("key", "size", "tie") if stored else saved(rows.select("key", "size", "tie"), "shard-keys")
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    splitters = _splitters(keys, total, min(MOST_RANGES, shards * RANGES_PER_SHARD))
+    ranged = lambda df: df.mapInArrow(_assign(splitters), StructType([*df.schema.fields, StructField("range", IntegerType())]))
+    rows = _in_units(ranged(rows), *_splits(ranged(keys)))
     unit = ["range", "part", "piece"]
     ordered = Window.partitionBy(*unit).orderBy("high", "key", "tie")
     group = Window.partitionBy(*unit, "high")

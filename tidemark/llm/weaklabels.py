@@ -18,9 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
+from tidemark.llm.common import word_count
 from tidemark.llm.words import SPACED, Block, Spans, blocks, lists, mix
 
 TRAIN_ROWS, FEATURE_BITS = 10_000, 16
+#: Features of all texts that are learned from, at most about so many: of very long texts there are fewer.
+TRAIN_FEATURES = 20_000_000
 GOOD, BAD, NONE = 1, 0, 2
 LABELLERS = ("symbols", "repeats", "lines", "length", "word_length", "capitals", "sentences", "letters", "marks", "echoes", "top_word")
 
@@ -243,7 +246,8 @@ def _judge(model: Model):
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Model:
-    """Patterns over all of ``docs``; a scorer from at most about ``TRAIN_ROWS`` of them, picked by a hash of id and text.
+    """Patterns over all of ``docs``; a scorer from at most about ``TRAIN_ROWS`` of them, picked by a hash of id and text, and fewer where these
+    have more than ``TRAIN_FEATURES`` features.
 
     Equal rows are picked together, as one text that counts as often as they are."""
     rows = docs.select(F.col(text).alias("text"), F.xxhash64(F.lit(19), F.col(id_col).cast("string"), text).alias("h"))
@@ -257,6 +261,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Model:
     share = min(1.0, TRAIN_ROWS / counts.sum())
     drawn = rows.where(F.shiftrightunsigned("h", 34) < F.lit(math.ceil(share * (1 << 30))))
     drawn = drawn.groupBy("h", "text").agg(F.count("*").alias("times"))
+    load = drawn.agg(F.sum(F.least(4 * word_count(F.col("text")), F.lit(1 << FEATURE_BITS)))).first()[0] or 0
+    if load > TRAIN_FEATURES:
+        again = F.shiftrightunsigned(F.xxhash64(F.lit(23), "h"), 34)
+        drawn = drawn.where(again < F.lit(math.ceil(TRAIN_FEATURES / load * (1 << 30))))
     kinds = StructType([StructField("votes", StringType()), StructField("slots", ArrayType(IntegerType())), StructField("values", ArrayType(FloatType())), StructField("times", LongType())])
     got = drawn.select("text", "times").mapInArrow(_sample, kinds).withColumn("order", F.xxhash64("slots", "values")).toArrow()
     got = got.sort_by([("votes", "ascending"), ("order", "ascending"), ("times", "ascending")])
