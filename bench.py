@@ -17,6 +17,7 @@ from tidemark.operators import apply, shape
 from tidemark.plans.lifecycle import Run, Table, sync, validate
 from tidemark.queries import QUERIES
 from tidemark.session import build_session, work_path
+from tidemark.sinks.tables import KeyedTable
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -68,6 +69,15 @@ def load_paths(spark) -> dict[str, float]:
         if name == "load_full":
             out["_full_rows"] = done[0]["rows_loaded"]
     orders = spark.read.parquet(f"{SF_DIR}/orders.parquet")
+    stored = KeyedTable(spark, work_path(spark, "sparse"), ("line_id",), 16, file_rows=4000, file_bytes=1, prune_from=0)
+    stored.create(shape.with_audit(lines, ntz("2001-01-01 00:00:00"), "b0"))
+    few = lines.where(F.xxhash64("line_id") % 20_000 == 0)
+    for name in ("sparse_delta_without_index", "sparse_delta"):
+        did = []
+        change = lambda t, d, small: apply.upsert(t, d, ["line_id"], ntz("2002-01-01 00:00:00"), "b1", small=small)
+        out[name] = timed(lambda n=name: did.append(stored.apply(few, change, n)))
+        if did[0].rewritten > 1.2 * few.count() or not did[0].left:
+            raise RuntimeError(f"{name}: {did[0]}")
     target = shape.with_audit(orders, ntz("2001-01-01 00:00:00"), "b0")
     out["apply_upsert_all_orders"] = timed(
         lambda: noop(apply.upsert(target, orders, ["o_orderkey"], ntz("2002-01-01 00:00:00"), "b1", "o_orderdate"))

@@ -168,6 +168,14 @@ def test_command_line(spark, root, sf_dir, tmp_path):
     assert [r["status"] for r in checked] == ["success"]
     again = main(["sync", str(config), "--root", root, "--table", "orders"], spark)
     assert [r["status"] for r in again] == ["skipped"]
+    query = f'"source": {{"sql": "SELECT * FROM parquet.`{sf_dir}/orders.parquet` WHERE o_orderkey % 4 <> 2", "where": "o_orderkey % 2 = 0"}}'
+    config.write_text(f'[{{"config_id": "orders", "keys": ["o_orderkey"], "load_type": "filter", "cursor_column": "o_orderdate", "buckets": 4, {query}}}]')
+    assert [r["status"] for r in main(["sync", str(config), "--root", root], spark)] == ["success"]
+    assert [r["status"] for r in main(["vacuum", str(config), "--root", root], spark)] == ["success"]
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    setting = Table("orders", ("o_orderkey",))
+    run = Run(spark, root, "b", datetime(2024, 1, 1))
+    assert content(spark, root, run, setting).count() == orders.where("o_orderkey % 4 <> 2").count()
 
 
 def test_bucket_count_and_types_come_from_the_table(spark, root):

@@ -230,3 +230,44 @@ def test_a_task_that_fails_leaves_no_part(spark):
     with pytest.raises(Exception):
         out.write_rolling(bad.repartition(4), path, 50)
     assert [n for n in storage.children(spark, path) if not n.startswith("_")] == []
+
+
+def test_a_merge_that_dies_changes_nothing(spark, monkeypatch):
+    rows = spark.range(30).select(F.col("id").alias("k"), F.lit("a").alias("v"))
+    table = KeyedTable(spark, work_path(spark, "runs"), (), fan=3)
+    table.create(rows.where("k = 0").coalesce(1))
+    table.add(rows.where("k = 1").coalesce(1), "b1")
+    publish = VersionLog.publish
+
+    def dies(self, new):
+        if new.number == 4:  # the third run is version 3, and their merge would be 4
+            raise OSError("lost")
+        publish(self, new)
+
+    monkeypatch.setattr(VersionLog, "publish", dies)
+    with pytest.raises(OSError):
+        table.add(rows.where("k = 2").coalesce(1), "b2")
+    assert table.read().count() == 3 and table.committed("", "b2")
+    monkeypatch.setattr(VersionLog, "publish", publish)
+    table.add(rows.where("k = 2").coalesce(1), "b2")  # the same batch again adds nothing
+    table.add(rows.where("k = 3").coalesce(1), "b3")
+    assert sorted(r.k for r in table.read().collect()) == [0, 1, 2, 3] and len(table.version().folders) < 3
+
+
+def test_an_index_that_was_lost_is_made_again(spark):
+    table = made(spark, spark.range(1000).select(F.col("id").alias("k"), F.lit("a").alias("v")), ("k",), file_rows=40)
+    table.apply(rows_of(spark, [(7, "b")]), upserting(["k"]), "b1")
+    storage.purge(spark, table.index.path)
+    did = table.apply(rows_of(spark, [(7, "c"), (500, "c")]), upserting(["k"]), "b2")
+    assert 1 <= did.rewritten <= 3 and sorted(r.k for r in table.read().where("v = 'c'").collect()) == [7, 500] and table.read().count() == 1000
+
+
+def test_dense_deltas_and_small_tables_skip_the_index(spark):
+    rows = spark.range(1000).select(F.col("id").alias("k"), F.lit("a").alias("v"))
+    dense = made(spark, rows, ("k",), file_rows=100)
+    dense.apply(rows.withColumn("v", F.lit("b")), upserting(["k"]), "b1")
+    small = KeyedTable(spark, work_path(spark, "files"), ("k",), 2, file_rows=100)
+    small.create(shape.with_audit(rows, ntz(TS), "b0"))
+    small.apply(rows_of(spark, [(7, "b")]), upserting(["k"]), "b1")
+    assert not storage.exists(spark, dense.index.path) and not storage.exists(spark, small.index.path)
+    assert dense.read().where("v = 'b'").count() == 1000 and small.read().where("v = 'b'").count() == 1

@@ -2,7 +2,8 @@
 
 ``tables.json`` is a list of tables: the fields of ``lifecycle.Table`` plus ``source``,
 either ``{"parquet": path}``, ``{"sql": text}`` over catalog tables, or
-``{"jdbc": {...}}`` with the fields of ``JdbcTable``.
+``{"jdbc": {...}}`` with the fields of ``JdbcTable``. A ``where`` beside them is the table's filter, so that a filter load states its
+condition once, with the query it belongs to.
 """
 
 from __future__ import annotations
@@ -47,6 +48,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     with open(args.tables, encoding="utf-8") as f:
         entries = json.load(f)
     entries = [e for e in entries if args.table in (None, e["config_id"])]
+    for e in entries:
+        if e["source"].get("where"):
+            e["filter"] = e["source"]["where"]
     ceilings = {
         e["config_id"]: partial(greatest, spark, JdbcTable(**e["source"]["jdbc"]), e["cursor_column"])
         for e in entries
