@@ -15,7 +15,7 @@ from tidemark.functions.values import ntz
 from tidemark.operators import apply, shape
 from tidemark.session import work_path
 from tidemark.sinks import files as out
-from tidemark.sinks import logfolder, storage, versions
+from tidemark.sinks import keyindex, logfolder, storage, tables, versions
 from tidemark.sinks.logfolder import LogFolder
 from tidemark.sinks.tables import NO_KEY, SETTLED, KeyedTable
 from tidemark.sinks.versions import Version, VersionLog
@@ -271,3 +271,36 @@ def test_dense_deltas_and_small_tables_skip_the_index(spark):
     small.apply(rows_of(spark, [(7, "b")]), upserting(["k"]), "b1")
     assert not storage.exists(spark, dense.index.path) and not storage.exists(spark, small.index.path)
     assert dense.read().where("v = 'b'").count() == 1000 and small.read().where("v = 'b'").count() == 1
+
+
+def test_folders_of_many_files_are_read_whole_but_for_what_was_dropped(spark, monkeypatch):
+    monkeypatch.setattr(tables, "MANY", 3)
+    monkeypatch.setattr(storage, "ONE_BY_ONE", 5)
+    table = made(spark, spark.range(1000).select(F.col("id").alias("k"), F.lit("a").alias("v")), ("k",), file_rows=20)
+    assert len(table._paths(table.version().files)[0]) == 2  # one for each bucket, not one for each file
+    did = table.apply(rows_of(spark, [(7, "b"), (500, "b"), (-1, "b")]), upserting(["k"]), "b1")
+    paths, others = table._paths(table.version().files)
+    assert len(paths) < 10 and len(others) == did.rewritten > 0
+    rows = table.read()
+    for name in others:  # as the next change does: readers have not opened them
+        assert storage.purge(spark, f"{table.data}/{name}")
+    assert sorted((r.k, r.v) for r in rows.collect()) == [(-1, "b"), *((k, "b" if k in (7, 500) else "a") for k in range(1000))]
+
+
+def test_keys_meet_the_ranges_they_lie_in(spark):
+    r = random.Random(5)
+    ends = [tuple(sorted((r.randrange(-900, 900), r.randrange(-900, 900)))) for _ in range(40)] + [(-(1 << 62), 1 << 62), (None, None)]
+    tops = rows_of(spark, [(i % 2, f"f{i}", a, b, 1) for i, (a, b) in enumerate(ends)], "_bucket int, _file string, low long, high long, pages long")
+    keys = [(i % 2, i, r.randrange(-1000, 1000) if i % 9 else None) for i in range(90)]
+    got = keyindex._inside(rows_of(spark, keys, "_bucket int, h long, o long"), tops)
+    want = [(h, f"f{i}") for b, h, o in keys for i, (low, high) in enumerate(ends) if b == i % 2 and (o is None or low is None or low <= o <= high)]
+    assert sorted((x.h, x._file) for x in got.collect()) == sorted(want)
+
+
+def test_a_write_that_dies_leaves_no_files(spark):
+    rows = spark.range(100).select(F.col("id").alias("k"), F.lit("a").alias("v"))
+    table = made(spark, rows, ("k",))
+    lost = rows.withColumn("v", F.when(F.col("k") == 70, F.raise_error(F.lit("lost")).cast("string")).otherwise("b"))
+    with pytest.raises(Exception):
+        table.add(lost.repartition(4), "b1")
+    assert table.vacuum() == 0 and table.read().where("v = 'a'").count() == 100

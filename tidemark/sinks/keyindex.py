@@ -22,6 +22,8 @@ from tidemark.sources.files import load_or_none
 BUCKET, FILE = "_bucket", "_file"
 #: Bits of a filter for each key, bits set for it, and bits of a page.
 BITS, HASHES, PAGE = 16, 4, 32_768
+#: Blocks that all key ranges of files are cut into, about.
+BLOCKS = 1 << 20
 #: Folders of entries before they are written as one.
 FOLDERS = 16
 _ENTRY = f"{BUCKET} int, {FILE} string, low bigint, high bigint, pages bigint, page bigint, bits binary"
@@ -50,6 +52,21 @@ def _spots(pages: Column) -> Column:
     return F.transform(F.array_distinct(place), lambda p: F.struct(F.floor(p / PAGE).alias("page"), (p % PAGE).alias("bit")))
 
 
+def _inside(asked: DataFrame, tops: DataFrame) -> DataFrame:
+    """Keys with the files of their bucket whose range they lie in. Ranges are cut into blocks, about ``BLOCKS`` and one for each
+    file, and a key meets the ranges of its block only. Where either side has no order, all files of the bucket are met."""
+    ends = tops.where("low IS NOT NULL")
+    width = F.col("high").cast("decimal(38,0)") - F.col("low") + 1
+    bits = int(ends.agg(F.sum(width.cast("double"))).first()[0] or 1).bit_length() - BLOCKS.bit_length()
+    bits = min(max(bits, 0), 63)
+    block = lambda c: F.shiftright(F.col(c), bits)
+    cut = ends.select("*", F.explode(F.sequence(block("low"), block("high"))).alias("_block"))
+    near = asked.where("o IS NOT NULL").withColumn("_block", block("o")).join(cut, [BUCKET, "_block"])
+    near = near.where(F.col("o").between(F.col("low"), F.col("high"))).drop("_block")
+    loose = asked.join(tops.where("low IS NULL"), BUCKET).unionByName(asked.where("o IS NULL").join(ends, BUCKET))
+    return near.unionByName(loose)
+
+
 @dataclass(frozen=True)
 class PerFile:
     """Facts about a table's files, kept beside it as Parquet. Files never change, so neither do their facts."""
@@ -115,11 +132,12 @@ class KeyIndex(PerFile):
     ENTRY = _ENTRY
 
     def add(self, rows: DataFrame) -> None:
-        """Entries for all files that ``rows`` (keys, ``_bucket``, ``_file``) come from."""
+        """Entries for all files that ``rows`` (keys, ``_bucket``, ``_file``) come from: as many as the driver named, so their sizes
+        are broadcast."""
         each = rows.where(no_nulls(self.keys)).select(BUCKET, FILE, key_hash(self.keys).alias("h"), ordinal(rows.schema[self.keys[0]]).alias("o"))
         pages = F.ceil(F.count("*") * BITS / PAGE)
         sizes = each.groupBy(BUCKET, FILE).agg(F.min("o").alias("low"), F.max("o").alias("high"), pages.alias("pages"))
-        spots = each.join(sizes, [BUCKET, FILE]).select(BUCKET, FILE, "low", "high", "pages", F.explode(_spots(F.col("pages"))).alias("at"))
+        spots = each.join(F.broadcast(sizes), [BUCKET, FILE]).select(BUCKET, FILE, "low", "high", "pages", F.explode(_spots(F.col("pages"))).alias("at"))
         group = [BUCKET, FILE, "low", "high", "pages", F.col("at.page").alias("page")]
         self._put(spots.groupBy(*group).agg(F.bitmap_construct_agg(F.col("at.bit")).alias("bits")).repartition(FILE))
 
@@ -129,8 +147,7 @@ class KeyIndex(PerFile):
         asked = asked.select(BUCKET, key_hash(self.keys).alias("h"), ordinal(delta.schema[self.keys[0]]).alias("o")).distinct()
         entries = self.of(files)
         tops = entries.select(BUCKET, FILE, "low", "high", "pages").distinct()
-        inside = F.col("o").isNull() | F.col("low").isNull() | F.col("o").between(F.col("low"), F.col("high"))
-        pairs = asked.join(tops, BUCKET).where(inside).select(BUCKET, FILE, "h", _spots(F.col("pages")).alias("at"))
+        pairs = _inside(asked, tops).select(BUCKET, FILE, "h", _spots(F.col("pages")).alias("at"))
         spots = pairs.select(BUCKET, FILE, "h", F.size("at").alias("n"), F.explode("at").alias("at"))
         spots = spots.select(BUCKET, FILE, "h", "n", F.col("at.page").alias("page"), F.col("at.bit").alias("bit"))
         byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")

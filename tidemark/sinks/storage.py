@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
+#: Files that are asked for their bytes one by one; more are asked by a Spark job.
+ONE_BY_ONE = 1000
+
 
 def _handle(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -27,6 +31,14 @@ def purge(spark: SparkSession, path: str) -> bool:
     return fs.delete(target, True)
 
 
+def purge_all(spark: SparkSession, folder: str, names: Iterable[str]) -> None:
+    """Many files of one file system, named from a folder that they all lie below."""
+    fs, _ = _handle(spark, folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for name in names:
+        fs.delete(path(f"{folder}/{name}"), True)
+
+
 def move(spark: SparkSession, path: str, to: str) -> None:
     fs, target = _handle(spark, path)
     place = _handle(spark, to)[1]
@@ -46,10 +58,26 @@ def matching(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in (fs.globStatus(target) or []))
 
 
-def sizes(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
-    """Paths that a glob pattern matches, with their bytes."""
-    fs, target = _handle(spark, pattern)
-    return sorted((s.getPath().toString(), s.getLen()) for s in (fs.globStatus(target) or []))
+def sizes(spark: SparkSession, folders: Iterable[str], ending: str) -> list[tuple[str, int]]:
+    """Paths of the files in some folders, with their bytes."""
+    found, many, n = [], [], 0
+    for folder in folders:
+        fs, target = _handle(spark, folder)
+        inside = fs.listStatus(target)
+        n += len(inside)
+        if n > ONE_BY_ONE:
+            many.append(folder)
+        else:
+            found += [(s.getPath().toString(), s.getLen()) for s in inside]
+    if many:
+        found += [tuple(r) for r in spark.read.format("binaryFile").load(many).select("path", "length").collect()]
+    return sorted((path, size) for path, size in found if path.endswith(ending))
+
+
+def count(spark: SparkSession, folder: str) -> int:
+    """How many files and folders lie in a folder."""
+    fs, target = _handle(spark, folder)
+    return len(fs.listStatus(target))
 
 
 def read_text(spark: SparkSession, path: str) -> str:

@@ -27,6 +27,8 @@ BUCKET_BYTES = 4 * 2**30
 SMALL_KEY_BYTES = 32 * 2**20
 #: Files are about this large; smaller ones are merged when there are several.
 FILE_BYTES = 256 * 2**20
+#: Files of one folder that are read by their paths; of more, the folder is.
+MANY = 64
 #: Runs of appended files of about one size that are merged into one.
 FAN = 8
 #: Appended runs start to count as larger from here, and are not merged any more from there.
@@ -171,13 +173,14 @@ class KeyedTable:
 
     def _let_go(self, old: Version, new: Version) -> None:
         """Files that the version before the new one had already given up, and old descriptions."""
-        live, gone = new.folders, set()
+        live, gone, alone = new.folders, set(), []
         for bucket, name in old.retired:
             folder = (bucket, name.split("/")[0])
             if folder in live:
-                storage.purge(self.spark, self._file(bucket, name))
+                alone.append(f"{BUCKET}={bucket}/{WRITE}={name}")
             else:
                 gone.add(folder)
+        storage.purge_all(self.spark, self.data, alone)
         for bucket, write in gone:
             storage.purge(self.spark, f"{self.data}/{BUCKET}={bucket}/{WRITE}={write}")
         self._log.forget(old.number)
@@ -197,9 +200,16 @@ class KeyedTable:
         """Rows with their bucket into new files; returns those of each bucket, with their bytes."""
         write = f"w{uuid.uuid4().hex}"
         writer = rows.withColumn(WRITE, F.lit(write)).write.mode("append").partitionBy(BUCKET, WRITE)
-        (writer.option("maxRecordsPerFile", self.file_rows) if self.file_rows else writer).parquet(self.data)
+        # tasks move their own files: no reader looks at them before a version names them, and Spark ends a write whose task dies while it moves
+        writer = writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        try:
+            (writer.option("maxRecordsPerFile", self.file_rows) if self.file_rows else writer).parquet(self.data)
+        except Exception:
+            for folder in storage.matching(self.spark, f"{self.data}/{BUCKET}=*/{WRITE}={write}"):
+                storage.purge(self.spark, folder)
+            raise
         found: dict[int, dict[str, int]] = {}
-        for path, size in storage.sizes(self.spark, f"{self.data}/{BUCKET}=*/{WRITE}={write}/*.parquet"):
+        for path, size in storage.sizes(self.spark, storage.matching(self.spark, f"{self.data}/{BUCKET}=*/{WRITE}={write}"), ".parquet"):
             bucket, name = path.split(f"{BUCKET}=")[-1].split(f"/{WRITE}=")
             found.setdefault(int(bucket), {})[name] = size
         return found
@@ -322,16 +332,37 @@ class KeyedTable:
     def _rows(self, schema: T.StructType, files: Mapping[int, Sequence[str] | Mapping[str, int]], named: bool = False) -> DataFrame:
         """Stored rows with their bucket and, on request, their file's name; files from before a column was added read it as null."""
         wide = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
-        paths = [self._file(b, n) for b, names in files.items() for n in names]
+        paths, others = self._paths(files)
         if not paths:
             empty = self.spark.createDataFrame([], wide)
             return empty.withColumn(FILE, F.lit("")) if named else empty
         full = T.StructType([*wide.fields, T.StructField(WRITE, T.StringType())])
         rows = self.spark.read.schema(full).option("basePath", self.data).parquet(*paths)
+        if others:  # of the file's path alone, so Spark leaves such files out before it opens any
+            rows = rows.where(~F.substring_index("_metadata.file_path", "/", -3).isin(others))
         if named:
             return rows.select(*[F.col(f"`{c}`") for c in wide.names], F.concat_ws("/", WRITE, "_metadata.file_name").alias(FILE))
         return rows.drop(WRITE)
 
+    def _paths(self, files: Mapping[int, Sequence[str] | Mapping[str, int]]) -> tuple[list[str], list[str]]:
+        """What to read for some files, and what to leave out of that. Spark lists each path it is given, so a folder of which many
+        files are wanted is one path; those of its files that are not wanted are named by their last three steps."""
+        folders: dict[tuple[int, str], list[str]] = {}
+        for b, names in files.items():
+            for n in names:
+                folders.setdefault((b, n.split("/")[0]), []).append(n)
+        paths, partly = [], []
+        for (b, write), names in folders.items():
+            there = storage.count(self.spark, self._file(b, write)) if len(names) > MANY else 0
+            if len(names) <= there <= 2 * len(names):
+                paths.append(self._file(b, write))
+                partly += [paths[-1]] * (there > len(names))
+            else:
+                paths += [self._file(b, n) for n in names]
+        found = [path.split(f"{BUCKET}=")[-1].split(f"/{WRITE}=") for path, _ in storage.sizes(self.spark, partly, "")]
+        wanted = {b: set(names) for b, names in files.items()}
+        return paths, [f"{BUCKET}={b}/{WRITE}={n}" for b, n in found if n not in wanted[int(b)]]
+
     def touched(self, delta: DataFrame, buckets: int | None = None) -> dict[int, int]:
         """Buckets the delta falls in, with the bytes of its keys."""
         return {r[BUCKET]: r.b for r in self._hits(delta, buckets)}
