@@ -115,3 +115,17 @@ def test_sketches_rule_out_and_the_exact_check_decides(spark):
     keys, check = parity.propose_key(near, candidates)
     assert keys == ["a", "b"] and check.first().is_unique
     assert parity.propose_key(rows, candidates)[0] == ["a"] and parity.propose_key(rows, [["b"], ["n"]]) is None
+
+
+@pytest.mark.parametrize("bits", [3, 16])
+def test_ids_and_spans_of_a_block_are_met_in_one_pass(spark, monkeypatch, bits):
+    monkeypatch.setattr(gaps, "BLOCK_BITS", bits)
+    monkeypatch.setattr(gaps, "PUSHED", 0)
+    spans = spark.createDataFrame([(i, i + (i % 7 == 0), NOW) for i in range(-300, 3000, 3)], gaps.SPANS)
+    source = spark.createDataFrame([(i, f"t{i}") for i in [*range(-310, 3010), 6, 6]] + [(None, "none")], "n long, `a t` string")
+    got = gaps.late_rows(source, F.col("n"), spans, 2500)
+    held = {x for i in range(-300, 3000, 3) for x in range(i, i + 1 + (i % 7 == 0))}
+    assert sorted(map(tuple, got.collect())) == sorted((i, f"t{i}") for i in [*range(-310, 2501), 6, 6] if i in held)
+    # a join by block compares each id with all spans of its block
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and got.columns == source.columns

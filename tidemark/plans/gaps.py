@@ -45,10 +45,19 @@ def late_rows(source: DataFrame, value: Column, spans: DataFrame, cursor: int) -
     if len(some) <= PUSHED:
         return source.where(reduce(or_, [value.between(s.low, s.high) for s in some]))
     least, bits = spans.agg(F.min("low")).first()[0], _block_bits(spans)
-    rows = source.where(value.between(least, int(cursor))).withColumns({"_id": value, "_block": F.shiftright(value, bits)})
-    cut = _in_blocks(spans, bits).select(F.col("block").alias("_block"), "low", "high")
-    near = (rows["_block"] == cut["_block"]) & rows["_id"].between(cut["low"], cut["high"])
-    return rows.join(cut, near, "left_semi").drop("_id", "_block")
+    rows = source.where(value.between(least, int(cursor))).select(F.struct(*[F.col(f"`{c}`") for c in source.columns]).alias("_row"), value.cast("long").alias("id"))
+    met = _placed(rows.withColumn("block", F.shiftright("id", bits)), _in_blocks(spans, bits))
+    return met.select(*[F.col("_row").getField(c).alias(c) for c in source.columns])
+
+
+def _placed(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """Rows whose ``id`` lies in a span of their block, with the span's ``low``. The spans of a block don't overlap, so an id can only lie
+    in the last one that begins at it or before: one pass over both in the order of ids, however many spans a block has."""
+    both = rows.withColumns({"high": F.lit(None).cast("long"), "at": F.lit(1)}).unionByName(cut.select("block", F.col("low").alias("id"), "high", F.lit(0).alias("at")), True)
+    last = F.struct(F.col("id").alias("low"), "high")
+    before = Window.partitionBy("block").orderBy("id", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("_span", F.last(F.when(F.col("at") == 0, last), ignorenulls=True).over(before))
+    return both.where((F.col("at") == 1) & (F.col("id") <= F.col("_span.high"))).select(*rows.columns, F.col("_span.low").alias("low"))
 
 
 def missing(ids: DataFrame, spans: DataFrame) -> DataFrame:
@@ -56,7 +65,7 @@ def missing(ids: DataFrame, spans: DataFrame) -> DataFrame:
     bits = _block_bits(spans)
     cut = _in_blocks(spans, bits)
     seen = ids.where("id IS NOT NULL").select(F.shiftright("id", bits).alias("block"), "id")
-    inside = seen.join(cut.select("block", "low", "high"), "block").where(F.col("id").between(F.col("low"), F.col("high"))).select("block", "low", "id").distinct()
+    inside = _placed(seen, cut).select("block", "low", "id").distinct()
     marks = inside.unionByName(cut.select("block", "low", (F.col("high") + 1).alias("id")))
     ordered = Window.partitionBy("block", "low").orderBy("id")
     gaps = marks.select("block", "low", F.coalesce(F.lag("id").over(ordered) + 1, F.col("low")).alias("from"), (F.col("id") - 1).alias("to"))
