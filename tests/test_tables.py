@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark import session
 from tidemark.functions.values import ntz
 from tidemark.operators import apply, shape
 from tidemark.session import work_path
@@ -304,3 +305,27 @@ def test_a_write_that_dies_leaves_no_files(spark):
     with pytest.raises(Exception):
         table.add(lost.repartition(4), "b1")
     assert table.vacuum() == 0 and table.read().where("v = 'a'").count() == 100
+
+
+def test_partitions_of_a_large_delta_follow_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "PARTITION_ROWS", 10)
+    names, seen, write = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"), [], KeyedTable._write
+
+    def spied(self, rows):
+        seen.append((int(spark.conf.get(names[0])), session._size(spark.conf.get(names[1]))))
+        return write(self, rows)
+
+    before = [spark.conf.get(n) for n in names]
+    rows = spark.range(500).select(F.col("id").alias("k"), F.lit("a").alias("v"))
+    table = made(spark, rows, ("k",), small_bytes=0)
+    monkeypatch.setattr(KeyedTable, "_write", spied)
+    table.apply(rows.withColumn("v", F.lit("b")), upserting(["k"]), "b1")
+    assert seen[0][0] == 100 and seen[0][1] <= 64 << 20  # 500 rows of the table, 500 of the delta
+    assert [spark.conf.get(n) for n in names] == before and table.read().where("v = 'b'").count() == 500
+    lost = rows.withColumn("v", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception):
+        table.apply(lost, upserting(["k"]), "b2")
+    assert [spark.conf.get(n) for n in names] == before
+    with session.bounded_partitions(spark, 900, 1.0), session.bounded_partitions(spark, 50, 100.0):
+        assert spark.conf.get(names[0]) == "90" and session._size(spark.conf.get(names[1])) == 1 << 20
+    assert [spark.conf.get(n) for n in names] == before and [session._size(x) for x in ("67108864b", "64MB", "1g", "5")] == [1 << 26, 1 << 26, 1 << 30, 5]

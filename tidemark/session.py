@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+#: Rows for which a shuffle has a partition at least, and rows that a task takes of merged ones, where a job's rows are known.
+PARTITION_ROWS, TASK_ROWS = 250_000, 500_000
+_PARTITIONS, _ADVISORY = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+_lock = threading.RLock()
+_asked: list[tuple[int, int]] = []
+_before: dict[str, str] = {}
+
 # Settings every job here relies on. AQE re-plans joins from the sizes it sees,
 # so small sides are broadcast only after their size is known.
 DEFAULTS = {
@@ -42,6 +53,37 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def _size(text: str) -> int:
+    """Bytes, as Spark's settings write them."""
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)i?b?", text.strip().lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
+@contextmanager
+def bounded_partitions(spark: SparkSession, rows: int, row_bytes: float, most: int = 50_000) -> Iterator[None]:
+    """Jobs started here shuffle ``rows`` rows of about ``row_bytes`` packed bytes to a partition for every ``PARTITION_ROWS`` at least, and
+    AQE merges them, or splits what is rebalanced, to ``TASK_ROWS``: packed sizes alone don't bound a task's memory, as rows that
+    pack well are many. Several threads may ask: the strictest wish holds until all are done, then what was set before.
+    Stricter settings of a session stay."""
+    wish = min(most, -(-rows // PARTITION_ROWS)), max(2**20, int(row_bytes * TASK_ROWS))
+    with _lock:
+        if not _asked:
+            _before.update({name: spark.conf.get(name) for name in (_PARTITIONS, _ADVISORY)})
+        _asked.append(wish)
+        if wish[0] > int(spark.conf.get(_PARTITIONS)):
+            spark.conf.set(_PARTITIONS, wish[0])
+        if wish[1] < _size(spark.conf.get(_ADVISORY)):
+            spark.conf.set(_ADVISORY, wish[1])
+    try:
+        yield
+    finally:
+        with _lock:
+            _asked.remove(wish)
+            for name, value in _before.items() if not _asked else ():
+                if spark.conf.get(name) != value:
+                    spark.conf.set(name, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir``, or a folder below the warehouse, which they
     share too, where that is not set."""
