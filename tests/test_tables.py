@@ -329,3 +329,15 @@ def test_partitions_of_a_large_delta_follow_its_rows(spark, monkeypatch):
     with session.bounded_partitions(spark, 900, 1.0), session.bounded_partitions(spark, 50, 100.0):
         assert spark.conf.get(names[0]) == "90" and session._size(spark.conf.get(names[1])) == 1 << 20
     assert [spark.conf.get(n) for n in names] == before and [session._size(x) for x in ("67108864b", "64MB", "1g", "5")] == [1 << 26, 1 << 26, 1 << 30, 5]
+
+
+def test_a_history_of_changed_values_is_shuffled_by_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "PARTITION_ROWS", 10)
+    rows, seen = spark.range(300).select(F.col("id").alias("k"), F.lit(1).alias("v")), []
+    table = KeyedTable(spark, work_path(spark, "files"), ("k",), 2, settled="NOT _is_current", small_bytes=0)
+    table.create(shape.with_history(shape.with_audit(rows, ntz(TS), "b0"), ntz(TS)))
+    write = KeyedTable._write
+    monkeypatch.setattr(KeyedTable, "_write", lambda self, r: (seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))), write(self, r))[1])
+    touched = rows.withColumn("v", F.when(F.col("k") % 2 == 0, 2).otherwise(1))
+    table.apply(touched, lambda t, d, small: apply.apply_history(t, d, ["k"], ntz(TS), "b1", only_changed=True, small=small), "b1")
+    assert seen[0] == 60 and table.read().count() == 450 and table.read().where("NOT _is_current AND v = 1").count() == 150
