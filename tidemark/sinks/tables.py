@@ -201,8 +201,6 @@ class KeyedTable:
         """Rows with their bucket into new files; returns those of each bucket, with their bytes."""
         write = f"w{uuid.uuid4().hex}"
         writer = rows.withColumn(WRITE, F.lit(write)).write.mode("append").partitionBy(BUCKET, WRITE)
-        # tasks move their own files: no reader looks at them before a version names them, and Spark ends a write whose task dies while it moves
-        writer = writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
         try:
             (writer.option("maxRecordsPerFile", self.file_rows) if self.file_rows else writer).parquet(self.data)
         except Exception:
