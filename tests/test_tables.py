@@ -341,3 +341,43 @@ def test_a_history_of_changed_values_is_shuffled_by_its_rows(spark, monkeypatch)
     touched = rows.withColumn("v", F.when(F.col("k") % 2 == 0, 2).otherwise(1))
     table.apply(touched, lambda t, d, small: apply.apply_history(t, d, ["k"], ntz(TS), "b1", only_changed=True, small=small), "b1")
     assert seen[0] == 60 and table.read().count() == 450 and table.read().where("NOT _is_current AND v = 1").count() == 150
+
+
+@pytest.mark.parametrize("small_bytes", [0, None])
+def test_rows_of_a_table_are_not_broadcast_for_packing_well(spark, monkeypatch, small_bytes):
+    names, plans, write = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"), [], KeyedTable._write
+    before = [spark.conf.get(n) for n in names]
+
+    def spied(self, rows):
+        assert spark.conf.get(names[1]) == before[0]  # what AQE has seen may still be broadcast
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(self, rows)
+
+    rows = spark.range(300).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    table = KeyedTable(spark, work_path(spark, "files"), ("k",), 2, settled="NOT _is_current", small_bytes=small_bytes)
+    table.create(shape.with_history(shape.with_audit(rows, ntz(TS), "b0"), ntz(TS)))
+    monkeypatch.setattr(KeyedTable, "_write", spied)
+    changing = lambda t, d, small: apply.apply_history(t, d, ["k"], ntz(TS), "b1", only_changed=True, small=small)
+    table.apply(rows.withColumn("v", F.when(F.col("k") % 2 == 0, 2).otherwise(1)), changing, "b1")
+    joins = [line for line in plans[0].splitlines() if "Join" in line]
+    assert joins and not [j for j in joins if "BroadcastHashJoin" in j and (small_bytes == 0 or "LeftAnti" in j)]
+    assert table.read().count() == 450 and table.read().where("NOT _is_current AND v = 1").count() == 150
+    monkeypatch.setattr(KeyedTable, "_write", lambda self, r: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        table.apply(rows, changing, "b2")
+    assert [spark.conf.get(n) for n in names] == before
+
+
+def test_broadcasts_are_measured_until_all_are_done(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[1], "5000")  # a session's own limit stays
+    with session.measured_broadcasts(spark), session.bounded_partitions(spark, 10, 1.0):
+        with session.measured_broadcasts(spark):
+            pass
+        assert [spark.conf.get(n) for n in names] == ["-1", "5000"]
+    assert [spark.conf.get(n) for n in names] == [before[0], "5000"]
+    spark.conf.unset(names[1])
+    with session.measured_broadcasts(spark):
+        assert [spark.conf.get(n) for n in names] == ["-1", before[0]]
+    assert [spark.conf.get(n) for n in names] == before

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -13,9 +13,10 @@ from pyspark.sql import SparkSession
 #: Rows for which a shuffle has a partition at least, and rows that a task takes of merged ones, where a job's rows are known.
 PARTITION_ROWS, TASK_ROWS = 250_000, 500_000
 _PARTITIONS, _ADVISORY = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+_PLANNED, _SEEN = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
 _lock = threading.RLock()
-_asked: list[tuple[int, int]] = []
-_before: dict[str, str] = {}
+_asked: list[object] = []
+_before: dict[str, str | None] = {}
 
 # Settings every job here relies on. AQE re-plans joins from the sizes it sees,
 # so small sides are broadcast only after their size is known.
@@ -60,28 +61,52 @@ def _size(text: str) -> int:
 
 
 @contextmanager
-def bounded_partitions(spark: SparkSession, rows: int, row_bytes: float, most: int = 50_000) -> Iterator[None]:
-    """Jobs started here shuffle ``rows`` rows of about ``row_bytes`` packed bytes to a partition for every ``PARTITION_ROWS`` at least, and
-    AQE merges them, or splits what is rebalanced, to ``TASK_ROWS``: packed sizes alone don't bound a task's memory, as rows that
-    pack well are many. Several threads may ask: the strictest wish holds until all are done, then what was set before.
-    Stricter settings of a session stay."""
-    wish = min(most, -(-rows // PARTITION_ROWS)), max(2**20, int(row_bytes * TASK_ROWS))
+def _held(spark: SparkSession, wish: Callable[[], Mapping[str, object]]) -> Iterator[None]:
+    """A wish's settings until all who asked are done, then what was set before. Several threads may ask."""
+    mine = object()
     with _lock:
         if not _asked:
-            _before.update({name: spark.conf.get(name) for name in (_PARTITIONS, _ADVISORY)})
-        _asked.append(wish)
-        if wish[0] > int(spark.conf.get(_PARTITIONS)):
-            spark.conf.set(_PARTITIONS, wish[0])
-        if wish[1] < _size(spark.conf.get(_ADVISORY)):
-            spark.conf.set(_ADVISORY, wish[1])
+            _before.update({name: spark.conf.get(name) for name in (_PARTITIONS, _ADVISORY, _PLANNED, _SEEN)})
+        _asked.append(mine)
+        for name, value in wish().items():
+            spark.conf.set(name, value)
     try:
         yield
     finally:
         with _lock:
-            _asked.remove(wish)
+            _asked.remove(mine)
             for name, value in _before.items() if not _asked else ():
                 if spark.conf.get(name) != value:
-                    spark.conf.set(name, value)
+                    spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+@contextmanager
+def bounded_partitions(spark: SparkSession, rows: int, row_bytes: float, most: int = 50_000) -> Iterator[None]:
+    """Jobs started here shuffle ``rows`` rows of about ``row_bytes`` packed bytes to a partition for every ``PARTITION_ROWS`` at least, and
+    AQE merges them, or splits what is rebalanced, to ``TASK_ROWS``: packed sizes alone don't bound a task's memory, as rows that
+    pack well are many. Several threads may ask: the strictest wish holds until all are done, then what was set before.
+    Stricter settings of a session stay."""
+    parts, size = min(most, -(-rows // PARTITION_ROWS)), max(2**20, int(row_bytes * TASK_ROWS))
+
+    def wish() -> dict[str, object]:
+        stricter = {_PARTITIONS: parts} if parts > int(spark.conf.get(_PARTITIONS)) else {}
+        return {**stricter, _ADVISORY: size} if size < _size(spark.conf.get(_ADVISORY)) else stricter
+
+    with _held(spark, wish):
+        yield
+
+
+@contextmanager
+def measured_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Jobs started here broadcast the sides of joins that are marked for it and those that AQE has seen to be small. Spark by itself plans
+    by the packed bytes of files, and few of those may hold many millions of rows, which every task would then keep."""
+
+    def wish() -> dict[str, object]:
+        seen = spark.conf.get(_SEEN)
+        return {_SEEN: spark.conf.get(_PLANNED) if seen is None else seen, _PLANNED: -1}
+
+    with _held(spark, wish):
+        yield
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.apply import any_null
 from tidemark.operators.shape import agree
-from tidemark.session import bounded_partitions
+from tidemark.session import bounded_partitions, measured_broadcasts
 from tidemark.sinks import storage
 from tidemark.sinks.keyindex import BUCKET, FILE, KeyDigests, KeyIndex, key_digest
 from tidemark.sinks.versions import Files, StaleTableError, Version, VersionLog
@@ -429,11 +429,12 @@ class KeyedTable:
         kept, new = self._settle(kept), self._place(new.drop(BUCKET), old.buckets)
         rows = kept.unionByName(new.hint("rebalance", BUCKET)) if small else kept.unionByName(new).hint("rebalance", BUCKET)
         if small:
-            files: Files = self._write(rows)
+            with measured_broadcasts(self.spark):
+                files: Files = self._write(rows)
         else:  # all rows of the files come into shuffles; how many they are is in the files' footers
             held = self._rows(schema, drop).count()
             packed = sum(old.files[b][n] for b, names in drop.items() for n in names)
-            with bounded_partitions(self.spark, held + sum(r.n for r in hits), packed / held if held else 2**20):
+            with measured_broadcasts(self.spark), bounded_partitions(self.spark, held + sum(r.n for r in hits), packed / held if held else 2**20):
                 files = self._write(rows)
         after = old.after(files, drop, schema=schema, writers={**old.writers, writer: token}, note=old.note if note is None else dict(note))
         self._commit(after)
