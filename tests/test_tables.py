@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import random
+import re
 from dataclasses import replace
 
 import pytest
@@ -298,6 +299,48 @@ def test_keys_meet_the_ranges_they_lie_in(spark):
     assert sorted((x.h, x._file) for x in got.collect()) == sorted(want)
 
 
+def test_only_files_with_a_key_in_their_range_get_a_filter(spark):
+    table = made(spark, spark.range(1000).select(F.col("id").alias("k"), F.lit("a").alias("v")), ("k",), file_rows=20)
+    for n, k in enumerate((7, 500, 500)):
+        table.apply(rows_of(spark, [(k, f"b{n}"), (-k - n, f"b{n}")]), upserting(["k"]), f"b{n}")
+    files = table.index.entries().groupBy("_bucket", "_file").agg(F.count("bits").alias("n"))
+    assert files.count() >= 50 and 1 <= files.where("n > 0").count() <= 12
+    rows = {r.k: r.v for r in table.read().collect()}
+    assert len(rows) == 1003 and (rows[7], rows[500], rows[-7], rows[-501], rows[-502]) == ("b0", "b2", "b0", "b1", "b2")
+
+
+def test_files_of_a_task_have_key_ranges_of_their_own(spark):
+    rows = spark.range(1000).select(F.pmod(F.col("id") * 387, F.lit(1000)).alias("k"), F.lit("a").alias("v"))
+    table = made(spark, rows.coalesce(1), ("k",), file_rows=20)
+    table.apply(rows_of(spark, [(k, "b") for k in range(5, 1000, 100)]), upserting(["k"]), "b1")
+    stored = table._rows(table.version().schema, table.version().files, named=True)
+    task = F.regexp_extract("_file", "part-[0-9]+-[0-9a-f-]+", 0)
+    ends = stored.groupBy("_bucket", task.alias("t"), "_file").agg(F.min("k").alias("low"), F.max("k").alias("high")).collect()
+    for a in ends:
+        assert not [b for b in ends if (a._bucket, a.t) == (b._bucket, b.t) and a.low < b.low <= a.high]
+    assert len(ends) >= 50 and table.read().where("v = 'b'").count() == 10 and table.read().count() == 1000
+
+
+def test_many_limited_files_are_written_by_several_tasks(spark):
+    rows = spark.range(0, 60_000, 1, 8).select(F.col("id").alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 2).alias("v"))
+    table = made(spark, rows, ("k",), file_rows=40)
+    names = [n for files in table.version().files.values() for n in files]
+    assert len({re.search("part-([0-9]+)", n)[1] for n in names}) >= 6 and table.read().count() == 60_000
+
+
+def test_folders_a_writer_has_seen_are_not_listed_again(spark, monkeypatch):
+    monkeypatch.setattr(tables, "MANY", 3)
+    table = made(spark, spark.range(1000).select(F.col("id").alias("k"), F.lit("a").alias("v")), ("k",), file_rows=20)
+    with monkeypatch.context() as m:
+        m.setattr(storage, "count", lambda spark, folder: pytest.fail("listed"))
+        for n, k in enumerate((7, 500)):
+            table.apply(rows_of(spark, [(k, f"b{n}")]), upserting(["k"]), f"b{n}")
+        mine = table._paths(table.version().files)
+        assert table.read().where("v <> 'a'").count() == 2 and table.read().count() == 1000
+    tables._seen.clear()  # as in another process
+    assert tuple(map(sorted, table._paths(table.version().files))) == tuple(map(sorted, mine)) and table.read().count() == 1000
+
+
 def test_a_write_that_dies_leaves_no_files(spark):
     rows = spark.range(100).select(F.col("id").alias("k"), F.lit("a").alias("v"))
     table = made(spark, rows, ("k",))

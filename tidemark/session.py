@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 PARTITION_ROWS, TASK_ROWS = 250_000, 500_000
 _PARTITIONS, _ADVISORY = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 _PLANNED, _SEEN = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+_LISTED, _LISTERS = "spark.sql.sources.parallelPartitionDiscovery.threshold", "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 _lock = threading.RLock()
 _asked: list[object] = []
 _before: dict[str, str | None] = {}
@@ -66,7 +67,7 @@ def _held(spark: SparkSession, wish: Callable[[], Mapping[str, object]]) -> Iter
     mine = object()
     with _lock:
         if not _asked:
-            _before.update({name: spark.conf.get(name) for name in (_PARTITIONS, _ADVISORY, _PLANNED, _SEEN)})
+            _before.update({name: spark.conf.get(name) for name in (_PARTITIONS, _ADVISORY, _PLANNED, _SEEN, _LISTED, _LISTERS)})
         _asked.append(mine)
         for name, value in wish().items():
             spark.conf.set(name, value)
@@ -96,6 +97,21 @@ def bounded_partitions(spark: SparkSession, rows: int, row_bytes: float, most: i
         yield
 
 
+@contextmanager
+def bounded_merges(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs started here merge shuffled partitions, or split what is rebalanced, to about ``size`` bytes. Stricter settings stay."""
+    with _held(spark, lambda: {_ADVISORY: size} if size < _size(spark.conf.get(_ADVISORY)) else {}):
+        yield
+
+
+@contextmanager
+def shared_listing(spark: SparkSession) -> Iterator[None]:
+    """Frames made here list their paths in tasks, a few for each core: Spark lists up to 32 paths one by one, however many files lie
+    in them, and more with a task for each path."""
+    with _held(spark, lambda: {_LISTED: 1, _LISTERS: 4 * spark.sparkContext.defaultParallelism}):
+        yield
+
+
 @contextmanager
 def measured_broadcasts(spark: SparkSession) -> Iterator[None]:
     """Jobs started here broadcast the sides of joins that are marked for it and those that AQE has seen to be small. Spark by itself plans

@@ -1,7 +1,8 @@
 """Which files of a table may hold a key: a key range and a Bloom filter for each file.
 
 Entries are derived from files that never change, so they are made when a delta first asks for them, and kept beside the
-table as Parquet. A file's filter is cut into pages of 4 KiB, one row each; a lookup reads the pages its keys fall in. All of it is
+table as Parquet: a file's range when the file is first asked for, its filter when a key first lies in that range. A filter is cut
+into pages of 4 KiB, one row each; a lookup reads the pages its keys fall in. All of it is
 DataFrame work: bits are set by ``bitmap_construct_agg``, and keys meet ranges and pages by joins. The driver gets
 names of files, at most those it asked about.
 """
@@ -9,9 +10,10 @@ names of files, at most those it asked about.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
@@ -60,7 +62,8 @@ def _inside(asked: DataFrame, tops: DataFrame) -> DataFrame:
     bits = int(ends.agg(F.sum(width.cast("double"))).first()[0] or 1).bit_length() - BLOCKS.bit_length()
     bits = min(max(bits, 0), 63)
     block = lambda c: F.shiftright(F.col(c), bits)
-    cut = ends.select("*", F.explode(F.sequence(block("low"), block("high"))).alias("_block"))
+    cut = ends.repartition(tops.sparkSession.sparkContext.defaultParallelism)  # few bytes, but about ``BLOCKS`` rows once they are cut
+    cut = cut.select("*", F.explode(F.sequence(block("low"), block("high"))).alias("_block"))
     near = asked.where("o IS NOT NULL").withColumn("_block", block("o")).join(cut, [BUCKET, "_block"])
     near = near.where(F.col("o").between(F.col("low"), F.col("high"))).drop("_block")
     loose = asked.join(tops.where("low IS NULL"), BUCKET).unionByName(asked.where("o IS NULL").join(ends, BUCKET))
@@ -83,12 +86,12 @@ class PerFile:
     def of(self, files: Mapping[int, Sequence[str]]) -> DataFrame:
         return self.entries().join(F.broadcast(self._names(files)), [BUCKET, FILE], "left_semi")
 
-    def known(self, files: Mapping[int, Sequence[str]]) -> set[tuple[int, str]]:
-        """Those of ``files`` that have entries."""
-        return set() if self.entries() is None else {tuple(r) for r in self.of(files).select(BUCKET, FILE).distinct().collect()}
+    def known(self, files: Mapping[int, Sequence[str]], kind: str = "true") -> set[tuple[int, str]]:
+        """Those of ``files`` that have entries of a kind."""
+        return set() if self.entries() is None else {tuple(r) for r in self.of(files).where(kind).select(BUCKET, FILE).distinct().collect()}
 
-    def unknown(self, files: Mapping[int, Sequence[str]]) -> dict[int, list[str]]:
-        known = self.known(files)
+    def unknown(self, files: Mapping[int, Sequence[str]], kind: str = "true") -> dict[int, list[str]]:
+        known = self.known(files, kind)
         left = {b: [n for n in names if (b, n) not in known] for b, names in files.items()}
         return {b: names for b, names in left.items() if names}
 
@@ -109,7 +112,11 @@ class PerFile:
 
     def _names(self, files: Mapping[int, Sequence[str]]) -> DataFrame:
         """File names as rows: as many as the driver named."""
-        return self.spark.createDataFrame([(b, n) for b, ns in files.items() for n in ns], f"{BUCKET} int, {FILE} string")
+        return self._numbers([(b, n) for b, ns in files.items() for n in ns]).drop("_n")
+
+    def _numbers(self, listed: Sequence[tuple[int, str]]) -> DataFrame:
+        buckets, names = pa.array([b for b, _ in listed], pa.int32()), pa.array([n for _, n in listed], pa.string())
+        return self.spark.createDataFrame(pa.table({BUCKET: buckets, FILE: names, "_n": pa.array(range(len(listed)), pa.int32())}))
 
 
 class KeyDigests(PerFile):
@@ -129,32 +136,64 @@ def key_digest(keys: Sequence[str], live: Column | None = None) -> list[Column]:
 
 
 class KeyIndex(PerFile):
+    """A file's range is an entry without a page; those of its filter repeat it."""
+
     ENTRY = _ENTRY
 
-    def add(self, rows: DataFrame) -> None:
-        """Entries for all files that ``rows`` (keys, ``_bucket``, ``_file``) come from: as many as the driver named, so their sizes
-        are broadcast."""
-        each = rows.where(no_nulls(self.keys)).select(BUCKET, FILE, key_hash(self.keys).alias("h"), ordinal(rows.schema[self.keys[0]]).alias("o"))
+    def _sizes(self, each: DataFrame) -> DataFrame:
         pages = F.ceil(F.count("*") * BITS / PAGE)
-        sizes = each.groupBy(BUCKET, FILE).agg(F.min("o").alias("low"), F.max("o").alias("high"), pages.alias("pages"))
-        spots = each.join(F.broadcast(sizes), [BUCKET, FILE]).select(BUCKET, FILE, "low", "high", "pages", F.explode(_spots(F.col("pages"))).alias("at"))
+        return each.groupBy(BUCKET, FILE).agg(F.min("o").alias("low"), F.max("o").alias("high"), pages.alias("pages"))
+
+    def _keys(self, rows: DataFrame, *columns: str) -> DataFrame:
+        hashed, order = key_hash(self.keys).alias("h"), ordinal(rows.schema[self.keys[0]]).alias("o")
+        return rows.where(no_nulls(self.keys)).select(BUCKET, *columns, hashed, order)
+
+    def add(self, rows: DataFrame) -> None:
+        """Ranges of all files that ``rows`` (keys, ``_bucket``, ``_file``) come from."""
+        sizes = self._sizes(self._keys(rows, FILE))
+        self._put(sizes.withColumns({"page": F.lit(None).cast("bigint"), "bits": F.lit(None).cast("binary")}))
+
+    def unfiltered(self, files: Mapping[int, Sequence[str]]) -> dict[int, list[str]]:
+        return self.unknown(files, "page IS NOT NULL")
+
+    def add_filters(self, rows: DataFrame, files: Mapping[int, Sequence[str]]) -> None:
+        """Filters of ``files``, which ``rows`` come from: as many as the driver named, so their sizes are broadcast."""
+        sizes = self.of(files).select(BUCKET, FILE, "low", "high", "pages").distinct()
+        each = self._keys(rows, FILE).drop("o").join(F.broadcast(sizes), [BUCKET, FILE])
+        spots = each.select(BUCKET, FILE, "low", "high", "pages", F.explode(_spots(F.col("pages"))).alias("at"))
         group = [BUCKET, FILE, "low", "high", "pages", F.col("at.page").alias("page")]
         self._put(spots.groupBy(*group).agg(F.bitmap_construct_agg(F.col("at.bit")).alias("bits")).repartition(FILE))
 
+    def near(self, delta: DataFrame, files: Mapping[int, Sequence[str]]) -> dict[int, list[str]]:
+        """Those of ``files`` in whose range a key of ``delta`` lies, which has its ``_bucket``. All must have a range."""
+        numbered, named = self._numbered(files)
+        tops = numbered.select(BUCKET, FILE, "low", "high", "pages").distinct()
+        return named(_inside(self._keys(delta).distinct(), tops))
+
     def may_hold(self, delta: DataFrame, files: Mapping[int, Sequence[str]]) -> dict[int, list[str]]:
-        """Those of ``files`` that may hold a key of ``delta``, which has its ``_bucket``. All must have entries."""
-        asked = delta.where(no_nulls(self.keys))
-        asked = asked.select(BUCKET, key_hash(self.keys).alias("h"), ordinal(delta.schema[self.keys[0]]).alias("o")).distinct()
-        entries = self.of(files)
+        """Those of ``files`` that may hold a key of ``delta``. All must have filters."""
+        numbered, named = self._numbered(files)
+        entries = numbered.where("page IS NOT NULL")
         tops = entries.select(BUCKET, FILE, "low", "high", "pages").distinct()
-        pairs = _inside(asked, tops).select(BUCKET, FILE, "h", _spots(F.col("pages")).alias("at"))
+        pairs = _inside(self._keys(delta).distinct(), tops).select(BUCKET, FILE, "h", _spots(F.col("pages")).alias("at"))
         spots = pairs.select(BUCKET, FILE, "h", F.size("at").alias("n"), F.explode("at").alias("at"))
         spots = spots.select(BUCKET, FILE, "h", "n", F.col("at.page").alias("page"), F.col("at.bit").alias("bit"))
         byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         hit = F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1
         found = spots.join(entries.select(BUCKET, FILE, "page", "bits"), [BUCKET, FILE, "page"]).where(hit)
-        found = found.groupBy(BUCKET, FILE, "h").agg(F.count("*").alias("met"), F.first("n").alias("n")).where("met = n")
-        out: dict[int, list[str]] = {}
-        for r in found.select(BUCKET, FILE).distinct().collect():
-            out.setdefault(r[BUCKET], []).append(r[FILE])
-        return out
+        return named(found.groupBy(BUCKET, FILE, "h").agg(F.count("*").alias("met"), F.first("n").alias("n")).where("met = n"))
+
+    def _numbered(self, files: Mapping[int, Sequence[str]]) -> tuple[DataFrame, Callable[[DataFrame], dict[int, list[str]]]]:
+        """Entries of ``files`` with a number in place of a file's name, which pairs of keys and files would carry along, and what
+        names the different files of such rows."""
+        listed = [(b, n) for b, names in files.items() for n in names]
+        rows = self.entries().join(F.broadcast(self._numbers(listed)), [BUCKET, FILE]).drop(FILE).withColumnRenamed("_n", FILE)
+
+        def named(found: DataFrame) -> dict[int, list[str]]:
+            out: dict[int, list[str]] = {}
+            for r in found.select(FILE).distinct().collect():
+                b, name = listed[r[FILE]]
+                out.setdefault(b, []).append(name)
+            return out
+
+        return rows, named

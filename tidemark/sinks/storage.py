@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
+from tidemark.session import shared_listing
+
 #: Files that are asked for their bytes one by one; more are asked by a Spark job.
 ONE_BY_ONE = 1000
+#: Files that are removed at a time.
+AT_ONCE = 8
 
 
 def _handle(spark: SparkSession, path: str):
@@ -35,8 +40,8 @@ def purge_all(spark: SparkSession, folder: str, names: Iterable[str]) -> None:
     """Many files of one file system, named from a folder that they all lie below."""
     fs, _ = _handle(spark, folder)
     path = spark._jvm.org.apache.hadoop.fs.Path
-    for name in names:
-        fs.delete(path(f"{folder}/{name}"), True)
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        list(pool.map(lambda name: fs.delete(path(f"{folder}/{name}"), True), names))
 
 
 def move(spark: SparkSession, path: str, to: str) -> None:
@@ -70,7 +75,8 @@ def sizes(spark: SparkSession, folders: Iterable[str], ending: str) -> list[tupl
         else:
             found += [(s.getPath().toString(), s.getLen()) for s in inside]
     if many:
-        found += [tuple(r) for r in spark.read.format("binaryFile").load(many).select("path", "length").collect()]
+        with shared_listing(spark):
+            found += [tuple(r) for r in spark.read.format("binaryFile").load(many).select("path", "length").collect()]
     return sorted((path, size) for path, size in found if path.endswith(ending))
 
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import threading
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections import OrderedDict
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
@@ -12,7 +15,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.apply import any_null
 from tidemark.operators.shape import agree
-from tidemark.session import bounded_partitions, measured_broadcasts
+from tidemark.session import bounded_merges, bounded_partitions, measured_broadcasts, shared_listing
 from tidemark.sinks import storage
 from tidemark.sinks.keyindex import BUCKET, FILE, KeyDigests, KeyIndex, key_digest
 from tidemark.sinks.versions import Files, StaleTableError, Version, VersionLog
@@ -30,6 +33,8 @@ SMALL_KEY_BYTES = 32 * 2**20
 FILE_BYTES = 256 * 2**20
 #: Files of one folder that are read by their paths; of more, the folder is.
 MANY = 64
+#: Files that one task of a first load writes where their rows are limited, about.
+TASK_FILES = 256
 #: Runs of appended files of about one size that are merged into one.
 FAN = 8
 #: Appended runs start to count as larger from here, and are not merged any more from there.
@@ -46,6 +51,22 @@ def bucket_count(table_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
 
 Change = Callable[[DataFrame, DataFrame, bool], DataFrame]
 
+#: Names that were seen in the folder of a write, by folder, the last asked for last. One write fills a folder before a version names
+#: it, and from then on the folder only loses files; so these are all that may be there.
+_seen: OrderedDict[str, frozenset[str]] = OrderedDict()
+#: Folders of which names are kept.
+KEPT_FOLDERS = 256
+_lock = threading.Lock()
+
+
+def _remember(folder: str, names: Iterable[str]) -> frozenset[str]:
+    with _lock:
+        _seen[folder] = frozenset(names)
+        _seen.move_to_end(folder)
+        while len(_seen) > KEPT_FOLDERS:
+            _seen.popitem(last=False)
+        return _seen[folder]
+
 
 class MissingTableError(RuntimeError):
     """An append was asked for, but the table is not there."""
@@ -182,10 +203,21 @@ class KeyedTable:
             else:
                 gone.add(folder)
         storage.purge_all(self.spark, self.data, alone)
+        self._forget(old.retired)
         for bucket, write in gone:
             storage.purge(self.spark, f"{self.data}/{BUCKET}={bucket}/{WRITE}={write}")
         self._log.forget(old.number)
 
+    def _forget(self, files: Iterable[tuple[int, str]]) -> None:
+        """What is known of folders, without files that are gone."""
+        lost: dict[str, set[str]] = {}
+        for bucket, name in files:
+            lost.setdefault(self._file(bucket, name.split("/")[0]), set()).add(name)
+        with _lock:
+            for folder, names in lost.items():
+                if folder in _seen:
+                    _seen[folder] = _seen[folder] - names
+
     def _file(self, bucket: int, name: str) -> str:
         return f"{self.data}/{BUCKET}={bucket}/{WRITE}={name}"
 
@@ -200,7 +232,10 @@ class KeyedTable:
     def _write(self, rows: DataFrame) -> dict[int, dict[str, int]]:
         """Rows with their bucket into new files; returns those of each bucket, with their bytes."""
         write = f"w{uuid.uuid4().hex}"
-        writer = rows.withColumn(WRITE, F.lit(write)).write.mode("append").partitionBy(BUCKET, WRITE)
+        rows = rows.withColumn(WRITE, F.lit(write))
+        if self.file_rows and self.keys:  # a task's files then have key ranges of their own, in the sort that a write by folders needs anyway
+            rows = rows.sortWithinPartitions(BUCKET, WRITE, *self.keys)
+        writer = rows.write.mode("append").partitionBy(BUCKET, WRITE)
         try:
             (writer.option("maxRecordsPerFile", self.file_rows) if self.file_rows else writer).parquet(self.data)
         except Exception:
@@ -211,6 +246,8 @@ class KeyedTable:
         for path, size in storage.sizes(self.spark, storage.matching(self.spark, f"{self.data}/{BUCKET}=*/{WRITE}={write}"), ".parquet"):
             bucket, name = path.split(f"{BUCKET}=")[-1].split(f"/{WRITE}=")
             found.setdefault(int(bucket), {})[name] = size
+        for bucket, names in found.items():
+            _remember(self._file(bucket, write), names)
         return found
 
     def _place(self, rows: DataFrame, buckets: int) -> DataFrame:
@@ -228,7 +265,9 @@ class KeyedTable:
             placed = rows.withColumn(BUCKET, F.lit(SETTLED))
         else:
             placed = self._place(rows, self.buckets).hint("rebalance", BUCKET)
-        files = self._write(placed)
+        row_bytes = 8 * len(placed.columns)  # packed, about
+        with bounded_merges(self.spark, TASK_FILES * self.file_rows * row_bytes) if self.file_rows else nullcontext():
+            files = self._write(placed)
         empty = Version(old.number if old else 0, rows.schema, self.keys, self.buckets, {})
         if callable(note):
             note = note(self._rows(rows.schema, files).drop(BUCKET))
@@ -336,9 +375,11 @@ class KeyedTable:
             empty = self.spark.createDataFrame([], wide)
             return empty.withColumn(FILE, F.lit("")) if named else empty
         full = T.StructType([*wide.fields, T.StructField(WRITE, T.StringType())])
-        rows = self.spark.read.schema(full).option("basePath", self.data).parquet(*paths)
+        with shared_listing(self.spark) if sum(map(len, files.values())) > MANY else nullcontext():
+            rows = self.spark.read.schema(full).option("basePath", self.data).parquet(*paths)
         if others:  # of the file's path alone, so Spark leaves such files out before it opens any
-            rows = rows.where(~F.substring_index("_metadata.file_path", "/", -3).isin(others))
+            listed = ", ".join(f"'{n}'" for n in others)
+            rows = rows.where(F.expr(f"substring_index(_metadata.file_path, '/', -3) NOT IN ({listed})"))
         if named:
             return rows.select(*[F.col(f"`{c}`") for c in wide.names], F.concat_ws("/", WRITE, "_metadata.file_name").alias(FILE))
         return rows.drop(WRITE)
@@ -350,17 +391,25 @@ class KeyedTable:
         for b, names in files.items():
             for n in names:
                 folders.setdefault((b, n.split("/")[0]), []).append(n)
-        paths, partly = [], []
+        paths, others = [], []
         for (b, write), names in folders.items():
-            there = storage.count(self.spark, self._file(b, write)) if len(names) > MANY else 0
-            if len(names) <= there <= 2 * len(names):
+            there = self._there(b, write, len(names)) if len(names) > MANY else frozenset()
+            if len(names) <= len(there) <= 2 * len(names):
                 paths.append(self._file(b, write))
-                partly += [paths[-1]] * (there > len(names))
+                others += [f"{BUCKET}={b}/{WRITE}={n}" for n in sorted(there.difference(names))]
             else:
                 paths += [self._file(b, n) for n in names]
-        found = [path.split(f"{BUCKET}=")[-1].split(f"/{WRITE}=") for path, _ in storage.sizes(self.spark, partly, "")]
-        wanted = {b: set(names) for b, names in files.items()}
-        return paths, [f"{BUCKET}={b}/{WRITE}={n}" for b, n in found if n not in wanted[int(b)]]
+        return paths, others
+
+    def _there(self, bucket: int, write: str, n: int) -> frozenset[str]:
+        """Names that may lie in the folder of a write, as versions name them; none if it is not worth a look for ``n`` of them."""
+        folder = self._file(bucket, write)
+        known = _seen.get(folder)
+        if known is not None:
+            return _remember(folder, known)
+        if not n <= storage.count(self.spark, folder) <= 2 * n:
+            return frozenset()
+        return _remember(folder, (path.split(f"/{WRITE}=")[-1] for path, _ in storage.sizes(self.spark, [folder], "")))
 
     def touched(self, delta: DataFrame, buckets: int | None = None) -> dict[int, int]:
         """Buckets the delta falls in, with the bytes of its keys."""
@@ -379,10 +428,16 @@ class KeyedTable:
         n_keys = sum(r.n for r in hits if r[BUCKET] >= 0)
         if n_bytes < self.prune_from or n_keys >= DENSE * n_files or n_files <= len(asked):
             return asked
+        keys_of = lambda files: self._rows(old.schema, files, named=True).select(*self.keys, BUCKET, FILE)
         unknown = self.index.unknown(asked)
         if unknown:
-            self.index.add(self._rows(old.schema, unknown, named=True).select(*self.keys, BUCKET, FILE))
-        return self.index.may_hold(delta.select(*self.keys, self.bucket_of(delta.columns, old.buckets).alias(BUCKET)), asked)
+            self.index.add(keys_of(unknown))
+        keys = delta.select(*self.keys, self.bucket_of(delta.columns, old.buckets).alias(BUCKET))
+        near = self.index.near(keys, asked)
+        bare = self.index.unfiltered(near) if near else {}
+        if bare:
+            self.index.add_filters(keys_of(bare), bare)
+        return self.index.may_hold(keys, near) if near else {}
 
     def apply(
         self,
